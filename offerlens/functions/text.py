@@ -141,6 +141,8 @@ def content_fingerprint(title: Column, description: Column) -> Column:
 # one character each, so that positions equal those of the plain form.
 _SOFT = {".": "\u2024", "!": "\ufe57", "?": "\ufe56", ";": "\ufe54"}
 SOFT_MARKS = "".join(_SOFT.values())
+# The rules cut texts at this character, so the marked form never holds it itself.
+SEPARATOR, _SEPARATOR_TWIN = "\u0001", "\ufdd0"
 MATCH_TYPE = T.StructType(
     [
         T.StructField("marked", T.StringType()),
@@ -153,9 +155,10 @@ MATCH_TYPE = T.StructType(
 
 
 @lru_cache(maxsize=1)
-def _fold_table() -> dict[int, str]:
-    """Folding of each code point of the basic plane that differs from its plain lower case."""
-    table = {}
+def _folding() -> tuple[dict[int, str], re.Pattern, re.Pattern]:
+    """Folding of each code point of the basic plane, the characters that lower case alone does not fold,
+    and the places where a text must be folded one character at a time."""
+    table = {c: chr(c).lower() for c in range(ord("A"), ord("Z") + 1)}
     for code in range(0x80, 0x10000):
         if 0xD800 <= code <= 0xDFFF:
             continue
@@ -166,73 +169,92 @@ def _fold_table() -> dict[int, str]:
             folded = "".join(_SOFT.get(c, c) for c in folded)
         if folded != char:
             table[code] = folded
-    table.update({c: chr(c).lower() for c in range(ord("A"), ord("Z") + 1)})
     table[ord("`")] = "'"
-    return table
+    table[ord(SEPARATOR)] = _SEPARATOR_TWIN
+    table.update({ord(c): "\n" if c in "\n\r" else " " for c in SPACES})
 
+    def fold(char: str) -> str:
+        return table.get(ord(char), char)
 
-_RUN = re.compile(f"[{SPACES}]+")
+    # U+03A3 lower-cases by its neighbours in a string, so it is always handled alone.
+    alone = [c for c, folded in table.items() if len(folded) != 1 or len(chr(c).lower()) != 1 or fold(chr(c).lower()) != folded]
+    alone = {*alone, 0x3A3}
+    special = [c for c in table if c not in alone and chr(c).lower() == chr(c) and table[c] != chr(c)]
+    classes = ("".join(map(re.escape, map(chr, sorted(codes)))) for codes in (special, alone))
+    special_class, alone_class = classes
+    return table, re.compile(f"[{special_class}]"), re.compile(f"[{SPACES}]{{2,}}|[{alone_class}]")
 
 
-def _match_form(text: str | None):
-    """Folded text with the sparse list of places where its offset to the source changes."""
-    if text is None:
-        return None
-    table = _fold_table()
-    out, shifts, length, position, expected = [], [], 0, 0, 0
+def _match_form(text: str):
+    """Folded text with the sparse list of places where its offset to the source changes.
+
+    Stretches between runs of white space and growing characters keep their length and are folded at
+    once; only the few places in between are handled one by one.
+    """
+    table, special, uneven = _folding()
+    out, shifts, length, expected, position, spaced = [], [], 0, 0, 0, False
 
     def emit(piece: str, source: int):
-        nonlocal length, expected
+        nonlocal length, expected, spaced
+        if not piece:
+            return
         if source != expected:
             shifts.append((length, source))
         out.append(piece)
         length += len(piece)
         expected = source + len(piece)
-
-    def emit_words(start: int, end: int):
-        word = text[start:end]
-        folded = word.translate(table)
-        if len(folded) == len(word) and " " not in folded:
-            emit(folded, start)
-            return
-        for offset, char in enumerate(word):
-            for unit in table.get(ord(char), char):
-                if unit in SPACES:
-                    if not (out and out[-1][-1:] in " \n"):
-                        emit(" ", start + offset)
-                else:
-                    emit(unit, start + offset)
-
-    for run in _RUN.finditer(text):
-        if run.start() > position:
-            emit_words(position, run.start())
-        space = run.group()
-        mark = "\n" if "\n" in space or "\r" in space else " "
-        if out and out[-1][-1:] in " \n":
-            if mark == "\n":
-                out[-1] = out[-1][:-1] + "\n"
+        spaced = piece[-1] in " \n"
+
+    def emit_space(mark: str, source: int):
+        if not spaced:
+            emit(mark, source)
+        elif mark == "\n":
+            out[-1] = out[-1][:-1] + mark
+
+    def emit_even(start: int, end: int):
+        piece = special.sub(lambda m: table[ord(m.group())], text[start:end].lower())
+        if piece[:1] in (" ", "\n"):
+            emit_space(piece[0], start)
+            start, piece = start + 1, piece[1:]
+        emit(piece, start)
+
+    for place in uneven.finditer(text):
+        if place.start() > position:
+            emit_even(position, place.start())
+        found = place.group()
+        if len(found) > 1:
+            emit_space("\n" if "\n" in found or "\r" in found else " ", place.start())
         else:
-            emit(mark, run.start())
-        position = run.end()
+            for unit in table[ord(found)]:
+                if unit == " ":
+                    emit_space(unit, place.start())
+                else:
+                    emit(unit, place.start())
+        position = place.end()
     if position < len(text):
-        emit_words(position, len(text))
+        emit_even(position, len(text))
     return "".join(out), shifts
 
 
-@F.pandas_udf(MATCH_TYPE)
-def match_form(values: pd.Series) -> pd.DataFrame:
-    rows = [_match_form(v if isinstance(v, str) else None) or (None, None) for v in values]
+def match_rows(values: pd.Series) -> pd.DataFrame:
+    """The matching forms of one batch of texts."""
+    forms = [_match_form(v) if isinstance(v, str) else (None, None) for v in values]
     return pd.DataFrame(
         {
-            "marked": [r[0] for r in rows],
-            "shifts": [None if r[1] is None else [{"at": a, "source": s} for a, s in r[1]] for r in rows],
+            "marked": [marked for marked, _ in forms],
+            "shifts": [shifts and [{"at": a, "source": s} for a, s in shifts] for _, shifts in forms],
         }
     )
 
 
+@F.pandas_udf(MATCH_TYPE)
+def match_form(values: pd.Series) -> pd.DataFrame:
+    return match_rows(values)
+
+
 def plain_form(marked: Column) -> Column:
     """The matching text itself: marks of the marked form replaced by what they stand for."""
-    return F.translate(marked, "\n" + SOFT_MARKS, " " + "".join(_SOFT))
+    return F.translate(marked, "\n" + SOFT_MARKS + _SEPARATOR_TWIN, " " + "".join(_SOFT) + SEPARATOR)
 
 
 def source_offset(shifts: Column, position: Column) -> Column:

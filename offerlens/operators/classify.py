@@ -8,11 +8,13 @@ Input columns: title, description_text, experience_required (boolean), experienc
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offerlens.functions.text import match_form, plain_form, source_offset, trim_text
-from offerlens.operators.technologies import FIELDS, alias_hits, selected_hits, technology_slugs
+from offerlens.functions.text import SEPARATOR, match_form, source_offset, trim_text
+from offerlens.operators.technologies import FIELDS, selected_hits, technology_slugs, text_forms
 from offerlens.rules import patterns as P
 
 CLASSIFIER_VERSION = "classifier-1.3.7"
@@ -21,7 +23,6 @@ TEXT_FIELDS = FIELDS
 ACCEPTANCE_RULES = ("BEGINNER_ACCEPTED_BODY", "BEGINNER_ACCEPTED_STRUCTURED")
 COHERENCE_CONFLICTS = ("BEGINNER_EXPERIENCE_CONFLICT", "STRUCTURED_EXPERIENCE_CONFLICT", "STRUCTURED_DURATION_CONFLICT")
 EVIDENCE = "array<struct<kind:string,rule_id:string,field:string,excerpt:string,start:int,end:int,normalized_value:string>>"
-_SEPARATOR = "\u0001"
 _ALL = 2**31 - 1
 
 
@@ -44,13 +45,10 @@ class _Text:
     def __init__(self, field: str, source: Column, form: Column):
         self.field, self.source = field, source
         self.marked, self.shifts = form["marked"], form["shifts"]
-        self.plain = plain_form(form["marked"])
 
-    def first(self, pattern: str) -> Column:
+    def first(self, pattern: str, literals: tuple[str, ...] = ()) -> Column:
         """First match as struct(start, hit) in the matching form, or null."""
-        hit = F.regexp_extract(self.plain, pattern, 0)
-        start = F.length(F.split(self.plain, pattern, 2)[0])
-        return F.when(F.rlike(self.plain, F.lit(pattern)), F.struct(start.alias("start"), hit.alias("hit")))
+        return F.when(_any_literal(self.marked, literals), _located(self.marked, pattern))
 
     def proof(self, kind, rule, start: Column, size: Column, value=None) -> Column:
         begin = source_offset(self.shifts, start)
@@ -63,6 +61,23 @@ class _Text:
         return F.when(match.isNotNull(), self.proof(kind, rule, match["start"], F.length(match["hit"]), value))
 
 
+def _located(text: Column, pattern: str) -> Column:
+    """First match as struct(start, hit), or null; the text is read once."""
+    cut = F.filter(F.array(F.split(text, pattern, 2)), lambda parts: F.size(parts) > 1)
+
+    def place(parts: Column) -> Column:
+        start = F.length(parts[0])
+        size = F.length(text) - start - F.length(parts[1])
+        return F.struct(start.alias("start"), F.substring(text, start + 1, size).alias("hit"))
+
+    return F.get(F.transform(cut, place), 0)
+
+
+def _any_literal(text: Column, literals: tuple[str, ...]) -> Column:
+    """A cheap test which a text must pass before its regular expressions run."""
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in literals]) if literals else F.lit(True)
+
+
 def _texts() -> dict[str, _Text]:
     sources = {"title": "title", "description": "description_text", "experienceLabel": "_label"}
     return {f: _Text(f, F.col(sources[f]), F.col(f"_form_{f}")) for f in TEXT_FIELDS}
@@ -72,13 +87,10 @@ def matching_forms(offers: DataFrame) -> DataFrame:
     """Add the matching form of every text; the UDFs run side by side in one pass over the batches."""
     offers = offers.withColumn("_label", F.coalesce("experience_label", F.lit("")))
     offers = offers.withColumn("_salary", trim_text(F.col("salary_label")))
-    return (
-        offers.withColumn("_form_title", match_form("title"))
-        .withColumn("_form_description", match_form("description_text"))
-        .withColumn("_form_experienceLabel", match_form("_label"))
-        .withColumn("_form_salary", match_form("_salary"))
-        .withColumn("_hits", alias_hits("title", "description_text", "_label"))
-    )
+    offers = offers.withColumn("_forms", text_forms("title", "description_text", "_label"))
+    for field in TEXT_FIELDS:
+        offers = offers.withColumn(f"_form_{field}", F.col("_forms")[field])
+    return offers.withColumn("_hits", F.col("_forms")["hits"]).withColumn("_form_salary", match_form("_salary"))
 
 
 # ---------------------------------------------------------------- salary and remote mode
@@ -92,18 +104,21 @@ def salary_transparent(label: Column) -> Column:
 
 
 def _first_source(source: Column, field: str, mode: str) -> Column:
-    pattern = P.source_rx(P.REMOTE[mode])
-    start = F.length(F.split(source, pattern, 2)[0])
-    hit = F.regexp_extract(source, pattern, 0)
-    return F.when(
-        F.rlike(source, F.lit(pattern)),
-        _proof("remote", P.REMOTE_RULES[mode], field, hit, start, start + F.length(hit), mode),
-    )
+    found = F.array_compact(F.array(_located(source, P.source_rx(P.REMOTE[mode]))))
+
+    def proof(m: Column) -> Column:
+        return _proof("remote", P.REMOTE_RULES[mode], field, m["hit"], m["start"], m["start"] + F.length(m["hit"]), mode)
+
+    return F.get(F.transform(found, proof), 0)
 
 
-def remote_evidence(title: Column, description: Column) -> Column:
-    fields = (("title", title), ("description", description))
-    return F.array_compact(F.array(*[_first_source(source, field, mode) for field, source in fields for mode in P.REMOTE]))
+def remote_evidence(title: Column, description: Column, folded: Column | None = None) -> Column:
+    """First match of each mode in title and description; `folded` is a lower-case form of the description."""
+    proofs = [_first_source(title, "title", mode) for mode in P.REMOTE]
+    for mode in P.REMOTE:
+        possible = F.lit(True) if folded is None else _any_literal(folded, P.REMOTE_LITERALS[mode])
+        proofs.append(F.when(possible, _first_source(description, "description", mode)))
+    return F.array_compact(F.array(*proofs))
 
 
 def remote_mode(evidence: Column) -> Column:
@@ -121,16 +136,24 @@ def remote_warning(evidence: Column) -> Column:
 # ---------------------------------------------------------------- durations
 
 
-def experience_mentions(marked: Column) -> Column:
-    """Durations of a text: array of (rank, rule_id, start, text, outer).
+_TOKENS = f"{P.STACK}|{P.RANGE}|{P.DURATION}"
+
+
+def duration_pieces(marked: Column) -> Column:
+    """The text cut at its durations, as text, duration, text, ...; one element when there is none."""
+    return F.split(F.regexp_replace(marked, f"({_TOKENS})", f"{SEPARATOR}$1{SEPARATOR}"), SEPARATOR)
+
+
+def experience_mentions(pieces: Column) -> Column:
+    """Durations of a text: array of (rank, start, rule_id, text, outer).
 
     A range also gives the single duration at its end, with the start of the range as `outer`; it counts
     only when the range is not taken.
     """
-    tokens_rx = f"{P.STACK}|{P.RANGE}|{P.DURATION}"
-    tokens = F.regexp_extract_all(marked, F.lit(tokens_rx), F.lit(0))
-    gaps = F.split(marked, tokens_rx)
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(tokens)), tokens, lambda g, t: F.struct(g.alias("gap"), t.alias("token")))
+    count = F.floor(F.size(pieces) / 2).cast("int")
+    pairs = F.transform(
+        F.sequence(F.lit(0), count - 1), lambda i: F.struct(pieces[i * 2].alias("gap"), pieces[i * 2 + 1].alias("token"))
+    )
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,token:string>>").alias("out"))
 
     def place(done: Column, pair: Column) -> Column:
@@ -164,25 +187,34 @@ def experience_mentions(marked: Column) -> Column:
         )
 
     mentions = F.flatten(F.transform(placed, kinds))
-    return F.when(F.rlike(marked, F.lit(tokens_rx)), F.array_sort(mentions))
+    return F.when(F.size(pieces) > 1, F.array_sort(mentions))
+
 
+def _calm(pieces: Column) -> Column:
+    """The text with line ends inside durations turned into spaces: they do not end a clause."""
+    parts = F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.translate(p, "\n", " ")).otherwise(p))
+    return F.when(F.size(pieces) > 1, F.array_join(parts, ""))
 
-def _surroundings(marked: Column, mention: Column) -> Column:
-    """The mention with the texts around it; line ends inside durations do not end a clause."""
+
+def _clauses(calm: Column) -> Column:
+    return F.regexp_replace(calm, f"[{P.BOUNDARY_MARKS}]", SEPARATOR)
+
+
+def _surroundings(calm: Column, clauses: Column, mention: Column) -> Column:
+    """The mention with the texts around it."""
     begin, text = mention["start"], mention["text"]
-    left = F.substring(marked, F.lit(1), begin)
-    right = F.substring(marked, begin + F.length(text) + 1, F.lit(_ALL))
-    split_at = P.BOUNDARY_MARKS
+    end = begin + F.length(text)
+    far = F.least(begin, F.lit(400))
     return F.struct(
         mention["rank"].alias("rank"),
         mention["start"].alias("start"),
         mention["rule_id"].alias("rule_id"),
         text.alias("text"),
         mention["outer"].alias("outer"),
-        F.right(left, F.lit(400)).alias("far_before"),
-        F.left(right, F.lit(70)).alias("near_after"),
-        F.substring_index(F.translate(left, split_at, _SEPARATOR * len(split_at)), _SEPARATOR, -1).alias("clause_before"),
-        F.substring_index(F.translate(right, split_at, _SEPARATOR * len(split_at)), _SEPARATOR, 1).alias("clause_after"),
+        F.substring(calm, begin - far + 1, far).alias("far_before"),
+        F.substring(calm, end + 1, F.lit(70)).alias("near_after"),
+        F.substring_index(F.substring(clauses, F.lit(1), begin), SEPARATOR, -1).alias("clause_before"),
+        F.substring_index(F.substring(clauses, end + 1, F.lit(_ALL)), SEPARATOR, 1).alias("clause_after"),
     )
 
 
@@ -256,22 +288,17 @@ def _judged(field: str, m: Column) -> Column:
     )
 
 
-def _duration_proofs(text: _Text) -> Column:
-    """Evidence of all durations of one text, ranges first."""
-    whole = experience_mentions(text.marked)
-    around = F.transform(whole, lambda m: _surroundings(_calm(text.marked), m))
-    cut = F.transform(around, _between_durations)
-    return F.transform(cut, lambda m: _judged(text.field, m))
-
-
-def _calm(marked: Column) -> Column:
-    """The marked text with line ends inside durations turned into spaces."""
-    tokens_rx = f"{P.STACK}|{P.RANGE}|{P.DURATION}"
-    tokens = F.regexp_extract_all(marked, F.lit(tokens_rx), F.lit(0))
-    gaps = F.split(marked, tokens_rx)
-    joined = F.zip_with(gaps, tokens, lambda g, t: F.concat(g, F.coalesce(F.translate(t, "\n", " "), F.lit(""))))
-    # Only a text with a duration broken over two lines is rebuilt.
-    return F.when(F.exists(tokens, lambda t: t.contains("\n")), F.array_join(joined, "")).otherwise(marked)
+def _judged_mentions(df: DataFrame, text: _Text) -> DataFrame:
+    """Add the judged mentions of one text; each step is a column so that it is computed once."""
+    name = text.field
+    df = df.withColumn(f"_pieces_{name}", duration_pieces(text.marked))
+    pieces = F.col(f"_pieces_{name}")
+    df = df.withColumn(f"_mentions_{name}", experience_mentions(pieces)).withColumn(f"_calm_{name}", _calm(pieces))
+    calm = F.col(f"_calm_{name}")
+    df = df.withColumn(f"_clauses_{name}", _clauses(calm))
+    around = F.transform(f"_mentions_{name}", lambda m: _surroundings(calm, F.col(f"_clauses_{name}"), m))
+    judged = F.transform(F.transform(around, _between_durations), lambda m: _judged(name, m))
+    return df.withColumn(f"_judged_{name}", judged)
 
 
 def _duration_evidence(text: _Text, judged: Column) -> Column:
@@ -307,13 +334,13 @@ def _level_matches(df: DataFrame) -> DataFrame:
     t = _texts()
     title, body, label = (t[f] for f in TEXT_FIELDS)
     negative = P.rx(f"<(?:{P.NOT_JUNIOR})>")
-    df = df.withColumn("_no_title", title.first(negative)).withColumn("_no_description", body.first(negative))
+    df = df.withColumn("_no_title", title.first(negative)).withColumn("_no_description", body.first(negative, ("junior",)))
     df = df.withColumn("_junior_title", title.first(_word(P.JUNIOR_TITLE) + r"(?!\p{L})"))
     body_rx, open_rx = _word(P.JUNIOR_BODY) + r"(?!\p{L})", P.rx(f"<{P.JUNIOR_OPENING}~")
     for name, text in (("description", body), ("experienceLabel", label)):
-        df = df.withColumn(f"_junior_{name}", F.coalesce(text.first(body_rx), text.first(open_rx)))
+        df = df.withColumn(f"_junior_{name}", F.coalesce(text.first(body_rx, P.JUNIOR_LITERALS), text.first(open_rx, ("junior",))))
     df = df.withColumn("_senior_title", title.first(_word(P.SENIOR_TITLE) + r"(?!\p{L})"))
-    role = F.coalesce(*[body.first(P.rx(p)) for p in P.SENIOR_ROLES])
+    role = F.coalesce(*[body.first(P.rx(p), P.SENIOR_LITERALS) for p in P.SENIOR_ROLES])
     return df.withColumn("_senior_role", role)
 
 
@@ -333,8 +360,8 @@ def classify(offers: DataFrame) -> DataFrame:
 
     # Salary, remote mode, technologies.
     salary = _proof("salary", "SALARY_EXPLICIT_STRUCTURED", "salaryLabel", F.col("_salary"), F.lit(0), F.length("_salary"), "true")
-    df = df.withColumn("salary_transparent", salary_transparent(plain_form(F.col("_form_salary")["marked"])))
-    df = df.withColumn("_remote", remote_evidence(F.col("title"), F.col("description_text")).cast(EVIDENCE))
+    df = df.withColumn("salary_transparent", salary_transparent(F.col("_form_salary")["marked"]))
+    df = df.withColumn("_remote", remote_evidence(F.col("title"), F.col("description_text"), body.marked).cast(EVIDENCE))
     df = df.withColumn("_selected", selected_hits(F.col("_hits")))
     sources = F.array(F.col("title"), F.col("description_text"), F.col("_label"))
     names = F.array(*[F.lit(f) for f in FIELDS])
@@ -360,7 +387,7 @@ def classify(offers: DataFrame) -> DataFrame:
         rule = F.when(accepts(text.field), "BEGINNER_ACCEPTED_BODY").otherwise("JUNIOR_EXPLICIT_BODY")
         return F.when(~denied, text.proof_of("junior_claim", rule, F.col(f"_junior_{text.field}"), "true"))
 
-    structured = label.proof("junior_claim", "BEGINNER_ACCEPTED_STRUCTURED", F.lit(0), F.length(label.plain), "true")
+    structured = label.proof("junior_claim", "BEGINNER_ACCEPTED_STRUCTURED", F.lit(0), F.length(label.marked), "true")
     levels = F.array_compact(
         F.array(
             title.proof_of("exclusion", "NEGATED_JUNIOR", F.col("_no_title")),
@@ -373,7 +400,7 @@ def classify(offers: DataFrame) -> DataFrame:
     )
     df = df.withColumn("_first", first).withColumn("_levels", levels.cast(EVIDENCE)).withColumn("_denied", denied)
     for text in (title, body, label):
-        df = df.withColumn(f"_judged_{text.field}", _duration_proofs(text))
+        df = _judged_mentions(df, text)
     durations = F.concat(*[_duration_evidence(x, F.col(f"_judged_{x.field}")) for x in (title, body, label)])
     df = df.withColumn("_durations", durations)
 
@@ -391,8 +418,8 @@ def classify(offers: DataFrame) -> DataFrame:
 
     # Senior wording against a level claim.
     senior = F.col("_senior_title")
-    rest = F.substring(title.plain, senior["start"] + F.length(senior["hit"]) + 1, F.lit(_ALL))
-    head = F.substring(title.plain, F.lit(1), senior["start"])
+    rest = F.substring(title.marked, senior["start"] + F.length(senior["hit"]) + 1, F.lit(_ALL))
+    head = F.substring(title.marked, F.lit(1), senior["start"])
     either = F.rlike(rest, F.lit(P.rx(P.JUNIOR_AFTER_SENIOR))) | F.rlike(head, F.lit(P.rx(P.JUNIOR_BEFORE_SENIOR)))
     df = df.withColumn("_senior", senior.isNotNull() & ~F.coalesce(either, F.lit(False)))
     df = df.withColumn("_role_conflict", F.col("_junior") & F.col("_senior_role").isNotNull() & ~F.col("_senior"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from offerlens.functions.text import _match_form, _SOFT
+from offerlens.functions.text import MATCH_TYPE, SEPARATOR, _match_form, _SEPARATOR_TWIN, _SOFT
 from offerlens.rules import technology_rules
 
 FIELDS = ("title", "description", "experienceLabel")
@@ -28,12 +28,18 @@ HITS = T.ArrayType(
         ]
     )
 )
-_PLAIN = {ord("\n"): " ", **{ord(soft): mark for mark, soft in _SOFT.items()}}
+_PLAIN = {ord("\n"): " ", ord(_SEPARATOR_TWIN): SEPARATOR, **{ord(soft): mark for mark, soft in _SOFT.items()}}
 
 
-def _plain(text: str) -> tuple[str, list]:
-    marked, shifts = _match_form(text)
-    return marked.translate(_PLAIN), shifts
+_MARKS = re.compile("[" + "".join(map(chr, _PLAIN)) + "]")
+
+
+def _unmarked(marked: str) -> str:
+    return _MARKS.sub(lambda m: _PLAIN[ord(m.group())], marked)
+
+
+def _plain(text: str) -> str:
+    return _unmarked(_match_form(text)[0])
 
 
 @lru_cache(maxsize=1)
@@ -41,11 +47,11 @@ def _automaton():
     """All aliases in one automaton, so that a text is read once whatever the size of the vocabulary."""
     rules, found = technology_rules(), {}
     for rule in rules["technologies"]:
-        signals = [_plain(s)[0] for s in rule.get("context_signals", [])]
-        exclusions = [_plain(s)[0] for s in rule.get("exclusions", [])]
+        signals = [_plain(s) for s in rule.get("context_signals", [])]
+        exclusions = [_plain(s) for s in rule.get("exclusions", [])]
         for aliases, needed in ((rule["aliases"], False), (rule.get("context_aliases", []), True)):
             for alias in aliases:
-                found.setdefault(_plain(alias)[0], []).append((rule["slug"], len(alias), signals if needed else None, exclusions))
+                found.setdefault(_plain(alias), []).append((rule["slug"], len(alias), signals if needed else None, exclusions))
     automaton = ahocorasick.Automaton()
     for alias, entries in found.items():
         automaton.add_word(alias, (alias, entries))
@@ -62,11 +68,10 @@ def _word_char(char: str) -> bool:
     return unicodedata.category(char)[0] in "LN"
 
 
-def _hits(text: str | None, field: int) -> list[tuple]:
-    if not text:
-        return []
+def _hits(text: str, marked: str, shifts: list, field: int) -> list[tuple]:
+    """Hits of one text, with offsets into the source."""
     automaton, exact, window = _automaton()
-    plain, shifts = _plain(text)
+    plain = _unmarked(marked)
     places = [at for at, _ in shifts]
 
     def source(position: int) -> int:
@@ -92,15 +97,24 @@ def _hits(text: str | None, field: int) -> list[tuple]:
     return hits
 
 
-@F.pandas_udf(HITS)
-def alias_hits(title: pd.Series, description: pd.Series, label: pd.Series) -> pd.Series:
-    """Candidates (alias length as a negative number, start, slug, field, end) in source offsets."""
+FORMS = T.StructType([*[T.StructField(f, MATCH_TYPE) for f in FIELDS], T.StructField("hits", HITS)])
+
+
+@F.pandas_udf(FORMS)
+def text_forms(title: pd.Series, description: pd.Series, label: pd.Series) -> pd.DataFrame:
+    """Matching forms of the texts of an offer, and alias hits as (minus alias length, start, slug, field, end)."""
     names = [f.name for f in HITS.elementType.fields]
-    rows = (
-        [hit for field, text in enumerate(texts) for hit in _hits(text if isinstance(text, str) else None, field)]
-        for texts in zip(title, description, label)
-    )
-    return pd.Series([[dict(zip(names, hit)) for hit in row] for row in rows], dtype=object)
+    columns = {f: [] for f in FIELDS}
+    found = []
+    for texts in zip(title, description, label):
+        row = []
+        for field, text in enumerate(texts):
+            text = text if isinstance(text, str) else ""
+            marked, shifts = _match_form(text)
+            columns[FIELDS[field]].append({"marked": marked, "shifts": [{"at": a, "source": s} for a, s in shifts]})
+            row += [dict(zip(names, hit)) for hit in _hits(text, marked, shifts, field)]
+        found.append(row)
+    return pd.DataFrame({**columns, "hits": found})
 
 
 def selected_hits(hits: Column) -> Column:

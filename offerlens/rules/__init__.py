@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import json
+import pkgutil
 from functools import lru_cache
-from pathlib import Path
 
-_FOLDER = Path(__file__).parent
+
+def _document(name: str) -> dict:
+    return json.loads(pkgutil.get_data(__name__, name).decode("utf-8"))
 
 
 @lru_cache(maxsize=1)
 def technology_rules() -> dict:
-    return json.loads((_FOLDER / "technologies.json").read_text(encoding="utf-8"))
+    return _document("technologies.json")
 
 
 @lru_cache(maxsize=1)
 def query_set() -> dict:
     """Search groups with the phrases of both genders written out."""
-    document = json.loads((_FOLDER / "query_set.json").read_text(encoding="utf-8"))
+    document = _document("query_set.json")
     feminine = document["feminine"]
 
     def phrases(lists: dict) -> list[str]:

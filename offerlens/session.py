@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -18,8 +20,24 @@ PREFERRED = {
 }
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application, through Spark's own file service."""
+    context = spark.sparkContext
+    if getattr(context, "_offerlens_shipped", False):
+        return
+    package = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="offerlens-")) / "offerlens.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*")):
+            if file.suffix in (".py", ".json"):
+                out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._offerlens_shipped = True
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the UTC session zone; the other settings stay as the cluster chose them."""
+    """Pin the UTC session zone and ship the package; other settings stay as the cluster chose them."""
+    ship_package(spark)
     for key, value in REQUIRED.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
@@ -34,13 +52,14 @@ def local_session(cpus: int | str = 8, name: str = "offerlens") -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for key, value in {**REQUIRED, **PREFERRED}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return prepare(spark)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
