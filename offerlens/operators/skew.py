@@ -10,23 +10,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def bucketed_previous(df: DataFrame, keys: list[str], bucket: Column, order: list[str], columns: list[str]) -> DataFrame:
-    """Add `previous_<column>`: the values of the row before, over `keys` in `order`.
+def bucketed_neighbour(
+    df: DataFrame, keys: list[str], bucket: Column, order: list[str], columns: list[str], following: bool = False
+) -> DataFrame:
+    """Add `previous_<column>` (or `next_<column>`): the values of the neighbouring row over `keys` in `order`.
 
     `bucket` must be a non-decreasing function of `order`. Inside a bucket `lag` does the work; the
     first row of a bucket takes the last row of the bucket before, found among one summary row per bucket.
     """
+    step, edge, name = (F.lead, F.min_by, "next") if following else (F.lag, F.max_by, "previous")
     rows = df.withColumn("_bucket", bucket)
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     value = F.struct(*columns)
-    rows = rows.withColumn("_previous", F.lag(value).over(inside))
-    last = rows.groupBy(*keys, "_bucket").agg(F.max_by(value, F.struct(*order)).alias("_last"))
-    carried = last.select(
-        *keys, "_bucket", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_carried")
-    )
+    rows = rows.withColumn("_near", step(value).over(inside))
+    edges = rows.groupBy(*keys, "_bucket").agg(edge(value, F.struct(*order)).alias("_edge"))
+    across = Window.partitionBy(*keys).orderBy("_bucket")
+    carried = edges.select(*keys, "_bucket", step("_edge").over(across).alias("_carried"))
     joined = rows.join(carried, [*keys, "_bucket"])
-    previous = F.coalesce("_previous", "_carried")
-    return joined.select(*df.columns, *[previous[c].alias(f"previous_{c}") for c in columns])
+    near = F.coalesce("_near", "_carried")
+    return joined.select(*df.columns, *[near[c].alias(f"{name}_{c}") for c in columns])
 
 
 def bucketed_rank(df: DataFrame, keys: list[str], order: list[Column], bucket: Column, name: str = "rank") -> DataFrame:

@@ -198,6 +198,10 @@ TABLES: dict[str, str] = {
         {_DAY} as day, 'v' || cast(cast(floor(value / 20) as bigint) % 3 as string) as content_hash,
         event_id % 29 = 0 as offer_created, event_id % 7 = 0 as snapshot_created
       from {{events}}""",
+    # Hour of the day as a further query spreads the volumes, so that all verdicts of the policy occur.
+    "hourly_sightings": """
+      select run_id, query_id || '/' || cast(hour(observed_at) as string) as query_id, offer_id, observed_at, event_id
+      from {sightings}""",
     "runs": f"""
       select 'R' || cast(day as string) as run_id, 'source-1' as source_id, day as business_date, 'full' as mode,
         case when {_V} < 16 then 'queries-2' else 'queries-3' end as query_set_version,
@@ -262,6 +266,41 @@ TABLES: dict[str, str] = {
            from (select distinct run_id, user_id, offer_id from {sightings}) s join {datasets} d on d.run_id = s.run_id""",
         "user_id",
     ),
+    "source_queries": """
+      select event_type as query_id, 'queries-3' as query_set_version, event_type <> 'error' as enabled,
+        cast(case when event_type = 'signup' then timestamp '2024-01-20 00:00:00' end as timestamp) as valid_to,
+        case when event_type = 'view' then arr('software','backend') else arr('data') end as job_families, seen
+      from (select event_type, count(*) as seen from {events} group by event_type) types""",
+    "matches": f"""
+      select offer_id, query_id, max(user_id) as user_id, min(observed_at) as first_matched_at, max(observed_at) as last_matched_at,
+        case when max(user_id) % 3 = 0 then null else {_cases("max(user_id) % 10", _FAMILIES, "arr('software','data')")} end as job_families
+      from {{sightings}} group by offer_id, query_id""",
+    "offer_state": """
+      select lpad(cast(user_id as string), 8, '0') as offer_id, user_id, min(ts) as first_seen_at, max(ts) as last_seen_at,
+        cast(case when user_id % 9 = 4 then timestamp '2024-01-25 00:00:00' end as timestamp) as closed_at,
+        cast(case when user_id % 9 in (4, 5) then timestamp '2024-01-24 00:00:00' end as timestamp) as missing_since,
+        cast(user_id % 2 as int) as reopened_count
+      from {events} where ts < timestamp '2024-01-20 00:00:00' group by user_id""",
+    "offer_snapshots": """
+      select 'S' || offer_id as snapshot_id, offer_id, user_id, cast(null as timestamp) as valid_to from {offer_state}""",
+    "user_classifications": _classified(
+        """select 'C' || offer_id as classification_id, 'S' || offer_id as snapshot_id, offer_id, user_id,
+             case when user_id % 31 = 0 then 'rules-1' else 'rules-2' end as classifier_version from {offer_state}""",
+        "user_id",
+    ),
+    "user_evidence": """
+      select classification_id, offer_id, kind, 'x' as excerpt from (
+        select classification_id, offer_id, user_id, explode(arr('junior_claim', 'required_experience')) as kind
+        from {user_classifications}) e
+      where user_id % 37 <> 0""",
+    "quality_events": """
+      select event_id, 'D' || cast(cast(ts as date) as string) as dataset_id,
+        case when event_type = 'error' then 'error' when event_type = 'view' then 'info' else 'warning' end as severity,
+        case when event_id % 3 = 0 then 'MONITOR_DATA_NOT_FRESH' when event_id % 3 = 1 then 'MONITOR_INCOMPLETE_QUERIES'
+             when event_id % 101 = 2 then 'DATASET_ROLLBACK' else 'RETENTION_PURGED' end as event_code,
+        'monitor:' || event_type as scope, event_id % 4 <> 0 as is_public, ts as created_at,
+        cast(case when event_id % 5 <> 0 then ts + interval '1' hour end as timestamp) as resolved_at
+      from {events}""",
     # ------------------------------------------------------------ labelled sample
     "label_rows": """
       select l.doc_id, lpad(cast(l.doc_id as string), 12, '0') as review_id, d.source as query_group, d.lang,

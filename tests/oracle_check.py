@@ -73,7 +73,7 @@ def main(argv):
         try:
             status, rows, spent, note = compare(spark, con, sf_dir, name)
         except Exception as error:  # noqa: BLE001
-            status, rows, spent, note = "ERROR", 0, 0.0, str(error)[:700]
+            status, rows, spent, note = "ERROR", 0, 0.0, str(error).replace("\n", " ")[:420]
         bad += status not in ("ok", "rows-only")
         print(f"{status:10} {name:35} {rows:7} rows {spent:6.2f}s {note}", flush=True)
     print(f"{len(names)} queries, {bad} bad")
