@@ -319,7 +319,7 @@ _ORACLE = (("arr(", "list_value("), ("explode(", "unnest("))
 
 
 def _needs(sql: str) -> list[str]:
-    return [n for n in dict.fromkeys(re.findall(r"\{(\w+)\}", sql))]
+    return [n for n in dict.fromkeys(re.findall(r"\{(\w+)\}", sql)) if n in TABLES or n in BASE]
 
 
 class Frames:
@@ -368,7 +368,7 @@ def oracle(sql: str) -> str:
     if parts:
         head = "with " + ",\n".join(parts)
         body = head + ",\n" + body[5:] if body[:5].lower() == "with " else head + "\n" + body
-    body = re.sub(r"\{(\w+)\}", r"\1", body)
+    body = re.sub(r"\{(\w+)\}", lambda m: m[1] if m[1] in TABLES or m[1] in BASE else m[0], body)
     for old, new in _ORACLE:
         body = body.replace(old, new)
     return body

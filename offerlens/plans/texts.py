@@ -1 +1,321 @@
-"""Placeholder."""
+"""Raw pages, normalization and the text rules over whole documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from offerlens.functions import offers as O
+from offerlens.functions import text as X
+from offerlens.operators import classify as C
+from offerlens.operators import normalize as N
+from offerlens.operators.technologies import FIELDS
+from offerlens.plans.registry import query
+from offerlens.rules import patterns as P
+from offerlens.rules import query_set, technology_rules
+from offerlens.sources import pages as S
+from offerlens.sources import tables as T
+from offerlens.sources import taxonomies as Tx
+from offerlens.streaming import intake, sightings
+
+# ------------------------------------------------------------------ raw pages made of documents
+
+PAGE_SIZE = 20
+
+
+def raw_pages(t):
+    """Pages of twenty raw offers, one per document, with planted defects. Pages are bounded by their size."""
+    d = F.col("doc_id")
+    item = F.to_json(
+        F.struct(
+            F.when(d % 17 != 3, F.col("offer_id")).alias("id"),
+            F.when(d % 19 == 4, F.lit("")).otherwise(F.col("title")).alias("intitule"),
+            F.concat(
+                F.col("description_text"),
+                F.when(d % 29 == 6, "@@NUL@@").when(d % 31 == 7, "@@LONE@@").when(d % 31 == 8, "@@PAIR@@").otherwise(""),
+            ).alias("description"),
+            F.col("contract_code").alias("typeContrat"),
+            F.col("alternance").alias("alternance"),
+            F.col("experience_code").alias("experienceExige"),
+            F.col("experience_label").alias("experienceLibelle"),
+            F.struct(
+                F.when(d % 23 == 5, 123.5).otherwise(F.lit(48.5)).alias("latitude"), F.col("commune_code").alias("commune")
+            ).alias("lieuTravail"),
+            F.struct(F.concat(F.lit(" "), "salary_label").alias("libelle"), F.lit("  ").alias("commentaire")).alias("salaire"),
+            F.struct(F.col("source_url").alias("urlOrigine")).alias("origineOffre"),
+            F.when(d % 11 == 2, d).alias("nouveauChamp"),
+            F.when(d % 7 == 1, F.lit("x")).alias("autreChamp"),
+        )
+    )
+    item = F.replace(item, F.lit("@@NUL@@"), F.lit("\\u0000"))
+    item = F.replace(F.replace(item, F.lit("@@LONE@@"), F.lit("\\ud800 x")), F.lit("@@PAIR@@"), F.lit("\\ud83d\\ude00"))
+    page = F.floor(d / PAGE_SIZE)
+    grouped = t.offer_rows.groupBy(page.alias("page_no")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("item")))), lambda s: s["item"]).alias("items")
+    )
+    listed = F.concat(F.lit("["), F.array_join("items", ","), F.lit("]"))
+    no = F.col("page_no")
+    payload = (
+        F.when(no % 13 == 4, F.lit('{"message": "none"}'))
+        .when(no % 13 == 7, F.lit("[1, 2]"))
+        .when(no % 13 == 9, F.concat(F.lit('{"resultats":'), listed, F.lit(',"extra":1}')))
+        .otherwise(F.concat(F.lit('{"resultats":'), listed, F.lit(',"filtresPossibles":[]}')))
+    )
+    return grouped.select(F.lit("q").alias("query_key"), (no * PAGE_SIZE).alias("range_start"), payload.alias("payload"))
+
+
+def _checked(t):
+    return S.validate_contract(S.read_offer_pages(S.parsed_pages(raw_pages(t))))
+
+
+_ITEMS = f"""select *, (doc_id // {PAGE_SIZE}) * {PAGE_SIZE} as range_start, (row_number() over (partition by doc_id // {PAGE_SIZE} order by doc_id) - 1)::int as item_ordinal
+   from {{offer_rows}}"""
+_GOOD_PAGES = f"select * from ({_ITEMS}) i where (doc_id // {PAGE_SIZE}) % 13 not in (4, 7)"
+_ISSUES = """concat_ws(',', case when doc_id % 17 = 3 then 'id:invalid_type' end, case when doc_id % 19 = 4 then 'intitule:too_small' end,
+   case when doc_id % 23 = 5 then 'lieuTravail.latitude:out_of_range' end, case when doc_id % 29 = 6 or doc_id % 31 = 7 then ':storage_text' end)"""
+
+
+@query("read_offer_pages", f"select range_start, item_ordinal, case when doc_id % 17 <> 3 then offer_id end as id from ({_GOOD_PAGES}) p")
+def _read_offer_pages(t):
+    """Through files: pages are landed as JSON lines and read back with a fixed schema."""
+    path = T.scratch_path(t.spark, "pages")
+    raw_pages(t).write.json(path)
+    items = S.read_offer_pages(S.parsed_pages(S.read_pages(t.spark, path)))
+    return items.select("range_start", "item_ordinal", F.try_variant_get("raw", "$.id", "string").alias("id"))
+
+
+@query(
+    "envelope_check",
+    f"""select distinct (doc_id // {PAGE_SIZE}) * {PAGE_SIZE} as range_start,
+          case (doc_id // {PAGE_SIZE}) % 13 when 4 then 'result_list_missing' when 7 then 'root_not_object' end as root_issue from {{documents}}""",
+)
+def _envelope_check(t):
+    return S.envelope_check(S.parsed_pages(raw_pages(t))).select("range_start", "root_issue")
+
+
+@query("validate_contract", f"select range_start, item_ordinal, {_ISSUES} as issues from ({_GOOD_PAGES}) p")
+def _validate_contract(t):
+    issues = F.transform("issues", lambda i: F.concat_ws(":", i["path"], i["code"]))
+    return _checked(t).select("range_start", "item_ordinal", F.array_join(issues, ",").alias("issues"))
+
+
+@query(
+    "storage_text_check",
+    """select doc_id, doc_id % 29 <> 6 and doc_id % 31 <> 7 as storable from {documents}""",
+)
+def _storage_text(t):
+    escape = (
+        F.when(F.col("doc_id") % 29 == 6, r"\u0000")
+        .when(F.col("doc_id") % 31 == 7, r"\\\ud812 \\u0000")
+        .when(F.col("doc_id") % 31 == 8, r"😀 \\u0000 \\ud812")
+        .otherwise("")
+    )
+    raw = F.concat(F.lit('{"a":'), F.regexp_replace(F.to_json(F.struct("text")), r'^\{"text":|"\}$', ""), escape, F.lit('"}'))
+    return t.documents.select("doc_id", S.storage_text_ok(raw).alias("storable"))
+
+
+_VALID = f"select * from ({_GOOD_PAGES}) p where {_ISSUES} = ''"
+
+
+@query(
+    "unknown_field_report",
+    f"""select range_start, 'resultats.' || item_ordinal as path, 'nouveauChamp' as field, 'number' as observed_type from ({_VALID}) v where doc_id % 11 = 2
+        union all select range_start, 'resultats.' || item_ordinal, 'autreChamp', 'string' from ({_VALID}) v where doc_id % 7 = 1""",
+)
+def _unknown_fields(t):
+    return S.unknown_field_report(_checked(t)).drop("query_key")
+
+
+@query(
+    "page_status",
+    f"""select range_start, received, quarantined, warnings, case when page_no % 13 in (4, 7) then 'invalid_quarantined'
+          when quarantined + warnings > 0 then 'valid_with_warnings' else 'valid' end as status from (
+        select range_start, doc_id // {PAGE_SIZE} as page_no, count(*) filter (where (doc_id // {PAGE_SIZE}) % 13 not in (4, 7)) as received,
+          count(*) filter (where (doc_id // {PAGE_SIZE}) % 13 not in (4, 7) and {_ISSUES} <> '') as quarantined,
+          count(*) filter (where (doc_id // {PAGE_SIZE}) % 13 not in (4, 7) and {_ISSUES} = '' and doc_id % 11 = 2)
+            + count(*) filter (where (doc_id // {PAGE_SIZE}) % 13 not in (4, 7) and {_ISSUES} = '' and doc_id % 7 = 1)
+            + case when (doc_id // {PAGE_SIZE}) % 13 = 9 then 1 else 0 end as warnings
+        from ({_ITEMS}) i group by range_start, doc_id // {PAGE_SIZE}) s""",
+)
+def _page_status(t):
+    pages, checked = S.parsed_pages(raw_pages(t)), _checked(t)
+    status = S.page_status(pages, checked, S.unknown_field_report(checked))
+    return status.select("range_start", "received", "quarantined", "warnings", "status")
+
+
+@query(
+    "normalize_offers",
+    f"""select offer_id as external_id, title, case when doc_id % 14 = 5 then 'alternance' when contract_code = 'CDI' then 'cdi' when contract_code = 'CDD' then 'cdd'
+          when contract_code = 'MIS' then 'interim' when contract_code = 'SAI' then 'other' else 'unknown' end as contract,
+          case when experience_code = 'E' then true when experience_code in ('D', 'S') then false end as required, experience_label, salary_label, commune_code,
+          case when regexp_matches(source_url, '^https?://') then source_url end as source_url from ({_VALID}) v""",
+)
+def _normalize(t):
+    rows = N.normalize_offers(S.valid_items(_checked(t)))
+    return rows.select(
+        "external_id", "title", F.col("contract.normalized").alias("contract"), F.col("structured_experience.required").alias("required"),
+        F.col("structured_experience.label").alias("experience_label"), F.col("salary.label").alias("salary_label"),
+        F.col("location.commune_code").alias("commune_code"), "source_url",
+    )
+
+
+@query(
+    "stream_offer_pages",
+    f"select (doc_id // {PAGE_SIZE}) * {PAGE_SIZE} as range_start, count(*) as items from ({_GOOD_PAGES}) p group by 1",
+)
+def _stream_pages(t):
+    """The same pages arrive twice as files; each is committed once."""
+    landing, committed = T.scratch_path(t.spark, "landing"), T.scratch_path(t.spark, "committed")
+    pages = raw_pages(t)
+    pages.write.json(landing)
+    pages.write.mode("append").json(landing)
+    intake.commit_pages(t.spark, landing, committed, T.scratch_path(t.spark, "progress"))
+    items = S.read_offer_pages(S.parsed_pages(t.spark.read.parquet(committed)))
+    return items.groupBy("range_start").agg(F.count(F.lit(1)).alias("items"))
+
+
+@query(
+    "stream_sightings_state",
+    """select offer_id, strftime(min(observed_at), '%Y-%m-%d %H:%M:%S') as first_seen_at, strftime(max(observed_at), '%Y-%m-%d %H:%M:%S') as last_seen_at,
+         count(*) as sightings, arg_max(content_hash, (observed_at, event_id)) as open_hash from {sightings} group by offer_id""",
+)
+def _stream_sightings(t):
+    landing, state = T.scratch_path(t.spark, "sightings"), T.scratch_path(t.spark, "state")
+    t.sightings.select(*sightings.COLUMNS).repartition(4).write.parquet(landing)
+    sightings.keep_state(t.spark, landing, state, T.scratch_path(t.spark, "progress"))
+    rows = sightings.current_state(t.spark, state)
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return rows.select("offer_id", text("first_seen_at"), text("last_seen_at"), "sightings", "open_hash")
+
+
+# ------------------------------------------------------------------ projections
+
+
+@query(
+    "contract_kind",
+    """select offer_id, case when alternance then 'alternance' when contract_code = 'CDI' then 'cdi' when contract_code = 'CDD' then 'cdd'
+         when contract_code = 'MIS' then 'interim' when contract_code = 'SAI' then 'other' else 'unknown' end as kind from {offer_rows}""",
+)
+def _contract_kind(t):
+    return t.offer_rows.select("offer_id", O.contract_kind(F.col("alternance"), F.col("contract_code")).alias("kind"))
+
+
+@query(
+    "structured_experience",
+    "select offer_id, case experience_code when 'E' then true when 'D' then false when 'S' then false end as required from {offer_rows}",
+)
+def _structured(t):
+    return t.offer_rows.select("offer_id", O.structured_experience(F.col("experience_code")).alias("required"))
+
+
+@query(
+    "salary_label",
+    """select offer_id, nullif(concat_ws(' · ', nullif(trim(salary_label), ''), nullif(trim(experience_label), ''), nullif(trim(company_name), '')), '') as label
+       from {offer_rows}""",
+)
+def _salary_label(t):
+    parts = [F.concat(F.lit(" "), c, F.lit("\t")) for c in ("salary_label", "experience_label", "company_name")]
+    return t.offer_rows.select("offer_id", O.salary_label(*parts, F.lit("  ")).alias("label"))
+
+
+_WS = r"[\t\n\x0b\x0c\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+_TAGGED = r"""regexp_replace(regexp_replace(regexp_replace(html || '&amp;lt;&#233;&#xE9;&bogus;&#0;&nbsp;x&AMP;', '(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>', '', 'g'),
+   '(?i)<(br|/p|/li|/div|/h[1-6])\s*/?>', chr(10), 'g'), '<[^>]*>', '', 'g')"""
+_DECODED = r"""array_to_string(list_transform(string_split(tagged, '&'), lambda part, i: case when i = 1 then part
+   when starts_with(part, 'amp;') then '&' || part[5:] when starts_with(part, 'apos;') then '''' || part[6:]
+   when starts_with(part, 'gt;') then '>' || part[4:] when starts_with(part, 'lt;') then '<' || part[4:]
+   when starts_with(part, 'nbsp;') then ' ' || part[6:] when starts_with(part, 'quot;') then '"' || part[6:]
+   when regexp_matches(part, '^#[0-9]{1,6};') and regexp_extract(part, '^#([0-9]+);', 1)::int > 0
+     then chr(regexp_extract(part, '^#([0-9]+);', 1)::int) || regexp_replace(part, '^#[0-9]+;', '')
+   when starts_with(part, '#xE9;') then 'é' || part[6:] else '&' || part end), '')"""
+
+
+@query(
+    "html_to_text",
+    f"""select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_DECODED}, '\\r\\n?', chr(10), 'g'), '[\\t ]+', ' ', 'g'),
+          ' *\\n *', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^{_WS}+|{_WS}+$', '', 'g') as plain
+        from (select page_id, {_TAGGED} as tagged from {{pages}}) p""",
+)
+def _html_to_text(t):
+    planted = F.concat("html", F.lit("&amp;lt;&#233;&#xE9;&bogus;&#0;&nbsp;x&AMP;"))
+    return t.pages.select("page_id", X.html_to_text(planted).alias("plain"))
+
+
+@query(
+    "redact_text",
+    r"""select doc_id, regexp_replace(regexp_replace(regexp_replace(text || ' see HTTPS://a.b/c?d now', '(?i)https?://[^\s\x{a0}\x{202f}\x{2009}\x{3000}]+', '[URL]', 'g'),
+         '(?i)[\w.+-]+@[\w.-]+\.[a-z]{2,}', '[EMAIL]', 'g'), '(?:\+33|0)[\d .()-]{8,}', '[TÉLÉPHONE]', 'g') as redacted from {documents}""",
+)
+def _redact(t):
+    return t.documents.select("doc_id", X.redact_text(F.concat("text", F.lit(" see HTTPS://a.b/c?d now"))).alias("redacted"))
+
+
+def _perimeter_sql() -> str:
+    fold = "' ' || trim(regexp_replace(lower(strip_accents({})), '[^\\p{{L}}\\p{{N}}+#.]+', ' ', 'g')) || ' '"
+    rows = [
+        (g["id"], p.replace("'", "''"), f.replace("'", "''"))
+        for g in query_set()["groups"]
+        for p in g["title_phrases"]
+        for f in g["job_families"]
+    ]
+    values = ", ".join(f"('{g}', '{p}', '{f}')" for g, p, f in rows)
+    return f"""select o.offer_id, string_agg(distinct v.g, ',' order by v.g) as group_ids, string_agg(distinct v.f, ',' order by v.f) as job_families
+      from {{offer_rows}} o join (values {values}) v(g, p, f) on contains({fold.format('o.title')}, {fold.format('v.p')}) group by o.offer_id"""
+
+
+@query("title_perimeter", _perimeter_sql())
+def _title_perimeter(t):
+    rows = N.title_perimeter(t.offer_rows.select("offer_id", "title"), query_set()["groups"])
+    return rows.select("offer_id", F.array_join("group_ids", ",").alias("group_ids"), F.array_join("job_families", ",").alias("job_families"))
+
+
+@query(
+    "expand_query_set",
+    """with g as (select c_mktsegment as group_id, unnest(list_concat(list(distinct 'M' || (c_nationkey % 7 + 1)), [null])) as occupation,
+           list_concat(list(distinct 'mot ' || lower(c_mktsegment) || ' ' || (c_nationkey % 3)), list_concat(list(distinct 'dév ' || (c_nationkey % 5)), [null])) as keywords
+         from {customer} where c_mktsegment <> 'FURNITURE' group by c_mktsegment),
+       pairs as (select distinct occupation, keyword, group_id from (select group_id, occupation, unnest(keywords) as keyword from g) x where occupation is not null or keyword is not null)
+       select 'rome=' || coalesce(occupation, '-') || '&keyword=' || replace(replace(coalesce(keyword, '-'), ' ', '%20'), 'é', '%C3%A9') as query_key,
+         case when occupation is not null and keyword is not null then 'overlap' when occupation is not null then 'occupation-only' else 'keyword-only' end as kind,
+         string_agg(group_id, ',' order by group_id) as group_ids from pairs group by occupation, keyword""",
+)
+def _expand_query_set(t):
+    """Groups taken from the customer segments; the segment FURNITURE is a disabled group."""
+    nation, segment = F.col("c_nationkey"), F.col("c_mktsegment")
+    groups = t.customer.groupBy(segment.alias("group_id")).agg(
+        F.collect_set(F.concat(F.lit("M"), (nation % 7 + 1).cast("string"))).alias("occupations"),
+        F.array_union(
+            F.collect_set(F.concat(F.lit("mot "), F.lower(segment), F.lit(" "), (nation % 3).cast("string"))),
+            F.collect_set(F.concat(F.lit("dév "), (nation % 5).cast("string"))),
+        ).alias("keywords"),
+    )
+    queries = N.expand_query_set(groups.withColumn("enabled", F.col("group_id") != "FURNITURE"))
+    return queries.select("query_key", "kind", F.array_join("group_ids", ",").alias("group_ids"))
+
+
+@query(
+    "load_taxonomies",
+    """with rules as (select lower(p_type) as slug, p_name as alias, case when p_size % 3 = 0 then 'word' when p_size % 3 = 1 then 'regex' else 'case_sensitive' end as match_kind,
+         max(p_brand) as brand from {part} group by 1, 2, 3)
+       select slug, alias, match_kind, max(brand) as exclusions from rules group by 1, 2, 3""",
+)
+def _load_taxonomies(t):
+    """Parts stand for a taxonomy document: the type is the slug, the names are aliases of three kinds."""
+    kind = F.col("p_size") % 3
+    aliases = lambda k: F.when(kind == k, F.array("p_name"))
+    rules = t.part.select(
+        F.lower("p_type").alias("slug"), F.col("p_type").alias("label"), aliases(0).alias("aliases"), aliases(1).alias("context_aliases"),
+        aliases(2).alias("exact_case_aliases"), F.array("p_brand").alias("exclusions"),
+    )
+    loaded = Tx.technology_aliases(rules)
+    stored = Tx.technology_aliases(rules.filter(F.col("slug") == "economy"))
+    merged = Tx.merge_taxonomy(stored, loaded, ["slug", "alias", "match_kind"])
+    return merged.select("slug", "alias", "match_kind", F.array_join("negative_patterns", ",").alias("exclusions"))
+
+
+@query(
+    "content_hash",
+    """select offer_id, sha256('{"title":' || to_json(title)::varchar || ',"company_name":' || coalesce(to_json(company_name)::varchar, 'null')
+         || ',"region_code":' || to_json(region_code)::varchar || '}') as content_hash from {offer_rows}""",
+)
+def _content_hash(t):
+    return t.offer_rows.select("offer_id", O.content_hash("title", "company_name", "region_code").alias("content_hash"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlens.session import checkpoint_dir
@@ -40,6 +40,12 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.parquet(path)
 
 
+def computed_once(rows: DataFrame, name: str, column: Column) -> DataFrame:
+    """Add an expensive column behind a generator, so that a later filter on it is not pushed below it
+    with a second copy of the expression."""
+    return rows.select("*", F.explode(F.array(column)).alias(name))
+
+
 def spread_small(rows: DataFrame) -> DataFrame:
     """Spread a scan of fewer partitions than cores, for jobs that spend their time per row.
 
