@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from offerlens.functions.text import SEPARATOR, match_form, source_offset, trim_text
 from offerlens.operators.technologies import FIELDS, selected_hits, technology_slugs, text_forms
 from offerlens.rules import patterns as P
+from offerlens.sources.tables import computed_once
 
 CLASSIFIER_VERSION = "classifier-1.3.7"
 OBSERVATION_VERSION = "junior-observation-2.0.0"
@@ -329,7 +330,7 @@ def _word(pattern: str) -> str:
     return P.rx(f"<(?:{pattern})")
 
 
-def _level_matches(df: DataFrame) -> DataFrame:
+def level_matches(df: DataFrame) -> DataFrame:
     """First matches of the level patterns, one struct column each."""
     t = _texts()
     title, body, label = (t[f] for f in TEXT_FIELDS)
@@ -353,7 +354,7 @@ def _months(evidence: Column, where) -> Column:
 def classify(offers: DataFrame) -> DataFrame:
     """Status, tri-state answers, minimum months, remote mode, technologies, evidence in order and warnings."""
     kept = offers.columns
-    df = _level_matches(matching_forms(offers))
+    df = level_matches(matching_forms(offers))
     t = _texts()
     title, body, label = (t[f] for f in TEXT_FIELDS)
     empty = F.array().cast(EVIDENCE)
@@ -412,16 +413,10 @@ def classify(offers: DataFrame) -> DataFrame:
         "_levels", lambda e: e["rule_id"].isin(*ACCEPTANCE_RULES)
     )
     df = df.withColumn("_accepted", accepted)
-    minimum = F.array_max(F.when(F.col("_accepted"), F.array_append("_required", F.lit(0))).otherwise(F.col("_required")))
-    df = df.withColumn("minimum_experience_months", minimum)
+    df = df.withColumn("minimum_experience_months", resolved_minimum(F.col("_required"), F.col("_accepted")))
     df = df.withColumn("_junior", F.exists("_levels", lambda e: e["kind"] == "junior_claim"))
 
-    # Senior wording against a level claim.
-    senior = F.col("_senior_title")
-    rest = F.substring(title.marked, senior["start"] + F.length(senior["hit"]) + 1, F.lit(_ALL))
-    head = F.substring(title.marked, F.lit(1), senior["start"])
-    either = F.rlike(rest, F.lit(P.rx(P.JUNIOR_AFTER_SENIOR))) | F.rlike(head, F.lit(P.rx(P.JUNIOR_BEFORE_SENIOR)))
-    df = df.withColumn("_senior", senior.isNotNull() & ~F.coalesce(either, F.lit(False)))
+    df = senior_wording(df)
     df = df.withColumn("_role_conflict", F.col("_junior") & F.col("_senior_role").isNotNull() & ~F.col("_senior"))
     clash = F.array_compact(
         F.array(
@@ -430,7 +425,7 @@ def classify(offers: DataFrame) -> DataFrame:
                 title.proof_of(
                     F.when(F.col("_junior"), "conflict").otherwise("exclusion"),
                     F.when(F.col("_junior"), "SENIOR_TITLE_JUNIOR_CONFLICT").otherwise("EXPLICIT_SENIOR_TITLE"),
-                    senior,
+                    F.col("_senior_title"),
                 ),
             ),
             F.when(F.col("_role_conflict"), body.proof_of("conflict", "SENIOR_ROLE_JUNIOR_CONFLICT", F.col("_senior_role"))),
@@ -438,7 +433,8 @@ def classify(offers: DataFrame) -> DataFrame:
     )
     df = df.withColumn("evidence", F.concat("_first", "_levels", "_durations", clash.cast(EVIDENCE)))
     df = df.withColumn("warnings", _warnings()).withColumn("_blocked", F.exists("warnings", lambda w: w["severity"] == "blocking"))
-    return _resolved(df).select(*kept, *RESULT_COLUMNS)
+    answers = computed_once(_resolved(df).select(*kept, *RESULT_COLUMNS), "_answers", F.struct(*RESULT_COLUMNS))
+    return answers.select(*kept, *[F.col("_answers")[c].alias(c) for c in RESULT_COLUMNS])
 
 
 RESULT_COLUMNS = (
@@ -447,17 +443,41 @@ RESULT_COLUMNS = (
 )
 
 
-def conflict_codes() -> list[Column]:
-    """Codes of the blocking conflicts in order, each null when it does not apply."""
-    minimum = F.coalesce("minimum_experience_months", F.lit(0))
-    claims = (F.col("_senior") & F.col("_junior")) | (F.col("_junior") & F.col("_denied"))
-    above_zero = F.exists("_required", lambda m: m > 0)
-    apart = (F.size("_on_label") > 0) & (F.size("_in_text") > 0) & ~F.arrays_overlap("_on_label", "_in_text")
+def senior_wording(df: DataFrame) -> DataFrame:
+    """Add `_senior`: a senior title, unless the title offers the junior level as an alternative."""
+    title, senior = _texts()["title"], F.col("_senior_title")
+    rest = F.substring(title.marked, senior["start"] + F.length(senior["hit"]) + 1, F.lit(_ALL))
+    head = F.substring(title.marked, F.lit(1), senior["start"])
+    either = F.rlike(rest, F.lit(P.rx(P.JUNIOR_AFTER_SENIOR))) | F.rlike(head, F.lit(P.rx(P.JUNIOR_BEFORE_SENIOR)))
+    return df.withColumn("_senior", senior.isNotNull() & ~F.coalesce(either, F.lit(False)))
+
+
+def duration_evidence(df: DataFrame, field: str) -> DataFrame:
+    """Add `evidence`: what the durations of one text prove."""
+    text = _texts()[field]
+    df = _judged_mentions(df, text)
+    return df.withColumn("evidence", _duration_evidence(text, F.col(f"_judged_{field}")))
+
+
+def resolved_minimum(required: Column, accepted: Column) -> Column:
+    """The largest required duration; an explicit acceptance of beginners counts as zero months."""
+    return F.array_max(F.when(accepted, F.array_append(required, F.lit(0))).otherwise(required))
+
+
+def conflict_codes(
+    level_clash: Column, role_clash: Column, accepted: Column, not_required: Column, minimum: Column, on_label: Column, in_text: Column
+) -> list[Column]:
+    """Codes of the blocking conflicts in order, each null when it does not apply.
+
+    `on_label` and `in_text` are the required durations of the structured label and of the texts.
+    """
+    above_zero = F.exists(F.concat(on_label, in_text), lambda m: m > 0)
+    apart = (F.size(on_label) > 0) & (F.size(in_text) > 0) & ~F.arrays_overlap(on_label, in_text)
     return [
-        F.when(claims, "CONFLICTING_JUNIOR_SIGNALS"),
-        F.when(F.col("_role_conflict"), "CONFLICTING_JUNIOR_SIGNALS"),
-        F.when(F.col("_accepted") & (minimum > 0), "BEGINNER_EXPERIENCE_CONFLICT"),
-        F.when((F.col("experience_required") == F.lit(False)) & above_zero, "STRUCTURED_EXPERIENCE_CONFLICT"),
+        F.when(level_clash, "CONFLICTING_JUNIOR_SIGNALS"),
+        F.when(role_clash, "CONFLICTING_JUNIOR_SIGNALS"),
+        F.when(accepted & (F.coalesce(minimum, F.lit(0)) > 0), "BEGINNER_EXPERIENCE_CONFLICT"),
+        F.when(not_required & above_zero, "STRUCTURED_EXPERIENCE_CONFLICT"),
         F.when(apart, "STRUCTURED_DURATION_CONFLICT"),
     ]
 
@@ -466,9 +486,16 @@ def _warnings() -> Column:
     def entry(code: Column, severity: str) -> Column:
         return F.when(code.isNotNull(), F.struct(code.alias("code"), F.lit(severity).alias("severity")))
 
-    return F.array_compact(
-        F.array(entry(remote_warning(F.col("_remote")), "warning"), *[entry(c, "blocking") for c in conflict_codes()])
+    codes = conflict_codes(
+        F.col("_junior") & (F.col("_senior") | F.col("_denied")),
+        F.col("_role_conflict"),
+        F.col("_accepted"),
+        F.col("experience_required") == F.lit(False),
+        F.col("minimum_experience_months"),
+        F.col("_on_label"),
+        F.col("_in_text"),
     )
+    return F.array_compact(F.array(entry(remote_warning(F.col("_remote")), "warning"), *[entry(c, "blocking") for c in codes]))
 
 
 def _resolved(df: DataFrame) -> DataFrame:
@@ -549,7 +576,8 @@ def result_hash() -> Column:
 
 def evidence_table(classified: DataFrame, key: str = "classification_id") -> DataFrame:
     """One row per proof with its ordinal."""
-    return classified.select(key, F.posexplode("evidence").alias("ordinal", "proof")).select(key, "ordinal", "proof.*")
+    rows = classified.select(key, F.posexplode_outer("evidence").alias("ordinal", "proof"))
+    return rows.select(key, "ordinal", "proof.*").filter(F.col("ordinal").isNotNull())
 
 
 def technology_mentions(evidence: DataFrame, key: str = "classification_id") -> DataFrame:
@@ -570,6 +598,32 @@ def evidence_summary(evidence: DataFrame, key: str = "classification_id") -> Dat
     )
 
 
+def semantic_violations(classified: DataFrame, summary: DataFrame, key: str = "classification_id") -> DataFrame:
+    """Codes of classifications whose answers do not follow from their evidence, one row per code."""
+    df = classified.join(summary, key, "left").withColumn("required_months", F.coalesce("required_months", F.array().cast("array<int>")))
+    count = lambda c: F.coalesce(c, F.lit(0))
+    months, claims = F.col("minimum_experience_months"), F.col("claims_junior")
+    status = F.col("status")
+    answers = [F.col(c).isNotNull() for c in ("claims_junior", "minimum_experience_months", "beginner_friendly", "contradictory_junior")]
+    expected_friendly = months <= 12
+    expected_contradiction = F.when(claims, months >= 24).when(~claims, False)
+    matching = F.array_contains("required_months", months) | ((months == 0) & (count("beginner_acceptance") > 0))
+    codes = [
+        F.when(F.size("evidence") != count("total"), "evidence_count_mismatch"),
+        F.when(claims & (count("junior_claim") == 0), "junior_claim_without_evidence"),
+        F.when(months.isNotNull() & ~F.coalesce(matching, F.lit(False)), "resolved_experience_without_matching_evidence"),
+        F.when((status == "unclassified") & reduce(lambda a, b: a | b, answers), "unclassified_values_not_null"),
+        F.when((status == "ambiguous") & (answers[2] | answers[3]), "ambiguous_derived_value_not_null"),
+        F.when((status == "classified") & ~F.col("beginner_friendly").eqNullSafe(expected_friendly), "beginner_friendly_formula_mismatch"),
+        F.when((status == "classified") & ~F.col("contradictory_junior").eqNullSafe(expected_contradiction), "contradiction_formula_mismatch"),
+        F.when(
+            F.col("contradictory_junior") & ((count("junior_claim") == 0) | (count("required_experience") == 0)),
+            "contradiction_without_both_evidence_types",
+        ),
+    ]
+    return df.select(key, F.explode(F.array_compact(F.array(*codes))).alias("code"))
+
+
 def missing_classifications(snapshots: DataFrame, classifications: DataFrame, version: str) -> DataFrame:
     """Snapshots without a classification of this version."""
     done = classifications.filter(F.col("classifier_version") == version).select("snapshot_id")

@@ -8,10 +8,9 @@ from offerlens.functions import offers as O
 from offerlens.functions import text as X
 from offerlens.operators import classify as C
 from offerlens.operators import normalize as N
-from offerlens.operators.technologies import FIELDS
 from offerlens.plans.registry import query
 from offerlens.rules import patterns as P
-from offerlens.rules import query_set, technology_rules
+from offerlens.rules import query_set
 from offerlens.sources import pages as S
 from offerlens.sources import tables as T
 from offerlens.sources import taxonomies as Tx
@@ -319,3 +318,289 @@ def _load_taxonomies(t):
 )
 def _content_hash(t):
     return t.offer_rows.select("offer_id", O.content_hash("title", "company_name", "region_code").alias("content_hash"))
+
+
+# ------------------------------------------------------------------ text rules
+
+
+def _offers(t):
+    """Documents as offers with the columns the classifier reads. Small inputs are spread over the cores."""
+    rows = t.offer_rows.withColumn("experience_required", O.structured_experience(F.col("experience_code")))
+    return T.spread_small(
+        rows.select("doc_id", "offer_id", "snapshot_id", "classification_id", "title", "description_text", "experience_required", "experience_label", "salary_label")
+    )
+
+
+_LOWER = "regexp_replace(lower(translate(description_text, '’‘`', '''''''')), '\\s+', ' ', 'g')"
+
+
+@query("match_text", f"select offer_id, length({_LOWER}) as size, md5({_LOWER}) as digest from {{offer_rows}}")
+def _match_text(t):
+    folded = X.plain_form(X.match_form("description_text")["marked"])
+    return _offers(t).select("offer_id", F.length(folded).cast("long").alias("size"), F.md5(folded).alias("digest"))
+
+
+_TRANSPARENT = r"""coalesce(regexp_matches(lower(salary_label), '(^|[^\pL\pN])\d{2,6}([.,]\d{1,2})?([^\pL\pN]|$)')
+   and regexp_matches(lower(salary_label), '(^|[^\pL\pN_])(horaire|heure|mensuel|mois|annuel|annuelle|an|année)([^\pL\pN_]|$)|/(h|mois|an)([^\pL\pN_]|$)')
+   and regexp_matches(lower(salary_label), '€|(^|[^\pL\pN_])euros?([^\pL\pN_]|$)|(^|[^\pL\pN_])eur([^\pL\pN_]|$)'), false)"""
+
+
+@query("salary_transparent", f"select offer_id, {_TRANSPARENT} as transparent from {{offer_rows}}")
+def _salary_transparent(t):
+    label = X.match_form(X.trim_text(F.col("salary_label")))["marked"]
+    return _offers(t).select("offer_id", C.salary_transparent(label).alias("transparent"))
+
+
+def _re2(pattern: str) -> str:
+    body = pattern.replace(f"[{X.SPACES}]", r"\s")
+    return rf"(?i)(^|[^\pL\pN_])({body})([^\pL\pN_]|$)".replace("'", "''")
+
+
+def _mode_flags() -> str:
+    text = "title || chr(10) || description_text"
+    return ", ".join(f"regexp_matches({text}, '{_re2(P.REMOTE[m])}')::int as is_{m}" for m in P.REMOTE)
+
+
+@query(
+    "remote_mode",
+    f"""select offer_id, case when is_remote + is_hybrid + is_onsite <> 1 then 'unknown' when is_remote = 1 then 'remote' when is_hybrid = 1 then 'hybrid' else 'onsite' end as mode,
+          case when is_remote + is_hybrid + is_onsite > 1 then 'REMOTE_SIGNALS_CONFLICT'
+               when is_remote + is_hybrid + is_onsite = 1 and regexp_matches(description_text, '(?i)t[ée]l[ée]travail (possible|autoris[ée])') then 'REMOTE_FREQUENCY_UNKNOWN' end as warning
+        from (select offer_id, description_text, {_mode_flags()} from {{offer_rows}}) f""",
+)
+def _remote_mode(t):
+    found = C.remote_evidence(F.col("title"), F.col("description_text"))
+    rows = _offers(t).select("offer_id", found.alias("found"))
+    return rows.select("offer_id", C.remote_mode(F.col("found")).alias("mode"), C.remote_warning(F.col("found")).alias("warning"))
+
+
+_IN_TITLE = "case doc_id % 10 when 0 then ['java'] when 1 then ['python'] when 4 then ['react'] when 8 then ['flutter'] else [] end"
+_IN_TEXT = """case doc_id % 9 when 0 then ['react-native', 'typescript'] when 1 then ['java', 'spring'] when 2 then ['django', 'python', 'sql']
+   when 3 then ['go'] when 4 then ['ci-cd', 'docker', 'kubernetes'] when 5 then ['csharp', 'dotnet'] when 7 then ['javascript', 'nodejs', 'react'] else [] end"""
+
+
+@query(
+    "detect_technologies",
+    f"select offer_id, array_to_string(list_sort(list_distinct(list_concat({_IN_TITLE}, {_IN_TEXT}))), ',') as slugs from {{offer_rows}}",
+)
+def _detect_technologies(t):
+    rows = C.matching_forms(_offers(t)).select("offer_id", C.selected_hits(F.col("_hits")).alias("chosen"))
+    return rows.select("offer_id", F.array_join(C.technology_slugs(F.col("chosen")), ",").alias("slugs"))
+
+
+def _found(text: str, pattern: str, end: str = r"([^\pL]|$)") -> str:
+    return rf"regexp_matches(lower({text}), '(^|[^\pL\pN_])({pattern}){end}')"
+
+
+_TITLE_CLAIM = _found("title", "junior|d[ée]butante?|graduate|jeune dipl[ôo]m[ée]e?|premier emploi")
+_BODY_CLAIM = _found("translate(description_text, '’', '''')", r"profil junior|d[ée]butante?s? accept[ée]e?s?|jeunes? dipl[ôo]m[ée]es?|aucune exp[ée]rience (n''est )?requise|sans exp[ée]rience requise")
+_LABEL_CLAIM = _found("coalesce(experience_label, '')", r"d[ée]butante?s? accept[ée]e?s?")
+_DENIED = _found("title", "pas (un |une )?(poste |profil )?junior|profil non junior|junior s''abstenir", r"([^\pL\pN_]|$)")
+
+
+@query(
+    "junior_signals",
+    f"select offer_id, {_TITLE_CLAIM} as title_claim, {_BODY_CLAIM} as body_claim, {_LABEL_CLAIM} as label_claim, {_DENIED} as denied from {{offer_rows}}",
+)
+def _junior_signals(t):
+    rows = C.level_matches(C.matching_forms(_offers(t)))
+    return rows.select(
+        "offer_id", F.col("_junior_title").isNotNull().alias("title_claim"), F.col("_junior_description").isNotNull().alias("body_claim"),
+        F.col("_junior_experienceLabel").isNotNull().alias("label_claim"),
+        (F.col("_no_title").isNotNull() | F.col("_no_description").isNotNull()).alias("denied"),
+    )
+
+
+@query(
+    "senior_conflict",
+    f"""select offer_id, regexp_matches(lower(title), '(^|[^\\pL\\pN_])(s[ée]nior|confirm[ée]e?|exp[ée]riment[ée]e?|lead)([^\\pL]|$)')
+          and not regexp_matches(lower(title), '(s[ée]nior|lead)\\s*\\(?\\s*ou\\s+(junior|d[ée]butant)') as senior_title from {{offer_rows}}""",
+)
+def _senior_conflict(t):
+    rows = C.senior_wording(C.level_matches(C.matching_forms(_offers(t))))
+    return rows.select("offer_id", F.col("_senior").alias("senior_title"))
+
+
+_NUMBER = "([0-9]{1,2}|" + "|".join(P.NUMBER_WORDS) + ")"
+_DURATIONS = rf"(?:^|[^\pL\pN])({_NUMBER}\s*(\+\s*)?(années?|annees?|ans?|mois))(?:[^\pL\pN]|$)"
+
+
+@query(
+    "experience_mentions",
+    f"""select offer_id, len(regexp_extract_all(lower(description_text), '{_DURATIONS}', 1)) as mentions,
+          array_to_string(regexp_extract_all(lower(description_text), '{_DURATIONS}', 1), '|') as texts from {{offer_rows}}""",
+)
+def _experience_mentions(t):
+    rows = C.matching_forms(_offers(t)).select("offer_id", C.duration_pieces(F.col("_form_description")["marked"]).alias("pieces"))
+    singles = F.filter(C.experience_mentions(F.col("pieces")), lambda m: m["rank"] == 1)
+    texts = F.coalesce(F.transform(singles, lambda m: m["text"]), F.array().cast("array<string>"))
+    return rows.select("offer_id", F.size(texts).cast("long").alias("mentions"), F.array_join(texts, "|").alias("texts"))
+
+
+# Expected duration evidence of the planted requirement phrases, by remainder of the id.
+_VERDICTS = {
+    1: "required_experience:EXP_SINGLE_DURATION:24",
+    2: "required_experience:EXP_RANGE_YEARS:12",
+    3: "required_experience:EXP_SINGLE_DURATION:6",
+    4: "desired_experience:EXP_DESIRED_ONLY:60",
+    5: "exclusion:EXP_EMPLOYER_HISTORY",
+    7: "required_experience:EXP_SINGLE_DURATION:18",
+    9: "required_experience:EXP_SINGLE_DURATION:60",
+    10: "required_experience:EXP_SINGLE_DURATION:12,required_experience:EXP_SINGLE_DURATION:36",
+}
+_VERDICT_SQL = "case doc_id % 11 " + " ".join(f"when {k} then '{v}'" for k, v in _VERDICTS.items()) + " else '' end"
+
+
+@query("mention_context", f"select offer_id, {_VERDICT_SQL} as evidence from {{offer_rows}}")
+def _mention_context(t):
+    rows = C.duration_evidence(C.matching_forms(_offers(t)), "description")
+    shown = F.transform("evidence", lambda e: F.concat_ws(":", e["kind"], e["rule_id"], e["normalized_value"]))
+    return rows.select("offer_id", F.array_join(shown, ",").alias("evidence"))
+
+
+_MONTHS = """select event_id, cast(event_id % 3 * 12 as int) as a, cast(event_id % 5 * 6 as int) as b, event_id % 4 as n, event_id % 7 = 0 as accepted,
+   event_id % 11 = 0 as junior_clash, event_id % 6 = 0 as not_required from {events}"""
+
+
+def _month_rows(t):
+    rows = t.sql(_MONTHS)
+    label = F.when(F.col("n") % 2 == 1, F.array("a")).otherwise(F.array().cast("array<int>"))
+    text = F.when(F.col("n") >= 2, F.array("b")).otherwise(F.array().cast("array<int>"))
+    return rows.withColumn("label", label).withColumn("text", text)
+
+
+_MIN = "greatest(case when n % 2 = 1 then a end, case when n >= 2 then b end, case when accepted then 0 end)"
+
+
+@query("resolve_minimum", f"select event_id, {_MIN} as minimum from ({_MONTHS}) m")
+def _resolve_minimum(t):
+    return _month_rows(t).select("event_id", C.resolved_minimum(F.concat("label", "text"), F.col("accepted")).alias("minimum"))
+
+
+_CODES = f"""concat_ws(',', case when junior_clash then 'CONFLICTING_JUNIOR_SIGNALS' end, case when accepted and coalesce({_MIN}, 0) > 0 then 'BEGINNER_EXPERIENCE_CONFLICT' end,
+   case when not_required and ((n % 2 = 1 and a > 0) or (n >= 2 and b > 0)) then 'STRUCTURED_EXPERIENCE_CONFLICT' end,
+   case when n = 3 and a <> b then 'STRUCTURED_DURATION_CONFLICT' end)"""
+
+
+def _codes():
+    minimum = C.resolved_minimum(F.concat("label", "text"), F.col("accepted"))
+    codes = C.conflict_codes(
+        F.col("junior_clash"), F.lit(False), F.col("accepted"), F.col("not_required"), minimum, F.col("label"), F.col("text")
+    )
+    return F.array_compact(F.array(*codes))
+
+
+@query("conflict_warnings", f"select event_id, {_CODES} as codes from ({_MONTHS}) m")
+def _conflict_warnings(t):
+    return _month_rows(t).select("event_id", F.array_join(_codes(), ",").alias("codes"))
+
+
+@query(
+    "observation_v2",
+    f"""select event_id, axis, case when axis = 'resolved' then coalesce((n % 2 = 1 and a >= 24) or (n >= 2 and b >= 24), false) end as contradictory from (
+          select *, case when junior_clash or (ambiguous and codes = '') then 'ambiguous' when not claims then 'unknown'
+            when n = 3 and a <> b and (a < 24 or b < 24) and (a >= 24 or b >= 24) then 'ambiguous' when n > 0 then 'resolved'
+            when codes = '' and accepted then 'resolved' when codes = '' then 'unknown' else 'ambiguous' end as axis
+          from (select *, event_id % 2 = 0 as claims, event_id % 13 = 0 as ambiguous, {_CODES} as codes from ({_MONTHS}) m) c) x""",
+)
+def _observation(t):
+    rows = _month_rows(t).withColumn("codes", _codes()).withColumn("claims", F.col("event_id") % 2 == 0)
+    status = F.when((F.col("event_id") % 13 == 0) | (F.size("codes") > 0), "ambiguous").otherwise("classified")
+    rules = F.when(F.col("accepted"), F.array(F.lit("BEGINNER_ACCEPTED_BODY"))).otherwise(F.array(F.lit("JUNIOR_EXPLICIT_TITLE")))
+    axis, contradictory = C.observation(F.col("claims"), status, rules, F.concat("label", "text"), F.col("codes"))
+    return rows.select("event_id", axis.alias("axis"), contradictory.alias("contradictory"))
+
+
+# The expected classification of the planted phrases, from the remainders alone.
+_EXPECTED = """
+  select *, not denied and (title_level or body_beginner or label_beginner) or not_required as junior,
+    greatest(text_months, label_months, case when accepted then 0 end) as minimum
+  from (select *, not_required or (not denied and (body_beginner or label_beginner)) as accepted from (
+    select offer_id, classification_id, doc_id, doc_id % 7 = 5 as denied, doc_id % 7 in (1, 2, 4) as title_level, doc_id % 11 = 8 as body_beginner,
+      doc_id % 6 = 1 as label_beginner, doc_id % 7 in (3, 6) as senior, coalesce(experience_code in ('D', 'S'), false) as not_required,
+      cast(case doc_id % 11 when 1 then 24 when 2 then 12 when 3 then 6 when 7 then 18 when 9 then 60 when 10 then 36 end as int) as text_months,
+      cast(case when doc_id % 6 = 0 then 24 end as int) as label_months, doc_id % 11 = 10 as two_durations
+    from {offer_rows}) p) q"""
+_BLOCKED = """(junior and (senior or denied)) or (accepted and coalesce(minimum, 0) > 0) or (not_required and coalesce(greatest(text_months, label_months), 0) > 0)
+   or (label_months is not null and text_months is not null and text_months <> label_months)"""
+_ANSWERS = f"""select *, case when status = 'classified' then case when accepted then true else minimum <= 12 end end as beginner_friendly,
+   case when status = 'classified' and claims_junior then minimum >= 24 when status = 'classified' and not claims_junior then false end as contradictory_junior
+   from (select *, case when {_BLOCKED} then 'ambiguous' when claims_junior is not null or minimum is not null then 'classified' else 'unclassified' end as status
+     from (select *, case when senior and not junior then false when junior then true when denied then false end as claims_junior from ({_EXPECTED}) e) c) s"""
+
+
+def classified(t):
+    return C.with_observation(C.classify(_offers(t)))
+
+
+@query(
+    "classify_offers",
+    f"select offer_id, status, claims_junior, minimum as minimum_experience_months, beginner_friendly, contradictory_junior from ({_ANSWERS}) a",
+)
+def _classify(t):
+    rows = C.classify(_offers(t))
+    return rows.select("offer_id", "status", "claims_junior", "minimum_experience_months", "beginner_friendly", "contradictory_junior")
+
+
+@query("evidence_table")
+def _evidence_table(t):
+    return C.evidence_table(classified(t))
+
+
+@query(
+    "technology_mentions",
+    f"""select classification_id, unnest(list_sort(list_distinct(list_concat({_IN_TITLE}, {_IN_TEXT})))) as slug from {{offer_rows}}""",
+)
+def _technology_mentions(t):
+    return C.technology_mentions(C.evidence_table(classified(t))).select("classification_id", "slug")
+
+
+@query(
+    "evidence_summary",
+    f"""select classification_id, title_n + body_n + label_n + structured_n as junior_claim, required as required_experience,
+          body_n + label_n + structured_n as beginner_acceptance from (
+        select *, (not denied and title_level)::int as title_n, (not denied and body_beginner)::int as body_n, (not denied and label_beginner)::int as label_n,
+          not_required::int as structured_n, (text_months is not null)::int + (label_months is not null)::int + two_durations::int as required from ({_EXPECTED}) e) c
+        where title_n + body_n + label_n + structured_n + required > 0""",
+)
+def _evidence_summary(t):
+    summary = C.evidence_summary(C.evidence_table(classified(t)))
+    to_int = [F.col(c).cast("int").alias(c) for c in ("junior_claim", "required_experience", "beginner_acceptance")]
+    return summary.filter((F.col("junior_claim") > 0) | (F.col("required_experience") > 0)).select("classification_id", *to_int)
+
+
+@query("semantic_violations", "select classification_id, '' as code from {offer_rows} where false")
+def _semantic_violations(t):
+    """Classifications are written once; answers and evidence are read back from there."""
+    stored = T.written(classified(t), "classified")
+    return C.semantic_violations(stored, C.evidence_summary(C.evidence_table(stored)))
+
+
+@query(
+    "reclassify_backfill",
+    f"""select 'classifier-1.3.7' as classifier_version, count(*) as snapshots, count(*) filter (where doc_id % 3 <> 0) as created,
+          count(*) filter (where doc_id % 3 <> 0 and claims_junior) as junior_created from ({_ANSWERS}) a""",
+)
+def _reclassify(t):
+    """A third of the snapshots has this version already; only the rest is classified, then coverage is complete."""
+    offers = _offers(t)
+    done = offers.filter(F.col("doc_id") % 3 == 0).select("snapshot_id", F.lit(C.CLASSIFIER_VERSION).alias("classifier_version"))
+    fresh = C.reclassify_backfill(offers, done).select("snapshot_id", "classifier_version", "claims_junior", F.lit(True).alias("fresh"))
+    every = fresh.unionByName(done, allowMissingColumns=True)
+    return every.groupBy("classifier_version").agg(
+        F.count(F.lit(1)).alias("snapshots"), F.count_if("fresh").alias("created"), F.count_if("claims_junior").alias("junior_created")
+    )
+
+
+@query("immutable_result_check", "select snapshot_id from {offer_rows} where doc_id % 97 = 5")
+def _immutable(t):
+    """Classifying again gives the same hash, but for the stored rows that were changed on purpose."""
+    again = classified(t).select("doc_id", "snapshot_id", F.lit(C.CLASSIFIER_VERSION).alias("classifier_version"), C.result_hash().alias("result_hash"))
+    stored = T.written(again, "hashes")
+    changed = F.when(F.col("doc_id") % 97 == 5, F.lit("changed")).otherwise(F.col("result_hash"))
+    return C.changed_results(stored.withColumn("result_hash", changed), again).select("snapshot_id")
+
+
+@query("result_hash")
+def _result_hash(t):
+    return classified(t).select("classification_id", C.result_hash().alias("result_hash"))

@@ -41,9 +41,12 @@ def written(rows: DataFrame, name: str) -> DataFrame:
 
 
 def computed_once(rows: DataFrame, name: str, column: Column) -> DataFrame:
-    """Add an expensive column behind a generator, so that a later filter on it is not pushed below it
-    with a second copy of the expression."""
-    return rows.select("*", F.explode(F.array(column)).alias(name))
+    """Add an expensive column behind a generator.
+
+    A filter on a plain computed column is pushed below it with a copy of its whole expression; the
+    output of an outer generator stays where it is, so the column is computed once per row.
+    """
+    return rows.select("*", F.explode_outer(F.array(column)).alias(name))
 
 
 def spread_small(rows: DataFrame) -> DataFrame:
