@@ -466,7 +466,7 @@ def _metrics_by_dimension(t):
 
 @query(
     "percent_point_change",
-    f"""with rates as (select *, case when a.dataset_id like '%b' then 1 else 1 end as period_days from ({_all_rates_sql('{day_members}', 'dataset_id, business_date')}) a)
+    f"""with rates as (select * from ({_all_rates_sql('{day_members}', 'dataset_id, business_date')}) a)
         select a.metric_key, cast(a.business_date as varchar) as date_a,
           concat_ws(',', case when a.metric_version <> b.metric_version then 'method_differs' end,
             case when a.sample_quality = 'insufficient' or b.sample_quality = 'insufficient' then 'sample_insufficient' end) as refused,
@@ -653,6 +653,18 @@ def _latest_per_day(t):
     return H.latest_per_day(dated).select(F.col("date").cast("string").alias("date"), "dataset_version")
 
 
+@query(
+    "latest_publication_per_business_date",
+    """select cast(business_date as varchar) as business_date, dataset_id from (
+         select *, row_number() over (partition by business_date order by published_at desc, dataset_id desc) as rn from {datasets} where status = 'published') r
+       where rn = 1""",
+)
+def _latest_publication(t):
+    published = t.datasets.filter(F.col("status") == "published")
+    latest = first_by(published, ["business_date"], ["published_at", "dataset_id"], descending=True)
+    return latest.select(F.col("business_date").cast("string").alias("business_date"), "dataset_id")
+
+
 _POINT = ["dataset_version", *R.COUNTS, "population_count", "value", "coverage", "sample_quality", "sample_size", "annotation"]
 
 
