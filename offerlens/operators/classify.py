@@ -8,8 +8,10 @@ Input columns: title, description_text, experience_required (boolean), experienc
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,17 @@ EVIDENCE = "array<struct<kind:string,rule_id:string,field:string,excerpt:string,
 _ALL = 2**31 - 1
 
 
+_BUILT: dict[tuple[str, str], dict[str, Column]] = {}
+
+
+def _built(name: str, build: Callable[[], dict[str, Column]]) -> dict[str, Column]:
+    """Columns of one step. They name their inputs only, so they are built once per application."""
+    key = (SparkContext.getOrCreate().applicationId, name)
+    if key not in _BUILT:
+        _BUILT[key] = build()
+    return _BUILT[key]
+
+
 def _proof(kind, rule, field: str, excerpt: Column, start: Column, end: Column, value=None) -> Column:
     lit = lambda v: v if isinstance(v, Column) else F.lit(v).cast("string")
     return F.struct(
@@ -289,17 +302,23 @@ def _judged(field: str, m: Column) -> Column:
     )
 
 
-def _judged_mentions(df: DataFrame, text: _Text) -> DataFrame:
-    """Add the judged mentions of one text; each step is a column so that it is computed once."""
-    name = text.field
-    df = df.withColumn(f"_pieces_{name}", duration_pieces(text.marked))
-    pieces = F.col(f"_pieces_{name}")
-    df = df.withColumn(f"_mentions_{name}", experience_mentions(pieces)).withColumn(f"_calm_{name}", _calm(pieces))
-    calm = F.col(f"_calm_{name}")
-    df = df.withColumn(f"_clauses_{name}", _clauses(calm))
-    around = F.transform(f"_mentions_{name}", lambda m: _surroundings(calm, F.col(f"_clauses_{name}"), m))
-    judged = F.transform(F.transform(around, _between_durations), lambda m: _judged(name, m))
-    return df.withColumn(f"_judged_{name}", judged)
+def _judged_mentions(df: DataFrame, fields: tuple[str, ...] = TEXT_FIELDS) -> DataFrame:
+    """Add the judged mentions of some texts; each step is a column so that it is computed once."""
+
+    def column(step: str, build: Callable[[str], Column]) -> dict[str, Column]:
+        return {f"_{step}_{f}": _built(f"{step}/{f}", lambda: {step: build(f)})[step] for f in fields}
+
+    def judged(f: str) -> Column:
+        calm, clauses = F.col(f"_calm_{f}"), F.col(f"_clauses_{f}")
+        around = F.transform(f"_mentions_{f}", lambda m: _surroundings(calm, clauses, m))
+        return F.transform(F.transform(around, _between_durations), lambda m: _judged(f, m))
+
+    df = df.withColumns(column("pieces", lambda f: duration_pieces(_texts()[f].marked)))
+    df = df.withColumns(
+        column("mentions", lambda f: experience_mentions(F.col(f"_pieces_{f}"))) | column("calm", lambda f: _calm(F.col(f"_pieces_{f}")))
+    )
+    df = df.withColumns(column("clauses", lambda f: _clauses(F.col(f"_calm_{f}"))))
+    return df.withColumns(column("judged", judged))
 
 
 def _duration_evidence(text: _Text, judged: Column) -> Column:
@@ -330,19 +349,27 @@ def _word(pattern: str) -> str:
     return P.rx(f"<(?:{pattern})")
 
 
-def level_matches(df: DataFrame) -> DataFrame:
-    """First matches of the level patterns, one struct column each."""
+def _level_columns() -> dict[str, Column]:
     t = _texts()
     title, body, label = (t[f] for f in TEXT_FIELDS)
     negative = P.rx(f"<(?:{P.NOT_JUNIOR})>")
-    df = df.withColumn("_no_title", title.first(negative)).withColumn("_no_description", body.first(negative, ("junior",)))
-    df = df.withColumn("_junior_title", title.first(_word(P.JUNIOR_TITLE) + r"(?!\p{L})"))
     body_rx, open_rx = _word(P.JUNIOR_BODY) + r"(?!\p{L})", P.rx(f"<{P.JUNIOR_OPENING}~")
-    for name, text in (("description", body), ("experienceLabel", label)):
-        df = df.withColumn(f"_junior_{name}", F.coalesce(text.first(body_rx, P.JUNIOR_LITERALS), text.first(open_rx, ("junior",))))
-    df = df.withColumn("_senior_title", title.first(_word(P.SENIOR_TITLE) + r"(?!\p{L})"))
-    role = F.coalesce(*[body.first(P.rx(p), P.SENIOR_LITERALS) for p in P.SENIOR_ROLES])
-    return df.withColumn("_senior_role", role)
+    found = {
+        "_no_title": title.first(negative),
+        "_no_description": body.first(negative, ("junior",)),
+        "_junior_title": title.first(_word(P.JUNIOR_TITLE) + r"(?!\p{L})"),
+        "_senior_title": title.first(_word(P.SENIOR_TITLE) + r"(?!\p{L})"),
+        "_senior_role": F.coalesce(*[body.first(P.rx(p), P.SENIOR_LITERALS) for p in P.SENIOR_ROLES]),
+    }
+    for text in (body, label):
+        claim = F.coalesce(text.first(body_rx, P.JUNIOR_LITERALS), text.first(open_rx, ("junior",)))
+        found[f"_junior_{text.field}"] = claim
+    return found
+
+
+def level_matches(df: DataFrame) -> DataFrame:
+    """First matches of the level patterns, one struct column each."""
+    return df.withColumns(_built("levels", _level_columns))
 
 
 def _months(evidence: Column, where) -> Column:
@@ -351,19 +378,20 @@ def _months(evidence: Column, where) -> Column:
     )
 
 
-def classify(offers: DataFrame) -> DataFrame:
-    """Status, tri-state answers, minimum months, remote mode, technologies, evidence in order and warnings."""
-    kept = offers.columns
-    df = level_matches(matching_forms(offers))
-    t = _texts()
-    title, body, label = (t[f] for f in TEXT_FIELDS)
-    empty = F.array().cast(EVIDENCE)
+def _enriched_columns() -> dict[str, Column]:
+    """Salary, remote mode and technologies."""
+    title, body = F.col("title"), F.col("description_text")
+    return {
+        "salary_transparent": salary_transparent(F.col("_form_salary")["marked"]),
+        "_remote": remote_evidence(title, body, _texts()["description"].marked).cast(EVIDENCE),
+        "_selected": selected_hits(F.col("_hits")),
+    }
+
 
-    # Salary, remote mode, technologies.
+def _claim_columns() -> dict[str, Column]:
+    """Evidence that stands before the durations. A negated level in title or body silences the texts' claims."""
+    title, body, label = (_texts()[f] for f in TEXT_FIELDS)
     salary = _proof("salary", "SALARY_EXPLICIT_STRUCTURED", "salaryLabel", F.col("_salary"), F.lit(0), F.length("_salary"), "true")
-    df = df.withColumn("salary_transparent", salary_transparent(F.col("_form_salary")["marked"]))
-    df = df.withColumn("_remote", remote_evidence(F.col("title"), F.col("description_text"), body.marked).cast(EVIDENCE))
-    df = df.withColumn("_selected", selected_hits(F.col("_hits")))
     sources = F.array(F.col("title"), F.col("description_text"), F.col("_label"))
     names = F.array(*[F.lit(f) for f in FIELDS])
     mentions = F.transform(
@@ -378,15 +406,13 @@ def classify(offers: DataFrame) -> DataFrame:
             s["slug"].alias("normalized_value"),
         ),
     )
-    first = F.concat(F.when(F.col("salary_transparent"), F.array(salary)).otherwise(empty).cast(EVIDENCE), F.col("_remote"), mentions.cast(EVIDENCE))
-
-    # Level signals. A negated level in title or body silences the level claims of the texts.
     denied = F.col("_no_title").isNotNull() | F.col("_no_description").isNotNull()
-    accepts = lambda name: F.rlike(F.col(f"_junior_{name}")["hit"], F.lit(P.rx(P.BEGINNER_ACCEPTED)))
 
     def body_claim(text: _Text) -> Column:
-        rule = F.when(accepts(text.field), "BEGINNER_ACCEPTED_BODY").otherwise("JUNIOR_EXPLICIT_BODY")
-        return F.when(~denied, text.proof_of("junior_claim", rule, F.col(f"_junior_{text.field}"), "true"))
+        match = F.col(f"_junior_{text.field}")
+        accepts = F.rlike(match["hit"], F.lit(P.rx(P.BEGINNER_ACCEPTED)))
+        rule = F.when(accepts, "BEGINNER_ACCEPTED_BODY").otherwise("JUNIOR_EXPLICIT_BODY")
+        return F.when(~denied, text.proof_of("junior_claim", rule, match, "true"))
 
     structured = label.proof("junior_claim", "BEGINNER_ACCEPTED_STRUCTURED", F.lit(0), F.length(label.marked), "true")
     levels = F.array_compact(
@@ -399,40 +425,59 @@ def classify(offers: DataFrame) -> DataFrame:
             F.when(F.col("experience_required") == F.lit(False), structured),
         )
     )
-    df = df.withColumn("_first", first).withColumn("_levels", levels.cast(EVIDENCE)).withColumn("_denied", denied)
-    for text in (title, body, label):
-        df = _judged_mentions(df, text)
-    durations = F.concat(*[_duration_evidence(x, F.col(f"_judged_{x.field}")) for x in (title, body, label)])
-    df = df.withColumn("_durations", durations)
-
-    # Resolved minimum.
-    df = df.withColumn("_required", _months(F.col("_durations"), lambda e: F.lit(True)))
-    df = df.withColumn("_on_label", _months(F.col("_durations"), lambda e: e["field"] == "experienceLabel"))
-    df = df.withColumn("_in_text", _months(F.col("_durations"), lambda e: e["field"] != "experienceLabel"))
+    return {
+        "_first": F.concat(
+            F.when(F.col("salary_transparent"), F.array(salary)).otherwise(F.array()).cast(EVIDENCE), F.col("_remote"), mentions.cast(EVIDENCE)
+        ),
+        "_levels": levels.cast(EVIDENCE),
+        "_denied": denied,
+        "_durations": F.concat(*[_duration_evidence(_texts()[f], F.col(f"_judged_{f}")) for f in TEXT_FIELDS]),
+    }
+
+
+def _resolving_columns() -> dict[str, Column]:
+    on_label = lambda e: e["field"] == "experienceLabel"
     accepted = F.coalesce(F.col("experience_required") == F.lit(False), F.lit(False)) | F.exists(
         "_levels", lambda e: e["rule_id"].isin(*ACCEPTANCE_RULES)
     )
-    df = df.withColumn("_accepted", accepted)
-    df = df.withColumn("minimum_experience_months", resolved_minimum(F.col("_required"), F.col("_accepted")))
-    df = df.withColumn("_junior", F.exists("_levels", lambda e: e["kind"] == "junior_claim"))
-
-    df = senior_wording(df)
-    df = df.withColumn("_role_conflict", F.col("_junior") & F.col("_senior_role").isNotNull() & ~F.col("_senior"))
+    return {
+        "_on_label": _months(F.col("_durations"), on_label),
+        "_in_text": _months(F.col("_durations"), lambda e: ~on_label(e)),
+        "_accepted": accepted,
+        "_junior": F.exists("_levels", lambda e: e["kind"] == "junior_claim"),
+    }
+
+
+def _conflict_columns() -> dict[str, Column]:
+    title, body = (_texts()[f] for f in TEXT_FIELDS[:2])
+    junior, senior = F.col("_junior"), F.col("_senior")
+    role_conflict = junior & F.col("_senior_role").isNotNull() & ~senior
+    kind = F.when(junior, "conflict").otherwise("exclusion")
+    rule = F.when(junior, "SENIOR_TITLE_JUNIOR_CONFLICT").otherwise("EXPLICIT_SENIOR_TITLE")
     clash = F.array_compact(
         F.array(
-            F.when(
-                F.col("_senior"),
-                title.proof_of(
-                    F.when(F.col("_junior"), "conflict").otherwise("exclusion"),
-                    F.when(F.col("_junior"), "SENIOR_TITLE_JUNIOR_CONFLICT").otherwise("EXPLICIT_SENIOR_TITLE"),
-                    F.col("_senior_title"),
-                ),
-            ),
-            F.when(F.col("_role_conflict"), body.proof_of("conflict", "SENIOR_ROLE_JUNIOR_CONFLICT", F.col("_senior_role"))),
+            F.when(senior, title.proof_of(kind, rule, F.col("_senior_title"))),
+            F.when(role_conflict, body.proof_of("conflict", "SENIOR_ROLE_JUNIOR_CONFLICT", F.col("_senior_role"))),
         )
     )
-    df = df.withColumn("evidence", F.concat("_first", "_levels", "_durations", clash.cast(EVIDENCE)))
-    df = df.withColumn("warnings", _warnings()).withColumn("_blocked", F.exists("warnings", lambda w: w["severity"] == "blocking"))
+    return {
+        "evidence": F.concat("_first", "_levels", "_durations", clash.cast(EVIDENCE)),
+        "_role_conflict": role_conflict,
+        "minimum_experience_months": resolved_minimum(F.concat("_on_label", "_in_text"), F.col("_accepted")),
+    }
+
+
+def _warning_columns() -> dict[str, Column]:
+    return {"warnings": _warnings()}
+
+
+def classify(offers: DataFrame) -> DataFrame:
+    """Status, tri-state answers, minimum months, remote mode, technologies, evidence in order and warnings."""
+    kept = offers.columns
+    df = level_matches(matching_forms(offers)).withColumns(_built("enriched", _enriched_columns))
+    df = _judged_mentions(df).withColumns(_built("claims", _claim_columns))
+    df = senior_wording(df.withColumns(_built("resolving", _resolving_columns)))
+    df = df.withColumns(_built("conflicts", _conflict_columns)).withColumns(_built("warnings", _warning_columns))
     answers = computed_once(_resolved(df).select(*kept, *RESULT_COLUMNS), "_answers", F.struct(*RESULT_COLUMNS))
     return answers.select(*kept, *[F.col("_answers")[c].alias(c) for c in RESULT_COLUMNS])
 
@@ -443,19 +488,23 @@ RESULT_COLUMNS = (
 )
 
 
-def senior_wording(df: DataFrame) -> DataFrame:
-    """Add `_senior`: a senior title, unless the title offers the junior level as an alternative."""
+def _senior_columns() -> dict[str, Column]:
     title, senior = _texts()["title"], F.col("_senior_title")
     rest = F.substring(title.marked, senior["start"] + F.length(senior["hit"]) + 1, F.lit(_ALL))
     head = F.substring(title.marked, F.lit(1), senior["start"])
     either = F.rlike(rest, F.lit(P.rx(P.JUNIOR_AFTER_SENIOR))) | F.rlike(head, F.lit(P.rx(P.JUNIOR_BEFORE_SENIOR)))
-    return df.withColumn("_senior", senior.isNotNull() & ~F.coalesce(either, F.lit(False)))
+    return {"_senior": senior.isNotNull() & ~F.coalesce(either, F.lit(False))}
+
+
+def senior_wording(df: DataFrame) -> DataFrame:
+    """Add `_senior`: a senior title, unless the title offers the junior level as an alternative."""
+    return df.withColumns(_built("senior", _senior_columns))
 
 
 def duration_evidence(df: DataFrame, field: str) -> DataFrame:
     """Add `evidence`: what the durations of one text prove."""
     text = _texts()[field]
-    df = _judged_mentions(df, text)
+    df = _judged_mentions(df, (field,))
     return df.withColumn("evidence", _duration_evidence(text, F.col(f"_judged_{field}")))
 
 
@@ -498,27 +547,30 @@ def _warnings() -> Column:
     return F.array_compact(F.array(entry(remote_warning(F.col("_remote")), "warning"), *[entry(c, "blocking") for c in codes]))
 
 
-def _resolved(df: DataFrame) -> DataFrame:
+def _status_columns() -> dict[str, Column]:
     claims = F.when(F.col("_senior") & ~F.col("_junior"), False).when(F.col("_junior"), True).when(F.col("_denied"), False)
-    minimum = F.col("minimum_experience_months")
-    df = df.withColumn("claims_junior", claims)
-    df = df.withColumn(
-        "status",
-        F.when(F.col("_blocked"), "ambiguous")
-        .when(F.col("claims_junior").isNotNull() | minimum.isNotNull(), "classified")
-        .otherwise("unclassified"),
-    )
+    blocked = F.exists("warnings", lambda w: w["severity"] == "blocking")
+    resolved = claims.isNotNull() | F.col("minimum_experience_months").isNotNull()
+    return {
+        "claims_junior": claims,
+        "status": F.when(blocked, "ambiguous").when(resolved, "classified").otherwise("unclassified"),
+        "remote_mode": remote_mode(F.col("_remote")),
+        "technology_slugs": technology_slugs(F.col("_selected")),
+        "rule_ids": F.array_distinct(F.transform("evidence", lambda e: e["rule_id"])),
+    }
+
+
+def _answer_columns() -> dict[str, Column]:
+    minimum, claims = F.col("minimum_experience_months"), F.col("claims_junior")
     classified = F.col("status") == "classified"
-    return (
-        df.withColumn("beginner_friendly", F.when(classified, F.when(F.col("_accepted"), True).otherwise(minimum <= 12)))
-        .withColumn(
-            "contradictory_junior",
-            F.when(classified & F.col("claims_junior"), minimum >= 24).when(classified & ~F.col("claims_junior"), False),
-        )
-        .withColumn("remote_mode", remote_mode(F.col("_remote")))
-        .withColumn("technology_slugs", technology_slugs(F.col("_selected")))
-        .withColumn("rule_ids", F.array_distinct(F.transform("evidence", lambda e: e["rule_id"])))
-    )
+    return {
+        "beginner_friendly": F.when(classified, F.when(F.col("_accepted"), True).otherwise(minimum <= 12)),
+        "contradictory_junior": F.when(classified & claims, minimum >= 24).when(classified & ~claims, False),
+    }
+
+
+def _resolved(df: DataFrame) -> DataFrame:
+    return df.withColumns(_built("status", _status_columns)).withColumns(_built("answers", _answer_columns))
 
 
 # ---------------------------------------------------------------- observation axis

@@ -50,12 +50,14 @@ def computed_once(rows: DataFrame, name: str, column: Column) -> DataFrame:
 
 
 def spread_small(rows: DataFrame) -> DataFrame:
-    """Spread a scan of fewer partitions than cores, for jobs that spend their time per row.
+    """Spread a scan of fewer files than cores, for jobs that spend their time per row.
 
-    Large inputs have far more partitions than cores and pass through untouched.
+    A small file is cut into splits of which only one may hold rows. Large inputs have far more
+    partitions than cores, whatever their number of files, and pass through untouched.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    small = rows.rdd.getNumPartitions() <= 2 * cores and len(rows.inputFiles()) < cores
+    return rows.repartition(cores) if small else rows
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
