@@ -64,9 +64,10 @@ def local_session(cpus: int | str = 8, name: str = "offerlens") -> SparkSession:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder named by the session; a temporary one only where nothing is set (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
         folder = tempfile.mkdtemp(prefix="offerlens-checkpoint-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder

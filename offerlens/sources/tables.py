@@ -23,7 +23,7 @@ def append_new(rows: DataFrame, path: str, keys: list[str], *partition: str) ->
     spark = rows.sparkSession
     fresh = rows.dropDuplicates(keys)
     if _exists(spark, path):
-        stored = spark.read.parquet(path).select(*keys).distinct()
+        stored = spark.read.schema(rows.schema).parquet(path).select(*keys).distinct()
         fresh = fresh.join(stored, keys, "left_anti")
     fresh.write.mode("append").partitionBy(*partition).parquet(path)
 
