@@ -314,7 +314,7 @@ def _quality_decision(t):
 
 @query(
     "run_report",
-    """select r.run_id, r.status, q.queries, q.queries_succeeded, 0 as queries_running, q.queries_failed, p.pages, s.unique_offers,
+    """select r.run_id, r.status, q.queries, q.queries_succeeded, 0::bigint as queries_running, q.queries_failed, p.pages, s.unique_offers,
          d.dataset_version, d.status as dataset_status, case when d.dataset_id is not null then coalesce(m.members, 0) end as members
        from {runs} r
        left join (select run_id, count(*) as queries, count(*) filter (where status = 'succeeded') as queries_succeeded,

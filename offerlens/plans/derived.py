@@ -210,7 +210,7 @@ TABLES: dict[str, str] = {
         first_at as created_at, first_at as started_at, last_at as finished_at, received as offers_received,
         received - invalid as offers_valid, invalid as offers_quarantined
       from (select {_DAY} as day, min(ts) as first_at, max(ts) as last_at, count(*) as received,
-              sum(case when event_id % 41 = 0 then 1 else 0 end) as invalid
+              cast(sum(case when event_id % 41 = 0 then 1 else 0 end) as bigint) as invalid
             from {{events}} group by {_DAY}) days""",
     "run_queries": f"""
       select 'R' || cast(day as string) as run_id, query_id,
