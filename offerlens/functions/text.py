@@ -123,6 +123,13 @@ def fold_phrase(value: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(text), F.lit(" "))
 
 
+def folded_phrase(phrase: str) -> str:
+    """The same folding for one phrase of a vocabulary."""
+    bare = "".join(c for c in unicodedata.normalize("NFKD", phrase).lower() if unicodedata.category(c)[0] != "M")
+    words = "".join(c if unicodedata.category(c)[0] in "LN" or c in "+#." else " " for c in bare)
+    return f" {' '.join(words.split())} "
+
+
 def fold_excerpt(value: Column) -> Column:
     """Letters and digits only, for containment of quoted excerpts."""
     return F.regexp_replace(F.regexp_replace(_nfkd_lower(value), r"\p{M}+", ""), r"[^\p{L}\p{N}]+", "")

@@ -224,7 +224,7 @@ def reclassify_audit(before: DataFrame, after: DataFrame, key: str = "offer_id")
     changed = (
         before.select(key, F.struct(*compared).alias("b"))
         .join(after.select(key, F.struct(*compared).alias("a")), key)
-        .agg(F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("changed"))
+        .agg(F.count_if(~F.col("a").eqNullSafe(F.col("b"))))
     )
     sides = [
         R.rates(side, conditions).withColumn("side", F.lit(name))
@@ -234,8 +234,7 @@ def reclassify_audit(before: DataFrame, after: DataFrame, key: str = "offer_id")
             ("observation_candidate", after, R.contradiction_v2()),
         )
     ]
-    rows = sides[0].unionByName(sides[1]).unionByName(sides[2]).withColumn("_one", F.lit(1))
-    return rows.join(F.broadcast(changed.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    return sides[0].unionByName(sides[1]).unionByName(sides[2]).withColumn("changed", changed.scalar())
 
 
 def query_relevance(rows: DataFrame) -> DataFrame:
@@ -326,9 +325,9 @@ def collection_summary(query_runs: DataFrame, hits: DataFrame) -> DataFrame:
         F.sum("total").alias("total_reported"),
         F.sum("quarantined").alias("quarantined"),
         F.array_join(F.array_sort(F.collect_set("warning")), ",").alias("warnings"),
-    ).withColumn("_one", F.lit(1))
-    offers = hits.select("offer_id").distinct().agg(F.count(F.lit(1)).alias("unique_offers")).withColumn("_one", F.lit(1))
-    return counted.join(F.broadcast(offers), "_one").drop("_one")
+    )
+    offers = hits.select("offer_id").distinct().agg(F.count(F.lit(1)))
+    return counted.withColumn("unique_offers", offers.scalar())
 
 
 # ---------------------------------------------------------------- labels

@@ -188,15 +188,10 @@ def apply_absences(
         .agg(F.bool_or(F.col("run_id") == run_id).alias("seen_now"))
     )
     open_scope = scope.select("offer_id").distinct().withColumn("in_scope", F.lit(True))
-    gate_row = gate.select(F.lit(True).alias("gated"), F.lit(1).alias("_one"))
-    state = (
-        offers.join(open_scope, "offer_id", "left")
-        .join(seen, "offer_id", "left")
-        .withColumn("_one", F.lit(1))
-        .join(F.broadcast(gate_row), "_one", "left")
-    )
+    gated = gate.agg(F.count(F.lit(1)) > 0).scalar()
+    state = offers.join(open_scope, "offer_id", "left").join(seen, "offer_id", "left").withColumn("gated", gated)
     absent = (
-        F.coalesce("gated", F.lit(False))
+        F.col("gated")
         & F.coalesce("in_scope", F.lit(False))
         & F.col("closed_at").isNull()
         & ~F.coalesce("seen_now", F.lit(False))

@@ -36,11 +36,11 @@ def zero_filled(counts: DataFrame, keys: DataFrame, key: str = "key") -> DataFra
 
 
 def with_share(counts: DataFrame, scoped: DataFrame) -> DataFrame:
-    """Share of the scope. The total is one row on a constant key, so it travels as a broadcast."""
-    total = scoped.agg(F.count(F.lit(1)).alias("population")).withColumn("one", F.lit(1))
-    joined = counts.withColumn("one", F.lit(1)).join(F.broadcast(total), "one")
+    """Share of the scope; its size is a scalar subquery."""
+    population = scoped.agg(F.count(F.lit(1))).scalar()
+    sized = counts.withColumn("population", population)
     share = F.when(F.col("population") > 0, F.try_divide(F.col("count"), F.col("population")))
-    return joined.withColumn("share", share).drop("one", "population")
+    return sized.withColumn("share", share).drop("population")
 
 
 def experience_distribution(scoped: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.functions import offers as O
-from offerlens.functions.text import fold_phrase, html_to_text, safe_url, trimmed_or_null
+from offerlens.functions.text import fold_phrase, folded_phrase, html_to_text, safe_url, trimmed_or_null
+from offerlens.sources.tables import computed_once
 
 
 def _get(path: str, kind: str = "string") -> Column:
@@ -56,19 +57,23 @@ def with_content_hash(offers: DataFrame) -> DataFrame:
 def title_perimeter(offers: DataFrame, groups: list[dict], title: str = "title") -> DataFrame:
     """Offers with the groups whose title phrases they hold as a whole phrase, and the families these give.
 
-    The phrases are a small vocabulary, so they become one array literal: no join, no shuffle. An empty
+    The phrases are a small vocabulary, so they are one array literal: no join, no shuffle. An empty
     phrase list admits nothing.
     """
-    phrases = offers.sparkSession.createDataFrame(
-        [(g["id"], sorted(g["job_families"]), p) for g in groups for p in g["title_phrases"]],
-        "group_id string, job_families array<string>, phrase string",
-    ).select("group_id", "job_families", fold_phrase(F.col("phrase")).alias("phrase"))
-    vocabulary = phrases.groupBy("group_id").agg(F.collect_set("phrase").alias("phrases"), F.first("job_families").alias("families"))
-    table = vocabulary.agg(F.collect_list(F.struct("group_id", "families", "phrases")).alias("groups"))
-    folded = offers.withColumn("_folded", fold_phrase(F.col(title))).withColumn("_one", F.lit(1))
-    joined = folded.join(F.broadcast(table.withColumn("_one", F.lit(1))), "_one")
-    admitted = F.filter("groups", lambda g: F.exists(g["phrases"], lambda p: F.contains(F.col("_folded"), p)))
-    joined = joined.withColumn("_admitted", admitted).filter(F.size("_admitted") > 0)
+    texts = lambda values: F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+    table = F.array(
+        *[
+            F.struct(
+                F.lit(g["id"]).alias("group_id"),
+                texts(g["job_families"]).alias("families"),
+                texts([folded_phrase(p) for p in g["title_phrases"]]).alias("phrases"),
+            )
+            for g in groups
+        ]
+    )
+    folded = offers.withColumn("_folded", fold_phrase(F.col(title)))
+    admitted = F.filter(table, lambda g: F.exists(g["phrases"], lambda p: F.contains(F.col("_folded"), p)))
+    joined = computed_once(folded, "_admitted", admitted).filter(F.size("_admitted") > 0)
     return joined.select(
         *offers.columns,
         F.array_sort(F.transform("_admitted", lambda g: g["group_id"])).alias("group_ids"),

@@ -232,9 +232,9 @@ def expired_quarantine(quarantine: DataFrame, runs: DataFrame, now: Column) -> D
 def retention(snapshots: DataFrame, quarantine: DataFrame, runs: DataFrame, now: Column) -> DataFrame:
     """Counts of one retention pass, for its audit row."""
     expired = F.col("raw_payload").isNotNull() & (F.col("raw_payload_expires_at") <= now)
-    raw = snapshots.agg(F.count_if(expired).alias("raw_payloads")).withColumn("_one", F.lit(1))
-    errors = expired_quarantine(quarantine, runs, now).agg(F.count(F.lit(1)).alias("validation_errors")).withColumn("_one", F.lit(1))
-    return raw.join(F.broadcast(errors), "_one").drop("_one")
+    errors = expired_quarantine(quarantine, runs, now).agg(F.count(F.lit(1)))
+    raw = snapshots.agg(F.count_if(expired).alias("raw_payloads"))
+    return raw.withColumn("validation_errors", errors.scalar())
 
 
 # Published wording of the insights.

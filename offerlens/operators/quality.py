@@ -310,13 +310,11 @@ def data_status(dataset: DataFrame, runs: DataFrame, run_queries: DataFrame, row
         "source_id", F.col("status").alias("run_status"), "started_at", "finished_at", "offers_received", "offers_valid",
         "offers_quarantined", "queries", "partial_queries",
     )
-    open_incidents = incident_list(events, now).filter(F.col("resolved_at").isNull()).agg(F.count(F.lit(1)).alias("open_incidents"))
+    open_incidents = incident_list(events, now).filter(F.col("resolved_at").isNull()).agg(F.count(F.lit(1)))
     joined = (
         dataset.join(last, "source_id", "left")
         .join(ambiguous_rate(rows, "dataset_id"), "dataset_id", "left")
-        .withColumn("_one", F.lit(1))
-        .join(F.broadcast(open_incidents.withColumn("_one", F.lit(1))), "_one")
-        .drop("_one")
+        .withColumn("open_incidents", open_incidents.scalar())
         .withColumn("freshness", freshness(F.col("source_cutoff_at"), now))
     )
     degraded = (
