@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from offerlens.llm import near_dedup
+from offerlens.llm import decontaminate, near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,9 +37,9 @@ with words as (
   from words
 ), sizes as materialized (select doc_id, count(*) as n from shingles group by doc_id),
 pairs as (
-  select a.doc_id as a, b.doc_id as b, count(*) as both from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by all
+  select a.doc_id as a, b.doc_id as b, count(*) as common from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by all
 ), links as materialized (
-  select a, b from pairs join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * both >= 75 * (x.n + y.n - both)
+  select a, b from pairs join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * common >= 75 * (x.n + y.n - common)
 ), reach as (
   with recursive r(doc_id, other) as (
     select doc_id, doc_id from documents union
@@ -56,6 +57,40 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+_DECONTAMINATION = """
+with texts as (
+  select 'd' as kind, doc_id as id, text from documents union all select 'i', item_id, text from benchmark
+), words as materialized (
+  select kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w
+  from texts
+), item_windows as (
+  select distinct id as item_id, unnest(case when len(w) >= 10 then list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i + 9], ' '))
+    else [array_to_string(w, ' ')] end) as words, least(len(w), 10) as n
+  from words where kind = 'i' and len(w) > 0
+), starts as (
+  select id as doc_id, n, unnest(range(1, len(w) - n + 2)) as pos, w from words, (select distinct n from item_windows) where kind = 'd'
+), hits as materialized (
+  select doc_id, item_id, pos, s.n from (select doc_id, n, pos, array_to_string(w[pos:pos + n - 1], ' ') as words from starts) s join item_windows i using (words)
+), covered as (
+  select doc_id, count(distinct place) as n_hit from (select doc_id, unnest(range(pos, pos + n)) as place from hits) group by doc_id
+), items as (
+  select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as listed
+  from (select distinct doc_id, item_id::varchar as item_id from hits) group by doc_id
+)
+select id as doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(listed, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from words left join covered c on c.doc_id = id left join items i on i.doc_id = id where kind = 'd'
+"""
+
+
+@query("op3_benchmark_decontamination", _DECONTAMINATION)
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
