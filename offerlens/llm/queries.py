@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm import decontaminate, near_dedup
+from offerlens.llm import decontaminate, near_dedup, pu_quality, quality_rules, sharding, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -91,6 +91,58 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
 
 
+@query("op1_quality_rules")
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality(_table(spark, sf_dir, "documents"))
+
+
+@query("op2_token_counts")
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"))
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+# the checksum runs over the bytes of a text from the left, eight shifts a byte, with the polynomial of CRC-32
+_SHARDING = """
+with recursive steps(byte, round, c) as (
+  select range, 0, range from range(256) union all
+  select byte, round + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from steps where round < 8
+), crc_table as materialized (select list(c order by byte) as t from steps where round = 8),
+rows as (
+  select doc_id, coalesce(source, '') as source, source is null as no_source, coalesce(text, '') as text,
+    md5('20:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) as key
+  from documents
+), checked as (
+  select r.*, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::bigint),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295) as text_crc32
+  from rows r, crc_table
+), fractions as (
+  select *, (2 * row_number() over (partition by source, no_source order by key, doc_id) - 1)
+    / (2 * count(*) over (partition by source, no_source))::double as fraction
+  from checked
+), places as (
+  select *, row_number() over (order by fraction, source, no_source, key, doc_id) - 1 as place, count(*) over () as total from fractions
+), cut as (select *, (place * 16) // total as shard from places)
+select doc_id, (strlen(text) + 1)::bigint as size, text_crc32::bigint as text_crc32, case when not no_source then source end as source, 'rows' as law,
+  shard::int as shard, (row_number() over (partition by shard order by place) - 1)::bigint as slot, null::int as grown_shard
+from cut
+"""
+
+
+@query("op8_sharding", _SHARDING)
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(_table(spark, sf_dir, "documents"))
+
+
+@query("op10_quality_classifier")
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 FOLDS = 4
 HELD_OUT = 2
 #: Bounds of a training sample: rows of a class, and UTF-8 bytes of a text. Scoring has neither.
-ROWS = 2000
+ROWS = 4000
 BYTES = 30_000
 
 
