@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm import decontaminate, near_dedup, pu_quality, quality_rules, sharding, token_counts, toxicity
+from offerlens.llm import decontaminate, near_dedup, pu_quality, quality_rules, sharding, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -106,6 +106,25 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+_WARC = """
+with payloads as (select page_id, coalesce(html, '') as p from pages),
+sized as (select page_id, strlen(p) as n, sha1(p) as digest from payloads),
+targets as (select *, case when n >= 1000 then max(page_id) over (partition by digest) else page_id end as target from sized)
+select page_id, n::bigint as payload_bytes, digest as payload_digest, case when page_id = target then 'response' else 'revisit' end as record_type,
+  case when page_id <> target then target end as refers_to
+from targets
+"""
+
+
+@query("op5_warc", _WARC)
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write_archives(_table(spark, sf_dir, "pages"), warc.archive_folder(spark))
+    read = warc.read_archives(files, payloads=False)
+    return read.select(
+        warc.page_id(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_id(F.col("refers_to")).alias("refers_to")
+    )
+
+
 # the checksum runs over the bytes of a text from the left, eight shifts a byte, with the polynomial of CRC-32
 _SHARDING = """
 with recursive steps(byte, round, c) as (
