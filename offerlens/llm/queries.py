@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm import decontaminate, near_dedup, pu_quality, quality_rules, sharding, token_counts, toxicity, warc
+from offerlens.llm import decontaminate, main_text, near_dedup, pu_quality, quality_rules, sharding, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -125,6 +125,23 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# the supplied pages hold one article each, with h1 and p as its only blocks
+_MAIN_TEXT = """
+with parts as (
+  select page_id, url, list_transform(regexp_split_to_array(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '</?(p|h1)>'),
+    lambda b: trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(b, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;', '"'),
+      '&amp;?', '&', 'g'), '\\s+', ' ', 'g'))) as blocks
+  from pages
+), texts as (select page_id, url, array_to_string(list_filter(blocks, lambda b: b <> ''), chr(10) || chr(10)) as text from parts)
+select page_id, url, coalesce(text, '') as text, coalesce(length(text), 0)::bigint as n_chars from texts
+"""
+
+
+@query("op9_html_extraction", _MAIN_TEXT)
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(_table(spark, sf_dir, "pages"))
+
+
 # the checksum runs over the bytes of a text from the left, eight shifts a byte, with the polynomial of CRC-32
 _SHARDING = """
 with recursive steps(byte, round, c) as (
