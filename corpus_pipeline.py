@@ -4,16 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerlens.llm import near_dedup
+from offerlens.llm import decontaminate, near_dedup, quality_rules, segmentations, toxicity
 from offerlens.llm.tables import stored
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, fitted on the labelled ones among `docs`, does not predict toxic."""
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def passing_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality_rules.passing(docs)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the one with the least id; of rows repeating an id, one."""
     return near_dedup.without_near_duplicates(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+def without_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any passage of a benchmark item."""
+    return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def segmented(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of each remaining document, with their piece ids."""
+    return segmentations.segmentations(docs)
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("quality_rules", passing_rules),
+    ("near_duplicates", without_near_duplicates),
+    ("decontamination", without_contaminated),
+    ("sentencepiece", segmented),
+]
 
 #: Models decide two stages and sampled segmentations the last, which SQL cannot express.
 ORACLE_SQL = None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm import decontaminate, main_text, near_dedup, pu_quality, quality_rules, sharding, token_counts, toxicity, warc
+from offerlens.llm import decontaminate, main_text, near_dedup, pu_quality, quality_rules, segmentations, sharding, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,6 +27,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op6_sentencepiece")
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = segmentations.segmentations(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "sample", "n_pieces", F.xxhash64("ids").alias("ids_digest"), "log_prob", "inclusion", "round_trip")
+
+
 _NEAR_DUPLICATES = """
 with words as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w
