@@ -27,7 +27,7 @@ BATCH = 500
 RATE = 0.01
 SEED = 5
 #: The share of positives that a score threshold of the share estimate must leave above it.
-LEAST_POSITIVES = 0.5
+LEAST_POSITIVES = 0.8
 
 _SYMBOLS = b"#*$%&|<>"
 _MARKS = b"!?.,;:"
@@ -145,7 +145,7 @@ def _share(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     Above any threshold the unlabelled hold at least share * (positives above it), so each ratio bounds the share
     from above; thresholds that leave few positives are not used, as their ratios are noise.
     """
-    cuts = np.quantile(positive, np.linspace(0.005, 1 - LEAST_POSITIVES, 100))
+    cuts = np.quantile(positive, np.linspace(0.01, 1 - LEAST_POSITIVES, 20))
     ratios = [(unlabelled >= c).mean() / (positive >= c).mean() for c in cuts]
     return float(np.clip(min(ratios), 0.02, 0.98))
 

@@ -21,13 +21,13 @@ SHORTEST = 256
 #: texts repeat more of their own words, so both ends fall with the length.
 BANDS = (
     (256, 0.22, 0.95),
-    (1024, 0.20, 0.85),
-    (4096, 0.17, 0.80),
-    (16384, 0.14, 0.75),
-    (65536, 0.12, 0.72),
+    (1024, 0.20, 0.78),
+    (4096, 0.17, 0.70),
+    (16384, 0.14, 0.67),
+    (65536, 0.12, 0.65),
 )
 #: The band of whole chunks, and the share of chunks outside it that rejects a text.
-CHUNK_BAND = (0.20, 0.80)
+CHUNK_BAND = (0.20, 0.70)
 CHUNK_SHARE = 0.5
 _SYMBOLS = b"#*$%&|<>"
 _WINDOW = 5

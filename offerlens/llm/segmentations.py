@@ -1,9 +1,9 @@
 """Sampled SentencePiece segmentations of whole texts: Gumbel top-k without replacement over the piece lattice.
 
 A piece of merge rank r has the weight 1 / (r + 2) (pieces without a rank count as the last). No piece of the
-vocabulary goes on after a word into the white space that follows, so the lattice of a text is the chain of its words' lattices;
-each distinct word's lattice is built once for the texts
-of a piece of the batch, with the total weight of all ways from each place to the word's end.
+vocabulary goes on after a word into the white space that follows, so the lattice of a text is the chain of its
+words' lattices; each distinct word's lattice is built once for the texts of a batch, with the total weight of all
+ways from each place to the word's end.
 With these totals the best-first search has an exact bound: the set of all segmentations that begin with some
 pieces has a known log probability, and its largest perturbed value is a Gumbel variable at that place, truncated
 at the value of the set it is part of.
@@ -28,7 +28,7 @@ MODEL = "piece_bpe_32k.model"
 SAMPLES = 2
 SEED = 12
 #: Characters of the texts that are searched together.
-PIECE = 1 << 19
+PIECE = 1 << 20
 SPACE = "▁"
 
 _ROWS = "doc_id long, sample int, ids array<int>, n_pieces int, log_prob double, inclusion double, round_trip boolean"
@@ -57,7 +57,7 @@ class Vocabulary:
         size = model.get_piece_size()
         found: list[tuple[str, int, float]] = []
         self.raw: list[bytes] = []
-        self.byte_id = [0] * 256
+        self.byte_id = np.zeros(256, np.int32)
         for i in range(size):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -130,12 +130,12 @@ class Lattices:
         piece[unknown, 0] = v.size + codes[unknown]
 
         # total weight of all ways from a place to the end of its word, from the ends on
-        total, reach = np.zeros(n + v.longest + 1), np.arange(1, v.longest + 1)
+        total = np.zeros(n + v.longest + 1)
         order = np.argsort(left, kind="stable")
         cuts = np.searchsorted(left[order], np.arange(1, int(lengths.max(initial=0)) + 2))
-        for low, high in zip(cuts, cuts[1:]):
-            here = order[low:high]
-            ways = weight[here] + total[here[:, None] + reach]
+        for length, (low, high) in enumerate(zip(cuts, cuts[1:]), 1):
+            here, width = order[low:high], min(length, v.longest)
+            ways = weight[here, :width] + total[here[:, None] + np.arange(1, width + 1)]
             most = ways.max(axis=1)
             total[here] = most + np.log(np.exp(ways - most[:, None]).sum(axis=1))
         place, column = np.nonzero(weight > -np.inf)
@@ -143,9 +143,8 @@ class Lattices:
         self.begin = np.searchsorted(place, np.arange(n + 1))
         alone = self.begin[place + 1] - self.begin[place] == 1
         self.log = np.where(alone, 0.0, np.minimum(log, 0.0))
-        shares = np.zeros((n, v.longest))
-        shares[place, column] = np.exp(self.log)
-        self.upto = shares.cumsum(axis=1)[place, column]
+        sums = np.cumsum(np.exp(self.log))
+        self.upto = sums - np.concatenate([[0.0], sums])[self.begin[place]]
         self.upto[self.begin[place + 1] - 1] = 2.0  # the last edge takes what rounding leaves
         after = place + column + 1
         self.next = np.where(left[after] == 0, -1, after)
@@ -263,12 +262,15 @@ class Sampler:
     def _ids(self, pieces: np.ndarray) -> np.ndarray:
         """Piece ids, with characters that are no piece as their bytes."""
         v = self.vocabulary
-        if (pieces < v.size).all():
+        odd = np.flatnonzero(pieces >= v.size)
+        if not len(odd):
             return pieces.astype(np.int32)
-        out: list[int] = []
-        for p in pieces.tolist():
-            out += [p] if p < v.size else [v.byte_id[b] for b in chr(p - v.size).encode("utf-8", "surrogatepass")]
-        return np.array(out, np.int32)
+        if (pieces[odd] < v.size + 0x80).all():
+            out = pieces.astype(np.int32)
+            out[odd] = v.byte_id[pieces[odd] - v.size]
+            return out
+        spelled = [[p] if p < v.size else v.byte_id[list(chr(p - v.size).encode("utf-8", "surrogatepass"))] for p in pieces.tolist()]
+        return np.concatenate(spelled).astype(np.int32)
 
     def sample(self, texts: list[str], keys: list[int], samples: int) -> list[list[tuple[np.ndarray, float, float]]]:
         """For each text its (ids, log probability, inclusion probability), best first."""
