@@ -216,6 +216,6 @@ def test_pu_share_is_estimated():
     rng = random.Random(6)
     good = lambda: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(30, 90)))
     bad = lambda: " ".join([f"{good()[:5]}!!".upper()] * 40)
-    model = pu_quality.train([good() for _ in range(2000)], [good() if i % 10 < 7 else bad() for i in range(3000)])
+    model = pu_quality.train([good() for _ in range(2000)], [good() if rng.random() < 0.7 else bad() for _ in range(3000)])
     assert abs(model.share - 0.7) < 0.08
     assert model.scores([good()])[0] > 0.7 > model.scores([bad()])[0]
