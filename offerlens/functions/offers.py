@@ -138,7 +138,7 @@ def _base64url(value: Column) -> Column:
 
 
 def public_offer_id(uuid: Column) -> Column:
-    return F.concat(F.lit("jv_"), _base64url(F.unhex(F.replace(uuid, F.lit("-"), F.lit("")))))
+    return F.concat(F.lit("offer_"), _base64url(F.unhex(F.replace(uuid, F.lit("-"), F.lit("")))))
 
 
 def public_incident_id(event_id: Column) -> Column:

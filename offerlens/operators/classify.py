@@ -112,7 +112,7 @@ def matching_forms(offers: DataFrame) -> DataFrame:
 
 def salary_transparent(label: Column) -> Column:
     """An amount, a period and a currency are all named; vague wording has no amount and so fails."""
-    named = [P.SALARY_AMOUNT, P.word_rx(P.SALARY_PERIOD), P.word_rx(P.SALARY_CURRENCY)]
+    named = [P.SALARY_AMOUNT, P.SALARY_PERIOD, P.SALARY_CURRENCY]
     found = [F.rlike(label, F.lit(p)) for p in named]
     return F.coalesce(found[0] & found[1] & found[2], F.lit(False))
 
@@ -346,14 +346,14 @@ def _duration_evidence(text: _Text, judged: Column) -> Column:
 
 
 def _word(pattern: str) -> str:
-    return P.rx(f"<(?:{pattern})")
+    return P.rx(f"{P.WORD_START}(?:{pattern})")
 
 
 def _level_columns() -> dict[str, Column]:
     t = _texts()
     title, body, label = (t[f] for f in TEXT_FIELDS)
-    negative = P.rx(f"<(?:{P.NOT_JUNIOR})>")
-    body_rx, open_rx = _word(P.JUNIOR_BODY) + r"(?!\p{L})", P.rx(f"<{P.JUNIOR_OPENING}~")
+    negative = P.rx(P.word(P.NOT_JUNIOR))
+    body_rx, open_rx = _word(P.JUNIOR_BODY) + r"(?!\p{L})", P.rx(P.WORD_START + P.JUNIOR_OPENING + P.NO_LETTER)
     found = {
         "_no_title": title.first(negative),
         "_no_description": body.first(negative, ("junior",)),

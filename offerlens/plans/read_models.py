@@ -607,7 +607,7 @@ def _filter_fingerprint(t):
 
 @query(
     "public_id",
-    """select doc_id, 'jv_' || replace(replace(replace(base64(unhex(md5(text))), '+', '-'), '/', '_'), '=', '') as public_id,
+    """select doc_id, 'offer_' || replace(replace(replace(base64(unhex(md5(text))), '+', '-'), '/', '_'), '=', '') as public_id,
          'incident_' || substring(replace(replace(base64(unhex(sha256(offer_id))), '+', '-'), '/', '_'), 1, 16) as incident_id
        from (select d.doc_id, d.text, o.offer_id from {documents} d join {offer_rows} o on o.doc_id = d.doc_id) x""",
 )

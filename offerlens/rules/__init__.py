@@ -18,18 +18,4 @@ def technology_rules() -> dict:
 
 @lru_cache(maxsize=1)
 def query_set() -> dict:
-    """Search groups with the phrases of both genders written out."""
-    document = _document("query_set.json")
-    feminine = document["feminine"]
-
-    def phrases(lists: dict) -> list[str]:
-        paired = []
-        for phrase in lists["both_genders"]:
-            noun, _, rest = phrase.partition(" ")
-            paired += [phrase, f"{feminine[noun]} {rest}".strip()]
-        return paired + lists["as_is"]
-
-    groups = [
-        {**g, "keywords": phrases(g["keywords"]), "title_phrases": phrases(g["title_phrases"])} for g in document["groups"]
-    ]
-    return {"version": document["version"], "groups": groups}
+    return _document("query_set.json")
