@@ -125,7 +125,7 @@ def publication_log(datasets: DataFrame, members: DataFrame, metrics: DataFrame,
         "source_id", "dataset_id", F.col("rolled_back_at").alias("at")
     )
     current = first_by(published.unionByName(restored), ["source_id"], ["at", "dataset_id"], descending=True)
-    withdrawn = withdrawals(published, rollbacks).select("dataset_id").withColumn("withdrawn", F.lit(True))
+    withdrawn = withdrawals(published.unionByName(restored), rollbacks).join(current.select("dataset_id"), "dataset_id", "left_anti").select("dataset_id").withColumn("withdrawn", F.lit(True))
     flagged = (
         datasets.join(current.select("dataset_id", F.lit(True).alias("chosen")), "dataset_id", "left")
         .join(withdrawn.distinct(), "dataset_id", "left")
@@ -136,7 +136,7 @@ def publication_log(datasets: DataFrame, members: DataFrame, metrics: DataFrame,
 
 
 def withdrawals(published: DataFrame, rollbacks: DataFrame) -> DataFrame:
-    """What each rollback withdrew: the last publication before it, unless that is the target itself."""
+    """What each rollback withdrew: the last publication or restore before it, unless that is the target itself."""
     before = rollbacks.select(F.col("dataset_id").alias("target_id"), "source_id", "rolled_back_at").join(published, "source_id")
     before = before.filter(F.col("at") < F.col("rolled_back_at"))
     last = first_by(before, ["source_id", "rolled_back_at"], ["at", "dataset_id"], descending=True)

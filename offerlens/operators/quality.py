@@ -82,25 +82,30 @@ def new_and_updated(flags: DataFrame) -> DataFrame:
     )
 
 
-def query_volumes(sightings: DataFrame) -> DataFrame:
-    """Distinct offers per run and query; pairs are reduced before they are counted."""
-    return sightings.select("run_id", "query_id", "offer_id").distinct().groupBy("run_id", "query_id").agg(F.count(F.lit(1)).alias("current"))
+def query_volumes(sightings: DataFrame, run_queries: DataFrame) -> DataFrame:
+    """Distinct offers of every query of a run, 0 for a query without a sighting; pairs are reduced before they are counted."""
+    counted = sightings.select("run_id", "query_id", "offer_id").distinct().groupBy("run_id", "query_id").agg(F.count(F.lit(1)).alias("current"))
+    queries = run_queries.select("run_id", "query_id").distinct()
+    return queries.join(counted, ["run_id", "query_id"], "left").withColumn("current", F.coalesce("current", F.lit(0)))
 
 
-def previous_query_counts(sightings: DataFrame, runs: DataFrame) -> DataFrame:
+def previous_query_counts(sightings: DataFrame, runs: DataFrame, run_queries: DataFrame) -> DataFrame:
     """Per run and query of the run before: its offers, and how many the whole current run no longer has."""
     follows = previous_complete_run(runs).filter(F.col("previous_run_id").isNotNull())
     follows = follows.select(F.col("run_id").alias("current_run_id"), F.col("previous_run_id").alias("run_id"))
-    before = sightings.select("run_id", "query_id", "offer_id").distinct().join(F.broadcast(follows), "run_id")
+    before = sightings.select("run_id", "query_id", "offer_id").distinct().join(follows, "run_id")
     now = sightings.select(F.col("run_id").alias("current_run_id"), "offer_id").distinct().withColumn("seen", F.lit(True))
-    joined = before.join(now, ["current_run_id", "offer_id"], "left")
-    return joined.groupBy(F.col("current_run_id").alias("run_id"), "query_id").agg(
+    counted = before.join(now, ["current_run_id", "offer_id"], "left").groupBy("current_run_id", "query_id").agg(
         F.count(F.lit(1)).alias("previous"), F.count_if(F.col("seen").isNull()).alias("missing_from_run")
     )
+    queries = run_queries.select("run_id", "query_id").distinct().join(follows, "run_id").select("current_run_id", "query_id")
+    filled = queries.join(counted, ["current_run_id", "query_id"], "left").fillna(0, ["previous", "missing_from_run"])
+    return filled.withColumnRenamed("current_run_id", "run_id")
 
 
-def partition_volumes(sightings: DataFrame, runs: DataFrame) -> DataFrame:
-    return query_volumes(sightings).join(previous_query_counts(sightings, runs), ["run_id", "query_id"])
+def partition_volumes(sightings: DataFrame, runs: DataFrame, run_queries: DataFrame) -> DataFrame:
+    """Volumes of the queries that a run and the run before both have."""
+    return query_volumes(sightings, run_queries).join(previous_query_counts(sightings, runs, run_queries), ["run_id", "query_id"])
 
 
 def partition_volume_policy(volumes: DataFrame) -> DataFrame:
@@ -121,14 +126,27 @@ def positive_classification() -> Column:
 
 
 def run_quality_facts(
-    runs: DataFrame, run_queries: DataFrame, pages: DataFrame, sightings: DataFrame, classifications: DataFrame, evidence: DataFrame
+    runs: DataFrame,
+    run_queries: DataFrame,
+    pages: DataFrame,
+    sightings: DataFrame,
+    snapshots: DataFrame,
+    classifications: DataFrame,
+    evidence: DataFrame,
+    classifier_version: str,
 ) -> DataFrame:
-    """All facts the decision needs, one row per run. Facts are aggregated before runs are joined."""
+    """All facts the decision needs, one row per run. Facts are aggregated before runs are joined.
+
+    An offer counts with the classification of its open snapshot by the given version, and evidence with the
+    classification it proves.
+    """
     queries = run_queries.groupBy("run_id").agg(F.bool_and(F.col("status") == "succeeded").alias("pagination_complete"))
     capped = pages.groupBy("run_id").agg(F.bool_or(F.col("source_total") > SOURCE_CAP).alias("source_cap_reached"))
     flags = sighting_flags(sightings)
-    proven = evidence.select("offer_id").distinct().withColumn("proven", F.lit(True))
-    positive = classifications.filter(positive_classification()).select("offer_id").join(proven, "offer_id", "left")
+    proven = evidence.select("classification_id").distinct().withColumn("proven", F.lit(True))
+    ours = classifications.filter((F.col("classifier_version") == classifier_version) & positive_classification())
+    open_snapshots = snapshots.filter(F.col("valid_to").isNull()).select("snapshot_id", "offer_id")
+    positive = ours.select("classification_id", "snapshot_id").join(open_snapshots, "snapshot_id").join(proven, "classification_id", "left").select("offer_id", "proven")
     counted = (
         flags.join(positive.withColumn("positive", F.lit(True)), "offer_id", "left")
         .groupBy("run_id")
@@ -140,7 +158,7 @@ def run_quality_facts(
             F.count_if(F.col("positive") & F.coalesce("proven", F.lit(False))).alias("positives_with_evidence"),
         )
     )
-    volumes = partition_volume_policy(partition_volumes(sightings, runs)).groupBy("run_id").agg(
+    volumes = partition_volume_policy(partition_volumes(sightings, runs, run_queries)).groupBy("run_id").agg(
         F.bool_or(F.col("verdict") == "block").alias("partition_blocks"),
         F.count_if(F.col("verdict") == "warning").alias("volume_warnings"),
     )
@@ -152,14 +170,14 @@ def run_quality_facts(
         .join(volumes, "run_id", "left")
     )
     before = counted.select(F.col("run_id").alias("previous_run_id"), F.col("unique_offers").alias("previous_offers"))
-    facts = facts.join(before, "previous_run_id", "left")
+    counts = ["unique_offers", "offers_new", "offers_updated", "positives", "positives_with_evidence", "volume_warnings"]
+    facts = facts.join(before, "previous_run_id", "left").fillna(0, counts)
     moved = F.try_divide(F.abs(F.col("unique_offers") - F.col("previous_offers")), F.col("previous_offers"))
     anomaly = F.coalesce((F.col("previous_offers") > 0) & (moved > VOLUME_CHANGE), F.lit(False))
     return (
         facts.withColumn("pagination_complete", F.coalesce("pagination_complete", F.lit(False)))
         .withColumn("source_cap_reached", F.coalesce("source_cap_reached", F.lit(False)))
         .withColumn("volume_anomaly", anomaly | F.coalesce("partition_blocks", F.lit(False)))
-        .fillna(0, ["unique_offers", "offers_new", "offers_updated", "positives", "positives_with_evidence", "volume_warnings"])
     )
 
 

@@ -10,6 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _null_safe_join(rows: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
+    """Join one row per key to all rows, those with a null key too."""
+    renamed = side.select(*[F.col(k).alias(f"_side_{i}") for i, k in enumerate(keys)], *[c for c in side.columns if c not in keys])
+    condition = F.lit(True)
+    for i, key in enumerate(keys):
+        condition = condition & rows[key].eqNullSafe(renamed[f"_side_{i}"])
+    return rows.join(renamed, condition)
+
+
 def bucketed_neighbour(
     df: DataFrame, keys: list[str], bucket: Column, order: list[str], columns: list[str], following: bool = False
 ) -> DataFrame:
@@ -26,7 +35,7 @@ def bucketed_neighbour(
     edges = rows.groupBy(*keys, "_bucket").agg(edge(value, F.struct(*order)).alias("_edge"))
     across = Window.partitionBy(*keys).orderBy("_bucket")
     carried = edges.select(*keys, "_bucket", step("_edge").over(across).alias("_carried"))
-    joined = rows.join(carried, [*keys, "_bucket"])
+    joined = _null_safe_join(rows, carried, [*keys, "_bucket"])
     near = F.coalesce("_near", "_carried")
     return joined.select(*df.columns, *[near[c].alias(f"{name}_{c}") for c in columns])
 
@@ -46,7 +55,7 @@ def bucketed_rank(df: DataFrame, keys: list[str], order: list[Column], bucket: C
         F.sum("_n").over(Window.partitionBy(*keys)).alias("group_size"),
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    ranked = rows.withColumn("_inside", F.row_number().over(inside)).join(sizes, [*keys, "_bucket"])
+    ranked = _null_safe_join(rows.withColumn("_inside", F.row_number().over(inside)), sizes, [*keys, "_bucket"])
     return ranked.select(*df.columns, (F.col("_before") + F.col("_inside")).alias(name), "group_size")
 
 

@@ -230,24 +230,26 @@ def _sighting_flags(t):
 
 _COMPLETE_BEFORE = """select r.run_id, (select p.run_id from {runs} p where p.query_set_version = r.query_set_version
    and p.status in ('succeeded', 'partial') and p.created_at < r.created_at order by p.created_at desc limit 1) as previous_run_id from {runs} r"""
-_PREVIOUS = f"""select f.run_id, s.query_id, count(distinct s.offer_id) as previous,
-   count(distinct s.offer_id) filter (where not exists (select 1 from {{sightings}} n where n.run_id = f.run_id and n.offer_id = s.offer_id)) as missing_from_run
-   from ({_COMPLETE_BEFORE}) f join {{sightings}} s on s.run_id = f.previous_run_id group by f.run_id, s.query_id"""
+_PREVIOUS = f"""select f.run_id, q.query_id, count(distinct s.offer_id) as previous,
+   count(distinct s.offer_id) filter (where not exists (select 1 from {{quality_sightings}} n where n.run_id = f.run_id and n.offer_id = s.offer_id)) as missing_from_run
+   from ({_COMPLETE_BEFORE}) f join {{run_queries}} q on q.run_id = f.previous_run_id
+   left join {{quality_sightings}} s on s.run_id = q.run_id and s.query_id = q.query_id group by f.run_id, q.query_id"""
 
 
 @query("previous_query_counts", _PREVIOUS)
 def _previous_query_counts(t):
-    return Q.previous_query_counts(t.sightings, t.runs)
+    return Q.previous_query_counts(t.quality_sightings, t.runs, t.run_queries)
 
 
 _VOLUMES = f"""select c.run_id, c.query_id, c.current, p.previous, p.missing_from_run from (
-   select run_id, query_id, count(distinct offer_id) as current from {{sightings}} group by run_id, query_id) c
+   select q.run_id, q.query_id, count(distinct s.offer_id) as current from {{run_queries}} q
+   left join {{quality_sightings}} s on s.run_id = q.run_id and s.query_id = q.query_id group by q.run_id, q.query_id) c
    join ({_PREVIOUS}) p on p.run_id = c.run_id and p.query_id = c.query_id"""
 
 
 @query("partition_volume_join", _VOLUMES)
 def _partition_volume_join(t):
-    return Q.partition_volumes(t.sightings, t.runs)
+    return Q.partition_volumes(t.quality_sightings, t.runs, t.run_queries)
 
 
 def _policy(volumes: str) -> str:
@@ -256,9 +258,9 @@ def _policy(volumes: str) -> str:
        else 'block' end as verdict from ({volumes}) v"""
 
 
-@query("partition_volume_policy", _policy(_VOLUMES.replace("{sightings}", "{hourly_sightings}")))
+@query("partition_volume_policy", _policy(_VOLUMES.replace("{quality_sightings}", "{hourly_sightings}").replace("{run_queries}", "{hourly_queries}")))
 def _partition_volume_policy(t):
-    return Q.partition_volume_policy(Q.partition_volumes(t.hourly_sightings, t.runs))
+    return Q.partition_volume_policy(Q.partition_volumes(t.hourly_sightings, t.runs, t.hourly_queries))
 
 
 _POSITIVE = """claims_junior is true or minimum_experience_months is not null or beginner_friendly is not null
@@ -266,8 +268,9 @@ _POSITIVE = """claims_junior is true or minimum_experience_months is not null or
 _FACTS = f"""select r.run_id, r.offers_received, r.offers_valid, r.offers_quarantined,
    coalesce((select bool_and(q.status = 'succeeded') from {{run_queries}} q where q.run_id = r.run_id), false) as pagination_complete,
    coalesce((select bool_or(source_total > 3150) from {{page_facts}} p where p.run_id = r.run_id), false) as source_cap_reached,
-   n.unique_offers, n.offers_new, n.offers_updated, n.positives, n.positives_with_evidence,
-   coalesce(b.unique_offers > 0 and abs(n.unique_offers - b.unique_offers)::double / b.unique_offers > 0.4, false) or coalesce(v.blocks, false) as volume_anomaly,
+   coalesce(n.unique_offers, 0) as unique_offers, coalesce(n.offers_new, 0) as offers_new, coalesce(n.offers_updated, 0) as offers_updated,
+   coalesce(n.positives, 0) as positives, coalesce(n.positives_with_evidence, 0) as positives_with_evidence,
+   coalesce(b.unique_offers > 0 and abs(coalesce(n.unique_offers, 0) - b.unique_offers)::double / b.unique_offers > 0.4, false) or coalesce(v.blocks, false) as volume_anomaly,
    coalesce(v.warnings, 0) as volume_warnings
    from {{runs}} r join ({_COMPLETE_BEFORE}) f on f.run_id = r.run_id
    left join counted n on n.run_id = r.run_id left join counted b on b.run_id = f.previous_run_id
@@ -276,8 +279,10 @@ _FACTS = f"""select r.run_id, r.offers_received, r.offers_valid, r.offers_quaran
 _COUNTED = f"""with counted as (select s.run_id, count(*) as unique_offers, count(*) filter (where offer_created) as offers_new,
    count(*) filter (where not offer_created and snapshot_created) as offers_updated,
    count(*) filter (where p.offer_id is not null) as positives,
-   count(*) filter (where p.offer_id is not null and exists (select 1 from {{user_evidence}} e where e.offer_id = s.offer_id)) as positives_with_evidence
-   from ({_FLAGS}) s left join (select offer_id from {{user_classifications}} where {_POSITIVE}) p on p.offer_id = s.offer_id group by s.run_id)"""
+   count(*) filter (where p.offer_id is not null and exists (select 1 from {{user_evidence}} e where e.classification_id = p.classification_id)) as positives_with_evidence
+   from ({_FLAGS.replace("{sightings}", "{quality_sightings}")}) s left join (
+     select o.offer_id, c.classification_id from {{offer_snapshots}} o join {{versioned_classifications}} c on c.snapshot_id = o.snapshot_id
+     where o.valid_to is null and c.classifier_version = 'rules-2' and ({_POSITIVE})) p on p.offer_id = s.offer_id group by s.run_id)"""
 _FACT_COLUMNS = [
     "run_id", "offers_received", "offers_valid", "offers_quarantined", "pagination_complete", "source_cap_reached", "unique_offers",
     "offers_new", "offers_updated", "positives", "positives_with_evidence", "volume_anomaly", "volume_warnings",
@@ -285,7 +290,9 @@ _FACT_COLUMNS = [
 
 
 def _facts(t):
-    return Q.run_quality_facts(t.runs, t.run_queries, t.page_facts, t.sightings, t.user_classifications, t.user_evidence)
+    return Q.run_quality_facts(
+        t.runs, t.run_queries, t.page_facts, t.quality_sightings, t.offer_snapshots, t.versioned_classifications, t.user_evidence, "rules-2"
+    )
 
 
 @query("run_quality_facts", f"{_COUNTED} select * from ({_FACTS}) f")

@@ -202,6 +202,11 @@ TABLES: dict[str, str] = {
     "hourly_sightings": """
       select run_id, query_id || '/' || cast(hour(observed_at) as string) as query_id, offer_id, observed_at, event_id
       from {sightings}""",
+    # A query without a sighting on one day and a run without any on another: both must show as lost.
+    "quality_sightings": """
+      select * from {sightings} where not (dayofyear(day) = 14 and query_id = 'error') and dayofyear(day) <> 27""",
+    "hourly_queries": """
+      select r.run_id, q.query_id from {runs} r join (select distinct query_id from {hourly_sightings}) q on true""",
     "runs": f"""
       select 'R' || cast(day as string) as run_id, 'source-1' as source_id, day as business_date, 'full' as mode,
         case when {_V} < 16 then 'queries-2' else 'queries-3' end as query_set_version,
@@ -288,6 +293,15 @@ TABLES: dict[str, str] = {
              case when user_id % 31 = 0 then 'rules-1' else 'rules-2' end as classifier_version from {offer_state}""",
         "user_id",
     ),
+    # Every third offer also has a classification of an older version, which must not count.
+    "versioned_classifications": _classified(
+        """select 'C' || offer_id as classification_id, 'S' || offer_id as snapshot_id, offer_id, user_id,
+             case when user_id % 31 = 0 then 'rules-1' else 'rules-2' end as classifier_version from {offer_state}
+           union all
+           select 'O' || offer_id, 'S' || offer_id, offer_id, user_id, 'rules-1' from {offer_state}
+           where user_id % 3 = 0 and user_id % 31 <> 0""",
+        "user_id",
+    ),
     "user_evidence": """
       select classification_id, offer_id, kind, 'x' as excerpt from (
         select classification_id, offer_id, user_id, explode(arr('junior_claim', 'required_experience')) as kind
