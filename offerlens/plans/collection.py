@@ -588,22 +588,35 @@ def _metric_invariants(t):
     return Pu.metric_invariants(M.daily_metrics(t.day_members, F.col("business_date"))).select("dataset_id", "metric_key", "code")
 
 
+# The spoiled rows in SQL, then every rule on them.
+_SPOILED = """select * exclude (status, minimum_experience_months), case when doc_id % 5 = 0 then 'ambiguous' else status end as status,
+   case when doc_id % 13 = 6 then -1 when doc_id % 7 = 4 then greatest(0, minimum_experience_months - 24) else minimum_experience_months end as minimum_experience_months,
+   case when doc_id % 11 = 3 then null else junior_observation_contradictory end as observed from {classified_offers}"""
+
+
 @query(
     "classification_invariants",
-    """select offer_id, 'ambiguous_with_derived' as code from {classified_offers} where doc_id % 5 = 0 and status <> 'ambiguous'
-         and (beginner_friendly is not null or contradictory_junior is not null)
-       union all select offer_id, 'contradictory_without_months' from {classified_offers}
-         where doc_id % 7 = 4 and contradictory_junior and coalesce(minimum_experience_months, 0) - 24 < 24""",
+    f"""with spoiled as ({_SPOILED})
+        select offer_id, 'observation_not_consistent' as code from spoiled where (junior_observation_status = 'resolved') <> (observed is not null)
+        union all select offer_id, 'observation_without_claim' from spoiled where junior_observation_status = 'resolved' and claims_junior is not true
+        union all select offer_id, 'unclassified_with_answers' from spoiled where status = 'unclassified'
+          and (claims_junior is not null or beginner_friendly is not null or contradictory_junior is not null or minimum_experience_months is not null)
+        union all select offer_id, 'ambiguous_with_derived' from spoiled where status = 'ambiguous' and (beginner_friendly is not null or contradictory_junior is not null)
+        union all select offer_id, 'contradictory_without_months' from spoiled where contradictory_junior
+          and coalesce(minimum_experience_months >= 24 and claims_junior, false) is false
+        union all select offer_id, 'negative_months' from spoiled where minimum_experience_months < 0""",
 )
 def _classification_invariants(t):
     """Rows are spoiled on purpose, so that the rules have something to find."""
-    spoiled = t.classified_offers.withColumn(
-        "status", F.when((F.col("doc_id") % 5 == 0), "ambiguous").otherwise(F.col("status"))
-    ).withColumn(
-        "minimum_experience_months",
-        F.when(F.col("doc_id") % 7 == 4, F.greatest(F.lit(0), F.col("minimum_experience_months") - 24)).otherwise(F.col("minimum_experience_months")),
+    doc_id, months = F.col("doc_id"), F.col("minimum_experience_months")
+    spoiled = t.classified_offers.withColumns(
+        {
+            "status": F.when(doc_id % 5 == 0, "ambiguous").otherwise(F.col("status")),
+            "minimum_experience_months": F.when(doc_id % 13 == 6, -1).when(doc_id % 7 == 4, F.greatest(F.lit(0), months - 24)).otherwise(months),
+            "junior_observation_contradictory": F.when(doc_id % 11 != 3, F.col("junior_observation_contradictory")),
+        }
     )
-    return Pu.classification_invariants(spoiled).filter(F.col("code").isin("ambiguous_with_derived", "contradictory_without_months")).select("offer_id", "code")
+    return Pu.classification_invariants(spoiled).select("offer_id", "code")
 
 
 _PAYLOADS = """select snapshot_id, offer_id, case when doc_id % 3 <> 0 then description_text end as raw_payload,

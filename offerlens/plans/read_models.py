@@ -466,7 +466,8 @@ def _metrics_by_dimension(t):
 
 @query(
     "percent_point_change",
-    f"""with rates as (select * from ({_all_rates_sql('{day_members}', 'dataset_id, business_date')}) a)
+    f"""with counted_members as materialized (select * from {{day_members}}),
+        rates as materialized (select * from ({_all_rates_sql('counted_members', 'dataset_id, business_date')}) a)
         select a.metric_key, cast(a.business_date as varchar) as date_a,
           concat_ws(',', case when a.metric_version <> b.metric_version then 'method_differs' end,
             case when a.sample_quality = 'insufficient' or b.sample_quality = 'insufficient' then 'sample_insufficient' end) as refused,

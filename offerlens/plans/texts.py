@@ -324,10 +324,10 @@ def _content_hash(t):
 
 
 def _offers(t):
-    """Documents as offers with the columns the classifier reads. Small inputs are spread over the cores."""
+    """Documents as offers with the columns the classifier reads."""
     rows = t.offer_rows.withColumn("experience_required", O.structured_experience(F.col("experience_code")))
-    return T.spread_small(
-        rows.select("doc_id", "offer_id", "snapshot_id", "classification_id", "title", "description_text", "experience_required", "experience_label", "salary_label")
+    return rows.select(
+        "doc_id", "offer_id", "snapshot_id", "classification_id", "title", "description_text", "experience_required", "experience_label", "salary_label"
     )
 
 
@@ -571,9 +571,8 @@ def _evidence_summary(t):
 
 @query("semantic_violations", "select classification_id, '' as code from {offer_rows} where false")
 def _semantic_violations(t):
-    """Classifications are written once; answers and evidence are read back from there."""
-    stored = T.written(classified(t), "classified")
-    return C.semantic_violations(stored, C.evidence_summary(C.evidence_table(stored)))
+    rows = classified(t)
+    return C.semantic_violations(rows, C.evidence_summary(C.evidence_table(rows)))
 
 
 @query(
@@ -596,9 +595,8 @@ def _reclassify(t):
 def _immutable(t):
     """Classifying again gives the same hash, but for the stored rows that were changed on purpose."""
     again = classified(t).select("doc_id", "snapshot_id", F.lit(C.CLASSIFIER_VERSION).alias("classifier_version"), C.result_hash().alias("result_hash"))
-    stored = T.written(again, "hashes")
     changed = F.when(F.col("doc_id") % 97 == 5, F.lit("changed")).otherwise(F.col("result_hash"))
-    return C.changed_results(stored.withColumn("result_hash", changed), again).select("snapshot_id")
+    return C.changed_results(again.withColumn("result_hash", changed), again).select("snapshot_id")
 
 
 @query("result_hash")

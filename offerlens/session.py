@@ -63,10 +63,12 @@ def local_session(cpus: int | str = 8, name: str = "offerlens") -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder named by the session; a temporary one only where nothing is set (tests)."""
+    """The shared folder that the session names; a temporary one only for a session on one machine, as in tests."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="offerlens-checkpoint-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)

@@ -49,17 +49,6 @@ def computed_once(rows: DataFrame, name: str, column: Column) -> DataFrame:
     return rows.select("*", F.explode_outer(F.array(column)).alias(name))
 
 
-def spread_small(rows: DataFrame) -> DataFrame:
-    """Spread a scan of fewer files than cores, for jobs that spend their time per row.
-
-    A small file is cut into splits of which only one may hold rows. Large inputs have far more
-    partitions than cores, whatever their number of files, and pass through untouched.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    small = rows.rdd.getNumPartitions() <= 2 * cores and len(rows.inputFiles()) < cores
-    return rows.repartition(cores) if small else rows
-
-
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
