@@ -10,6 +10,7 @@ from offerlens.functions import rates as R
 from offerlens.operators import evaluate as E
 from offerlens.operators import explorer as X
 from offerlens.operators import history as H
+from offerlens.operators import publish as Pu
 from offerlens.operators import quality as Q
 from offerlens.operators.scope import Scope, split_list
 from offerlens.operators.skew import bucketed_neighbour, bucketed_rank, hash_slice
@@ -180,3 +181,48 @@ def test_pairwise_overlap_against_brute_force(spark):
     expected = {(a, b): (len(sets[a] & sets[b]), len(sets[a] | sets[b])) for a in sets for b in sets if a < b}
     got = {(r["left_id"], r["right_id"]): (r["intersection"], r["union"]) for r in E.pairwise_overlap(df, queries).collect()}
     assert got == expected
+
+
+def test_lost_query_and_empty_run_block(spark):
+    """A query that loses its offers and a run without any are seen, whatever classifier versions are stored."""
+    runs = spark.createDataFrame(
+        [("r1", "s", "q", "full", "succeeded", 1), ("r2", "s", "q", "full", "succeeded", 2), ("r3", "s", "q", "full", "succeeded", 3)],
+        "run_id string, source_id string, query_set_version string, mode string, status string, at int",
+    ).selectExpr("*", "timestamp_seconds(at) as created_at", "10L as offers_received", "10L as offers_valid", "0L as offers_quarantined")
+    queries = spark.createDataFrame([(r, q, "succeeded") for r in ("r1", "r2", "r3") for q in ("a", "b")], "run_id string, query_id string, status string")
+    seen = [("r1", "a", f"o{i}") for i in range(30)] + [("r1", "b", f"p{i}") for i in range(5)] + [("r2", "a", f"o{i}") for i in range(30)]
+    sightings = spark.createDataFrame(seen, "run_id string, query_id string, offer_id string").selectExpr("*", "true as offer_created", "true as snapshot_created")
+    pages = spark.createDataFrame([("r1", 10)], "run_id string, source_total int")
+    offers = [f"o{i}" for i in range(30)]
+    snapshots = spark.createDataFrame([(f"s{o}", o) for o in offers], "snapshot_id string, offer_id string").selectExpr("*", "cast(null as timestamp) as valid_to")
+    versions = [(f"{v}{o}", f"s{o}", v, "classified", True) for o in offers for v in ("v1", "v2")]
+    classifications = spark.createDataFrame(
+        versions, "classification_id string, snapshot_id string, classifier_version string, status string, claims_junior boolean"
+    ).selectExpr("*", "cast(null as int) as minimum_experience_months", "cast(null as boolean) as beginner_friendly", "cast(null as boolean) as contradictory_junior")
+    evidence = spark.createDataFrame([(f"v1{o}",) for o in offers], "classification_id string")
+    volumes = Q.partition_volume_policy(Q.partition_volumes(sightings, runs, queries)).collect()
+    assert {(r.run_id, r.query_id): (r.current, r.previous, r.verdict) for r in volumes} == {
+        ("r2", "a"): (30, 30, "ok"), ("r2", "b"): (0, 5, "block"), ("r3", "a"): (0, 30, "block"), ("r3", "b"): (0, 0, "ok")
+    }
+    for version, proven in (("v1", 30), ("v2", 0)):
+        facts = Q.run_quality_facts(runs, queries, pages, sightings, snapshots, classifications, evidence, version)
+        rows = {r.run_id: r for r in facts.collect()}
+        assert (rows["r2"].unique_offers, rows["r2"].positives, rows["r2"].positives_with_evidence) == (30, 30, proven)
+        assert [rows[r].volume_anomaly for r in ("r1", "r2", "r3")] == [False, True, True]
+
+
+def test_second_rollback_withdraws_the_restored(spark):
+    datasets = spark.createDataFrame([(f"P{i}", "s", "publish", "published", i) for i in (1, 2, 3)], "dataset_id string, source_id string, decision string, status string, at int")
+    datasets = datasets.withColumn("published_at", F.expr("timestamp_seconds(at)"))
+    members = datasets.select("dataset_id")
+    metrics = datasets.select("dataset_id", F.lit(R.CONTRADICTION).alias("metric_key"))
+    rollbacks = spark.createDataFrame([("P2", "s", 4), ("P1", "s", 5)], "dataset_id string, source_id string, at int").selectExpr("dataset_id", "source_id", "timestamp_seconds(at) as rolled_back_at")
+    rows = {r.dataset_id: (r.status, r.is_current) for r in Pu.publication_log(datasets, members, metrics, rollbacks).collect()}
+    assert rows == {"P1": ("published", True), "P2": ("withdrawn", False), "P3": ("withdrawn", False)}
+
+
+def test_split_windows_keep_null_keys(spark):
+    rows = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "k string, v int")
+    near = bucketed_neighbour(rows, ["k"], F.col("v"), ["v"], ["v"]).collect()
+    assert sorted((r.v, r.previous_v) for r in near) == [(1, None), (2, 1), (3, None)]
+    assert bucketed_rank(rows, ["k"], [F.col("v")], F.col("v")).count() == 3
