@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerlens.functions.text import content_fingerprint, fold_excerpt, redact_text
@@ -44,18 +44,18 @@ def discovery_stratum(channels: Column) -> Column:
 def blind_stratified_sample(candidates: DataFrame, seed: str, per_stratum: int = SAMPLE_PER_STRATUM, per_group: int = SAMPLE_PER_GROUP) -> DataFrame:
     """Per group: the first ten of each stratum by hash, then the rest by hash until thirty are chosen.
 
-    At most `per_group` rows of each stratum can matter: these are found by a top-k that is cut inside
-    slices of hash values first, so a hot group never meets in one task.
+    At most `per_group` rows of each stratum can matter. The limit on the row number is cut inside every task before
+    the shuffle, so a hot group sends that many rows a task.
     """
     digest = F.sha2(F.concat_ws("\u0000", "offer_id", "group_id", F.lit(seed)), 256)
     hashed = candidates.withColumn("_hash", digest)
-    ranked = bucketed_rank(hashed, ["group_id", "stratum"], [F.col("_hash")], hash_slice(F.col("_hash"), 2), "stratum_rank")
-    short = ranked.filter(F.col("stratum_rank") <= per_group).drop("group_size")
+    rank = F.row_number().over(Window.partitionBy("group_id", "stratum").orderBy("_hash"))
+    short = hashed.withColumn("stratum_rank", rank).filter(F.col("stratum_rank") <= per_group)
     # From here on a group holds at most three times thirty rows.
     reserved = short.withColumn("reserved", F.col("stratum_rank") <= per_stratum)
-    rest = bucketed_rank(reserved, ["group_id", "reserved"], [F.col("_hash")], F.lit(0), "rest_rank")
-    taken = reserved.groupBy("group_id").agg(F.count_if("reserved").alias("taken"))
-    chosen = rest.join(taken, "group_id").filter(F.col("reserved") | (F.col("rest_rank") <= per_group - F.col("taken")))
+    rest = reserved.withColumn("rest_rank", F.row_number().over(Window.partitionBy("group_id", "reserved").orderBy("_hash")))
+    taken = F.count_if("reserved").over(Window.partitionBy("group_id"))
+    chosen = rest.withColumn("taken", taken).filter(F.col("reserved") | (F.col("rest_rank") <= per_group - F.col("taken")))
     return chosen.select(*candidates.columns)
 
 
@@ -263,25 +263,20 @@ def false_positive_reasons(rows: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- overlap of queries
 
 
-def pairwise_overlap(hits: DataFrame, queries: DataFrame) -> DataFrame:
-    """Intersection, union and Jaccard of every pair of queries over the offers they found.
+def pairwise_overlap(hits: DataFrame) -> DataFrame:
+    """Intersection, union and Jaccard of every pair of queries that found a common offer.
 
     Offers are first reduced to their set of queries and equal sets are counted, so pairs are built per
-    distinct set, weighted by its count, and never per offer. Pairs without a common offer come from the
-    list of queries, which is as small as the number of searches.
+    distinct set, weighted by its count, and never per offer. All other pairs have no common offer.
     """
     sets = hits.distinct().groupBy("offer_id").agg(F.array_sort(F.collect_set("query_id")).alias("queries"))
     weighted = sets.groupBy("queries").agg(F.count(F.lit(1)).alias("offers"))
     sizes = weighted.select(F.explode("queries").alias("query_id"), "offers").groupBy("query_id").agg(F.sum("offers").alias("size"))
     common = weighted.select(_ordered_pairs("queries"), "offers").groupBy("left_id", "right_id").agg(F.sum("offers").alias("intersection"))
-    listed = queries.select("query_id").distinct().agg(F.array_sort(F.collect_set("query_id")).alias("all_queries"))
-    every = listed.select(_ordered_pairs("all_queries"))
     side = lambda name: sizes.select(F.col("query_id").alias(f"{name}_id"), F.col("size").alias(f"{name}_size"))
-    joined = every.join(common, ["left_id", "right_id"], "left").join(side("left"), "left_id", "left").join(side("right"), "right_id", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    joined = joined.withColumn("intersection", zero("intersection"))
-    joined = joined.withColumn("union", zero("left_size") + zero("right_size") - F.col("intersection"))
-    return joined.select("left_id", "right_id", "intersection", "union", F.when(F.col("union") > 0, F.try_divide(F.col("intersection"), F.col("union"))).alias("jaccard"))
+    joined = common.join(side("left"), "left_id").join(side("right"), "right_id")
+    joined = joined.withColumn("union", F.col("left_size") + F.col("right_size") - F.col("intersection"))
+    return joined.select("left_id", "right_id", "intersection", "union", F.try_divide("intersection", "union").alias("jaccard"))
 
 
 def _ordered_pairs(column: str) -> Column:
@@ -297,13 +292,12 @@ def _ordered_pairs(column: str) -> Column:
 
 
 def overlap_summary(overlaps: DataFrame, queries: DataFrame) -> DataFrame:
-    """Mean Jaccard over occupation and keyword pairs of a same group; a missing one counts as 0."""
-    side = lambda name: queries.select(F.col("query_id").alias(f"{name}_id"), F.col("kind").alias(f"{name}_kind"), F.col("group_ids").alias(f"{name}_groups"))
-    rows = overlaps.join(F.broadcast(side("left")), "left_id").join(F.broadcast(side("right")), "right_id")
-    kinds = F.array_sort(F.array("left_kind", "right_kind"))
-    opposite = kinds == F.array(F.lit("keyword-only"), F.lit("occupation-only"))
-    pairs = rows.filter(opposite & F.arrays_overlap("left_groups", "right_groups"))
-    return pairs.agg(
+    """Mean Jaccard over occupation and keyword pairs of a same group; a pair without a common offer counts as 0."""
+    member = queries.select("query_id", "kind", F.explode("group_ids").alias("group_id"))
+    kind = lambda name, column: member.filter(F.col("kind") == name).select(F.col("query_id").alias(column), "group_id")
+    pairs = kind("occupation-only", "x").join(kind("keyword-only", "y"), "group_id").select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id"))
+    rows = pairs.distinct().join(overlaps, ["left_id", "right_id"], "left")
+    return rows.agg(
         F.count(F.lit(1)).alias("pairs"),
         F.count_if(F.col("intersection") > 0).alias("non_zero_pairs"),
         F.avg(F.coalesce("jaccard", F.lit(0.0))).alias("mean_jaccard"),

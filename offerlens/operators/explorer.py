@@ -81,7 +81,7 @@ def explorer_page(filtered: DataFrame, sort: str = "published_desc", limit: int
 
 def offer_details(page: DataFrame, evidence: DataFrame, mentions: DataFrame) -> DataFrame:
     """Evidence and technologies of the page rows. Both tables are cut to the page before they are collected."""
-    ids = F.broadcast(page.select("classification_id"))
+    ids = page.select("classification_id")
     proofs = (
         evidence.join(ids, "classification_id", "left_semi")
         .groupBy("classification_id")

@@ -207,5 +207,5 @@ def apply_absences(
 def query_match_semi(offers: DataFrame, matches: DataFrame, queries: DataFrame, query_set: str) -> DataFrame:
     """Offers with a match in an enabled, still valid query of the query set."""
     active = queries.filter((F.col("query_set_version") == query_set) & F.col("enabled") & F.col("valid_to").isNull())
-    matched = matches.join(F.broadcast(active.select("query_id")), "query_id", "left_semi").select("offer_id").distinct()
+    matched = matches.join(active.select("query_id"), "query_id", "left_semi").select("offer_id").distinct()
     return offers.join(matched, "offer_id", "left_semi")

@@ -214,7 +214,7 @@ def daily_metrics(rows: DataFrame, period: Column) -> DataFrame:
 def store_daily_metrics(stored: DataFrame, computed: DataFrame, draft_datasets: DataFrame) -> DataFrame:
     """Upsert by key: new values replace stored ones only while the dataset is a draft."""
     key = ["dataset_id", "metric_key", "metric_version", "period_start", "period_end", "dimension_hash"]
-    open_rows = computed.join(F.broadcast(draft_datasets.select("dataset_id")), "dataset_id", "left_semi")
+    open_rows = computed.join(draft_datasets.select("dataset_id"), "dataset_id", "left_semi")
     fresh = computed.join(stored, key, "left_anti").join(draft_datasets.select("dataset_id"), "dataset_id", "left_anti")
     kept = stored.join(open_rows, key, "left_anti")
     return kept.unionByName(open_rows).unionByName(fresh)

@@ -26,7 +26,7 @@ def offer_families(matches: DataFrame, queries: DataFrame, query_set: str) -> Da
     """
     active = queries.filter((F.col("query_set_version") == query_set) & F.col("enabled") & F.col("valid_to").isNull())
     active = active.select("query_id", F.col("job_families").alias("query_families"))
-    joined = matches.join(F.broadcast(active), "query_id")
+    joined = matches.join(active, "query_id")
     families = joined.select("offer_id", F.explode(F.coalesce("job_families", "query_families")).alias("family")).distinct()
     return families.groupBy("offer_id").agg(F.array_sort(F.collect_set("family")).alias("job_families"))
 
@@ -226,7 +226,7 @@ def expired_quarantine(quarantine: DataFrame, runs: DataFrame, now: Column) -> D
     """Quarantine rows older than thirty days of finished runs."""
     finished = runs.filter(F.col("status").isin("succeeded", "partial", "failed", "cancelled")).select("run_id")
     old = quarantine.filter(F.col("created_at") < now - F.make_dt_interval(F.lit(30)))
-    return old.join(F.broadcast(finished), "run_id", "left_semi")
+    return old.join(finished, "run_id", "left_semi")
 
 
 def retention(snapshots: DataFrame, quarantine: DataFrame, runs: DataFrame, now: Column) -> DataFrame:

@@ -215,20 +215,16 @@ def quality_decision(facts: DataFrame) -> DataFrame:
 def comparable_samples(datasets: DataFrame, runs: DataFrame, counts: DataFrame) -> DataFrame:
     """For each published dataset: itself and the latest publication of each of the seven days before.
 
-    `datasets` and `runs` hold one row per day; only `counts` is aggregated from the facts.
+    Every dataset looks up its eight days, so the join grows with the datasets and not with their square.
     """
     done = runs.filter((F.col("status") == "succeeded") & F.col("started_at").isNotNull() & F.col("finished_at").isNotNull())
     duration = F.round((F.unix_micros("finished_at") - F.unix_micros("started_at")) / 1000).cast("long").alias("duration_ms")
     published = datasets.filter(F.col("status") == "published").join(done.select("run_id", duration), "run_id")
     same = ["source_id", "query_set_version", "classifier_version"]
-    current = published.select(*same, F.col("dataset_id").alias("current_id"), F.col("business_date").alias("current_date"))
+    day = F.explode(F.sequence(F.date_sub("business_date", 7), F.col("business_date")))
+    current = published.select(*same, F.col("dataset_id").alias("current_id"), F.col("business_date").alias("current_date"), day.alias("business_date"))
     prior = published.select(*same, "dataset_id", "business_date", "published_at", "duration_ms")
-    day = F.col("business_date")
-    pairs = current.join(prior, same).filter(
-        (day <= F.col("current_date"))
-        & (day >= F.date_sub("current_date", 7))
-        & ((day < F.col("current_date")) | (F.col("dataset_id") == F.col("current_id")))
-    )
+    pairs = current.join(prior, [*same, "business_date"]).filter((F.col("business_date") < F.col("current_date")) | (F.col("dataset_id") == F.col("current_id")))
     latest = first_by(pairs, ["current_id", "business_date"], ["published_at", "dataset_id"], descending=True)
     samples = latest.join(counts, "dataset_id", "left")
     return samples.select(

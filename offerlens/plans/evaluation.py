@@ -238,10 +238,10 @@ _FINGER = r"sha256(regexp_replace(lower(title || chr(10) || {0}), '\s+', ' ', 'g
 
 @query(
     "content_fingerprint",
-    f"select offer_id, {_FINGER.format('lang')} as fingerprint from {{offer_rows}}",
+    f"select offer_id, {_FINGER.format('description_text')} as fingerprint from {{offer_rows}}",
 )
 def _fingerprint(t):
-    return t.offer_rows.select("offer_id", content_fingerprint(F.col("title"), F.col("lang")).alias("fingerprint"))
+    return t.offer_rows.select("offer_id", content_fingerprint(F.col("title"), F.col("description_text")).alias("fingerprint"))
 
 
 _POOL = "select offer_id, title || ' ' || region_code as title, lang as description_text, doc_id from {offer_rows}"
@@ -289,9 +289,9 @@ _PAIRS = f"""select l.query_id as left_id, r.query_id as right_id, (select count
 _JACCARD = f"""select *, case when "union" > 0 then intersection::double / "union" end as jaccard from ({_PAIRS}) p"""
 
 
-@query("pairwise_overlap", _JACCARD)
+@query("pairwise_overlap", f"select * from ({_JACCARD}) j where intersection > 0")
 def _pairwise(t):
-    return E.pairwise_overlap(t.sql(_HITS), t.sql(_QUERIES))
+    return E.pairwise_overlap(t.sql(_HITS))
 
 
 @query(
@@ -302,7 +302,7 @@ def _pairwise(t):
 )
 def _overlap_summary(t):
     queries = t.sql(_QUERIES)
-    return E.overlap_summary(E.pairwise_overlap(t.sql(_HITS), queries), queries)
+    return E.overlap_summary(E.pairwise_overlap(t.sql(_HITS)), queries)
 
 
 _FOUND = "select lpad(cast(user_id as string), 8, '0') as offer_id, event_type as query_id, case when event_type in ('view', 'click') then 'occupation-only' when event_type = 'error' then 'overlap' else 'keyword-only' end as channel from {events}"
