@@ -174,13 +174,16 @@ def test_gates(spark):
 
 
 def test_pairwise_overlap_against_brute_force(spark):
-    hits = [(f"q{q}", o) for q in range(5) for o in range(40) if (o * (q + 3)) % 5 < 2]
+    hits = [(f"q{q}", o) for q in range(5) for o in range(40) if (o * (q + 3)) % 5 < 2] + [("q6", 100)]
     df = spark.createDataFrame(hits, "query_id string, offer_id int")
-    queries = spark.createDataFrame([(f"q{q}",) for q in range(6)], "query_id string")
-    sets = {f"q{q}": {o for x, o in hits if x == f"q{q}"} for q in range(6)}
-    expected = {(a, b): (len(sets[a] & sets[b]), len(sets[a] | sets[b])) for a in sets for b in sets if a < b}
-    got = {(r["left_id"], r["right_id"]): (r["intersection"], r["union"]) for r in E.pairwise_overlap(df, queries).collect()}
+    sets = {q: {o for x, o in hits if x == q} for q, _ in hits}
+    expected = {(a, b): (len(sets[a] & sets[b]), len(sets[a] | sets[b])) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    got = {(r["left_id"], r["right_id"]): (r["intersection"], r["union"]) for r in E.pairwise_overlap(df).collect()}
     assert got == expected
+    queries = spark.createDataFrame([(f"q{q}", "keyword-only" if q % 2 else "occupation-only", ["g"]) for q in range(8)], "query_id string, kind string, group_ids array<string>")
+    row = E.overlap_summary(E.pairwise_overlap(df), queries).first()
+    mixed = [v for (a, b), v in expected.items() if int(a[1]) % 2 != int(b[1]) % 2]
+    assert (row.pairs, row.non_zero_pairs) == (16, len(mixed)) and abs(row.mean_jaccard - sum(i / u for i, u in mixed) / 16) < 1e-12
 
 
 def test_lost_query_and_empty_run_block(spark):
