@@ -324,6 +324,14 @@ def collection_summary(query_runs: DataFrame, hits: DataFrame) -> DataFrame:
     return counted.withColumn("unique_offers", offers.scalar())
 
 
+def group_offers(hits: DataFrame, queries: DataFrame) -> DataFrame:
+    """Distinct offers of each group of queries, 0 for a group whose queries found none."""
+    groups = queries.select("query_id", F.explode("group_ids").alias("group_id")).distinct()
+    found = groups.join(hits.select("query_id", "offer_id").distinct(), "query_id", "left")
+    pairs = found.select("group_id", "offer_id").distinct()
+    return pairs.groupBy("group_id").agg(F.count("offer_id").alias("unique_offers"))
+
+
 # ---------------------------------------------------------------- labels
 
 

@@ -220,15 +220,34 @@ def store_daily_metrics(stored: DataFrame, computed: DataFrame, draft_datasets:
     return kept.unionByName(open_rows).unionByName(fresh)
 
 
+#: The dimensions that an offer may have several values of, and the array column that holds them.
+ARRAYS = {"job_family": "job_families", "technology_slug": "technologies"}
+
+
 def metrics_by_dimension(rows: DataFrame, sets: list[tuple[str, ...]]) -> DataFrame:
     """The same rates by up to three combined dimensions, by grouping sets.
 
-    `rows` holds one row per offer and combination of the exploded dimensions named in `sets`; sets
-    without an array dimension must be given rows that are not exploded.
+    `rows` holds one row per offer. Arrays are exploded for the sets that name their dimension and for no other,
+    so an offer counts once in each of its families and technologies and once everywhere else.
     """
     if any(len(s) > MAX_COMBINED_DIMENSIONS for s in sets):
         raise ValueError("at most three dimensions may be combined")
     used = [d for d in DIMENSIONS if any(d in s for s in sets)]
+    by_arrays: dict[tuple[str, ...], list[tuple[str, ...]]] = {}
+    for dimensions in sets:
+        by_arrays.setdefault(tuple(d for d in ARRAYS if d in dimensions), []).append(dimensions)
+    found = []
+    for arrays, own in by_arrays.items():
+        spread = rows
+        for dimension in arrays:
+            spread = spread.withColumn(dimension, F.explode(F.array_distinct(ARRAYS[dimension])))
+        cells = _by_sets(spread, own)
+        found.append(cells.select(*[c if c in cells.columns else F.lit(None).cast("string").alias(c) for c in used], *[c for c in cells.columns if c not in used]))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _by_sets(rows: DataFrame, sets: list[tuple[str, ...]]) -> DataFrame:
+    used = [d for d in DIMENSIONS if any(d in s for s in sets)]
     named = (
         (R.CONTRADICTION, R.contradiction_versioned(F.col("junior_metric_version"))),
         (R.BEGINNER, R.beginner_rate()),

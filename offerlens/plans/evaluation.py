@@ -332,6 +332,15 @@ def _collection(t):
     return E.collection_summary(t.sql(_RUNS), t.sql(_FOUND))
 
 
+@query(
+    "collection_group_offers",
+    f"""select g.group_id, count(distinct h.offer_id) as unique_offers from (select query_id, unnest(group_ids) as group_id from ({_QUERIES}) q) g
+        left join ({_HITS}) h on h.query_id = g.query_id group by g.group_id""",
+)
+def _group_offers(t):
+    return E.group_offers(t.sql(_HITS), t.sql(_QUERIES))
+
+
 _RELEVANCE = """select review_id, query_group as group_id, case when reference_status = 'ambiguous' then 'ambiguous' else 'classified' end as label_status,
    reference_positive as relevant, case when doc_id % 10 = 0 then 'overlap' when doc_id % 3 = 0 then 'keyword-only' else 'occupation-only' end as stratum,
    case when reference_positive then null when doc_id % 2 = 0 then 'adjacent-occupation' else 'insufficient-context' end as reason from {label_rows}"""

@@ -437,31 +437,37 @@ def _daily_metrics(t):
     )
 
 
-_SETS = [(), ("region_code",), ("contract_kind",), ("region_code", "contract_kind", "remote_mode")]
+_SETS = [
+    (), ("region_code",), ("contract_kind",), ("region_code", "contract_kind", "remote_mode"), ("department_code", "commune_code"),
+    ("job_family",), ("technology_slug",), ("job_family", "technology_slug", "remote_mode"),
+]
 
 
 def _dimension_sql() -> str:
     parts = []
     for dims in _SETS:
-        columns = ", ".join(
-            (d if d in dims else "null::varchar") + f" as {d}" for d in ("region_code", "contract_kind", "remote_mode")
-        )
-        inner = f"select *, {columns.replace(' as ', ' as k_')} from {{dataset_rows}}"
-        keys = "dataset_id, k_region_code, k_contract_kind, k_remote_mode"
+        source = "{dataset_rows}"
+        if "job_family" in dims:
+            source = f"(select *, unnest(list_distinct(job_families)) as job_family from {source})"
+        if "technology_slug" in dims:
+            source = f"(select r.*, m.slug as technology_slug from {source} r join {{mentions}} m on m.classification_id = r.classification_id)"
+        columns = ", ".join((d if d in dims else "null::varchar") + f" as k_{d}" for d in M.DIMENSIONS)
+        present = " and ".join(f"{d} is not null" for d in dims) or "true"
+        inner = f"select *, {columns} from {source} s where {present}"
+        keys = "dataset_id, " + ", ".join(f"k_{d}" for d in M.DIMENSIONS)
         parts.append(f"select * from ({_all_rates_sql(f'({inner}) d', keys)}) u")
     return " union all ".join(parts)
 
 
 @query(
     "metrics_by_dimension",
-    f"""select k_region_code as region_code, k_contract_kind as contract_kind, k_remote_mode as remote_mode, metric_key,
+    f"""select {", ".join(f"k_{d} as {d}" for d in M.DIMENSIONS)}, metric_key,
           numerator, denominator, unknown_count, ambiguous_count, population_count, value, sample_quality from ({_dimension_sql()}) m""",
 )
 def _metrics_by_dimension(t):
-    rows = M.metrics_by_dimension(t.dataset_rows, _SETS)
-    return rows.select(
-        "region_code", "contract_kind", "remote_mode", "metric_key", *R.COUNTS, "population_count", "value", "sample_quality"
-    )
+    named = t.mentions.groupBy("classification_id").agg(F.collect_set("slug").alias("technologies"))
+    rows = M.metrics_by_dimension(t.dataset_rows.join(named, "classification_id", "left"), _SETS)
+    return rows.select(*M.DIMENSIONS, "metric_key", *R.COUNTS, "population_count", "value", "sample_quality")
 
 
 @query(

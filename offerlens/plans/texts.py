@@ -311,13 +311,19 @@ def _load_taxonomies(t):
     return merged.select("slug", "alias", "match_kind", F.array_join("negative_patterns", ",").alias("exclusions"))
 
 
+# The nine content columns of an offer, from those that the offers have.
+_CONTENT = """select offer_id, title, description_text, company_name, region_code || '/' || commune_code as location, contract_code as contract,
+   experience_code as structured_experience, salary_label as salary, source_url || '#apply' as application_url, source_url from {offer_rows}"""
+
+
 @query(
     "content_hash",
-    """select offer_id, sha256('{"title":' || to_json(title)::varchar || ',"company_name":' || coalesce(to_json(company_name)::varchar, 'null')
-         || ',"region_code":' || to_json(region_code)::varchar || '}') as content_hash from {offer_rows}""",
+    "select offer_id, sha256('{' || concat_ws(',', "
+    + ", ".join(f"""'"{c}":' || coalesce(to_json({c})::varchar, 'null')""" for c in O.CONTENT_COLUMNS)
+    + f") || '}}') as content_hash from ({_CONTENT}) c",
 )
 def _content_hash(t):
-    return t.offer_rows.select("offer_id", O.content_hash("title", "company_name", "region_code").alias("content_hash"))
+    return t.sql(_CONTENT).select("offer_id", O.content_hash(*O.CONTENT_COLUMNS).alias("content_hash"))
 
 
 # ------------------------------------------------------------------ text rules
