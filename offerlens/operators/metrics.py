@@ -26,8 +26,14 @@ def overview_metrics(scoped: DataFrame) -> DataFrame:
 
 
 def fixed_keys(spark: SparkSession, keys: tuple[str, ...], name: str = "key") -> DataFrame:
-    """A fixed vocabulary with its order, for zero fill."""
-    return F.broadcast(spark.createDataFrame([(k, i) for i, k in enumerate(keys)], f"{name} string, position int"))
+    """A fixed vocabulary with its order, for zero fill; a local relation that the planner knows the size of."""
+    return literal_rows(spark, [(k, i) for i, k in enumerate(keys)], f"{name}, position")
+
+
+def literal_rows(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
+    """A handful of constant rows as VALUES, without a job over Python data."""
+    shown = [", ".join("'" + v.replace("'", "\\'") + "'" if isinstance(v, str) else str(v) for v in row) for row in rows]
+    return spark.sql(f"select * from values {', '.join(f'({row})' for row in shown)} as t({names})")
 
 
 def zero_filled(counts: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
@@ -130,7 +136,7 @@ def overview(scoped: DataFrame, mentions: DataFrame, technologies: int = 10) ->
     fixed = [("sample", "size")]
     fixed += [(m, c) for m in (R.CONTRADICTION, R.BEGINNER, R.SALARY) for c in R.COUNTS]
     fixed += [("experience", k) for k in O.EXPERIENCE_BUCKETS] + [("remote", k) for k in O.REMOTE_MODES]
-    zeros = spark.createDataFrame([(s, k, 0) for s, k in fixed], "section string, key string, count long")
+    zeros = literal_rows(spark, list(fixed), "section, key").withColumn("count", F.lit(0).cast("long"))
     counted = counted.unionByName(zeros).groupBy("section", "key").agg(F.sum("count").alias("count"))
     # From here on the frame holds some hundred rows.
     counts_of = F.collect_list(F.struct("section", "key", "count"))
