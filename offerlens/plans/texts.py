@@ -118,10 +118,13 @@ _VALID = f"select * from ({_GOOD_PAGES}) p where {_ISSUES} = ''"
 @query(
     "unknown_field_report",
     f"""select range_start, 'resultats.' || item_ordinal as path, 'nouveauChamp' as field, 'number' as observed_type from ({_VALID}) v where doc_id % 11 = 2
-        union all select range_start, 'resultats.' || item_ordinal, 'autreChamp', 'string' from ({_VALID}) v where doc_id % 7 = 1""",
+        union all select range_start, 'resultats.' || item_ordinal, 'autreChamp', 'string' from ({_VALID}) v where doc_id % 7 = 1
+        union all select distinct (doc_id // {PAGE_SIZE}) * {PAGE_SIZE}, '$root', 'extra', 'number' from {{documents}} where (doc_id // {PAGE_SIZE}) % 13 = 9""",
 )
 def _unknown_fields(t):
-    return S.unknown_field_report(_checked(t)).drop("query_key")
+    pages = S.parsed_pages(raw_pages(t))
+    checked = S.validate_contract(S.read_offer_pages(pages))
+    return S.unknown_field_report(checked).unionByName(S.unknown_root_fields(pages)).drop("query_key")
 
 
 @query(

@@ -238,6 +238,20 @@ def unknown_field_report(checked: DataFrame) -> DataFrame:
     )
 
 
+def unknown_root_fields(pages: DataFrame) -> DataFrame:
+    """Fields beside the result list of pages whose envelope holds, in the columns of `unknown_field_report`."""
+    fields = F.try_variant_get("page", "$", "map<string,variant>")
+    unknown = F.map_filter(fields, lambda name, _: ~name.isin(*ROOT_FIELDS))
+    rows = envelope_check(pages).filter(F.col("root_issue").isNull()).select("query_key", "range_start", F.explode(unknown).alias("field", "value"))
+    return rows.select(
+        "query_key",
+        "range_start",
+        F.lit("$root").alias("path"),
+        F.when(F.contains("field", F.lit(UNSTORABLE)), MASKED_FIELD).otherwise(F.col("field")).alias("field"),
+        _kind(F.col("value")).alias("observed_type"),
+    )
+
+
 def page_status(pages: DataFrame, checked: DataFrame, unknown: DataFrame) -> DataFrame:
     """Per page: valid, valid_with_warnings or invalid_quarantined."""
     keys = ["query_key", "range_start"]
