@@ -160,7 +160,7 @@ def contamination(
     result = rows.select("row_id", "id", "n_words").join(covered, "row_id", "left").join(named, "row_id", "left")
     n_hit, found = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
     return result.select(
-        F.col("id").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size(found).cast("long").alias("n_items"), found.alias("items"), (n_hit > 0).alias("contaminated"), "row_id"
+        F.col("id").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size(found).cast("long").alias("n_items"), found.alias("items"), (n_hit > 0).alias("contaminated")
     )
 
 
