@@ -163,7 +163,7 @@ def run_quality_facts(
         F.count_if(F.col("verdict") == "warning").alias("volume_warnings"),
     )
     facts = (
-        previous_complete_run(runs)
+        previous_complete_run(runs.drop("offers_new", "offers_updated"))
         .join(queries, "run_id", "left")
         .join(capped, "run_id", "left")
         .join(counted, "run_id", "left")
@@ -314,27 +314,44 @@ def freshness(cutoff: Column, now: Column) -> Column:
     return F.when(hours <= FRESH_HOURS, "fresh").when(hours <= STALE_HOURS, "delayed").otherwise("stale")
 
 
+RUN_COUNTERS = (
+    "requests_count", "offers_received", "offers_valid", "offers_new", "offers_updated", "offers_quarantined", "offers_marked_missing", "offers_closed",
+)
+
+
 def data_status(dataset: DataFrame, runs: DataFrame, run_queries: DataFrame, rows: DataFrame, events: DataFrame, now: Column) -> DataFrame:
-    """The status answer of the current dataset, one row."""
+    """The status answer of the current dataset, one row: judgement, warnings, last run with its counters, incidents.
+
+    Incidents are those of the dataset and those of none; the list is as long as `incident_list` allows.
+    """
     queries = run_queries.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("queries"), F.count_if(F.col("status") != "succeeded").alias("partial_queries")
     )
     run = latest_run(runs).join(queries, "run_id", "left")
-    last = run.select(
-        "source_id", F.col("status").alias("run_status"), "started_at", "finished_at", "offers_received", "offers_valid",
-        "offers_quarantined", "queries", "partial_queries",
-    )
-    open_incidents = incident_list(events, now).filter(F.col("resolved_at").isNull()).agg(F.count(F.lit(1)))
+    last = run.select("source_id", F.col("status").alias("run_status"), "started_at", "finished_at", *RUN_COUNTERS, "queries", "partial_queries")
+    here = dataset.select(F.col("dataset_id").alias("_here"))
+    own = events.join(here, events.dataset_id == F.col("_here"), "left_semi").unionByName(events.filter(F.col("dataset_id").isNull()))
+    listed = incident_list(own, now).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("resolved_at").isNotNull().alias("resolved"), (-F.unix_micros("created_at")).alias("newest"), "event_id", "state"))).alias("incidents")
+    )
     joined = (
         dataset.join(last, "source_id", "left")
         .join(ambiguous_rate(rows, "dataset_id"), "dataset_id", "left")
-        .withColumn("open_incidents", open_incidents.scalar())
+        .join(listed, F.lit(True), "left")
+        .withColumn("open_incidents", F.size(F.filter("incidents", lambda i: ~i["resolved"])))
         .withColumn("freshness", freshness(F.col("source_cutoff_at"), now))
     )
-    degraded = (
-        (F.col("freshness") != "fresh")
-        | F.coalesce(F.col("run_status").isin("partial", "failed"), F.lit(False))
-        | (F.col("open_incidents") > 0)
+    stale, partial = F.col("freshness") != "fresh", F.col("run_status") == "partial"
+    degraded = stale | F.coalesce(F.col("run_status").isin("partial", "failed"), F.lit(False)) | (F.col("open_incidents") > 0)
+
+    def warning(code: str, severity) -> Column:
+        return F.struct(F.lit(code).alias("code"), severity.alias("severity"))
+
+    warnings = F.array_compact(
+        F.array(
+            F.when(stale, warning("STALE_DATA", F.when(F.col("freshness") == "stale", "critical").otherwise("warning"))),
+            F.when(partial, warning("PARTIAL_COLLECTION", F.lit("warning"))),
+        )
     )
     success = (F.col("run_status") == "succeeded") & F.col("finished_at").isNotNull()
     return (
@@ -342,6 +359,8 @@ def data_status(dataset: DataFrame, runs: DataFrame, run_queries: DataFrame, row
         .withColumn(
             "quality", F.when(degraded, F.when(F.col("freshness") == "stale", "stale").otherwise("limited")).otherwise("normal")
         )
+        .withColumn("warnings", warnings)
+        .withColumn("incidents", F.transform("incidents", lambda i: F.struct(i["event_id"].alias("event_id"), i["state"].alias("state"))))
         .withColumn("last_success_at", F.when(success, F.col("finished_at")).otherwise(F.col("published_at")))
         .withColumn("duration_ms", F.greatest(F.lit(0), F.unix_millis("finished_at") - F.unix_millis("started_at")))
     )

@@ -402,17 +402,26 @@ def _incident_list(t):
     return Q.incident_list(t.quality_events, _now()).select("event_id", "state")
 
 
+_INCIDENTS = f"""select event_id, resolved_at, created_at, case when resolved_at is not null then 'resolved' when severity in ('info', 'warning') then 'monitoring' else 'identified' end as state
+   from {{quality_events}} where is_public and created_at >= timestamp '{NOW}' - interval 30 day and (dataset_id is null or dataset_id = 'D2024-01-30')
+   order by resolved_at is null desc, created_at desc, event_id limit 20"""
+
+
 @query(
     "data_status",
     f"""select dataset_id, freshness, case when degraded then 'degraded' else 'operational' end as service,
          case when degraded then case when freshness = 'stale' then 'stale' else 'limited' end else 'normal' end as quality,
-         run_status, queries, partial_queries, duration_ms, members, ambiguous_rate from (
+         concat_ws(',', case when freshness <> 'fresh' then 'STALE_DATA:' || case when freshness = 'stale' then 'critical' else 'warning' end end,
+           case when run_status = 'partial' then 'PARTIAL_COLLECTION:warning' end) as warnings,
+         incidents, run_status, queries, partial_queries, duration_ms, members, ambiguous_rate,
+         requests_count, offers_received, offers_valid, offers_new, offers_updated, offers_quarantined, offers_marked_missing, offers_closed from (
        select *, freshness <> 'fresh' or run_status in ('partial', 'failed') or open_incidents > 0 as degraded from (
        select d.dataset_id, case when hours <= 30 then 'fresh' when hours <= 72 then 'delayed' else 'stale' end as freshness, r.status as run_status,
+         r.requests_count, r.offers_received, r.offers_valid, r.offers_new, r.offers_updated, r.offers_quarantined, r.offers_marked_missing, r.offers_closed,
          (select count(*) from {{run_queries}} q where q.run_id = r.run_id)::int as queries,
          (select count(*) from {{run_queries}} q where q.run_id = r.run_id and q.status <> 'succeeded')::int as partial_queries,
-         (select count(*) from (select * from {{quality_events}} where is_public and created_at >= timestamp '{NOW}' - interval 30 day
-            order by resolved_at is null desc, created_at desc, event_id limit 20) i where resolved_at is null) as open_incidents,
+         (select count(*) from ({_INCIDENTS}) i where resolved_at is null) as open_incidents,
+         (select coalesce(string_agg(event_id || ':' || state, ',' order by resolved_at is null desc, created_at desc, event_id), '') from ({_INCIDENTS}) i) as incidents,
          epoch_us(r.finished_at) // 1000 - epoch_us(r.started_at) // 1000 as duration_ms, a.members, a.ambiguous::double / a.members as ambiguous_rate
        from (select *, (epoch_us(timestamp '{NOW}') // 1000 - epoch_us(source_cutoff_at) // 1000) / 3600000.0 as hours from {{datasets}}) d, {{runs}} r, (select count(*) as members, count(*) filter (where status = 'ambiguous') as ambiguous from {{day_members}} where dataset_id = 'D2024-01-30') a
        where d.dataset_id = 'D2024-01-30' and r.run_id = 'R2024-01-30') facts) judged""",
@@ -421,9 +430,11 @@ def _data_status(t):
     dataset = t.datasets.filter(F.col("dataset_id") == "D2024-01-30")
     rows = t.day_members.select("dataset_id", "status")
     status = Q.data_status(dataset, t.runs, t.run_queries, rows, t.quality_events, _now())
+    joined = lambda column, *parts: F.array_join(F.transform(column, lambda x: F.concat_ws(":", *[x[p] for p in parts])), ",").alias(column)
     return status.select(
-        "dataset_id", "freshness", "service", "quality", "run_status", F.col("queries").cast("int").alias("queries"),
-        F.col("partial_queries").cast("int").alias("partial_queries"), "duration_ms", "members", "ambiguous_rate",
+        "dataset_id", "freshness", "service", "quality", joined("warnings", "code", "severity"), joined("incidents", "event_id", "state"), "run_status",
+        F.col("queries").cast("int").alias("queries"), F.col("partial_queries").cast("int").alias("partial_queries"), "duration_ms", "members", "ambiguous_rate",
+        *Q.RUN_COUNTERS,
     )
 
 

@@ -213,7 +213,8 @@ TABLES: dict[str, str] = {
         case when {_V} = 12 then 'partial' when {_V} = 19 then 'failed' else 'succeeded' end as status,
         {_V} not in (12, 19) as closure_eligible,
         first_at as created_at, first_at as started_at, last_at as finished_at, received as offers_received,
-        received - invalid as offers_valid, invalid as offers_quarantined
+        received - invalid as offers_valid, invalid as offers_quarantined, received + 7 as requests_count,
+        invalid * 2 as offers_new, invalid * 3 as offers_updated, invalid * 4 as offers_marked_missing, invalid * 5 as offers_closed
       from (select {_DAY} as day, min(ts) as first_at, max(ts) as last_at, count(*) as received,
               cast(sum(case when event_id % 41 = 0 then 1 else 0 end) as bigint) as invalid
             from {{events}} group by {_DAY}) days""",
