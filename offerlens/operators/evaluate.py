@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from offerlens.functions.text import content_fingerprint, fold_excerpt, redact_text
 from offerlens.functions import rates as R
-from offerlens.operators.skew import bucketed_neighbour, bucketed_rank, hash_slice
+from offerlens.operators.skew import bucketed_rank, hash_slice
 
 STATUSES = ("classified", "ambiguous", "unclassified")
 COMPARED = ("status", "claims_junior", "minimum_experience_months", "beginner_friendly", "contradictory_junior")
@@ -367,19 +367,21 @@ def probable_duplicates(offers: DataFrame, days: int = 30) -> DataFrame:
     """Clusters of offers that are probably one: equal folded title, company, commune, contract and text, near dates.
 
     Reported, never merged. Members of a key are chained by date: a gap of more than `days` starts a new
-    cluster, so no pair is ever built. A key is split by month before it is ordered.
+    cluster, so no pair is ever built. Offers are reduced to one row per key and day before anything is ordered, so
+    a key holds no more rows than the calendar has days.
     """
     key = F.sha2(F.to_json(F.struct(fold_excerpt(F.col("title")).alias("t"), "company_name", "commune_code", "contract_kind", fold_excerpt(F.col("description_text")).alias("d")), {"ignoreNullFields": "false"}), 256)
-    rows = offers.select("offer_id", key.alias("duplicate_key"), F.to_date("source_published_at").alias("day"))
-    rows = rows.withColumn("day", F.coalesce("day", F.lit("1970-01-01").cast("date")))
-    near = bucketed_neighbour(rows, ["duplicate_key"], F.date_trunc("month", "day"), ["day", "offer_id"], ["day"])
-    starts = near.withColumn("start", F.coalesce(F.datediff("day", "previous_day") > days, F.lit(True)))
-    # Starts of a key lie more than `days` apart, so there are few of them; the last one before a row is its cluster.
-    first = starts.filter("start").select("duplicate_key", F.col("day").alias("cluster_day"))
-    spans = first.groupBy("duplicate_key").agg(F.array_sort(F.collect_set("cluster_day")).alias("cluster_days"))
-    placed = rows.join(spans, "duplicate_key").withColumn("cluster_day", F.array_max(F.filter("cluster_days", lambda d: d <= F.col("day"))))
-    sizes = placed.groupBy("duplicate_key", "cluster_day").agg(F.count(F.lit(1)).alias("cluster_size"), F.min("offer_id").alias("cluster_id"))
-    return placed.join(sizes.filter(F.col("cluster_size") > 1), ["duplicate_key", "cluster_day"]).select("offer_id", "cluster_id", "cluster_size")
+    day = F.coalesce(F.to_date("source_published_at"), F.lit("1970-01-01").cast("date"))
+    rows = offers.select("offer_id", key.alias("duplicate_key"), day.alias("day"))
+    dated = rows.groupBy("duplicate_key", "day").agg(F.count(F.lit(1)).alias("n"), F.min("offer_id").alias("least"))
+    ordered = Window.partitionBy("duplicate_key").orderBy("day")
+    starts = F.coalesce(F.datediff("day", F.lag("day").over(ordered)) > days, F.lit(True))
+    chained = dated.withColumn("start", F.when(starts, F.col("day")))
+    chained = chained.withColumn("cluster_day", F.max("start").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    cluster = Window.partitionBy("duplicate_key", "cluster_day")
+    sized = chained.withColumns({"cluster_size": F.sum("n").over(cluster), "cluster_id": F.min("least").over(cluster)})
+    several = sized.filter(F.col("cluster_size") > 1).select("duplicate_key", "day", "cluster_id", "cluster_size")
+    return rows.join(several, ["duplicate_key", "day"]).select("offer_id", "cluster_id", "cluster_size")
 
 
 def review_selection(rows: DataFrame, deltas: DataFrame, key: str = "review_id") -> DataFrame:
