@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerlens.functions.text import content_fingerprint, fold_excerpt, redact_text
 from offerlens.functions import rates as R
+from offerlens.operators.metrics import literal_rows
 from offerlens.operators.skew import bucketed_rank, hash_slice
 
 STATUSES = ("classified", "ambiguous", "unclassified")
@@ -17,6 +21,7 @@ SAMPLE_PER_STRATUM, SAMPLE_PER_GROUP = 10, 30
 STRATA = ("keyword-only", "occupation-only", "overlap")
 PRECISION_GATE, RECALL_GATE, MONTHS_GATE = 0.92, 0.85, 0.90
 GROUP_COVERAGE, GROUP_PRECISION, OVERALL_COVERAGE, OVERALL_PRECISION = 0.90, 0.70, 0.90, 0.80
+EVIDENCE_COVERAGE = 1.0
 
 
 # ---------------------------------------------------------------- samples
@@ -237,23 +242,68 @@ def reclassify_audit(before: DataFrame, after: DataFrame, key: str = "offer_id")
     return sides[0].unionByName(sides[1]).unionByName(sides[2]).withColumn("changed", changed.scalar())
 
 
-def query_relevance(rows: DataFrame) -> DataFrame:
-    """Per search group: size, coverage and precision of the labelled sample, each with its gate."""
-    resolved = (F.col("label_status") == "classified") & F.col("relevant").isNotNull()
+def _resolved() -> Column:
+    return (F.col("label_status") == "classified") & F.col("relevant").isNotNull()
+
+
+def query_relevance(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Per search group, also one without a row: size, coverage and precision of the labelled sample, each with its gate."""
     counted = rows.groupBy("group_id").agg(
-        F.count(F.lit(1)).alias("sample"), F.count_if(resolved).alias("resolved"), F.count_if(resolved & F.col("relevant")).alias("relevant")
+        F.count(F.lit(1)).alias("sample"), F.count_if(_resolved()).alias("resolved"), F.count_if(_resolved() & F.col("relevant")).alias("relevant")
     )
+    listed = groups.select("group_id").distinct().join(counted, "group_id", "left").fillna(0, ["sample", "resolved", "relevant"])
     return (
-        counted.withColumn("size_gate", F.when(F.col("sample") >= SAMPLE_PER_GROUP, "passed").otherwise("failed"))
+        listed.withColumn("size_gate", F.when(F.col("sample") >= SAMPLE_PER_GROUP, "passed").otherwise("failed"))
         .withColumn("coverage_gate", gate(F.col("resolved"), F.col("sample"), GROUP_COVERAGE))
         .withColumn("precision_gate", gate(F.col("relevant"), F.col("resolved"), GROUP_PRECISION))
     )
 
 
+def relevance_gate(rows: DataFrame, groups: DataFrame, collection: DataFrame) -> DataFrame:
+    """The verdict on a query set, one row: overall metrics, evidence, collection and groups must all pass."""
+    overall = rows.agg(
+        F.count(F.lit(1)).alias("sample"),
+        F.count_if(_resolved()).alias("resolved"),
+        F.count_if(_resolved() & F.col("relevant")).alias("relevant"),
+        F.count_if(F.col("evidence") > 0).alias("with_evidence"),
+    )
+    by_group = query_relevance(rows, groups)
+    gates = [F.col(c) == "passed" for c in ("size_gate", "coverage_gate", "precision_gate")]
+    groups_passed = by_group.agg(F.coalesce(F.bool_and(reduce(and_, gates)), F.lit(False)).alias("groups_passed"))
+    facts = collection.select(
+        ((F.col("complete") == F.col("queries")) & (F.col("over_cap") == 0) & (F.col("incomplete") == 0)).alias("pagination"),
+        (F.coalesce("quarantined", F.lit(0)) == 0).alias("quarantine"),
+        (F.col("warnings") == "").alias("contract"),
+    )
+    joined = overall.join(groups_passed, F.lit(True)).join(facts, F.lit(True))
+    named = {
+        "coverage_gate": gate(F.col("resolved"), F.col("sample"), OVERALL_COVERAGE),
+        "precision_gate": gate(F.col("relevant"), F.col("resolved"), OVERALL_PRECISION),
+        "evidence_gate": gate(F.col("with_evidence"), F.col("sample"), EVIDENCE_COVERAGE),
+        **{f"{c}_gate": F.when(F.col(c), "passed").otherwise("failed") for c in ("pagination", "quarantine", "contract", "groups_passed")},
+    }
+    judged = joined.withColumns(named)
+    verdict = F.when(reduce(and_, [F.col(c) == "passed" for c in named]), "passed").otherwise("blocked")
+    return judged.select("sample", "resolved", "relevant", "with_evidence", *named, verdict.alias("gate_status"))
+
+
 def relevance_by_stratum(rows: DataFrame) -> DataFrame:
-    resolved = rows.filter((F.col("label_status") == "classified") & F.col("relevant").isNotNull())
+    """Relevance by exclusive stratum of discovery, also where a stratum holds no resolved row."""
+    spark, resolved = rows.sparkSession, rows.filter(_resolved())
     counted = resolved.groupBy("stratum").agg(F.count(F.lit(1)).alias("resolved"), F.count_if("relevant").alias("relevant"))
-    return counted.withColumn("rate", F.try_divide(F.col("relevant"), F.col("resolved")))
+    listed = literal_rows(spark, [(s,) for s in STRATA], "stratum").join(counted, "stratum", "left").fillna(0, ["resolved", "relevant"])
+    return listed.withColumn("rate", F.try_divide(F.col("relevant"), F.col("resolved")))
+
+
+def relevance_by_query(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """Relevance of the labelled rows that each single query found; 0 rows for a query that found none."""
+    found = rows.withColumn("query_id", F.explode(F.array_distinct("query_ids")))
+    classified = F.col("label_status") == "classified"
+    counted = found.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("sample"), F.count_if(classified).alias("resolved"), F.count_if(classified & F.coalesce("relevant", F.lit(False))).alias("relevant")
+    )
+    listed = queries.select("query_id", "kind").join(counted, "query_id", "left").fillna(0, ["sample", "resolved", "relevant"])
+    return listed.withColumn("rate", F.try_divide(F.col("relevant"), F.col("resolved")))
 
 
 def false_positive_reasons(rows: DataFrame) -> DataFrame:

@@ -343,30 +343,68 @@ def _group_offers(t):
 
 _RELEVANCE = """select review_id, query_group as group_id, case when reference_status = 'ambiguous' then 'ambiguous' else 'classified' end as label_status,
    reference_positive as relevant, case when doc_id % 10 = 0 then 'overlap' when doc_id % 3 = 0 then 'keyword-only' else 'occupation-only' end as stratum,
+   case when doc_id % 50 = 7 then 0 else 2 end as evidence,
+   case when doc_id % 3 = 0 then arr('view', 'error') when doc_id % 3 = 1 then arr('click', 'view') else arr('purchase', 'purchase') end as query_ids,
    case when reference_positive then null when doc_id % 2 = 0 then 'adjacent-occupation' else 'insufficient-context' end as reason from {label_rows}"""
+_GROUPS = "select distinct query_group as group_id from {label_rows} union all select 'no-sample'"
 _GATE = "case when {d} = 0 then 'not_evaluable' when {n}::double / {d} >= {t} then 'passed' else 'failed' end"
+_BY_GROUP = f"""select *, case when sample >= 30 then 'passed' else 'failed' end as size_gate, {_GATE.format(n='resolved', d='sample', t=0.9)} as coverage_gate,
+          {_GATE.format(n='relevant', d='resolved', t=0.7)} as precision_gate from (
+        select g.group_id, count(r.review_id) as sample, count(r.review_id) filter (where label_status = 'classified' and relevant is not null) as resolved,
+          count(r.review_id) filter (where label_status = 'classified' and relevant) as relevant from ({_GROUPS}) g left join ({_RELEVANCE}) r on r.group_id = g.group_id
+        group by g.group_id) c"""
+
+
+@query("query_relevance", _BY_GROUP)
+def _relevance(t):
+    return E.query_relevance(t.sql(_RELEVANCE), t.sql(_GROUPS))
+
+
+_COLLECTED = f"""select count(*) as queries, count(*) filter (where status = 'complete') as complete, count(*) filter (where status = 'over_cap') as over_cap,
+   count(*) filter (where status = 'incomplete') as incomplete, sum(quarantined) as quarantined, count(warning) as warnings from ({_RUNS}) r"""
 
 
 @query(
-    "query_relevance",
-    f"""select *, case when sample >= 30 then 'passed' else 'failed' end as size_gate, {_GATE.format(n='resolved', d='sample', t=0.9)} as coverage_gate,
-          {_GATE.format(n='relevant', d='resolved', t=0.7)} as precision_gate from (
-        select group_id, count(*) as sample, count(*) filter (where label_status = 'classified' and relevant is not null) as resolved,
-          count(*) filter (where label_status = 'classified' and relevant) as relevant from ({_RELEVANCE}) r group by group_id) c""",
+    "relevance_gate",
+    f"""with gates as (
+          select sample, resolved, relevant, with_evidence, {_GATE.format(n='resolved', d='sample', t=0.9)} as coverage_gate,
+            {_GATE.format(n='relevant', d='resolved', t=0.8)} as precision_gate, {_GATE.format(n='with_evidence', d='sample', t=1)} as evidence_gate,
+            case when c.complete = c.queries and over_cap = 0 and incomplete = 0 then 'passed' else 'failed' end as pagination_gate,
+            case when coalesce(quarantined, 0) = 0 then 'passed' else 'failed' end as quarantine_gate,
+            case when warnings = 0 then 'passed' else 'failed' end as contract_gate,
+            case when (select bool_and(size_gate = 'passed' and coverage_gate = 'passed' and precision_gate = 'passed') from ({_BY_GROUP}) g) then 'passed' else 'failed' end as groups_passed_gate
+          from (select count(*) as sample, count(*) filter (where label_status = 'classified' and relevant is not null) as resolved,
+                  count(*) filter (where label_status = 'classified' and relevant) as relevant, count(*) filter (where evidence > 0) as with_evidence
+                from ({_RELEVANCE}) r) o, ({_COLLECTED}) c)
+        select *, case when coverage_gate = 'passed' and precision_gate = 'passed' and evidence_gate = 'passed' and pagination_gate = 'passed'
+          and quarantine_gate = 'passed' and contract_gate = 'passed' and groups_passed_gate = 'passed' then 'passed' else 'blocked' end as gate_status from gates""",
 )
-def _relevance(t):
-    return E.query_relevance(t.sql(_RELEVANCE))
+def _relevance_gate(t):
+    return E.relevance_gate(t.sql(_RELEVANCE), t.sql(_GROUPS), E.collection_summary(t.sql(_RUNS), t.sql(_FOUND)))
 
 
 @query(
     "relevance_by_stratum",
-    f"""select *, relevant::double / resolved as rate from (select stratum, count(*) as resolved, count(*) filter (where relevant) as relevant
-          from ({_RELEVANCE}) r where label_status = 'classified' and relevant is not null group by stratum) s""",
+    f"""select s.stratum, count(r.review_id) as resolved, count(r.review_id) filter (where relevant) as relevant,
+          count(r.review_id) filter (where relevant)::double / nullif(count(r.review_id), 0) as rate
+        from (select unnest(['keyword-only', 'occupation-only', 'overlap']) as stratum) s
+        left join ({_RELEVANCE}) r on r.stratum = s.stratum and label_status = 'classified' and relevant is not null group by s.stratum""",
 )
 def _strata(t):
     return E.relevance_by_stratum(t.sql(_RELEVANCE))
 
 
+@query(
+    "relevance_by_query",
+    f"""select q.query_id, q.kind, count(r.review_id) as sample, count(r.review_id) filter (where label_status = 'classified') as resolved,
+          count(r.review_id) filter (where label_status = 'classified' and relevant) as relevant,
+          count(r.review_id) filter (where label_status = 'classified' and relevant)::double / nullif(count(r.review_id) filter (where label_status = 'classified'), 0) as rate
+        from ({_QUERIES}) q left join ({_RELEVANCE}) r on list_contains(r.query_ids, q.query_id) group by q.query_id, q.kind""",
+)
+def _by_query(t):
+    return E.relevance_by_query(t.sql(_RELEVANCE), t.sql(_QUERIES))
+
+
 @query("false_positive_reasons", f"select reason, count(*) as count from ({_RELEVANCE}) r where reason is not null group by reason")
 def _reasons(t):
     return E.false_positive_reasons(t.sql(_RELEVANCE))
