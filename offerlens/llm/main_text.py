@@ -29,19 +29,32 @@ OUTSIDE = frozenset(
     "head script style noscript template iframe object svg math canvas audio video nav footer aside form button select textarea input dialog menu title xmp".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words of a class or id that name what surrounds an article, and words that name the article itself.
+#: First or last words of a class or id that name what surrounds an article.
 AROUND = frozenset(
-    "ad ads advert advertisement advertising adsense banner sponsor sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs "
-    "footer cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription comment comments respond replies reply "
-    "discussion disqus share sharing social related recommended recommendations widget pagination pager toolbar login signup search skip".split()
+    "ad ads advert advertisement advertising adverts adsense banner sponsor sponsored promo promotion promotions sidebar aside nav navbar navigation menu "
+    "breadcrumb breadcrumbs header masthead footer cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe "
+    "subscription comment comments respond replies reply discussion disqus share sharing social related recommended recommendations widget widgets "
+    "pagination pager toolbar login signup search skip".split()
 )
-WITHIN = frozenset("article content entry main post story text body page".split())
+#: Words that make a name say something about the article itself: a headline's block, or what a layout has or lacks.
+HEADED = frozenset("article entry post story".split())
+LAYOUT = frozenset("has no with without is".split())
 ARTICLE = frozenset(("article", "main"))
+HEADLINES = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: An opening tag ends an open element of these names, up to the nearest element that holds them.
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _HOLDERS = frozenset("ul ol dl table tbody thead tfoot select html body article section div main".split())
 
 
+def _is_around(name: str) -> bool:
+    words = _PARTS.findall(name)
+    if not words or words[0] in LAYOUT:
+        return False
+    if words[-1] == "header" and not HEADED.isdisjoint(words):
+        return False
+    return words[0] in AROUND or words[-1] in AROUND
+
+
 class _Page:
     """The elements of a page in order: parent, counts, and the texts with the element they stand in."""
 
@@ -74,8 +87,8 @@ class _Page:
         found = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes)}
         if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role") in ROLES:
             return True
-        named = set(_PARTS.findall(f"{found.get('class', '')} {found.get('id', '')}"))
-        return not named.isdisjoint(AROUND) and named.isdisjoint(WITHIN)
+        names = f"{found.get('class', '')} {found.get('id', '')}".split()
+        return any(_is_around(name) for name in names)
 
     def _build(self, source: str) -> None:
         stack, at, size = [0], 0, len(source)
@@ -194,9 +207,9 @@ class _Page:
             up = self.parent[node]
             if node == root or up < 0 or self.dropped[node]:
                 continue
-            # beside the path, an element counts if it is as dense as the thinnest element on it
-            beside = not semantic and up in above and node not in above and density[node] >= max(threshold, 1e-9)
-            out[node] = out[up] or beside
+            # beside the path, an element counts if it is as dense as the thinnest element on it; so does a headline
+            dense = density[node] >= max(threshold, 1e-9) or self.tags[node] in HEADLINES
+            out[node] = out[up] or (not semantic and up in above and node not in above and dense)
         return out
 
     def blocks(self) -> list[str]:
@@ -231,7 +244,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Every element gets its composite text density (characters per tag, adjusted by the share of link text); the
     element with the largest sum of its children's densities is the main text, or the whole `article` or `main` it stands in.
     Without such an element, those beside the path from the body to it count too if they are as dense as the
-    thinnest on the path. Elements that are never main text (scripts, menus, headers, footers, sidebars, notices, adverts, forms,
+    thinnest on the path, and headlines. Elements that are never main text (scripts, menus, headers, footers, sidebars, notices, adverts, forms,
     comments, by tag, role or class) are left out beforehand. Nothing else is dropped.
 
     Character references are decoded; white space within a block becomes one space; blocks are joined in page order by

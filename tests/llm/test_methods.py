@@ -209,6 +209,12 @@ def test_main_text_of_pages_without_an_article():
     assert main_text.main_text(page).split("\n\n") == [
         "Title & co", "First one with a link and a lot of words in it, more than anything around it has.", "Second one that is long enough too.", "Third <b>"
     ]
+    inside = """<body class="has-sidebar no-comments"><div class="main-menu"><p>menu words here</div><div id="content"><div class="entry-header"><h1>Head</h1></div>
+    <p>The text of the article has a sentence.<p>And another sentence that is as long.</div><div class="post-comments"><p>I read this and have much to say about it all.</div>
+    <section id=comments-list><p>More words by readers of this page.</section><div class="site-footer">foot</div><div class=sidebar-left>left</div>"""
+    assert main_text.main_text(inside).split("\n\n") == ["Head", "The text of the article has a sentence.", "And another sentence that is as long."]
+    parts = "<body><div><h1>Top</h1>" + "".join(f"<section><h2>H{i}</h2>" + f"<p>{'A long sentence about it. ' * (6 + i)}</p>" * 4 + "</section>" for i in range(3)) + "</div>"
+    assert [b[:3] for b in main_text.main_text(parts).split("\n\n")] == ["Top"] + ["H0", "A l", "A l", "A l", "A l", "H1", "A l", "A l", "A l", "A l", "H2", "A l", "A l", "A l", "A l"]
     assert [main_text.main_text(x) for x in (None, "", "<p>only", "a &eacute;", "<script>x</script>", "<")] == ["", "", "only", "a é", "", "<"]
 
 
