@@ -15,6 +15,7 @@ import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,7 @@ SEED = 12
 #: Characters of the texts that are searched together.
 PIECE = 1 << 20
 SPACE = "▁"
+_SLOTS = 1 << 20
 
 _ROWS = "doc_id long, sample int, ids array<int>, n_pieces int, log_prob double, inclusion double, round_trip boolean"
 
@@ -40,11 +42,21 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
-def _hash(piece: str) -> int:
-    """The hash that `_ranges` gives the whole piece."""
-    codes = np.frombuffer(piece.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
-    with np.errstate(over="ignore"):
-        return [int(hashed[0]) for _, hashed in _ranges(codes, len(piece))][-1]
+def _codes(parts: list[str]) -> np.ndarray:
+    """The characters of the parts, each part ended by a zero."""
+    return np.frombuffer("\0".join(parts).encode("utf-32-le", "surrogatepass") + b"\0\0\0\0", np.uint32)
+
+
+def _ranges(codes: np.ndarray, longest: int):
+    """For each length, the hash of the characters from each place on."""
+    c = codes.astype(np.uint64) + np.uint64(1)
+    total = np.zeros(len(c), np.uint64)
+    for length in range(1, min(longest, len(c)) + 1):
+        total = total[: len(c) - length + 1] * np.uint64(0xD6E8FEB86659FD93)
+        total += c[length - 1 :]
+        hashed = total * np.uint64(0xBF58476D1CE4E5B9)
+        hashed ^= hashed >> np.uint64(32)
+        yield length, hashed
 
 
 class Vocabulary:
@@ -75,83 +87,105 @@ class Vocabulary:
         inner = [p for p, _, _ in found if re.search(f"[^{SPACE}]{SPACE}", p) or "\n" in p]
         if inner:
             raise ValueError(f"pieces that cross words: {inner[:3]}")
-        hashes = np.array([_hash(p) for p, _, _ in found], np.uint64)
+        lengths = np.array([len(p) for p, _, _ in found])
+        starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
+        hashes = np.zeros(len(found), np.uint64)
+        with np.errstate(over="ignore"):
+            for length, hashed in _ranges(_codes([p for p, _, _ in found]), self.longest):
+                own = np.flatnonzero(lengths == length)
+                hashes[own] = hashed[starts[own]]
         order = np.argsort(hashes)
-        #: sorted hashes of the pieces with their ids and weights, and a bitmap of their low bits
+        #: sorted hashes of the pieces with their ids and weights
         self.hashes = hashes[order]
-        self.ids = np.array([i for _, i, _ in found], np.int32)[order]
+        self.ids = np.array([i for _, i, _ in found], np.int64)[order]
         self.log_weights = np.array([w for _, _, w in found])[order]
-        self.marked = np.zeros(1 << 20, np.bool_)
-        self.marked[hashes & np.uint64(len(self.marked) - 1)] = True
+        #: a piece with the given low bits of the hash, -1 if there is none, -2 if there are several
+        low = (self.hashes & np.uint64(_SLOTS - 1)).astype(np.int64)
+        self.slot = np.full(_SLOTS, -1, np.int32)
+        self.slot[low] = np.arange(len(low))
+        self.slot[np.flatnonzero(np.bincount(low, minlength=_SLOTS) > 1)] = -2
         self.words = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 
+    def find(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the hashes that are pieces, and which pieces they are."""
+        at = self.slot[hashed & np.uint64(_SLOTS - 1)]
+        place = np.flatnonzero(at != -1)
+        at = at[place]
+        several = np.flatnonzero(at == -2)
+        at[several] = np.minimum(np.searchsorted(self.hashes, hashed[place[several]]), len(self.hashes) - 1)
+        same = self.hashes[at] == hashed[place]
+        return place[same], at[same]
+
     def decode(self, ids) -> str:
         """The text of a segmentation, without the space that stands before every text."""
         return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
-def _ranges(c: np.ndarray, longest: int):
-    """For each length, the hash of the characters from each place on."""
-    total = np.zeros(len(c), np.uint64)
-    for length in range(1, longest + 1):
-        if length > len(c):
-            return
-        total = total[: len(c) - length + 1] * np.uint64(0xD6E8FEB86659FD93)
-        total += c[length - 1 :]
-        yield length, words.mix(total.copy())
-
-
 class Lattices:
     """The lattices of the distinct words of some texts in flat arrays: places, and the edges that leave each place.
 
-    `first` is the first place of a word, `begin` the first edge of a place. An edge has its share of the probability
-    up to it at its place (`upto`), the place where it leads or -1 (`next`), a piece id (from vocabulary size on, a
-    character in bytes), and its log probability at its place (`log`).
+    Places are numbered by the characters left in their word, so a place comes after all that it leads to. `first` is
+    the first place of a word, `begin` the first edge of a place, `after` the characters of the word behind a place.
+    An edge has its share of the probability up to it at its place (`upto`), the place where it leads or -1 (`next`),
+    a piece id (from vocabulary size on, a character in bytes), and its log probability at its place (`log`).
     """
 
     def __init__(self, vocabulary: Vocabulary, distinct: list[str]):
         v = vocabulary
-        lengths = np.array([len(w) for w in distinct], np.int64)
-        self.first = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-        ends = self.first + lengths
-        codes = np.frombuffer("\0".join(distinct).encode("utf-32-le", "surrogatepass") + b"\0\0\0\0", np.uint32)
-        n = len(codes)
-        left = np.repeat(ends, lengths + 1) - np.arange(n)  # characters left in the word
-        weight = np.full((n, v.longest), -np.inf)
-        piece = np.zeros((n, v.longest), np.int32)
-        for length, hashed in _ranges(codes.astype(np.uint64) + np.uint64(1), v.longest):
-            likely = np.flatnonzero(v.marked[hashed & np.uint64(len(v.marked) - 1)] & (left[: len(hashed)] >= length))
-            at = np.minimum(np.searchsorted(v.hashes, hashed[likely]), len(v.hashes) - 1)
-            is_piece = v.hashes[at] == hashed[likely]
-            likely, at = likely[is_piece], at[is_piece]
-            weight[likely, length - 1], piece[likely, length - 1] = v.log_weights[at], v.ids[at]
-        unknown = np.flatnonzero(np.isneginf(weight[:, 0]) & (left > 0))
-        weight[unknown, 0] = v.byte_weight * (1 + (codes[unknown] >= 0x80) + (codes[unknown] >= 0x800) + (codes[unknown] >= 0x10000))
-        piece[unknown, 0] = v.size + codes[unknown]
-
-        # total weight of all ways from a place to the end of its word, from the ends on
-        total = np.zeros(n + v.longest + 1)
-        order = np.argsort(left, kind="stable")
-        cuts = np.searchsorted(left[order], np.arange(1, int(lengths.max(initial=0)) + 2))
-        for length, (low, high) in enumerate(zip(cuts, cuts[1:]), 1):
-            here, width = order[low:high], min(length, v.longest)
-            ways = weight[here, :width] + total[here[:, None] + np.arange(1, width + 1)]
-            most = ways.max(axis=1)
-            total[here] = most + np.log(np.exp(ways - most[:, None]).sum(axis=1))
-        place, column = np.nonzero(weight > -np.inf)
-        log = weight[place, column] + total[place + column + 1] - total[place]
-        self.begin = np.searchsorted(place, np.arange(n + 1))
-        alone = self.begin[place + 1] - self.begin[place] == 1
+        lengths = np.fromiter(map(len, distinct), np.int64, len(distinct))
+        starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
+        codes = _codes(distinct)
+        n, most = len(codes), int(lengths.max())
+        left = np.repeat(starts + lengths, lengths + 1) - np.arange(n)
+        order = np.argsort(left.astype(np.int16) if most < 32768 else left, kind="stable")
+        number = np.empty(n, np.int64)
+        number[order] = np.arange(n)
+        self.first, self.after = number[starts], (np.repeat(lengths, lengths + 1) - left)[order]
+        edges = []
+
+        def add(at, length, weight, piece):
+            edges.append((number[at], number[at + length], weight, piece))
+
+        alive = np.arange(n)
+        for length, hashed in _ranges(codes, min(v.longest, most)):
+            alive = alive[left[alive] >= length]
+            found, piece = v.find(hashed[alive])
+            at = alive[found]
+            add(at, length, v.log_weights[piece], v.ids[piece])
+            if length == 1:
+                odd = np.delete(alive, found)
+                size = 1 + (codes[odd] >= 0x80) + (codes[odd] >= 0x800) + (codes[odd] >= 0x10000)
+                add(odd, 1, v.byte_weight * size, v.size + codes[odd].astype(np.int64))
+        # every pass holds a place once, so an edge goes behind the place's edges of earlier passes
+        count = np.bincount(np.concatenate([e[0] for e in edges]), minlength=n)
+        self.begin = np.concatenate([[0], np.cumsum(count)])
+        lead, self.piece, weight = np.empty(self.begin[-1], np.int64), np.empty(self.begin[-1], np.int64), np.empty(self.begin[-1])
+        free = self.begin[:-1].copy()
+        for own, leads, weights, pieces in edges:
+            slot = free[own]
+            lead[slot], weight[slot], self.piece[slot] = leads, weights, pieces
+            free[own] = slot + 1
+        place = np.repeat(np.arange(n), count)
+
+        # total weight of all ways from a place to the end of its word
+        total, left = np.zeros(n), left[order]
+        bounds = np.searchsorted(left, np.arange(1, most + 2))
+        for low, high in zip(bounds, bounds[1:]):
+            if low < high:
+                e0, e1 = self.begin[low], self.begin[high]
+                ways, seams = weight[e0:e1] + total[lead[e0:e1]], self.begin[low:high] - e0
+                best = np.maximum.reduceat(ways, seams)
+                total[low:high] = best + np.log(np.add.reduceat(np.exp(ways - best[place[e0:e1] - low]), seams))
+        log = weight + total[lead] - total[place]
+        alone = np.diff(self.begin)[place] == 1
         self.log = np.where(alone, 0.0, np.minimum(log, 0.0))
         sums = np.cumsum(np.exp(self.log))
         self.upto = sums - np.concatenate([[0.0], sums])[self.begin[place]]
         self.upto[self.begin[place + 1] - 1] = 2.0  # the last edge takes what rounding leaves
-        after = place + column + 1
-        self.next = np.where(left[after] == 0, -1, after)
-        self.piece = piece[place, column].astype(np.int64)
+        self.next = np.where(left[lead] == 0, -1, lead)
 
     def views(self):
-        return self.first, self.begin, self.upto, self.next, self.piece, self.log
+        return self.first, self.begin, self.upto, self.next, self.piece, self.log, self.after
 
 
 def _uniform(seeds: np.ndarray, at: np.ndarray, salt: int) -> np.ndarray:
@@ -172,10 +206,10 @@ def _pick(begin, upto, place: np.ndarray, drawn: np.ndarray) -> np.ndarray:
 
 def _walk(views, word: np.ndarray, start: np.ndarray, seeds: np.ndarray, salt: int):
     """One segmentation of every word: the edges in text order, the word of each, and its place in the text."""
-    first, begin, upto, next_, _, _ = views
+    first, begin, upto, next_, _, _, after = views
     place, own, steps = first[word], np.arange(len(word)), []
     while len(own):
-        at = start[own] + place - first[word[own]]
+        at = start[own] + after[place]
         edge = _pick(begin, upto, place, _uniform(seeds[own], at, salt))
         steps.append((own, edge, at))
         place = next_[edge]
@@ -229,7 +263,7 @@ def search(views, walks, seed: np.uint64, samples: int) -> tuple[list[_Path], fl
 
 def _branch(views, path: _Path, step: int, bound: float, fresh, seed: np.uint64, salt: int) -> _Path:
     """The best segmentation of the set that leaves `path` at `step`, and what remains of that set."""
-    _, begin, upto, next_, _, log = views
+    _, begin, upto, next_, _, log, after = views
     edge, at, one = int(path.edges[step]), int(path.at[step]), np.array([seed])
     place = int(np.searchsorted(begin, edge, side="right")) - 1
     others = [e for e in range(int(begin[place]), int(begin[place + 1])) if e != edge and e not in path.taken.get(step, ())]
@@ -242,9 +276,8 @@ def _branch(views, path: _Path, step: int, bound: float, fresh, seed: np.uint64,
     path.bounds[step] = _truncated(mass, bound, _uniform(one, np.array([at]), salt + 1))[0]
     tail, places, owner = [chosen], [at], int(path.owners[step])
     while next_[tail[-1]] >= 0:
-        here = int(next_[tail[-1]])
-        places.append(places[-1] + here - (place if len(tail) == 1 else int(next_[tail[-2]])))
-        spot = np.array([here])
+        spot = np.array([next_[tail[-1]]])
+        places.append(at + int(after[spot[0]] - after[place]))
         tail.append(int(_pick(begin, upto, spot, _uniform(one, np.array([places[-1]]), salt + 2))[0]))
     later = int(np.searchsorted(fresh[1], owner, side="right"))
     edges = np.concatenate([path.edges[:step], tail, fresh[0][later:]])
@@ -284,10 +317,10 @@ class Sampler:
             return [[(np.empty(0, np.int32), 0.0, 1.0)] for _ in texts]
         order = list(distinct)
         number = dict(zip(order, range(len(order))))
-        lengths = np.array([len(w) for w in order], np.int64)
+        lengths = np.fromiter(map(len, order), np.int64, len(order))
         views = Lattices(self.vocabulary, order).views()
         counts = [len(own) for own in split]
-        word = np.fromiter((number[w] for own in split for w in own), np.int64, sum(counts))
+        word = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, sum(counts))
         ends = np.cumsum(lengths[word])
         text_of = np.repeat(np.arange(len(texts)), counts)
         text_start = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)[:-1]])]
