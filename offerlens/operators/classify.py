@@ -29,15 +29,15 @@ EVIDENCE = "array<struct<kind:string,rule_id:string,field:string,excerpt:string,
 _ALL = 2**31 - 1
 
 
-_BUILT: dict[tuple[str, str], dict[str, Column]] = {}
+_BUILT: dict[str, tuple[str, dict[str, Column]]] = {}
 
 
 def _built(name: str, build: Callable[[], dict[str, Column]]) -> dict[str, Column]:
-    """Columns of one step. They name their inputs only, so they are built once per application."""
-    key = (SparkContext.getOrCreate().applicationId, name)
-    if key not in _BUILT:
-        _BUILT[key] = build()
-    return _BUILT[key]
+    """Columns of one step. They name their inputs only, so they are built once per application; one is kept a step."""
+    application = SparkContext.getOrCreate().applicationId
+    if _BUILT.get(name, ("",))[0] != application:
+        _BUILT[name] = (application, build())
+    return _BUILT[name][1]
 
 
 def _proof(kind, rule, field: str, excerpt: Column, start: Column, end: Column, value=None) -> Column:

@@ -107,17 +107,3 @@ def public_offer(rows: DataFrame) -> DataFrame:
     )
 
 
-def all_pages(filtered: DataFrame, sort: str, limit: int) -> list[list[tuple]]:
-    """Walk the keyset to the end; a test helper for small fixtures."""
-    column, pages, after = SORTS[sort][0], [], None
-    while True:
-        rows = explorer_page(filtered, sort, limit, after).select("offer_id", column).collect()
-        rows.sort(key=lambda r: r["offer_id"], reverse=SORTS[sort][1])
-        present = sorted([r for r in rows if r[column] is not None], key=lambda r: r[column], reverse=SORTS[sort][1])
-        rows = present + [r for r in rows if r[column] is None]
-        pages.append([tuple(r) for r in rows[:limit]])
-        if len(rows) <= limit:
-            return pages
-        after = (rows[limit - 1][column], rows[limit - 1]["offer_id"])
-
-
