@@ -237,6 +237,23 @@ def retention(snapshots: DataFrame, quarantine: DataFrame, runs: DataFrame, now:
     return raw.withColumn("validation_errors", errors.scalar())
 
 
+def purge_quarantine(quarantine: DataFrame, runs: DataFrame, now: Column) -> DataFrame:
+    """The quarantine without the rows older than thirty days of finished runs."""
+    finished = runs.filter(F.col("status").isin("succeeded", "partial", "failed", "cancelled")).select("run_id").distinct().withColumn("_finished", F.lit(True))
+    old = F.col("_finished") & (F.col("created_at") < now - F.make_dt_interval(F.lit(30)))
+    return quarantine.join(finished, "run_id", "left").filter(~F.coalesce(old, F.lit(False))).drop("_finished")
+
+
+def retention_event(counts: DataFrame, now: Column) -> DataFrame:
+    """The audit row of a retention pass; none when it removed nothing."""
+    done = counts.filter(F.col("raw_payloads") + F.col("validation_errors") > 0)
+    details = F.to_json(F.struct(F.col("raw_payloads").alias("rawPayloads"), F.col("validation_errors").alias("validationErrors")))
+    return done.select(
+        F.lit("info").alias("severity"), F.lit("RETENTION_PURGED").alias("event_code"), F.lit("maintenance").alias("scope"), details.alias("details"),
+        F.lit(False).alias("is_public"), now.alias("created_at"), now.alias("resolved_at"),
+    )
+
+
 # Published wording of the insights.
 INSIGHT_SLUGS = {
     R.CONTRADICTION: "junior-et-deux-ans-france-",

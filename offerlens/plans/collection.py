@@ -644,6 +644,26 @@ def _retention(t):
     return Pu.retention(t.sql(_PAYLOADS), t.sql(_QUARANTINE), t.runs, _now())
 
 
+@query(
+    "purge_quarantine",
+    f"""select run_id, item from ({_QUARANTINE}) q where not (created_at < timestamp '{NOW}' - interval 30 day
+          and exists (select 1 from {{runs}} r where r.run_id = q.run_id and r.status in ('succeeded', 'partial', 'failed', 'cancelled')))""",
+)
+def _purge_quarantine(t):
+    return Pu.purge_quarantine(t.sql(_QUARANTINE), t.runs, _now()).select("run_id", "item")
+
+
+@query(
+    "retention_event",
+    f"""select 'info' as severity, 'RETENTION_PURGED' as event_code, '{{"rawPayloads":' || raw || ',"validationErrors":' || errors || '}}' as details, false as is_public from (
+          select (select count(*) from ({_PAYLOADS}) p where raw_payload is not null and raw_payload_expires_at <= timestamp '{NOW}') as raw,
+            (select count(*) from ({_QUARANTINE}) q where created_at < timestamp '{NOW}' - interval 30 day) as errors) c where raw + errors > 0""",
+)
+def _retention_event(t):
+    counts = Pu.retention(t.sql(_PAYLOADS), t.sql(_QUARANTINE), t.runs, _now())
+    return Pu.retention_event(counts, _now()).select("severity", "event_code", "details", "is_public")
+
+
 @query(
     "purge_payloads",
     f"""select snapshot_id, case when raw_payload_expires_at <= timestamp '{NOW}' then null else md5(raw_payload) end as payload,
