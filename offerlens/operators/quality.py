@@ -384,27 +384,49 @@ def reconcile_incidents(events: DataFrame, desired: DataFrame, now: Column) -> D
     return kept.select(*opened.columns).unionByName(opened)
 
 
-def quality_profile(rows: DataFrame, day: str = "business_date") -> DataFrame:
-    """Daily profile of the classified rows and the sudden changes from one day to the next."""
+#: Fields that nearly every offer has; one that vanishes from a day to the next points at the source.
+COMMON_FIELDS = ("source_published_at", "contract_kind", "minimum_experience_months")
+INVALID_PERCENT = 2
+
+
+def quality_profile(rows: DataFrame, day: str = "business_date", fields: tuple[str, ...] = COMMON_FIELDS, text: str | None = None) -> DataFrame:
+    """Daily profile of the classified rows and the sudden changes from one day to the next.
+
+    `lost_fields` are the fields absent from every row of a day and from less than half of the day before;
+    `contract_mix` lists each contract kind with its share; `empty_text_rate` needs the name of the text column.
+    """
+    share = lambda condition: F.avg(condition.cast("int"))
     profile = rows.groupBy(day).agg(
         F.count(F.lit(1)).alias("members"),
-        F.avg(F.coalesce("claims_junior", F.lit(False)).cast("int")).alias("junior_rate"),
-        F.avg(F.col("minimum_experience_months").isNotNull().cast("int")).alias("known_experience_rate"),
-        F.avg((F.col("status") == "ambiguous").cast("int")).alias("ambiguous_rate"),
-        F.avg(F.col("source_published_at").isNull().cast("int")).alias("missing_date_rate"),
+        share(F.coalesce("claims_junior", F.lit(False))).alias("junior_rate"),
+        share(F.col("minimum_experience_months").isNotNull()).alias("known_experience_rate"),
+        share(F.col("status") == "ambiguous").alias("ambiguous_rate"),
+        (share(F.trim(F.coalesce(F.col(text), F.lit(""))) == "") if text else F.lit(None).cast("double")).alias("empty_text_rate"),
+        *[share(F.col(f).isNull()).alias(f"_missing_{f}") for f in fields],
     )
+    kinds = rows.groupBy(day, F.coalesce("contract_kind", F.lit("unknown")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    mixed = kinds.groupBy(day).agg(F.sum("n").alias("total"), F.collect_list(F.struct("kind", "n")).alias("mix"))
+    mix = F.transform(F.array_sort("mix"), lambda k: F.struct(k["kind"].alias("kind"), (k["n"] / F.col("total")).alias("share")))
+    profile = profile.join(mixed.select(day, mix.alias("contract_mix")), day)
     # One row per day from here on.
     order = Window.orderBy(day)
     moved = F.abs(F.col("junior_rate") - F.lag("junior_rate").over(order)) * 100
-    lost = (F.col("missing_date_rate") == 1.0) & (F.lag("missing_date_rate").over(order) < 0.5)
     doubled = F.col("ambiguous_rate") > 2 * F.lag("ambiguous_rate").over(order)
+    gone = [F.when((F.col(f"_missing_{f}") == 1.0) & (F.lag(f"_missing_{f}").over(order) < 0.5), F.lit(f)) for f in fields]
     return (
         profile.withColumn("junior_jump", F.coalesce(moved > 15, F.lit(False)))
         .withColumn("ambiguity_doubled", F.coalesce(doubled, F.lit(False)))
-        .withColumn("date_lost", F.coalesce(lost, F.lit(False)))
+        .withColumn("lost_fields", F.array_compact(F.array(*gone)))
+        .drop(*[f"_missing_{f}" for f in fields])
     )
 
 
+def run_anomalies(runs: DataFrame) -> DataFrame:
+    """Finished runs of which more than two percent of the received items were invalid."""
+    invalid = F.col("offers_quarantined") * 100 > F.col("offers_received") * INVALID_PERCENT
+    return runs.filter(invalid).select("run_id", "offers_received", "offers_quarantined")
+
+
 def run_report(runs: DataFrame, run_queries: DataFrame, pages: DataFrame, sightings: DataFrame, datasets: DataFrame, members: DataFrame) -> DataFrame:
     """One row per run: its queries by status, pages, offers and the dataset made from it."""
     queries = run_queries.groupBy("run_id").agg(

@@ -476,24 +476,50 @@ def _reconcile(t):
     return rows.select("scope", "event_code", "severity", "is_public", _text("created_at"), _text("resolved_at"))
 
 
+# One day without any date and contract, and texts of which some are empty.
+_PROFILED = """select m.business_date, m.status, m.claims_junior, m.minimum_experience_months, m.offer_id,
+   case when dayofyear(m.business_date) <> 17 then m.source_published_at end as source_published_at,
+   case when dayofyear(m.business_date) <> 23 then m.contract_kind end as contract_kind,
+   case when m.user_id % 8 = 3 then '  ' when m.user_id % 8 = 4 then null else m.offer_id end as description_text from {day_members} m"""
+
+
 @query(
     "quality_profile",
-    """select cast(business_date as varchar) as business_date, members, round(junior_rate, 8) as junior_rate, round(known, 8) as known_experience_rate,
+    f"""with rows_ as materialized ({_PROFILED}), profile as (
+         select business_date, count(*) as members, avg((coalesce(claims_junior, false))::int) as junior_rate,
+               avg((minimum_experience_months is not null)::int) as known, avg((status = 'ambiguous')::int) as amb,
+               avg((trim(coalesce(description_text, '')) = '')::int) as empty_rate,
+               avg((source_published_at is null)::int) as m1, avg((contract_kind is null)::int) as m2, avg((minimum_experience_months is null)::int) as m3
+         from rows_ group by business_date),
+       mix as (select business_date, string_agg(kind || ':' || n, ',' order by kind) as contract_mix from (
+         select business_date, coalesce(contract_kind, 'unknown') as kind, count(*) as n from rows_ group by all) k group by business_date)
+       select cast(business_date as varchar) as business_date, members, round(junior_rate, 8) as junior_rate, round(known, 8) as known_experience_rate,
+         round(empty_rate, 8) as empty_text_rate, contract_mix,
          coalesce(abs(junior_rate - lag(junior_rate) over w) * 100 > 15, false) as junior_jump,
          coalesce(amb > 2 * lag(amb) over w, false) as ambiguity_doubled,
-         coalesce(missing = 1.0 and lag(missing) over w < 0.5, false) as date_lost
-       from (select business_date, count(*) as members, avg((coalesce(claims_junior, false))::int) as junior_rate,
-               avg((minimum_experience_months is not null)::int) as known, avg((status = 'ambiguous')::int) as amb,
-               avg((source_published_at is null)::int) as missing from {day_members} group by business_date) p window w as (order by business_date)""",
+         concat_ws(',', case when m1 = 1.0 and lag(m1) over w < 0.5 then 'source_published_at' end,
+           case when m2 = 1.0 and lag(m2) over w < 0.5 then 'contract_kind' end,
+           case when m3 = 1.0 and lag(m3) over w < 0.5 then 'minimum_experience_months' end) as lost_fields
+       from profile join mix using (business_date) window w as (order by business_date)""",
 )
 def _quality_profile(t):
-    profile = Q.quality_profile(t.day_members)
+    profile = Q.quality_profile(t.sql(_PROFILED), text="description_text")
+    counted = F.transform("contract_mix", lambda k: F.concat_ws(":", k["kind"], F.round(k["share"] * F.col("members")).cast("long").cast("string")))
     return profile.select(
         F.col("business_date").cast("string").alias("business_date"), "members", F.round("junior_rate", 8).alias("junior_rate"),
-        F.round("known_experience_rate", 8).alias("known_experience_rate"), "junior_jump", "ambiguity_doubled", "date_lost",
+        F.round("known_experience_rate", 8).alias("known_experience_rate"), F.round("empty_text_rate", 8).alias("empty_text_rate"),
+        F.array_join(counted, ",").alias("contract_mix"), "junior_jump", "ambiguity_doubled", F.array_join("lost_fields", ",").alias("lost_fields"),
     )
 
 
+@query(
+    "run_anomalies",
+    "select run_id, offers_received, offers_quarantined from {runs} where offers_quarantined * 100 > offers_received * 2",
+)
+def _run_anomalies(t):
+    return Q.run_anomalies(t.runs)
+
+
 # ------------------------------------------------------------------ datasets
 
 
