@@ -104,7 +104,15 @@ class Vocabulary:
         self.slot = np.full(_SLOTS, -1, np.int32)
         self.slot[low] = np.arange(len(low))
         self.slot[np.flatnonzero(np.bincount(low, minlength=_SLOTS) > 1)] = -2
-        self.words = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
+        self._words = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
+        self._runs = re.compile(f"^ |  |\0|{SPACE}")
+
+    def words(self, text: str) -> list[str]:
+        """The words of a text: each with the white space before it; line ends alone."""
+        if self._runs.search(text) is None:  # single spaces: cut before each
+            marked = SPACE + text.replace("\n", "\0\n\0").replace(" ", "\0" + SPACE)
+            return list(filter(None, marked.split("\0")))
+        return self._words.findall(SPACE + text.replace(" ", SPACE))
 
     def find(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The places of the hashes that are pieces, and which pieces they are."""
@@ -136,10 +144,10 @@ class Lattices:
         starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
         codes = _codes(distinct)
         n, most = len(codes), int(lengths.max())
-        left = np.repeat(starts + lengths, lengths + 1) - np.arange(n)
+        left = (np.repeat(starts + lengths, lengths + 1) - np.arange(n)).astype(np.int32)
         order = np.argsort(left.astype(np.int16) if most < 32768 else left, kind="stable")
-        number = np.empty(n, np.int64)
-        number[order] = np.arange(n)
+        number = np.empty(n, np.int32)
+        number[order] = np.arange(n, dtype=np.int32)
         self.first, self.after = number[starts], (np.repeat(lengths, lengths + 1) - left)[order]
         edges = []
 
@@ -159,13 +167,13 @@ class Lattices:
         # every pass holds a place once, so an edge goes behind the place's edges of earlier passes
         count = np.bincount(np.concatenate([e[0] for e in edges]), minlength=n)
         self.begin = np.concatenate([[0], np.cumsum(count)])
-        lead, self.piece, weight = np.empty(self.begin[-1], np.int64), np.empty(self.begin[-1], np.int64), np.empty(self.begin[-1])
-        free = self.begin[:-1].copy()
+        lead, self.piece, weight = np.empty(self.begin[-1], np.int32), np.empty(self.begin[-1], np.int64), np.empty(self.begin[-1])
+        free = self.begin[:-1].astype(np.int64)
         for own, leads, weights, pieces in edges:
             slot = free[own]
             lead[slot], weight[slot], self.piece[slot] = leads, weights, pieces
             free[own] = slot + 1
-        place = np.repeat(np.arange(n), count)
+        place = np.repeat(np.arange(n, dtype=np.int32), count)
 
         # total weight of all ways from a place to the end of its word
         total, left = np.zeros(n), left[order]
@@ -227,20 +235,40 @@ def _truncated(log_mass: np.ndarray, bound: float, drawn: np.ndarray) -> np.ndar
     return np.where(np.isneginf(log_mass), -np.inf, found)
 
 
+#: -log of the least distance of a drawn number from 1, with a margin: no perturbed value lies further above its mass.
+_REACH = 38.0
+
+
 class _Path:
-    """A segmentation and the sets that leave it: at step t, all that share its first t pieces but not the next."""
+    """A segmentation and the sets that leave it: at step t, all that share its first t pieces but not the next.
+
+    Their perturbed values are worked out as far as they can be the largest. `limit` is what no later one exceeds;
+    `extend` works out the rest.
+    """
 
     def __init__(self, edges, owners, at, value, views, seed, salt, since=0):
         self.edges, self.owners, self.at, self.value, self.since = edges, owners, at, value, since
-        logs = views[5][edges]
-        self.before = np.cumsum(logs) - logs
-        self.log = float(logs.sum())
-        # of an edge that takes nearly everything, the rest is what the other edges have
-        rest = np.log(np.maximum(-np.expm1(logs[since:]), 0), where=logs[since:] < 0, out=np.full(len(logs) - since, -np.inf))
-        drawn = _uniform(np.full(len(rest), seed), self.at[since:], salt)
-        self.bounds = np.full(len(edges), -np.inf)
-        self.bounds[since:] = _truncated(self.before[since:] + rest, value, drawn)
+        self.logs, self.seed, self.salt = views[5][edges], seed, salt
+        sums = np.cumsum(self.logs)
+        self.before, self.log = sums - self.logs, float(sums[-1])
         self.taken: dict[int, list[int]] = {}
+        self.bounds = np.full(len(edges), -np.inf)
+        # log masses only fall from step to step
+        near = len(edges) - int(np.searchsorted(self.before[::-1], value - 1.5 * _REACH))
+        self._work_out(since, max(near, since))
+
+    def _work_out(self, start: int, stop: int) -> None:
+        logs = self.logs[start:stop]
+        # of an edge that takes nearly everything, the rest is what the other edges have
+        rest = np.log(np.maximum(-np.expm1(logs), 0), where=logs < 0, out=np.full(len(logs), -np.inf))
+        drawn = _uniform(np.full(len(logs), self.seed), self.at[start:stop], self.salt)
+        self.bounds[start:stop] = _truncated(self.before[start:stop] + rest, self.value, drawn)
+        self.done = stop
+        self.limit = float(self.before[stop]) + _REACH if stop < len(self.edges) else -math.inf
+
+    def extend(self) -> None:
+        if self.done < len(self.edges):
+            self._work_out(self.done, len(self.edges))
 
 
 def search(views, walks, seed: np.uint64, samples: int) -> tuple[list[_Path], float]:
@@ -251,10 +279,13 @@ def search(views, walks, seed: np.uint64, samples: int) -> tuple[list[_Path], fl
     while True:
         best, step, bound = None, -1, -math.inf
         for path in paths:
-            if len(path.bounds):
-                t = int(path.bounds.argmax())
-                if path.bounds[t] > bound:
-                    best, step, bound = path, t, float(path.bounds[t])
+            t = int(path.bounds.argmax())
+            if path.bounds[t] > bound:
+                best, step, bound = path, t, float(path.bounds[t])
+        if bound < max(path.limit for path in paths):
+            for path in paths:
+                path.extend()
+            continue
         if len(paths) == samples or best is None:
             return paths, bound
         number = len(paths)
@@ -309,7 +340,7 @@ class Sampler:
         """For each text its (ids, log probability, inclusion probability), best first."""
         split, distinct = [], {}
         for text in texts:
-            own = self.vocabulary.words.findall(SPACE + text.replace(" ", SPACE)) if text else []
+            own = self.vocabulary.words(text) if text else []
             split.append(own)
             distinct.update(dict.fromkeys(own))
         drawn = words.mix(np.array([k & (2**64 - 1) for k in keys], np.uint64) + np.uint64(SEED))
