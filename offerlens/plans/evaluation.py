@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from offerlens.functions import rates as R
-from offerlens.functions.text import content_fingerprint
+from offerlens.functions.text import content_fingerprint, redact_text
 from offerlens.operators import evaluate as E
 from offerlens.plans.read_models import V1, V2, counts_sql, rate_sql
 from offerlens.plans.registry import query
@@ -270,6 +270,38 @@ def _overlap_count(t):
     return E.exact_overlap_count(pool.filter(third), pool.filter(~third))
 
 
+# Whole titles and texts. Every fifth offer has a copy under another id, which differs in case and spacing only.
+_POOL_TEXTS = """select offer_id, title, description_text, doc_id from {offer_rows}
+   union all select 'copy-' || offer_id, upper(title), replace(description_text, ' ', '   '), doc_id + 1 from {offer_rows} where doc_id % 5 = 0"""
+_REDACT = r"regexp_replace(regexp_replace(regexp_replace({0}, '(?i)https?://[^\s]+', '[URL]', 'g'), '(?i)[\w.+-]+@[\w.-]+\.[a-z]{{2,}}', '[EMAIL]', 'g'), '(?:\+33|0)[\d .()-]{{8,}}', '[TÉLÉPHONE]', 'g')"
+_POOL_REDACTED = f"select offer_id, doc_id, {_REDACT.format('title')} as title, {_REDACT.format('description_text')} as description_text from ({_POOL_TEXTS}) p"
+
+
+@query(
+    "holdout_exclusion_texts",
+    f"""with pool as (select *, {_FINGER.format('description_text')} as fingerprint, sha256('seed' || offer_id) as o from ({_POOL_REDACTED}) p),
+        fresh as (select * from pool where not exists (select 1 from pool e where e.doc_id % 6 = 0 and e.fingerprint = pool.fingerprint))
+        select offer_id, fingerprint from (select *, row_number() over (partition by fingerprint order by o) as rn from fresh) f where rn = 1 order by o limit 200""",
+)
+def _holdout_texts(t):
+    """Earlier samples hold redacted texts, so the excluded ones are redacted before they are hashed."""
+    pool = t.sql(_POOL_TEXTS)
+    fingerprint = content_fingerprint(redact_text(F.col("title")), redact_text(F.col("description_text")))
+    used = pool.filter(F.col("doc_id") % 6 == 0).select(fingerprint.alias("fingerprint"))
+    return E.holdout(pool, used, "seed", 200).select("offer_id", "fingerprint")
+
+
+@query(
+    "exact_overlap_count_texts",
+    f"""with pool as (select *, {_FINGER.format('description_text')} as fingerprint from ({_POOL_TEXTS}) p)
+        select count(*) as overlaps from pool where doc_id % 3 = 0 and fingerprint in (select fingerprint from pool where doc_id % 3 <> 0)""",
+)
+def _overlap_texts(t):
+    pool = t.sql(_POOL_TEXTS).withColumn("fingerprint", content_fingerprint(F.col("title"), F.col("description_text")))
+    third = F.col("doc_id") % 3 == 0
+    return E.exact_overlap_count(pool.filter(third), pool.filter(~third))
+
+
 @query(
     "challenge_sample",
     """select review_id, 'reference' as cohort from {label_rows} union all
