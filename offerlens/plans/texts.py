@@ -578,6 +578,27 @@ def _evidence_summary(t):
     return summary.filter((F.col("junior_claim") > 0) | (F.col("required_experience") > 0)).select("classification_id", *to_int)
 
 
+# Further evidence of the planted phrases by kind, from the remainders alone: salary, remote modes (of `remote_mode`), technologies, senior titles,
+# desired and excluded durations.
+_OTHER_EVIDENCE = f"""(doc_id % 6 in (0, 1))::int + (is_remote + is_hybrid + is_onsite) + len(list_distinct(list_concat({_IN_TITLE}, {_IN_TEXT})))
+   + denied::int + senior::int + (doc_id % 11 in (4, 5))::int + (doc_id % 6 = 2)::int"""
+
+
+@query(
+    "evidence_summary_all",
+    f"""select * from (
+          select classification_id, title_n + body_n + label_n + structured_n + required + {_OTHER_EVIDENCE} as total, title_n + body_n + label_n + structured_n as junior_claim,
+            required as required_experience, body_n + label_n + structured_n as beginner_acceptance,
+            list_sort(list_distinct(list_filter([text_months, case when two_durations then 12 end, label_months], lambda m: m is not null))) as required_months
+          from (select *, (not denied and title_level)::int as title_n, (not denied and body_beginner)::int as body_n, (not denied and label_beginner)::int as label_n,
+              not_required::int as structured_n, (text_months is not null)::int + (label_months is not null)::int + two_durations::int as required from ({_EXPECTED}) e) c
+          join (select offer_id, {_mode_flags()} from {{offer_rows}}) f using (offer_id)) s
+        where total > 0""",
+)
+def _evidence_summary_all(t):
+    return C.evidence_summary(C.evidence_table(classified(t)))
+
+
 @query("semantic_violations", "select classification_id, '' as code from {offer_rows} where false")
 def _semantic_violations(t):
     rows = classified(t)

@@ -30,3 +30,10 @@ def test_overlap_reads_the_texts(spark, tmp_path):
     """3 and 73 share all but the text; the copy of 5 stands in the other cohort."""
     rows = run(spark, tmp_path, "exact_overlap_count_texts", [(3, "one text"), (73, "another"), (5, "third")])
     assert rows[0].overlaps == 1
+
+
+def test_summary_shows_all_evidence(spark):
+    status, _, _, note = oracle_check.compare(spark, oracle_check.connect(SF_DIR), SF_DIR, "evidence_summary_all")
+    assert status == "ok", note
+    rows = registry.queries()["evidence_summary_all"](spark, SF_DIR).collect()
+    assert any(r.junior_claim == r.required_experience == 0 < r.total for r in rows) and [12, 36] in [r.required_months for r in rows]
