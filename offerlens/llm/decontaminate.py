@@ -51,21 +51,20 @@ def _bitmap(shingles: DataFrame) -> np.ndarray:
     return bits.view(np.uint8)
 
 
-def _marked(texts: list[bytes], sizes: tuple[int, ...], bits: np.ndarray):
+def _marked(hashed: words.Hashed, sizes: tuple[int, ...], bits: np.ndarray):
     """For each shingle size the (text, position, shingle) whose bit is set."""
-    hashed = words.hash_words(texts)
     for k in sizes:
         made = words.runs(hashed, k)
         hit = np.flatnonzero(bits[_bit(made.values)])
         text = np.searchsorted(made.offsets, hit, side="right") - 1
-        yield hashed, k, text, hit - made.offsets[text], made.values[hit]
+        yield k, text, hit - made.offsets[text], made.values[hit]
 
 
 def _counts(sizes, packed):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = np.unpackbits(packed.value, bitorder="little").view(np.bool_)
         for batch in batches:
-            for _, _, _, _, shingles in _marked(words.encoded(batch["text"], words.ALNUM), sizes, bits):
+            for _, _, _, shingles in _marked(words.hash_words(words.encoded(batch["text"], words.ALNUM)), sizes, bits):
                 values, n = np.unique(shingles, return_counts=True)
                 yield pd.DataFrame({"shingle": words.signed(values), "n": n})
 
@@ -79,16 +78,15 @@ def _lookups(sizes, packed):
         for batch in batches:
             texts = words.encoded(batch["text"], words.ALNUM)
             found = [[] for _ in texts]
-            n_words = np.zeros(len(texts), np.int64)
+            hashed = words.hash_words(texts)
             split: dict[int, list[bytes]] = {}
-            for hashed, k, text, at, shingles in _marked(texts, sizes, bits):
-                n_words = hashed.counts()
+            for k, text, at, shingles in _marked(hashed, sizes, bits):
                 for i, place, shingle in zip(text.tolist(), at.tolist(), words.signed(shingles).tolist()):
                     own = split[i] if i in split else split.setdefault(i, texts[i].split())
                     context = b" ".join(own[max(place - WINDOW + 1, 0) : place + WINDOW])
                     found[i].append({"at": place, "shingle": shingle, "context": context.decode()})
             yield pd.DataFrame(
-                {"row_id": np.arange(row, row + len(texts)), "id": batch["id"].astype("Int64"), "n_words": n_words, "found": found}
+                {"row_id": np.arange(row, row + len(texts)), "id": batch["id"].astype("Int64"), "n_words": hashed.counts(), "found": found}
             )
             row += len(texts)
 
@@ -125,7 +123,7 @@ def contamination(
 
     Null and empty texts have no words and no hit. Repeated rows are each returned with their own counts. An item
     without an id marks words but is not listed; an item without words has no window. With an empty benchmark no
-    word is hit.
+    word is hit, and words are counted all the same.
     """
     items = ready(benchmark).select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text"))
     source = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

@@ -64,6 +64,13 @@ def test_contamination(spark, documents, nothing):
     assert kept.columns == documents.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 3, 4, 5, 6]
 
 
+@pytest.mark.parametrize("benchmark", [[], [(8, None), (7, ""), (6, " -- ")]])
+def test_words_are_counted_without_windows(spark, documents, benchmark):
+    rows = by_id(decontaminate.contamination(documents, spark.createDataFrame(benchmark, "item_id long, text string")))
+    assert [rows[i][0].n_words for i in (3, 4, 5, 6, 7)] == [0, 0, 0, 60_000, 2] and [r.n_words for r in rows[2]] == [len(PROSE.split())] * 2
+    assert not any(r.n_hit or r.n_items or r.contaminated for own in rows.values() for r in own)
+
+
 def test_toxicity_and_quality_scores(documents, nothing, labels):
     for run in (toxicity.toxicity, pu_quality.quality_scores):
         rows = by_id(run(documents, labels))
