@@ -467,6 +467,95 @@ def _mention_context(t):
     return rows.select("offer_id", F.array_join(shown, ",").alias("evidence"))
 
 
+# Every text with durations of each form, and senior roles in the body.
+_SPOKEN = """select offer_id, doc_id, title || case when doc_id % 13 = 3 then ', 3 ans d''expérience exigés' else '' end as title,
+   description_text || case doc_id % 13 when 5 then ' Qualifications4 ans minimum sur la stack Java.' when 7 then ' Profil confirmé attendu.'
+     when 9 then ' Nous recherchons un lead.' when 11 then ' Recrutement en tant que senior.' else '' end as description_text,
+   experience_label, experience_code, salary_label from {offer_rows}"""
+_SINGLE, _RANGED, _STACKED = "EXP_SINGLE_DURATION", "EXP_RANGE_YEARS", "EXP_PROFILE_STACK"
+# (modulus, remainder, field, planted words, place in them, rank, rule, text)
+_SPOKEN_MENTIONS = [
+    (11, 1, "description", "au moins 2 ans", 9, 1, _SINGLE, "2 ans"),
+    (11, 2, "description", "Expérience de 1 à 2 ans", 14, 0, _RANGED, "1 à 2 ans"),
+    (11, 2, "description", "Expérience de 1 à 2 ans", 18, 1, _SINGLE, "2 ans"),
+    (11, 3, "description", "6 mois d'expérience minimum", 0, 1, _SINGLE, "6 mois"),
+    (11, 4, "description", "Idéalement 5 ans", 11, 1, _SINGLE, "5 ans"),
+    (11, 5, "description", "créée il y a 30 ans", 13, 1, _SINGLE, "30 ans"),
+    (11, 6, "description", "une formation de 3 ans", 17, 1, _SINGLE, "3 ans"),
+    (11, 7, "description", "Vous disposez de 18 mois", 17, 1, _SINGLE, "18 mois"),
+    (11, 9, "description", "Cinq ans d'expérience", 0, 1, _SINGLE, "cinq ans"),
+    (11, 10, "description", "Minimum 1 an d'expérience", 8, 1, _SINGLE, "1 an"),
+    (11, 10, "description", "Puis 3 ans d’expérience", 5, 1, _SINGLE, "3 ans"),
+    (13, 5, "description", "Qualifications4 ans", 0, 2, _STACKED, "qualifications4 ans minimum sur la stack"),
+    (13, 3, "title", ", 3 ans", 2, 1, _SINGLE, "3 ans"),
+    (6, 0, "experienceLabel", "2 An", 0, 1, _SINGLE, "2 an"),
+    (6, 2, "experienceLabel", "1 An", 0, 1, _SINGLE, "1 an"),
+]
+
+
+def _quoted(value) -> str:
+    return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else str(value)
+
+
+_SPOKEN_VALUES = ", ".join("(" + ", ".join(map(_quoted, m)) + ")" for m in _SPOKEN_MENTIONS)
+
+# Single durations in the documents themselves: their texts cut at each one.
+_OWN_DURATIONS = rf"""select lpad(cast(doc_id as string), 12, '0') as offer_id, string_split(regexp_replace(lower(text),
+   '(^|[^\pL\pN])({_NUMBER}\s*(\+\s*)?(années?|annees?|ans?|mois))([^\pL\pN]|$)', '\1' || chr(1) || '\2' || chr(1) || '\6', 'g'), chr(1)) as parts from {{documents}}"""
+
+
+@query(
+    "experience_mentions_all",
+    f"""select offer_id, field, rank, strpos(case field when 'title' then title when 'description' then description_text else experience_label end, words) - 1 + place as start,
+          rule_id, found as text
+        from ({_SPOKEN}) s join (values {_SPOKEN_VALUES}) v(modulus, remainder, field, words, place, rank, rule_id, found) on doc_id % modulus = remainder
+        union all select offer_id, 'description', 1, coalesce(list_sum(list_transform(parts[1:i - 1], lambda x: length(x))), 0)::int, '{_SINGLE}', parts[i]
+        from (select *, unnest(range(2, len(parts) + 1, 2)) as i from ({_OWN_DURATIONS}) p) d""",
+)
+def _experience_mentions_all(t):
+    """Mentions of every rank in all texts, with their places in the source."""
+    rows = C.matching_forms(t.sql(_SPOKEN))
+
+    def found(field: str):
+        form = F.col(f"_form_{field}")
+        mentions = F.coalesce(C.experience_mentions(C.duration_pieces(form["marked"])), F.array())
+        return F.transform(
+            mentions,
+            lambda m: F.struct(
+                F.lit(field).alias("field"), m["rank"].alias("rank"), X.source_offset(form["shifts"], m["start"]).alias("start"), m["rule_id"].alias("rule_id"), m["text"].alias("text")
+            ),
+        )
+
+    return rows.select("offer_id", F.explode(F.concat(*[found(f) for f in C.TEXT_FIELDS])).alias("m")).select("offer_id", "m.*")
+
+
+@query(
+    "mention_context_fields",
+    f"""select offer_id, concat_ws(',', nullif({_VERDICT_SQL}, ''), case when doc_id % 13 = 5 then 'required_experience:{_STACKED}:48' end) as description,
+          case when doc_id % 13 = 3 then 'required_experience:{_SINGLE}:36' else '' end as title,
+          case doc_id % 6 when 0 then 'required_experience:{_SINGLE}:24' when 2 then 'desired_experience:EXP_DESIRED_ONLY:12' else '' end as "experienceLabel" from {{offer_rows}}""",
+)
+def _mention_context_fields(t):
+    """As `mention_context`, for every text."""
+    rows = C.matching_forms(t.sql(_SPOKEN))
+    for field in C.TEXT_FIELDS:
+        rows = C.duration_evidence(rows, field).withColumnRenamed("evidence", f"_evidence_{field}")
+    shown = lambda e: F.concat_ws(":", e["kind"], e["rule_id"], e["normalized_value"])
+    return rows.select("offer_id", *[F.array_join(F.transform(f"_evidence_{f}", shown), ",").alias(f) for f in C.TEXT_FIELDS])
+
+
+@query(
+    "senior_conflict_body",
+    f"""select offer_id, regexp_matches(lower(title), '(^|[^\\pL\\pN_])(s[ée]nior|confirm[ée]e?|exp[ée]riment[ée]e?|lead)([^\\pL]|$)')
+          and not regexp_matches(lower(title), '(s[ée]nior|lead)\\s*\\(?\\s*ou\\s+(junior|d[ée]butant)') as senior_title,
+          case doc_id % 13 when 7 then 'profil confirmé' when 9 then 'nous recherchons un lead' when 11 then 'en tant que senior' end as senior_role from ({_SPOKEN}) s""",
+)
+def _senior_conflict_body(t):
+    """As `senior_conflict`, with the senior role that the description names."""
+    rows = C.senior_wording(C.level_matches(C.matching_forms(t.sql(_SPOKEN))))
+    return rows.select("offer_id", F.col("_senior").alias("senior_title"), F.col("_senior_role")["hit"].alias("senior_role"))
+
+
 _MONTHS = """select event_id, cast(event_id % 3 * 12 as int) as a, cast(event_id % 5 * 6 as int) as b, event_id % 4 as n, event_id % 7 = 0 as accepted,
    event_id % 11 = 0 as junior_clash, event_id % 6 = 0 as not_required from {events}"""
 

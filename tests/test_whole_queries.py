@@ -37,3 +37,16 @@ def test_summary_shows_all_evidence(spark):
     assert status == "ok", note
     rows = registry.queries()["evidence_summary_all"](spark, SF_DIR).collect()
     assert any(r.junior_claim == r.required_experience == 0 < r.total for r in rows) and [12, 36] in [r.required_months for r in rows]
+
+
+@pytest.mark.parametrize("name", ["experience_mentions_all", "mention_context_fields", "senior_conflict_body"])
+def test_all_forms_match_oracle(spark, name):
+    status, _, _, note = oracle_check.compare(spark, oracle_check.connect(SF_DIR), SF_DIR, name)
+    assert status == "ok", note
+
+
+def test_mentions_keep_ranks_and_places(spark, tmp_path):
+    rows = run(spark, tmp_path, "experience_mentions_all", [(2, "abc"), (5, "un an ici")])
+    found = {(r.offer_id[-1], r.field, r["rank"], r.start, r.rule_id, r.text) for r in rows}
+    assert ("2", "description", 0, 18, "EXP_RANGE_YEARS", "1 à 2 ans") in found and ("2", "experienceLabel", 1, 24, "EXP_SINGLE_DURATION", "1 an") in found
+    assert ("5", "description", 1, 0, "EXP_SINGLE_DURATION", "un an") in found and any(f[2] == 2 and f[4] == "EXP_PROFILE_STACK" for f in found)
