@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm import decontaminate, main_text, near_dedup, pu_quality, quality_rules, segmentations, sharding, token_counts, toxicity, warc
+from offerlens.llm import decontaminate, hard_negatives, main_text, near_dedup, pu_quality, quality_rules, segmentations, sharding, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -185,6 +185,34 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+# a row is told from its repeats by its number; ties between these show the same values
+_HARD_NEGATIVES = """
+with rows as materialized (
+  select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scores as materialized (
+  select a.r as anchor_row, a.vec_id as anchor_id, a.label as own, b.r, b.vec_id, b.label,
+    coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])), 0)::bigint as score
+  from rows a join rows b on a.vec_id % 50 = 0 and a.r <> b.r
+), positives as (
+  select anchor_row, vec_id as positive_id, score as positive_score, row_number() over (partition by anchor_row order by score desc, vec_id nulls last, r) as place
+  from scores where own = label qualify place <= 5
+)
+select anchor_id, positive_id, (row_number() over (partition by anchor_row, place order by score desc, vec_id nulls last, r))::int as rank,
+  vec_id as negative_id, positive_score, score as negative_score
+from positives join scores using (anchor_row)
+where own <> label and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+qualify rank <= 3
+"""
+
+
+@query("op11_hard_negatives", _HARD_NEGATIVES)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
