@@ -63,8 +63,8 @@ def test_odd_rows(spark):
     rng = random.Random(5)
     rows = [(i, [rng.choice([-0.5, 0.25, 0.5, 1.0]) for _ in range(6)], rng.randrange(3)) for i in range(0, 300, 3)]
     rows += rows[:30] + [(rows[0][0], [0.5] * 6, 1)]  # repeats, and an anchor's id with another vector
-    rows += [*((None, [x] * 6, label) for x in (0.8, 1.2) for label in range(3)), (50, None, 1), (100, [0.5] * 6, None), (200, [0.5, None, 1, 1, 1, 1], 1)]
-    rows += [(201, [0.5, float("nan"), 1, 1, 1, 1], 1), (202, [0.5, float("inf"), 1, 1, 1, 1], 1)]
+    rows += [*((None, [x] * 6, label) for x in (0.8, 1.2) for label in range(3)), (50, None, 1), (100, [0.5] * 6, None), (200, [0.5, None, 1.0, 1.0], 1)]
+    rows += [(201, [0.5, float("nan"), 1.0, 1.0], 1), (202, [0.5, float("inf"), 1.0, 1.0], 1)]
     rows += [(250, [0.5, 0.5], 2), (251, [], 2), (350, [], 1)]
     want = _plain(rows)
     assert len(want) > 30 and any(r[1] is None for r in want) and any(r[3] is None for r in want)
