@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.llm import decontaminate, hard_negatives, main_text, near_dedup, pu_quality, quality_rules, segmentations, sharding, token_counts, toxicity, warc
+from offerlens.llm import (
+    decontaminate,
+    hard_negatives,
+    log_bilinear,
+    main_text,
+    near_dedup,
+    pu_quality,
+    quality_rules,
+    segmentations,
+    sharding,
+    token_counts,
+    toxicity,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -213,6 +226,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
 
 
+@query("op12_lm_scores")
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_bilinear.log_probabilities(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
