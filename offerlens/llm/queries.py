@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlens.llm import (
+    conversation_repair,
     decontaminate,
     hard_negatives,
     log_bilinear,
@@ -231,6 +232,75 @@ def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_bilinear.log_probabilities(_table(spark, sf_dir, "documents"))
 
 
+# one step of the recursion a row; before it at most two turns are inserted ("filled")
+_REPAIR = """
+with recursive steps(byte, round, c) as (
+  select range, 0, range from range(256) union all
+  select byte, round + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from steps where round < 8
+), crc_table as materialized (select list(c order by byte) as t from steps where round = 8),
+plain as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '))), '..'), lambda h: ('0x' || h)::bigint),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295) % 20 as kind
+  from conversations, crc_table
+), damaged as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+    case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(case when kind = 3 then [0, 1] else [0] end) as copy
+  from plain where kind <> 0
+), keyed as (select *, unhex(sha256(length(role)::varchar || ':' || role || text)) as digest from damaged),
+ordered as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, digest, copy) as i,
+    row_number() over (partition by conv_id, role, text order by turn nulls first, copy) > 1 as again from keyed
+), judged as materialized (
+  select conv_id, i, turn, role, text, left(role, 1) as initial,
+    case when not regexp_matches(text, '[^\\x20\\x09-\\x0D]') then 1 when again then 2
+      when not regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') then 3 else 0 end as fault,
+    coalesce(left(lag(role) over (partition by conv_id order by i), 1) || left(role, 1) not in ('su', 'ua', 'au'), false) as illegal
+  from ordered
+), filled(from_state, to_state, inserts) as (
+  values (0, 0, ''), (0, 2, 'I'), (0, 3, 'II'), (1, 1, ''), (1, 2, 'I'), (1, 3, 'II'), (2, 2, ''), (2, 3, 'I'), (3, 3, ''), (3, 2, 'I')
+), kept(from_state, initial, to_state) as (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+moves as (
+  select from_state, to_state, initial, 'K' as edit, 0 as cost from kept
+  union all select from_state, to_state, i, 'R', 2 from kept, (values ('s'), ('u'), ('a'), ('')) other(i) where initial <> 's'
+  union all select s, s, i, 'D', 3 from range(4) states(s), (values ('s'), ('u'), ('a'), ('')) other(i)
+), best(conv_id, i, state, found) as (
+  select distinct conv_id, 0::bigint, 0, '000000' from judged
+  union all
+  select b.conv_id, b.i + 1, m.to_state, min(lpad((left(found, 6)::int + 2 * length(inserts) + m.cost + case when fault = 3 and edit <> 'D' then 1 else 0 end)::varchar, 6, '0')
+    || substr(found, 7) || inserts || edit)
+  from best b join judged j on j.conv_id is not distinct from b.conv_id and j.i = b.i + 1 join filled f on f.from_state = b.state
+    join moves m on m.from_state = f.to_state and m.initial = case when j.initial in ('s', 'u', 'a') then j.initial else '' end
+  where fault in (0, 3) or edit = 'D'
+  group by 1, 2, 3
+), counts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) as n, count(*) filter (fault = 1) as blank,
+    count(*) filter (fault = 2) as duplicate, count(*) filter (fault = 3) as truncated, count(*) filter (illegal) as illegal from judged group by conv_id
+), ended as materialized (
+  select b.conv_id, min(lpad((left(found, 6)::int + 2 * length(inserts))::varchar, 6, '0') || substr(found, 7) || inserts) as found
+  from best b join counts c on c.conv_id is not distinct from b.conv_id and c.n = b.i join filled f on f.from_state = b.state where to_state in (0, 3) group by 1
+), edits as (
+  select conv_id, p, substr(found, 6 + p, 1) as edit, length(replace(substr(found, 7, p), 'I', '')) as i, length(replace(substr(found, 7, p), 'D', '')) as k
+  from (select conv_id, found, unnest(range(1, length(found) - 5)) as p from ended)
+), done as (
+  select e.conv_id, p, k, edit, role, case when edit = 'I' then '' else text end as text, max(case when edit = 'K' and k = 1 and initial = 's' then 1 else 0 end) over (partition by e.conv_id) as s
+  from edits e left join judged j on j.conv_id is not distinct from e.conv_id and j.i = e.i where edit <> 'D'
+), hashed as (
+  select conv_id, sha256(string_agg(case when edit = 'K' then role when (k - s) % 2 = 1 then 'user' else 'assistant' end || ':' || text, chr(10) order by p)) as h
+  from done group by conv_id
+)
+select o.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+  coalesce(illegal, 0) as illegal, coalesce(left(found, 6)::bigint, 0) as cost, coalesce(substr(found, 7), '') as audit, coalesce(h, sha256('')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join counts c on c.conv_id is not distinct from o.conv_id
+  left join ended e on e.conv_id is not distinct from o.conv_id left join hashed x on x.conv_id is not distinct from o.conv_id
+"""
+
+
+@query("op13_conversation_repair", _REPAIR)
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repairs(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
