@@ -135,6 +135,12 @@ def fold_excerpt(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(_nfkd_lower(value), r"\p{M}+", ""), r"[^\p{L}\p{N}]+", "")
 
 
+def folded_words(value: Column) -> Column:
+    """Words of letters and digits, without case and marks, in order."""
+    plain = F.regexp_replace(F.regexp_replace(_nfkd_lower(value), r"\p{M}+", ""), r"[^\p{L}\p{N}]+", " ")
+    return F.filter(F.split(plain, " "), lambda word: word != "")
+
+
 def content_fingerprint(title: Column, description: Column) -> Column:
     """Hash of the text alone, blind to case, compatibility forms and spacing."""
     text = _nfkc_lower(F.concat(title, F.lit("\n"), description))

@@ -413,27 +413,6 @@ def exact_overlap_count(cohort: DataFrame, other: DataFrame, fingerprint: str =
     return shared.agg(F.count(F.lit(1)).alias("overlaps"))
 
 
-def probable_duplicates(offers: DataFrame, days: int = 30) -> DataFrame:
-    """Clusters of offers that are probably one: equal folded title, company, commune, contract and text, near dates.
-
-    Reported, never merged. Members of a key are chained by date: a gap of more than `days` starts a new
-    cluster, so no pair is ever built. Offers are reduced to one row per key and day before anything is ordered, so
-    a key holds no more rows than the calendar has days.
-    """
-    key = F.sha2(F.to_json(F.struct(fold_excerpt(F.col("title")).alias("t"), "company_name", "commune_code", "contract_kind", fold_excerpt(F.col("description_text")).alias("d")), {"ignoreNullFields": "false"}), 256)
-    day = F.coalesce(F.to_date("source_published_at"), F.lit("1970-01-01").cast("date"))
-    rows = offers.select("offer_id", key.alias("duplicate_key"), day.alias("day"))
-    dated = rows.groupBy("duplicate_key", "day").agg(F.count(F.lit(1)).alias("n"), F.min("offer_id").alias("least"))
-    ordered = Window.partitionBy("duplicate_key").orderBy("day")
-    starts = F.coalesce(F.datediff("day", F.lag("day").over(ordered)) > days, F.lit(True))
-    chained = dated.withColumn("start", F.when(starts, F.col("day")))
-    chained = chained.withColumn("cluster_day", F.max("start").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-    cluster = Window.partitionBy("duplicate_key", "cluster_day")
-    sized = chained.withColumns({"cluster_size": F.sum("n").over(cluster), "cluster_id": F.min("least").over(cluster)})
-    several = sized.filter(F.col("cluster_size") > 1).select("duplicate_key", "day", "cluster_id", "cluster_size")
-    return rows.join(several, ["duplicate_key", "day"]).select("offer_id", "cluster_id", "cluster_size")
-
-
 def review_selection(rows: DataFrame, deltas: DataFrame, key: str = "review_id") -> DataFrame:
     """Rows with a delta go to review."""
     return rows.join(deltas.select(key).distinct(), key, "left_semi")

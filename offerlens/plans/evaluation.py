@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from offerlens.functions import rates as R
 from offerlens.functions.text import content_fingerprint, redact_text
+from offerlens.operators import duplicates as Du
 from offerlens.operators import evaluate as E
 from offerlens.plans.read_models import V1, V2, counts_sql, rate_sql
 from offerlens.plans.registry import query
@@ -456,5 +457,43 @@ _COPIES = """select offer_id, title, company_name, commune_code, contract_kind,
 def _duplicates(t):
     """Every offer has a copy in other letters and up to 49 days later; near ones must be found."""
     copies = t.sql(_COPIES)
-    found = E.probable_duplicates(copies).join(copies.select("offer_id", "doc_id"), "offer_id")
+    found = Du.probable_duplicates(copies).join(copies.select("offer_id", "doc_id"), "offer_id")
     return found.groupBy("doc_id", F.lit(False).alias("far")).agg(F.count(F.lit(1)).alias("offers"))
+
+
+# Blocks of many offers: the title has 40 values. Copies change the words that begin with one letter, or with several.
+_VERSIONS = """select lpad(cast(doc_id as string), 10, '0') || '-' || cast(version as string) as offer_id, 'Role ' || cast(doc_id % 40 as string) as title,
+     cast(null as string) as company_name, source as commune_code, case when doc_id % 3 = 0 then 'cdi' end as contract_kind,
+     case version when 0 then text when 1 then replace(text, ' s', ' zs') when 2 then replace(replace(text, ' b', ' zb'), ' c', ' zc')
+       when 3 then replace(replace(replace(replace(text, ' a', ' za'), ' t', ' zt'), ' d', ' zd'), ' l', ' zl') else ' ' || replace(text, 'e', 'E') || ' !' end as description_text,
+     case when doc_id % 13 <> 0 then timestamp '2024-01-30 00:00:00' - (doc_id % 120 + version * (doc_id % 25)) * interval '1' day end as source_published_at
+   from (select doc_id, source, text, explode(arr(0, 1, 2, 3, 4)) as version from {documents}) versions"""
+
+
+@query(
+    "probable_duplicate_texts",
+    f"""with recursive offers as materialized (
+          select offer_id, struct_pack(t := title, c := commune_code, k := contract_kind) as block, coalesce(cast(source_published_at as date), date '1970-01-01') as day,
+            list_sort(list_distinct(regexp_extract_all(strip_accents(lower(coalesce(description_text, ''))), '[\\p{{L}}\\p{{N}}]+'))) as words
+          from ({_VERSIONS}) v
+        ), classes as materialized (select row_number() over () as class, * from (select distinct block, words from offers) d),
+        words as materialized (select class, block, unnest(words) as word from classes),
+        weights as (select word, length(bin((select count(*) from classes) // count(*))) as weight from words group by word),
+        weighted as materialized (select class, block, word, weight from words join weights using (word)),
+        totals as (select class, sum(weight) as total from weighted group by class),
+        common as (select a.class as a, b.class as b, sum(a.weight) as common from weighted a join weighted b on a.block = b.block and a.word = b.word and a.class < b.class group by all),
+        similar_ as (select a, b from common join totals x on x.class = a join totals y on y.class = b where common >= 0.75 * (x.total + y.total - common)
+          union all select class, class from classes),
+        members as materialized (select offer_id, day, class from offers join classes using (block, words)),
+        links as materialized (
+          select x.offer_id as a, y.offer_id as b from similar_ s join members x on x.class = s.a join members y on y.class = s.b
+          where x.offer_id <> y.offer_id and abs(date_diff('day', x.day, y.day)) <= 30),
+        reach(offer_id, other) as (
+          select offer_id, offer_id from offers union
+          select r.offer_id, l.b from reach r join (select a, b from links union select b, a from links) l on l.a = r.other
+        ), clusters as (select offer_id, min(other) as cluster_id from reach group by offer_id)
+        select offer_id, cluster_id, cluster_size from (select *, count(*) over (partition by cluster_id) as cluster_size from clusters) c where cluster_size > 1""",
+)
+def _duplicate_texts(t):
+    """Each document in five versions, some within the bound of similarity, in blocks of many offers."""
+    return Du.probable_duplicates(t.sql(_VERSIONS))
