@@ -189,6 +189,38 @@ def _stream_sightings(t):
     return rows.select("offer_id", text("first_seen_at"), text("last_seen_at"), "sightings", "open_hash")
 
 
+# Sightings and closings arrive in six files one after the other, each over the whole time.
+_CHANGES = """select offer_id, observed_at, event_id, content_hash, case when event_id % 11 in (3, 4) then 'closed' else 'seen' end as kind,
+     cast(event_id % 6 as int) as file_no from {sightings}"""
+
+
+@query(
+    "stream_offer_state",
+    f"""with ordered as (
+          select *, lag(kind) over w as before, row_number() over w as place, last_value(kind) over (partition by offer_id order by file_no, observed_at, event_id
+            rows between unbounded preceding and unbounded following) as last_kind
+          from ({_CHANGES}) c window w as (partition by offer_id order by file_no, observed_at, event_id)
+        )
+        select offer_id, strftime(min(observed_at) filter (kind = 'seen'), '%Y-%m-%d %H:%M:%S') as first_seen_at,
+          strftime(max(observed_at) filter (kind = 'seen'), '%Y-%m-%d %H:%M:%S') as last_seen_at, count(*) filter (kind = 'seen') as sightings,
+          arg_max(content_hash, (observed_at, event_id)) filter (kind = 'seen') as open_hash,
+          case when any_value(last_kind) = 'closed' then strftime(arg_max(observed_at, place) filter (kind = 'closed' and before is distinct from 'closed'), '%Y-%m-%d %H:%M:%S') end as closed_at,
+          count(*) filter (kind = 'seen' and before = 'closed') as reopened_count
+        from ordered group by offer_id""",
+)
+def _stream_state(t):
+    """Six batches with a snapshot every second one; offers closed for three days leave the snapshot and come back."""
+    landing, state = T.scratch_path(t.spark, "changes"), T.scratch_path(t.spark, "state")
+    changes = t.sql(_CHANGES)
+    for number in range(6):
+        changes.filter(F.col("file_no") == number).drop("file_no").coalesce(1).write.mode("append").parquet(landing)
+    sightings.keep_state(t.spark, landing, state, T.scratch_path(t.spark, "progress"), snapshot_every=2, archived_after_days=3)
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return sightings.current_state(t.spark, state).select(
+        "offer_id", text("first_seen_at"), text("last_seen_at"), "sightings", "open_hash", text("closed_at"), "reopened_count"
+    )
+
+
 # ------------------------------------------------------------------ projections
 
 

@@ -50,9 +50,28 @@ def computed_once(rows: DataFrame, name: str, column: Column) -> DataFrame:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    target, files = _file_system(spark, path)
+    return files.exists(target)
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def numbered_folders(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the completely written tables below a folder, in order."""
+    target, files = _file_system(spark, path)
+    if not files.exists(target):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(target) if f.isDirectory()]
+    return sorted(int(n) for n in names if n.isdigit() and _exists(spark, f"{path}/{n}/_SUCCESS"))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a table of the library's own that nothing reads any more."""
+    target, files = _file_system(spark, path)
+    files.delete(target, True)
 
 
 def upsert(stored: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
