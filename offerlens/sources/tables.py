@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,15 +21,32 @@ def write_partitions(rows: DataFrame, path: str, *partition: str) -> None:
 
 
 def append_new(rows: DataFrame, path: str, keys: list[str], *partition: str) -> None:
-    """Add the rows whose key is not stored yet ("on conflict do nothing")."""
-    spark = rows.sparkSession
+    """Add the rows whose key is not stored yet ("on conflict do nothing").
+
+    The partition columns belong to the key, so only the stored partitions that occur in `rows` can hold a key of
+    theirs; no file of another partition is read. Rows that are equal in the key count once.
+    """
     fresh = rows.dropDuplicates(keys)
-    if _exists(spark, path):
-        stored = spark.read.schema(rows.schema).parquet(path).select(*keys).distinct()
-        fresh = fresh.join(stored, keys, "left_anti")
+    if _exists(rows.sparkSession, path):
+        fresh = fresh.join(stored_keys(rows, path, keys, *partition), keys, "left_anti")
     fresh.write.mode("append").partitionBy(*partition).parquet(path)
 
 
+def stored_keys(rows: DataFrame, path: str, keys: list[str], *partition: str) -> DataFrame:
+    """Keys in those partitions of a stored table that occur in `rows`, whose number a batch bounds."""
+    if not set(partition) <= set(keys):
+        raise ValueError("partition columns must belong to the key")
+    stored = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    found = [tuple(r) for r in rows.select(*partition).distinct().collect()] if partition else [()]
+    if len(partition) == 1:
+        listed = [v for v, in found if v is not None]
+        held = F.col(partition[0]).isin(listed) | (F.lit(any(v is None for v, in found)) & F.col(partition[0]).isNull())
+    else:
+        one = lambda values: reduce(and_, (F.col(p).eqNullSafe(F.lit(v)) for p, v in zip(partition, values)), F.lit(True))
+        held = reduce(or_, map(one, found), F.lit(False))
+    return stored.filter(held).select(*keys)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -14,7 +14,8 @@ def commit_pages(spark: SparkSession, landing: str, committed: str, progress: st
     """Read all page files not seen yet and append the pages whose key is new.
 
     The page key makes a commit repeatable: within a batch duplicates are dropped, against the committed
-    table an anti join on the two key columns decides, so a batch run again after a failure adds nothing.
+    table an anti join on the two key columns decides, so a batch run again after a failure adds nothing. Pages are
+    stored by query, and a batch reads the keys of its own queries only.
     """
     reader = spark.readStream.schema(PAGE_SCHEMA)
     if files_per_batch:

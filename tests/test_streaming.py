@@ -5,8 +5,13 @@ import datetime as dt
 import random
 
 
+import pytest
+from pyspark.sql import functions as F
+
 from offerlens.sources import tables as T
+from offerlens.sources.pages import PAGE_SCHEMA
 from offerlens.streaming import sightings as S
+from offerlens.streaming.intake import PAGE_KEY
 
 START = dt.datetime(2024, 1, 1)
 
@@ -99,3 +104,35 @@ def test_files_without_a_kind_are_sightings(spark):
     spark.createDataFrame([("a", START, 1, "x"), ("a", START, 2, "y")], "offer_id string, observed_at timestamp, event_id long, content_hash string").write.parquet(landing)
     S.keep_state(spark, landing, state, progress)
     assert _got(S.current_state(spark, state)) == {"a": (START, START, 2, "y", None, 0)}
+
+
+def _pages(spark, queries, starts):
+    rows = [(q, s, f'{{"resultats": [], "q": "{q}"}}') for q in queries for s in starts]
+    return spark.createDataFrame(rows, PAGE_SCHEMA).coalesce(1)
+
+
+def test_a_commit_reads_only_partitions_that_may_hold_its_keys(spark):
+    """The table grows tenfold; a batch of two queries reads the same files before and after."""
+    path = T.scratch_path(spark, "committed")
+    batch = _pages(spark, ["q1", "a=b/c%"], [0, 150])
+    read = []
+    for wave in range(1, 11):
+        T.append_new(_pages(spark, [f"q{10 * wave + k}" for k in range(10)] + ["q1"] * (wave == 1), [0]), path, PAGE_KEY, "query_key")
+        read.append(T.stored_keys(batch, path, PAGE_KEY, "query_key").select(F.input_file_name()).distinct().count())
+    assert read == [1] * 10
+    for _ in range(2):  # the second time nothing is new
+        T.append_new(batch, path, PAGE_KEY, "query_key")
+    rows = spark.read.schema(PAGE_SCHEMA).parquet(path)
+    assert rows.count() == 104 and rows.filter("query_key in ('q1', 'a=b/c%')").count() == 4
+    with pytest.raises(ValueError, match="belong to the key"):
+        T.stored_keys(batch, path, ["range_start"], "query_key")
+
+
+def test_append_by_several_partitions_and_nulls(spark):
+    path = T.scratch_path(spark, "pairs")
+    rows = spark.createDataFrame([(None, "a", 1), ("r", None, 1), ("r", "a", 1), ("s", "a", 1)], "run string, day string, offer long")
+    T.append_new(rows, path, ["run", "day", "offer"], "run", "day")
+    more = rows.filter("run is null or day is null").unionByName(spark.createDataFrame([("s", "b", 1), ("s", "b", 1)], rows.schema))
+    T.append_new(more, path, ["run", "day", "offer"], "run", "day")
+    assert T.stored_keys(more, path, ["run", "day", "offer"], "run", "day").count() <= 5
+    assert spark.read.schema(rows.schema).parquet(path).filter("day = 'b'").count() == 1
