@@ -231,7 +231,14 @@ ARRAYS = {"job_family": "job_families", "technology_slug": "technologies"}
 
 
 def metrics_by_dimension(rows: DataFrame, sets: list[tuple[str, ...]]) -> DataFrame:
-    """The same rates by up to three combined dimensions, by grouping sets.
+    """The same rates by up to three combined dimensions, by grouping sets."""
+    used = [d for d in DIMENSIONS if any(d in s for s in sets)]
+    return rates_of_cells(cells(rows, sets).drop("dimensions", "offers"), used)
+
+
+def cells(rows: DataFrame, sets: list[tuple[str, ...]]) -> DataFrame:
+    """The counters of every combination of dimension values: `dataset_id, junior_metric_version`, a column for each
+    used dimension, `dimensions` (the names of the set), the counters of the three rates, and `offers`.
 
     `rows` holds one row per offer. Arrays are exploded for the sets that name their dimension and for no other,
     so an offer counts once in each of its families and technologies and once everywhere else.
@@ -247,12 +254,21 @@ def metrics_by_dimension(rows: DataFrame, sets: list[tuple[str, ...]]) -> DataFr
         spread = rows
         for dimension in arrays:
             spread = spread.withColumn(dimension, F.explode(F.array_distinct(ARRAYS[dimension])))
-        cells = _by_sets(spread, own)
-        found.append(cells.select(*[c if c in cells.columns else F.lit(None).cast("string").alias(c) for c in used], *[c for c in cells.columns if c not in used]))
+        part = _cells_by_sets(spread, own)
+        found.append(part.select(*[c if c in part.columns else F.lit(None).cast("string").alias(c) for c in used], *[c for c in part.columns if c not in used]))
     return reduce(DataFrame.unionByName, found)
 
 
-def _by_sets(rows: DataFrame, sets: list[tuple[str, ...]]) -> DataFrame:
+#: The counters of a cell, which are sums over its offers.
+CELL_COUNTERS = tuple(f"{metric}__{count}" for metric in (R.CONTRADICTION, R.BEGINNER, R.SALARY) for count in R.COUNTS)
+
+
+def rates_of_cells(found: DataFrame, used: list[str]) -> DataFrame:
+    """The three rates of each cell."""
+    return _unfold(found, ["dataset_id", "junior_metric_version", *used])
+
+
+def _cells_by_sets(rows: DataFrame, sets: list[tuple[str, ...]]) -> DataFrame:
     used = [d for d in DIMENSIONS if any(d in s for s in sets)]
     named = (
         (R.CONTRADICTION, R.contradiction_versioned(F.col("junior_metric_version"))),
@@ -263,14 +279,12 @@ def _by_sets(rows: DataFrame, sets: list[tuple[str, ...]]) -> DataFrame:
     base = ["dataset_id", "junior_metric_version"]
     # An offer without a value in a dimension has no cell there.
     wide = rows.groupingSets([[F.col(c) for c in (*base, *s)] for s in sets], *base, *used).agg(
-        *counters, F.grouping_id().alias("level")
-    )
-    present = reduce(
-        lambda a, b: a & b,
-        [F.col(d).isNotNull() | (F.col("level").bitwiseAND(1 << (len(used) - 1 - i)) != 0) for i, d in enumerate(used)],
-        F.lit(True),
+        *counters, F.count(F.lit(1)).alias("offers"), F.grouping_id().alias("level")
     )
-    return _unfold(wide.filter(present).drop("level"), [*base, *used])
+    absent = {d: F.col("level").bitwiseAND(1 << (len(used) - 1 - i)) != 0 for i, d in enumerate(used)}
+    present = reduce(lambda a, b: a & b, [F.col(d).isNotNull() | absent[d] for d in used], F.lit(True))
+    names = F.concat_ws(",", *[F.when(~absent[d], F.lit(d)) for d in used]) if used else F.lit("")
+    return wide.filter(present).withColumn("dimensions", names).drop("level")
 
 
 def percent_point_change(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

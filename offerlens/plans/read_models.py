@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from offerlens.functions import offers as O
 from offerlens.functions import rates as R
+from offerlens.operators import cells as Ce
 from offerlens.operators import explorer as X
 from offerlens.operators import metrics as M
 from offerlens.operators import trends as H
@@ -19,6 +20,7 @@ from offerlens.operators.scope import (
 )
 from offerlens.operators.skew import first_by
 from offerlens.plans.registry import query
+from offerlens.sources.tables import scratch_path
 
 HOME = Scope(period="90d")
 NARROW = Scope(job="software", technologies="sql,java", area="region:src1", period="90d")
@@ -470,6 +472,62 @@ def _metrics_by_dimension(t):
     return rows.select(*M.DIMENSIONS, "metric_key", *R.COUNTS, "population_count", "value", "sample_quality")
 
 
+# Three days in a row; each day some offers come, go, change their remote mode or their families, or are reclassified.
+_DAYS = ("2024-01-13", "2024-01-14", "2024-01-15")
+_CHANGING = """select d.* from (
+     select dataset_id, junior_metric_version, cast(business_date as string) as day, offer_id, status, claims_junior, minimum_experience_months, beginner_friendly,
+       contradictory_junior, junior_observation_status, junior_observation_contradictory,
+       case when (user_id + dayofyear(business_date)) % 9 = 0 then not salary_transparent else salary_transparent end as salary_transparent,
+       case when (user_id + dayofyear(business_date)) % 7 = 0 then 'remote' else remote_mode end as remote_mode, contract_kind,
+       case when (user_id + dayofyear(business_date)) % 8 = 0 then arr('data') else job_families end as job_families
+     from {day_members}) d"""
+_CELL_SETS = [(), ("contract_kind",), ("remote_mode",), ("job_family",), ("job_family", "remote_mode")]
+
+
+def _cells_sql() -> str:
+    parts = []
+    for dims in _CELL_SETS:
+        source = f"(select * from ({_CHANGING}) c where day = '{_DAYS[2]}')"
+        if "job_family" in dims:
+            source = f"(select *, unnest(list_distinct(job_families)) as job_family from {source} e)"
+        columns = ", ".join((d if d in dims else "null::varchar") + f" as k_{d}" for d in ("job_family", "contract_kind", "remote_mode"))
+        present = " and ".join(f"{d} is not null" for d in dims) or "true"
+        keys = "dataset_id, k_job_family, k_contract_kind, k_remote_mode"
+        parts.append(f"select '{','.join(dims)}' as dimensions, u.* from ({_all_rates_sql(f'(select *, {columns} from {source} s where {present}) d', keys)}) u")
+    return " union all ".join(parts)
+
+
+@query(
+    "stored_cells",
+    f"""select dataset_id, dimensions, k_job_family as job_family, k_contract_kind as contract_kind, k_remote_mode as remote_mode, metric_key, numerator, denominator,
+          unknown_count, ambiguous_count, population_count, value from ({_cells_sql()}) m""",
+)
+def _stored_cells(t):
+    """The first day is counted whole, the others by what changed; the oracle counts the last day whole."""
+    path, days = scratch_path(t.spark, "cells"), [t.sql(_CHANGING).filter(F.col("day") == day).drop("day") for day in _DAYS]
+    Ce.store_cells(M.cells(days[0], _CELL_SETS), path)
+    for before, after in zip(days, days[1:]):
+        Ce.store_cells(Ce.next_cells(Ce.read_cells(t.spark, path), before, after, _CELL_SETS), path)
+    last = days[2].select("dataset_id").distinct()
+    rows = Ce.rates(Ce.read_cells(t.spark, path).join(last, "dataset_id", "left_semi"))
+    return rows.select("dataset_id", "dimensions", "job_family", "contract_kind", "remote_mode", "metric_key", *R.COUNTS, "population_count", "value")
+
+
+@query(
+    "store_daily_metrics",
+    f"""with fresh as (select * from ({_all_rates_sql('{day_members}', 'dataset_id, business_date')}) m)
+        select dataset_id, metric_key, case when dayofyear(business_date) % 4 = 1 and dayofyear(business_date) % 3 <> 0 then 1 else numerator end as numerator,
+          population_count from fresh""",
+)
+def _store_daily_metrics(t):
+    """Every fourth day is stored already with another numerator; of these only the drafts, every third day, are replaced."""
+    computed = M.daily_metrics(t.day_members, F.col("business_date"))
+    day = F.dayofyear("period_start")
+    stored = computed.filter(day % 4 == 1).withColumn("numerator", F.lit(1).cast("long"))
+    drafts = t.datasets.filter(F.dayofyear("business_date") % 3 == 0).select("dataset_id")
+    return M.store_daily_metrics(stored, computed, drafts).select("dataset_id", "metric_key", "numerator", "population_count")
+
+
 @query(
     "percent_point_change",
     f"""with counted_members as materialized (select * from {{day_members}}),
