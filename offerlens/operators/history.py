@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerlens.operators.skew import bucketed_neighbour
 
 
 def record_sightings(observations: DataFrame) -> DataFrame:
@@ -47,26 +46,42 @@ def _day(column: str) -> Column:
     return F.to_date(column)
 
 
-def snapshot_changes(observations: DataFrame, bucket: Column | None = None) -> DataFrame:
-    """Observations whose content differs from the one before; an offer seen very often stays split by day."""
-    order = ["observed_at", "event_id"]
-    rows = observations.select("offer_id", "observed_at", "event_id", "content_hash")
-    seen = bucketed_neighbour(rows, ["offer_id"], _day("observed_at") if bucket is None else bucket, order, ["content_hash"])
-    return seen.filter(~F.col("content_hash").eqNullSafe(F.col("previous_content_hash"))).drop("previous_content_hash")
-
-
 def snapshot_intervals(observations: DataFrame, bucket: Column | None = None) -> DataFrame:
-    """Snapshots with their validity: equal neighbours collapse, a change closes the open row, A-B-A gives three."""
-    changes = snapshot_changes(observations, bucket)
-    order = ["observed_at", "event_id"]
-    closed = bucketed_neighbour(
-        changes, ["offer_id"], _day("observed_at") if bucket is None else bucket, order, ["observed_at"], following=True
+    """Snapshots with their validity: equal neighbours collapse, a change closes the open row, A-B-A gives three.
+
+    Observations are shuffled once, by offer and bucket (a day, or a non-decreasing function of the order), so an
+    offer seen very often stays split. Inside a bucket all but the first and the last change are final. Each bucket
+    gives one run-length summary (first and last change, time of the second), and these, one row a bucket, are put
+    in order by offer to settle the changes at the borders. Nothing is joined.
+    """
+    rows = observations.select("offer_id", "observed_at", "event_id", "content_hash").withColumn("_bucket", _day("observed_at") if bucket is None else bucket)
+    inside = Window.partitionBy("offer_id", "_bucket").orderBy("observed_at", "event_id")
+    seen = rows.withColumns({"_place": F.row_number().over(inside), "_before": F.lag("content_hash").over(inside)})
+    changes = seen.filter((F.col("_place") == 1) | ~F.col("content_hash").eqNullSafe(F.col("_before")))
+    changes = changes.withColumn("valid_to", F.lead("observed_at").over(inside))
+    settled = changes.filter((F.col("_place") > 1) & F.col("valid_to").isNotNull())
+
+    order, change = F.struct("observed_at", "event_id"), F.struct("content_hash", "observed_at", "valid_to")
+    borders = changes.groupBy("offer_id", "_bucket").agg(
+        F.min_by(change, order).alias("first"), F.max_by(change, order).alias("last"), F.count(F.lit(1)).alias("n")
     )
-    return closed.select(
-        "offer_id",
-        "content_hash",
-        F.col("observed_at").alias("valid_from"),
-        F.col("next_observed_at").alias("valid_to"),
+    forward = Window.partitionBy("offer_id").orderBy("_bucket")
+    backward = Window.partitionBy("offer_id").orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    same = F.lag("last").over(forward)["content_hash"].eqNullSafe(F.col("first.content_hash")) & (F.row_number().over(forward) > 1)
+    borders = borders.withColumn("opens", ~same)
+    # when the offer changes next after an earlier bucket
+    entered = F.when(F.col("opens"), F.col("first.observed_at")).otherwise(F.col("first.valid_to"))
+    borders = borders.withColumn("entered", entered).withColumn("next", F.last("entered", ignorenulls=True).over(backward))
+
+    def interval(border: str, valid_to: Column) -> Column:
+        return F.struct(F.col(f"{border}.content_hash").alias("content_hash"), F.col(f"{border}.observed_at").alias("valid_from"), valid_to.alias("valid_to"))
+
+    ends = F.array(
+        F.when(F.col("opens"), interval("first", F.coalesce("first.valid_to", "next"))),
+        F.when(F.col("n") > 1, interval("last", F.col("next"))),
+    )
+    return settled.select("offer_id", "content_hash", F.col("observed_at").alias("valid_from"), "valid_to").unionByName(
+        borders.select("offer_id", F.inline(F.array_compact(ends)))
     )
 
 
