@@ -11,7 +11,7 @@ from offerlens.plans.derived import Frames, oracle
 
 _QUERIES: dict[str, Callable[[Frames], DataFrame]] = {}
 _ORACLE: dict[str, str] = {}
-_MODULES = ("read_models", "collection", "texts", "evaluation")
+_MODULES = ("read_models", "collection", "texts", "evaluation", "daily")
 
 
 def query(name: str, sql: str | None = None):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from functools import reduce
 from operator import and_, or_
@@ -78,13 +79,28 @@ def _file_system(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def numbered_folders(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the completely written tables below a folder, in order."""
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below a folder, in order."""
     target, files = _file_system(spark, path)
     if not files.exists(target):
         return []
-    names = [f.getPath().getName() for f in files.listStatus(target) if f.isDirectory()]
-    return sorted(int(n) for n in names if n.isdigit() and _exists(spark, f"{path}/{n}/_SUCCESS"))
+    return sorted(f.getPath().getName() for f in files.listStatus(target) if f.isDirectory())
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end."""
+    return _exists(spark, f"{path}/_SUCCESS")
+
+
+def check_name(name: str) -> None:
+    """A name that becomes a folder."""
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]{0,99}", name):
+        raise ValueError(f"not a folder name: {name!r}")
+
+
+def numbered_folders(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the completely written tables below a folder, in order."""
+    return sorted(int(n) for n in folder_names(spark, path) if n.isdigit() and is_complete(spark, f"{path}/{n}"))
 
 
 def remove(spark: SparkSession, path: str) -> None:
