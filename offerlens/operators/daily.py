@@ -255,7 +255,7 @@ def finish(store: Store, run: Run, queries: DataFrame, groups: list[dict]) -> No
         "closure_eligible", "decision", "reasons", "offers_received", "offers_valid", "offers_quarantined", "in_perimeter", "unique_offers", "offers_new",
         "offers_updated", "offers_marked_missing", "offers_closed", "members", "source_cutoff_at", published.alias("is_published"),
         F.when(published, F.col("run_id")).alias("dataset_id"), F.when(published, version).alias("dataset_version"),
-        F.lit(run.classifier).alias("classifier_version"), F.lit(METRIC_VERSION).alias("junior_metric_version"), F.lit(run.before).alias("previous_run_id"),
+        F.lit(run.classifier).alias("classifier_version"), F.lit(METRIC_VERSION).alias("junior_metric_version"), F.lit(run.before).cast("string").alias("previous_run_id"),
     ).coalesce(1))
 
 

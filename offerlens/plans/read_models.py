@@ -530,15 +530,17 @@ def _store_daily_metrics(t):
 
 @query(
     "percent_point_change",
-    f"""with counted_members as materialized (select * from {{day_members}}),
-        rates as materialized (select * from ({_all_rates_sql('counted_members', 'dataset_id, business_date')}) a)
-        select a.metric_key, cast(a.business_date as varchar) as date_a,
-          concat_ws(',', case when a.metric_version <> b.metric_version then 'method_differs' end,
-            case when a.sample_quality = 'insufficient' or b.sample_quality = 'insufficient' then 'sample_insufficient' end) as refused,
-          case when a.metric_version = b.metric_version and a.sample_quality <> 'insufficient' and b.sample_quality <> 'insufficient'
-            then round((b.value - a.value) * 100, 8) end as points
-        from rates a join rates b on b.metric_key = a.metric_key and b.business_date = a.business_date + 1
-        where a.dataset_id not like '%b' and b.dataset_id not like '%b'""",
+    f"""with rates as materialized (
+          select * from ({_all_rates_sql("(select * from {day_members} d where not ends_with(dataset_id, 'b'))", 'dataset_id, business_date')}) a
+        ), following as (
+          select *, lead(business_date) over w as next_date, lead(metric_version) over w as next_version, lead(sample_quality) over w as next_quality, lead(value) over w as next_value
+          from rates window w as (partition by metric_key order by business_date)
+        )
+        select metric_key, cast(business_date as varchar) as date_a,
+          concat_ws(',', case when metric_version <> next_version then 'method_differs' end,
+            case when sample_quality = 'insufficient' or next_quality = 'insufficient' then 'sample_insufficient' end) as refused,
+          case when metric_version = next_version and sample_quality <> 'insufficient' and next_quality <> 'insufficient' then round((next_value - value) * 100, 8) end as points
+        from following where next_date = business_date + 1""",
 )
 def _percent_point_change(t):
     rows = M.daily_metrics(t.day_members, F.col("business_date")).filter(~F.col("dataset_id").endswith("b"))

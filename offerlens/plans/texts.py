@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from offerlens.functions import offers as O
 from offerlens.functions import text as X
+from offerlens.operators import backfill as B
 from offerlens.operators import classify as C
 from offerlens.operators import normalize as N
 from offerlens.plans.registry import query
@@ -742,6 +743,23 @@ def _reclassify(t):
     )
 
 
+@query(
+    "reclassify_resumed",
+    f"""select count(*) as snapshots, count(*) as classified, 0 as missing, 0 as repeated, count(*) filter (doc_id % 3 <> 0) as created,
+          count(*) filter (doc_id % 3 <> 0 and {_TRANSPARENT}) as with_salary from {{offer_rows}}""",
+)
+def _reclassify_resumed(t):
+    """The walk is ended after three of eight ranges and taken up again; a third of the snapshots is not new."""
+    offers, path = _offers(t), T.scratch_path(t.spark, "walk")
+    stored = offers.filter(F.col("doc_id") % 3 == 0).select("snapshot_id", F.lit(C.CLASSIFIER_VERSION).alias("classifier_version"))
+    B.backfill(offers, stored, path, ranges=8, at_once=3, most=3)
+    B.backfill(offers, stored, path, ranges=8, at_once=5)
+    results = B.backfilled(t.spark, path)
+    counts = results.agg(F.count(F.lit(1)).alias("created"), F.count_if("salary_transparent").alias("with_salary"))
+    row = B.coverage(offers, stored, results)
+    return row.withColumns({c: counts.select(c).scalar() for c in counts.columns})
+
+
 @query("immutable_result_check", "select snapshot_id from {offer_rows} where doc_id % 97 = 5")
 def _immutable(t):
     """Classifying again gives the same hash, but for the stored rows that were changed on purpose."""
