@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.functions import offers as O
 from offerlens.functions import rates as R
 from offerlens.operators import cells as Ce
 from offerlens.operators import explorer as X
+from offerlens.operators import layout as L
 from offerlens.operators import metrics as M
 from offerlens.operators import trends as H
 from offerlens.operators.scope import (
@@ -604,6 +609,28 @@ def _keyset_after(t):
     return rows.select(tags.alias("sort"), "offer_id")
 
 
+@query(
+    "explorer_layout",
+    f"""select 'first' as page, offer_id from (select offer_id from {ROWS} r order by source_published_at desc nulls last, offer_id desc limit 26) a
+        union all select 'after', offer_id from (select offer_id from {ROWS} r where source_published_at > timestamp '{_AFTER[0]}' or source_published_at is null
+          or (source_published_at = timestamp '{_AFTER[0]}' and offer_id > '{_AFTER[1]}') order by source_published_at nulls last, offer_id limit 26) b
+        union all select 'rare', offer_id from (select offer_id from {ROWS} r where remote_mode = 'onsite' and salary_transparent
+          order by source_published_at desc nulls last, offer_id desc limit 26) c""",
+)
+def _explorer_layout(t):
+    """Pages from members stored in the order of the explorer."""
+    path, size = scratch_path(t.spark, "layout"), 500
+    rows = _rows(t).select("offer_id", "source_published_at", "remote_mode", "salary_transparent")
+    L.write_layout(rows, path, "source_published_at", max(2, t.documents.count() // size))
+    instant = dt.datetime.fromisoformat(_AFTER[0])
+    pages = {
+        "first": L.layout_page(t.spark, path),
+        "after": L.layout_page(t.spark, path, "published_asc", after=(instant, _AFTER[1])),
+        "rare": L.layout_page(t.spark, path, narrowed=lambda r: r.filter("remote_mode = 'onsite' and salary_transparent")),
+    }
+    return reduce(DataFrame.unionByName, [page.select(F.lit(name).alias("page"), "offer_id") for name, (page, _) in pages.items()])
+
+
 _EXPLORER = Scope(period="90d", contracts="cdi,cdd,interim")
 
 
