@@ -100,11 +100,13 @@ def probable_duplicates(offers: DataFrame, days: int = NEAR_DAYS) -> DataFrame:
     pairs come from a join on rare words (see `_similar_classes`) and are checked on all words.
     """
     keys = F.struct(fold_excerpt(F.col("title")).alias("t"), "company_name", "commune_code", "contract_kind")
-    block = F.sha2(F.to_json(keys, {"ignoreNullFields": "false"}), 256)
+    block = F.md5(F.to_json(keys, {"ignoreNullFields": "false"}))
     words = F.array_sort(F.array_distinct(folded_words(F.coalesce("description_text", F.lit("")))))
     day = F.coalesce(F.to_date("source_published_at"), F.lit("1970-01-01").cast("date"))
     rows = offers.select("offer_id", block.alias("block"), day.alias("day"), words.alias("words"))
-    rows = written(rows.withColumn("class", F.sha2(F.concat_ws(" ", "block", F.array_join("words", " ")), 256)), "offer-words")
+    # 16 bytes each, as these keys go with every word
+    keyed = {"class": F.unhex(F.md5(F.concat_ws(" ", "block", F.array_join("words", " ")))), "block": F.unhex("block")}
+    rows = written(rows.withColumns(keyed), "offer-words")
 
     daily = rows.groupBy("class", "day").agg(F.any_value("block").alias("block"), F.count(F.lit(1)).alias("n"), F.min("offer_id").alias("least"))
     ordered = Window.partitionBy("class").orderBy("day")
