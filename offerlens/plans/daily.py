@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.operators import daily as Da
@@ -12,7 +12,7 @@ from offerlens.operators import metrics as M
 from offerlens.operators import trends as H
 from offerlens.operators.scope import Scope
 from offerlens.plans.registry import query
-from offerlens.sources.tables import scratch_path
+from offerlens.sources.tables import scratch_path, written
 
 DAYS = (dt.datetime(2024, 1, 10, 5), dt.datetime(2024, 1, 11, 5), dt.datetime(2024, 1, 12, 5))
 GROUPS = [
@@ -20,12 +20,23 @@ GROUPS = [
     {"id": "data", "title_phrases": ["data engineer"], "job_families": ["data"]},
 ]
 PAGE = 20
+#: The source lists 3,150 items of a query and no more, so a query has 150 full pages and further documents have further queries.
+QUERY_PAGES = 150
 #: An offer is gone for good, gone for the second day, or changed from the second day on.
 GONE = ("false", "doc_id % 9 = 4 or doc_id % 11 = 5", "doc_id % 9 = 4")
 
 
+def _series() -> Column:
+    """Number of the three queries that list a document: one more for every 150 pages of each."""
+    return F.greatest(F.floor(F.col("doc_id") / (3 * PAGE * QUERY_PAGES)), F.lit(0))
+
+
+def _query_key(query_no: Column, series: Column) -> Column:
+    return F.concat(F.lit("q"), query_no, F.when(series > 0, F.concat(F.lit("-"), series)).otherwise(""))
+
+
 def landed(t, day: int, path: str) -> str:
-    """Pages of one day, three queries with twenty items a page; offers that are gone leave their place to one outside the perimeter."""
+    """Pages of one day, queries with twenty items a page; offers that are gone leave their place to one outside the perimeter."""
     gone, d = F.expr(GONE[day]), F.col("doc_id")
     item = F.to_json(
         F.struct(
@@ -40,11 +51,11 @@ def landed(t, day: int, path: str) -> str:
         )
     )
     page = F.floor(d / (3 * PAGE))
-    grouped = t.offer_rows.groupBy((d % 3).alias("query_no"), page.alias("page_no")).agg(
+    grouped = t.offer_rows.groupBy((d % 3).alias("query_no"), _series().alias("series"), page.alias("page_no")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("item")))), lambda s: s["item"]).alias("items")
     )
     pages = grouped.select(
-        F.concat(F.lit("q"), "query_no").alias("query_key"), (F.col("page_no") * PAGE).alias("range_start"),
+        _query_key(F.col("query_no"), F.col("series")).alias("query_key"), ((F.col("page_no") - QUERY_PAGES * F.col("series")) * PAGE).alias("range_start"),
         F.concat(F.lit('{"resultats":['), F.array_join("items", ","), F.lit("]}")).alias("payload"),
     )
     landing = f"{path}/landing/{day}"
@@ -52,16 +63,22 @@ def landed(t, day: int, path: str) -> str:
     return landing
 
 
-def source_queries(spark) -> DataFrame:
-    rows = [(f"q{i}", "queries-3", True, None, ["software"]) for i in range(3)]
-    return spark.createDataFrame(rows, "query_id string, query_set_version string, enabled boolean, valid_to timestamp, job_families array<string>")
+def source_queries(t) -> DataFrame:
+    """Three queries, and those of further documents."""
+    first = t.spark.range(3).select(_query_key(F.col("id"), F.lit(0)).alias("query_id"))
+    more = t.offer_rows.filter(_series() > 0).select(_query_key(F.col("doc_id") % 3, _series()).alias("query_id")).distinct()
+    return first.unionByName(more).select(
+        "query_id", F.lit("queries-3").alias("query_set_version"), F.lit(True).alias("enabled"), F.lit(None).cast("timestamp").alias("valid_to"),
+        F.array(F.lit("software")).alias("job_families"),
+    )
 
 
 def collected(t, days: int = 3) -> Da.Store:
     store = Da.Store(t.spark, scratch_path(t.spark, "observatory"))
+    queries = written(source_queries(t), "source-queries")
     for day in range(days):
         run = Da.Run(f"R{DAYS[day]:%Y-%m-%d}", DAYS[day], "queries-3", landed(t, day, store.path))
-        Da.collect_daily(store, run, source_queries(t.spark), GROUPS)
+        Da.collect_daily(store, run, queries, GROUPS)
     return store
 
 

@@ -7,6 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from offerlens.operators import daily as Da
+from offerlens.operators import quality
+from offerlens.plans import daily as plans
+from offerlens.plans import registry
 from offerlens.sources.tables import scratch_path
 
 DAYS = [dt.datetime(2024, 1, d, 5) for d in (10, 11)]
@@ -69,3 +72,14 @@ def test_a_run_that_dies_goes_on(spark, monkeypatch):
 def test_run_names_are_folder_names(spark):
     with pytest.raises(ValueError, match="folder name"):
         Da.collect_daily(Da.Store(spark, "/nowhere"), Da.Run("../x", DAYS[0], "q", "/nowhere"), None, [])
+
+
+def test_more_documents_than_the_source_lists_of_three_queries(spark, tmp_path, monkeypatch):
+    """With a limit of 60 items a query and 300 documents, the first day is still published."""
+    monkeypatch.setattr(quality, "SOURCE_CAP", 60)
+    monkeypatch.setattr(plans, "QUERY_PAGES", 3, raising=False)
+    rows = [(i, "Python et SQL.", "fr", "web", 14) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(r.answer, r.key): r["count"] for r in registry.queries()["daily_read_models"](spark, str(tmp_path)).collect()}
+    members = sum(1 for i in range(300) if i % 10 in (0, 1, 3, 4, 5, 8) and i % 97 != 3)
+    assert found["sample", "size"] == found["trend", "2024-01-10"] == members
