@@ -11,6 +11,10 @@ from offerlens.llm import hard_negatives
 SCHEMA = "vec_id long, embedding array<float>, label int, row long, planes string, score double"
 
 
+def _fits(score):
+    return score if -(1 << 63) <= score < 1 << 63 else None
+
+
 def _frame(spark, rows):
     return spark.createDataFrame([(*r, 1, "x", 0.5) for r in rows], SCHEMA)
 
@@ -32,7 +36,7 @@ def _plain(rows):
         scored.sort(key=lambda r: (-r[2], by_id(r)))
         for positive, _, p in [r for r in scored if r[1] == label][:5]:
             fits = [r for r in scored if r[1] != label and 50 * p <= 100 * r[2] <= 95 * p][:3]
-            found += [(anchor, positive, k, i, p, s) for k, (i, _, s) in enumerate(fits, 1)]
+            found += [(anchor, positive, k, i, _fits(p), _fits(s)) for k, (i, _, s) in enumerate(fits, 1)]
     return sorted(found, key=repr)
 
 
@@ -74,3 +78,20 @@ def test_odd_rows(spark):
     assert _got(_frame(spark, [(50, [1.0], 1), (101, [1.0], 2)])) == []  # no positives
     assert _got(_frame(spark, [(50, [1e30], 1), (51, [1e30], 1)])) == []
     assert _got(_frame(spark, [])) == []
+
+
+@pytest.mark.parametrize("dims, sizes", [(6, [1.0, 3e5]), (6, [1.0, 5e5, 6e5, 2e6]), (5, [0.5, 1e6, 3e9, 1e30]), (300, [1.0, 5e5])])
+def test_large_components(spark, monkeypatch, dims, sizes):
+    """Rows with large components take part, and shares of large scores don't overflow."""
+    monkeypatch.setattr(hard_negatives, "ROW_BLOCK", 150)
+    rng = random.Random(dims)
+    rows = [(i, [rng.choice(sizes) * rng.uniform(-0.2, 1) * (rng.random() < 0.8) for _ in range(dims)], rng.randrange(3)) for i in range(0, 2500, 5)]
+    want = _plain(rows)
+    assert len(want) > 100 and _got(_frame(spark, rows)) == want
+
+
+def test_few_rows_below_the_ceiling(spark):
+    """An anchor with one fitting negative doesn't get those of the next anchor."""
+    rows = [(50, [1.0, 0.0], 1), (51, [1.0, 0.0], 1), (52, [0.75, 0.0], 2), (100, [0.0, 4.0], 1), (101, [0.0, 4.0], 1), (102, [0.0, 3.0], 2), (103, [0.0, 3.5], 2)]
+    assert len(_plain(rows)) > 3
+    assert _got(_frame(spark, rows)) == _plain(rows)
