@@ -3,11 +3,13 @@
 import random
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from offerlens.functions import text as X
 from offerlens.operators import normalize as N
+from offerlens.operators.technologies import text_forms
 from offerlens.rules import query_set, technology_rules
 
 
@@ -76,3 +78,13 @@ def test_title_perimeter(spark):
     rows = {r["title"]: r["group_ids"] for r in N.title_perimeter(df, query_set()["groups"]).collect()}
     assert rows == {titles[0]: ["frontend"], titles[2]: ["devops-cloud"], titles[4]: ["mobile"]}
     assert N.title_perimeter(df, [{"id": "x", "job_families": ["x"], "title_phrases": ["absent"]}]).count() == 0
+
+
+def test_texts_are_folded_in_slices():
+    """A batch of any length is handed on in short parts, so no worker holds all its texts as objects."""
+    texts = pa.array(["Été", None, ""] * 400)
+    for function, columns in ((X._nfkd_lower, texts), (X._nfkc_lower, texts), (X.match_form, texts), (text_forms, (texts,) * 4)):
+        parts = list(function.func(iter([columns])))
+        assert max(map(len, parts)) <= X.SLICE and sum(map(len, parts)) == 1200
+    row = parts[0].to_pylist()[:2]
+    assert row[0]["description"]["marked"] == "été" and row[1]["description"] == {"marked": "", "shifts": []} and row[1]["salary"] == {"marked": None, "shifts": None}
