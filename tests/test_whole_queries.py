@@ -3,7 +3,8 @@
 import oracle_check
 import pytest
 
-from offerlens.plans import registry
+from offerlens.plans import registry, texts
+from offerlens.sources.tables import written
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -50,3 +51,11 @@ def test_mentions_keep_ranks_and_places(spark, tmp_path):
     found = {(r.offer_id[-1], r.field, r["rank"], r.start, r.rule_id, r.text) for r in rows}
     assert ("2", "description", 0, 18, "EXP_RANGE_YEARS", "1 à 2 ans") in found and ("2", "experienceLabel", 1, 24, "EXP_SINGLE_DURATION", "1 an") in found
     assert ("5", "description", 1, 0, "EXP_SINGLE_DURATION", "un an") in found and any(f[2] == 2 and f[4] == "EXP_PROFILE_STACK" for f in found)
+
+
+def test_semantic_violations_classifies_once(spark, monkeypatch):
+    """The texts are read by one classification, whatever reads its results."""
+    calls = []
+    monkeypatch.setattr(texts.T, "written", lambda rows, name: calls.append(name) or written(rows, name))
+    rows = registry.queries()["semantic_violations"](spark, SF_DIR)
+    assert calls == ["classified"] and "text_forms" not in rows._jdf.queryExecution().toString() and rows.count() == 0
