@@ -29,12 +29,13 @@ def _weighted_words(classes: DataFrame) -> DataFrame:
     A word weighs the bit length of (number of classes) / (classes that hold it): 1 for a word of more than half of
     them, one more for every halving. Whole numbers make every comparison exact.
     """
-    words = classes.select("class", "block", F.explode("words").alias("word"))
-    frequency = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    frequency = classes.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     every = classes.agg(F.count(F.lit(1))).scalar()
     weights = frequency.select("word", "df", F.length(F.bin(F.floor(every / F.col("df")))).cast("long").alias("weight"))
     several = classes.groupBy("block").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1")
-    return words.join(several, "block").join(weights, "word")
+    # joined as whole classes: only words of those that are not alone are dealt by word
+    words = classes.join(several, "block").select("class", "block", "classes", F.explode("words").alias("word"))
+    return words.join(weights, "word")
 
 
 def _core(words: DataFrame) -> DataFrame:
@@ -115,7 +116,7 @@ def probable_duplicates(offers: DataFrame, days: int = NEAR_DAYS) -> DataFrame:
     dated = written(runs.withColumn("node", F.min("least").over(Window.partitionBy("class", "run"))), "offer-nodes")
     nodes = dated.groupBy("class", "node").agg(F.sum("n").alias("n"), F.min("day").alias("first"), F.max("day").alias("last"))
 
-    classes = rows.groupBy("class").agg(F.any_value("block").alias("block"), F.any_value("words").alias("words"))
+    classes = written(rows.groupBy("class").agg(F.any_value("block").alias("block"), F.any_value("words").alias("words")), "offer-classes")
     weighted = written(_weighted_words(classes), "offer-weights")
     close = written(_core(weighted), "offer-cores")
     pairs = _similar_classes(weighted, close)
