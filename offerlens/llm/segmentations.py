@@ -13,9 +13,9 @@ from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,6 +32,7 @@ SEED = 12
 PIECE = 1 << 20
 SPACE = "▁"
 _SLOTS = 1 << 20
+_BASE = np.uint64(0xD6E8FEB86659FD93)
 
 _ROWS = "doc_id long, sample int, ids array<int>, n_pieces int, log_prob double, inclusion double, round_trip boolean"
 
@@ -52,11 +53,15 @@ def _ranges(codes: np.ndarray, longest: int):
     c = codes.astype(np.uint64) + np.uint64(1)
     total = np.zeros(len(c), np.uint64)
     for length in range(1, min(longest, len(c)) + 1):
-        total = total[: len(c) - length + 1] * np.uint64(0xD6E8FEB86659FD93)
+        total = total[: len(c) - length + 1] * _BASE
         total += c[length - 1 :]
-        hashed = total * np.uint64(0xBF58476D1CE4E5B9)
-        hashed ^= hashed >> np.uint64(32)
-        yield length, hashed
+        yield length, _hashed(total)
+
+
+def _hashed(total: np.ndarray) -> np.ndarray:
+    hashed = total * np.uint64(0xBF58476D1CE4E5B9)
+    hashed ^= hashed >> np.uint64(32)
+    return hashed
 
 
 class Vocabulary:
@@ -90,10 +95,13 @@ class Vocabulary:
         lengths = np.array([len(p) for p, _, _ in found])
         starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
         hashes = np.zeros(len(found), np.uint64)
+        #: whether a piece may go on after characters of this hash, by its low bits: true for all beginnings of pieces
+        self.goes_on = np.zeros(_SLOTS, bool)
         with np.errstate(over="ignore"):
             for length, hashed in _ranges(_codes([p for p, _, _ in found]), self.longest):
                 own = np.flatnonzero(lengths == length)
                 hashes[own] = hashed[starts[own]]
+                self.goes_on[hashed[starts[lengths > length]] & np.uint64(_SLOTS - 1)] = True
         order = np.argsort(hashes)
         #: sorted hashes of the pieces with their ids and weights
         self.hashes = hashes[order]
@@ -105,11 +113,10 @@ class Vocabulary:
         self.slot[low] = np.arange(len(low))
         self.slot[np.flatnonzero(np.bincount(low, minlength=_SLOTS) > 1)] = -2
         self._words = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
-        self._runs = re.compile(f"^ |  |\0|{SPACE}")
 
     def words(self, text: str) -> list[str]:
         """The words of a text: each with the white space before it; line ends alone."""
-        if self._runs.search(text) is None:  # single spaces: cut before each
+        if not (text.startswith(" ") or "  " in text or "\0" in text or SPACE in text):  # single spaces: cut before each
             marked = SPACE + text.replace("\n", "\0\n\0").replace(" ", "\0" + SPACE)
             return list(filter(None, marked.split("\0")))
         return self._words.findall(SPACE + text.replace(" ", SPACE))
@@ -126,7 +133,7 @@ class Vocabulary:
 
     def decode(self, ids) -> str:
         """The text of a segmentation, without the space that stands before every text."""
-        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")[1:]
+        return b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace")[1:]
 
 
 class Lattices:
@@ -154,16 +161,23 @@ class Lattices:
         def add(at, length, weight, piece):
             edges.append((number[at], number[at + length], weight, piece))
 
-        alive = np.arange(n)
-        for length, hashed in _ranges(codes, min(v.longest, most)):
-            alive = alive[left[alive] >= length]
-            found, piece = v.find(hashed[alive])
+        # hashes of the characters from the places on where a piece of the length may begin
+        chars = codes.astype(np.uint64) + np.uint64(1)
+        alive, total = np.arange(n), np.zeros(n, np.uint64)
+        for length in range(1, min(v.longest, most) + 1):
+            fits = np.flatnonzero(left[alive] >= length)
+            alive = alive[fits]
+            total = total[fits] * _BASE + chars[alive + (length - 1)]
+            hashed = _hashed(total)
+            found, piece = v.find(hashed)
             at = alive[found]
             add(at, length, v.log_weights[piece], v.ids[piece])
             if length == 1:
                 odd = np.delete(alive, found)
                 size = 1 + (codes[odd] >= 0x80) + (codes[odd] >= 0x800) + (codes[odd] >= 0x10000)
                 add(odd, 1, v.byte_weight * size, v.size + codes[odd].astype(np.int64))
+            further = np.flatnonzero(v.goes_on[hashed & np.uint64(_SLOTS - 1)])
+            alive, total = alive[further], total[further]
         # every pass holds a place once, so an edge goes behind the place's edges of earlier passes
         count = np.bincount(np.concatenate([e[0] for e in edges]), minlength=n)
         self.begin = np.concatenate([[0], np.cumsum(count)])
@@ -196,12 +210,23 @@ class Lattices:
         return self.first, self.begin, self.upto, self.next, self.piece, self.log, self.after
 
 
-def _uniform(seeds: np.ndarray, at: np.ndarray, salt: int) -> np.ndarray:
+def _uniform(seeds: np.ndarray | np.uint64, at: np.ndarray, salt: int) -> np.ndarray:
     """Numbers in (0, 1) that depend on the row's seed, the place in its text and the salt only."""
     x = words.mix(seeds + at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((salt * 0xD6E8FEB86659FD93) % (1 << 64)))
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
+_ALL_BITS = (1 << 64) - 1
+
+
+def _uniform_one(seed: int, at: int, salt: int) -> float:
+    """`_uniform` of one row."""
+    x = (seed + at * 0x9E3779B97F4A7C15 + salt * 0xD6E8FEB86659FD93) & _ALL_BITS
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _ALL_BITS
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _ALL_BITS
+    return (((x ^ (x >> 31)) >> 11) + 0.5) / 2.0**53
+
+
 def _pick(begin, upto, place: np.ndarray, drawn: np.ndarray) -> np.ndarray:
     """For each place the edge whose share of the probability the drawn number falls into."""
     edge = begin[place]
@@ -261,7 +286,7 @@ class _Path:
         logs = self.logs[start:stop]
         # of an edge that takes nearly everything, the rest is what the other edges have
         rest = np.log(np.maximum(-np.expm1(logs), 0), where=logs < 0, out=np.full(len(logs), -np.inf))
-        drawn = _uniform(np.full(len(logs), self.seed), self.at[start:stop], self.salt)
+        drawn = _uniform(self.seed, self.at[start:stop], self.salt)
         self.bounds[start:stop] = _truncated(self.before[start:stop] + rest, self.value, drawn)
         self.done = stop
         self.limit = float(self.before[stop]) + _REACH if stop < len(self.edges) else -math.inf
@@ -273,8 +298,7 @@ class _Path:
 
 def search(views, walks, seed: np.uint64, samples: int) -> tuple[list[_Path], float]:
     """The segmentations with the largest perturbed values, best first, and the value of the next one."""
-    one = np.array([seed])
-    value = -math.log(-math.log(float(_uniform(one, np.zeros(1, np.int64), 901)[0])))
+    value = -math.log(-math.log(_uniform_one(int(seed), 0, 901)))
     paths = [_Path(*walks[0], value, views, seed, 902)]
     while True:
         best, step, bound = None, -1, -math.inf
@@ -295,21 +319,23 @@ def search(views, walks, seed: np.uint64, samples: int) -> tuple[list[_Path], fl
 def _branch(views, path: _Path, step: int, bound: float, fresh, seed: np.uint64, salt: int) -> _Path:
     """The best segmentation of the set that leaves `path` at `step`, and what remains of that set."""
     _, begin, upto, next_, _, log, after = views
-    edge, at, one = int(path.edges[step]), int(path.at[step]), np.array([seed])
+    edge, at, one = int(path.edges[step]), int(path.at[step]), int(seed)
     place = int(np.searchsorted(begin, edge, side="right")) - 1
     others = [e for e in range(int(begin[place]), int(begin[place + 1])) if e != edge and e not in path.taken.get(step, ())]
     shares = np.exp(log[others])
-    drawn = float(_uniform(one, np.array([at]), salt)[0]) * shares.sum()
+    drawn = _uniform_one(one, at, salt) * shares.sum()
     chosen = others[min(int(np.searchsorted(np.cumsum(shares), drawn, side="right")), len(others) - 1)]
     path.taken.setdefault(step, []).append(chosen)
     left = float(shares.sum() - math.exp(log[chosen])) if len(others) > 1 else 0.0
     mass = np.array([path.before[step] + math.log(left)]) if left > 0 else np.array([-np.inf])
-    path.bounds[step] = _truncated(mass, bound, _uniform(one, np.array([at]), salt + 1))[0]
+    path.bounds[step] = _truncated(mass, bound, np.array([_uniform_one(one, at, salt + 1)]))[0]
     tail, places, owner = [chosen], [at], int(path.owners[step])
-    while next_[tail[-1]] >= 0:
-        spot = np.array([next_[tail[-1]]])
-        places.append(at + int(after[spot[0]] - after[place]))
-        tail.append(int(_pick(begin, upto, spot, _uniform(one, np.array([places[-1]]), salt + 2))[0]))
+    while (spot := int(next_[tail[-1]])) >= 0:
+        places.append(at + int(after[spot] - after[place]))
+        drawn, taken = _uniform_one(one, places[-1], salt + 2), int(begin[spot])
+        while upto[taken] <= drawn:
+            taken += 1
+        tail.append(taken)
     later = int(np.searchsorted(fresh[1], owner, side="right"))
     edges = np.concatenate([path.edges[:step], tail, fresh[0][later:]])
     owners = np.concatenate([path.owners[:step], np.full(len(tail), owner), fresh[1][later:]])
@@ -338,20 +364,19 @@ class Sampler:
 
     def sample(self, texts: list[str], keys: list[int], samples: int) -> list[list[tuple[np.ndarray, float, float]]]:
         """For each text its (ids, log probability, inclusion probability), best first."""
-        split, distinct = [], {}
+        counts, numbered, number = [], [], defaultdict()
+        number.default_factory = number.__len__  # a word that is new has the next number
         for text in texts:
             own = self.vocabulary.words(text) if text else []
-            split.append(own)
-            distinct.update(dict.fromkeys(own))
+            counts.append(len(own))
+            numbered.append(np.fromiter(map(number.__getitem__, own), np.int64, len(own)))
         drawn = words.mix(np.array([k & (2**64 - 1) for k in keys], np.uint64) + np.uint64(SEED))
-        if not distinct:
+        if not number:
             return [[(np.empty(0, np.int32), 0.0, 1.0)] for _ in texts]
-        order = list(distinct)
-        number = dict(zip(order, range(len(order))))
+        order = list(number)
         lengths = np.fromiter(map(len, order), np.int64, len(order))
         views = Lattices(self.vocabulary, order).views()
-        counts = [len(own) for own in split]
-        word = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, sum(counts))
+        word = np.concatenate(numbered)
         ends = np.cumsum(lengths[word])
         text_of = np.repeat(np.arange(len(texts)), counts)
         text_start = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)[:-1]])]

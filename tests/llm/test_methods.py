@@ -225,3 +225,20 @@ def test_pu_share_is_estimated():
     model = pu_quality.train([good() for _ in range(2000)], [good() if rng.random() < 0.7 else bad() for _ in range(3000)])
     assert abs(model.share - 0.7) < 0.08
     assert model.scores([good()])[0] > 0.7 > model.scores([bad()])[0]
+
+
+def test_lattices_look_up_beginnings_of_pieces_only(monkeypatch):
+    vocabulary, looked = segmentations.Vocabulary(segmentations.model_path()), []
+    distinct = [segmentations.SPACE + "q7" * 400, segmentations.SPACE + "nation", "zxqj", "é\U0001f600"]
+    find = vocabulary.find
+    monkeypatch.setattr(vocabulary, "find", lambda hashed: looked.append(len(hashed)) or find(hashed))
+    with np.errstate(over="ignore"):
+        lattices = segmentations.Lattices(vocabulary, distinct)
+        one = segmentations._uniform(np.array([2**63 + 5], np.uint64), np.array([77]), 912)[0]
+    ids = {vocabulary.raw[i].decode().replace(" ", segmentations.SPACE): int(i) for i in vocabulary.ids}
+    for word, place in zip(distinct, lattices.first):
+        found = {lattices.piece[e] for e in range(lattices.begin[place], lattices.begin[place + 1])}
+        expected = {ids[word[:n]] for n in range(1, len(word) + 1) if word[:n] in ids}
+        assert found - {vocabulary.size + ord(word[0])} == expected
+    assert sum(looked) < 6 * sum(map(len, distinct))  # of up to `longest` lengths at each place
+    assert segmentations._uniform_one(2**63 + 5, 77, 912) == one
