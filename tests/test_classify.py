@@ -1,8 +1,10 @@
 """Rules of level, experience, remote mode, salary and technologies on literal offers."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from offerlens.operators import classify as C
+from offerlens.rules import patterns as P
 
 SCHEMA = "id string, title string, description_text string, experience_required boolean, experience_label string, salary_label string"
 CASES = {
@@ -80,3 +82,19 @@ def test_enrichment(results):
 def test_filter_after_classification(spark, results):
     df = spark.createDataFrame([("a", "Dév junior", "x", None, None, None)], SCHEMA)
     assert C.classify(df).filter("status = 'classified' and claims_junior").count() == 1
+
+
+def test_fast_patterns_find_what_the_plain_ones_find(spark):
+    pieces = ["2 ans", "12 à 24 mois", "trois\nannées", "un–deux ans", "é3 ans", "x5 ans", "_6 ans", "²7 ans", "qualifications2 ans minimum sur la stack", "10 + ans", "FULL REMOTE", "xfull remote"]
+    pieces += ["TÉLÉTRAVAIL INTÉGRAL", "éfull-remote", "_hybride", "Hybrıde", "2 JOURS de télétravail", "aucun teletravail", "ſaucun télétravail", "Présence obligatoire", "présence ſur site", "K100 % remote"]
+    texts = [a + mid + b for a in pieces for b in pieces for mid in ("", " ", ". • ", "\n")]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    start = r"(?=[\dcdhnqstu])(?<![\p{L}\p{N}])"
+    plain = "|".join([P.STACK, P.RANGE.replace(P.NUMBER_START, start), P.DURATION.replace(P.NUMBER_START, start)])
+    found = {"durations": F.regexp_extract_all("text", F.lit(f"({P.MENTION})"), F.lit(1)), **{m: F.regexp_extract_all("text", F.lit(P.remote_rx(m)), F.lit(0)) for m in P.REMOTE}}
+    wanted = {"durations": F.regexp_extract_all("text", F.lit(f"({plain})"), F.lit(1)), **{m: F.regexp_extract_all("text", F.lit(f"(?iu){P.word(P.REMOTE[m])}"), F.lit(0)) for m in P.REMOTE}}
+    out = rows.select("text", F.struct(*[c.alias(n) for n, c in found.items()]).alias("a"), F.struct(*[c.alias(n) for n, c in wanted.items()]).alias("b"))
+    assert [r for r in out.where("a <> b").collect()] == []
+    assert all(out.where(f"size(a.{n}) > 0").count() for n in found)
+    clauses = rows.select(C._clauses(F.col("text")).alias("a"), F.regexp_replace("text", f"[{P.BOUNDARY_MARKS}]", C.SEPARATOR).alias("b"))
+    assert clauses.where("a <> b").count() == 0
