@@ -125,6 +125,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(sums / (counts + NEUTRAL) + self.bias, -60, 60)))
 
 
+def _packed(texts: list[str], at_once: int = 256) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The features of the texts as slices of a few large arrays: thousands of small ones would leave the driver's
+    memory in pieces that are not given back after training."""
+    rows: list[tuple[np.ndarray, np.ndarray]] = []
+    for start in range(0, len(texts), at_once):
+        own = [features(t) for t in texts[start : start + at_once]]
+        ids, shares = (np.concatenate(column) for column in zip(*own))
+        ends = np.cumsum([len(x) for x, _ in own])
+        rows += [(ids[e - len(x) : e], shares[e - len(x) : e]) for e, (x, _) in zip(ends, own)]
+    return rows
+
+
 def train(texts: list[str], labels: list[int], share: float) -> Model:
     """Fit embeddings and softmax together by mini-batch Adam on balanced classes, then shift to the real share."""
     prior = float(np.log(share / (1 - share)))
@@ -132,7 +144,7 @@ def train(texts: list[str], labels: list[int], share: float) -> Model:
     if len(set(labels)) < 2:
         return Model(np.zeros(1 << BITS, np.float32), prior)
     rng = np.random.default_rng(SEED)
-    rows = [features(t) for t in texts]
+    rows = _packed(texts)
     embedding = (rng.random((1 << BITS, DIMENSIONS), dtype=np.float32) - 0.5) / DIMENSIONS
     softmax = (rng.random((DIMENSIONS + 1, 2), dtype=np.float32) - 0.5) / DIMENSIONS
     weight = np.where(answers == 1, 0.5 / max((answers == 1).sum(), 1), 0.5 / max((answers == 0).sum(), 1)) * len(answers)

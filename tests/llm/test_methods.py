@@ -242,3 +242,12 @@ def test_lattices_look_up_beginnings_of_pieces_only(monkeypatch):
         assert found - {vocabulary.size + ord(word[0])} == expected
     assert sum(looked) < 6 * sum(map(len, distinct))  # of up to `longest` lengths at each place
     assert segmentations._uniform_one(2**63 + 5, 77, 912) == one
+
+
+def test_training_features_lie_in_a_few_arrays():
+    texts = ["a bad wörd", "", "fine", *[f"text {i} of many" for i in range(600)]]
+    packed = toxicity._packed(texts)
+    assert len({id(ids.base) for ids, _ in packed}) == 3 and len(packed) == len(texts)
+    for text, found in zip(texts, packed):
+        assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(found, toxicity.features(text)))
+    assert toxicity._packed([]) == []
