@@ -39,13 +39,21 @@ def texts_of(documents: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_
     return rows.join(F.broadcast(ids), "id").dropDuplicates(["id"])
 
 
-def labelled(documents: DataFrame, labels: DataFrame, column: str, id_col: str = "doc_id", text_col: str = "text"):
-    """(texts, labels, share of label 1 among all rows that may be learned from), at most ROWS of each class."""
+def labelled_rows(
+    documents: DataFrame, labels: DataFrame, column: str, id_col: str = "doc_id", text_col: str = "text"
+) -> tuple[DataFrame, float]:
+    """(`id, label, text`, share of label 1 among all rows that may be learned from), at most ROWS of each class."""
     known = labels_of(labels, column, id_col)
     total, ones = known.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     ids = _first(known.where("label = 1"), ROWS).unionByName(_first(known.where("label = 0"), ROWS))
-    found = texts_of(documents, ids, id_col, text_col).orderBy("id").select("text", "label").collect()
-    return [r.text for r in found], [r.label for r in found], (ones + 1) / (total + 2)
+    return texts_of(documents, ids, id_col, text_col), (ones + 1) / (total + 2)
+
+
+def labelled(documents: DataFrame, labels: DataFrame, column: str, id_col: str = "doc_id", text_col: str = "text"):
+    """(texts, labels, share) of the rows of `labelled_rows`, in the order of their ids."""
+    rows, share = labelled_rows(documents, labels, column, id_col, text_col)
+    found = rows.orderBy("id").select("text", "label").collect()
+    return [r.text for r in found], [r.label for r in found], share
 
 
 def any_texts(documents: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> list[str]:

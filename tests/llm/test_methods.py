@@ -4,6 +4,7 @@ import collections
 import gzip
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -251,3 +252,18 @@ def test_training_features_lie_in_a_few_arrays():
     for text, found in zip(texts, packed):
         assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(found, toxicity.features(text)))
     assert toxicity._packed([]) == []
+
+
+def test_toxicity_is_trained_in_a_task(spark, monkeypatch):
+    rows = [(i, f"{'bad wörd' if i % 3 == 0 else 'good one'} of text {i}", int(i % 3 == 0)) for i in range(90)]
+    documents = spark.createDataFrame([r[:2] for r in rows] + [(None, "no id"), (7, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows] + [(None, 1)], "doc_id long, toxic int")
+    found = toxicity.fitted(documents, labels)
+    assert len(found.weights) == 1 << toxicity.BITS and found.scores(["bad wörd"])[0] > found.scores(["good one"])[0]
+    few = documents.where("doc_id is not null and text is not null")
+    found, expected = toxicity.fitted(few, labels), toxicity.train(*samples.labelled(few, labels, "toxic"))
+    assert found.weights.tobytes() == expected.weights.tobytes() and found.bias == expected.bias
+    assert toxicity.fitted(few, labels.where("false")).bias == 0.0
+    assert toxicity.fitted(few, labels.where("toxic = 1")).bias > 0
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels, share: toxicity.Model(np.zeros(1, np.float32), float(os.getpid())))
+    assert toxicity.fitted(few, labels).bias not in (0.0, os.getpid())  # the driver's process holds neither texts nor features
