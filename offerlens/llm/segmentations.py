@@ -13,12 +13,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +28,17 @@ from offerlens.llm.tables import ready
 MODEL = "piece_bpe_32k.model"
 SAMPLES = 2
 SEED = 12
-#: Characters of the texts that are searched together.
-PIECE = 1 << 20
+#: Characters of the texts that are searched together, and of the distinct words whose lattices are built together.
+PIECE = 1 << 21
+PART = 60_000
+#: Characters of the words that keep their lattices: those in at least two of CHOSEN_FROM batches, once in CHOSEN_EVERY.
+KEPT = 1 << 20
+CHOSEN_FROM = 8
+CHOSEN_EVERY = 60
 SPACE = "▁"
+#: Entries of the tables of beginnings of pieces and of pieces; both tables stay in the processor's cache.
 _SLOTS = 1 << 20
+_PIECE_SLOTS = 1 << 19
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 
 _ROWS = "doc_id long, sample int, ids array<int>, n_pieces int, log_prob double, inclusion double, round_trip boolean"
@@ -43,11 +50,22 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
-def _codes(parts: list[str]) -> np.ndarray:
+def _codes(parts: list[str] | pa.Array) -> np.ndarray:
     """The characters of the parts, each part ended by a zero."""
+    if isinstance(parts, pa.Array):
+        nothing, zero = (pa.scalar(x, parts.type) for x in ("", "\0"))
+        ended = pc.binary_join_element_wise(parts, nothing, zero)  # in one buffer, one behind the other
+        joined = ended.buffers()[2].to_pybytes()[: pc.sum(pc.binary_length(ended)).as_py()].decode()
+        return np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     return np.frombuffer("\0".join(parts).encode("utf-32-le", "surrogatepass") + b"\0\0\0\0", np.uint32)
 
 
+def _lengths(parts: list[str] | pa.Array) -> np.ndarray:
+    if isinstance(parts, pa.Array):
+        return pc.utf8_length(parts).to_numpy().astype(np.int64)
+    return np.fromiter(map(len, parts), np.int64, len(parts))
+
+
 def _ranges(codes: np.ndarray, longest: int):
     """For each length, the hash of the characters from each place on."""
     c = codes.astype(np.uint64) + np.uint64(1)
@@ -105,25 +123,44 @@ class Vocabulary:
         order = np.argsort(hashes)
         #: sorted hashes of the pieces with their ids and weights
         self.hashes = hashes[order]
-        self.ids = np.array([i for _, i, _ in found], np.int64)[order]
+        self.ids = np.array([i for _, i, _ in found], np.int32)[order]
         self.log_weights = np.array([w for _, _, w in found])[order]
         #: a piece with the given low bits of the hash, -1 if there is none, -2 if there are several
-        low = (self.hashes & np.uint64(_SLOTS - 1)).astype(np.int64)
-        self.slot = np.full(_SLOTS, -1, np.int32)
+        low = (self.hashes & np.uint64(_PIECE_SLOTS - 1)).astype(np.int64)
+        self.slot = np.full(_PIECE_SLOTS, -1, np.int16 if len(low) < 1 << 15 else np.int32)
         self.slot[low] = np.arange(len(low))
-        self.slot[np.flatnonzero(np.bincount(low, minlength=_SLOTS) > 1)] = -2
+        self.slot[np.flatnonzero(np.bincount(low, minlength=_PIECE_SLOTS) > 1)] = -2
+        self._raw = pa.array(self.raw, pa.binary())
         self._words = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 
-    def words(self, text: str) -> list[str]:
-        """The words of a text: each with the white space before it; line ends alone."""
-        if not (text.startswith(" ") or "  " in text or "\0" in text or SPACE in text):  # single spaces: cut before each
-            marked = SPACE + text.replace("\n", "\0\n\0").replace(" ", "\0" + SPACE)
-            return list(filter(None, marked.split("\0")))
-        return self._words.findall(SPACE + text.replace(" ", SPACE))
+    def words(self, texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The distinct words of the texts, the number of each word in text order, and the count of words of each text.
+
+        A word has the white space before it; line ends stand alone.
+        """
+        single, spaced = [], {}  # texts of single spaces are cut before each of them, others by the pattern
+        for i, text in enumerate(texts):
+            if text.startswith(" ") or "  " in text or "\0" in text or SPACE in text:
+                spaced[i] = self._words.findall(SPACE + text.replace(" ", SPACE))
+                single.append("")
+            else:
+                single.append(SPACE + text.replace("\n", "\0\n\0").replace(" ", "\0" + SPACE) if text else "")
+        cut = pc.split_pattern(pa.array(single, pa.large_string()), "\0")
+        flat = cut.flatten()
+        real = pc.greater(pc.binary_length(flat), 0)
+        flat, owner = flat.filter(real), pc.list_parent_indices(cut).filter(real).to_numpy()
+        if spaced:
+            flat = pa.concat_arrays([flat, pa.array([w for own in spaced.values() for w in own], pa.large_string())])
+            owner = np.concatenate([owner, np.repeat(list(spaced), list(map(len, spaced.values())))])
+        numbered = flat.dictionary_encode()
+        number = numbered.indices.to_numpy()
+        if spaced:
+            number = number[np.argsort(owner, kind="stable")]
+        return numbered.dictionary, number, np.bincount(owner, minlength=len(texts))
 
     def find(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The places of the hashes that are pieces, and which pieces they are."""
-        at = self.slot[hashed & np.uint64(_SLOTS - 1)]
+        at = self.slot[hashed & np.uint64(_PIECE_SLOTS - 1)]
         place = np.flatnonzero(at != -1)
         at = at[place]
         several = np.flatnonzero(at == -2)
@@ -133,78 +170,96 @@ class Vocabulary:
 
     def decode(self, ids) -> str:
         """The text of a segmentation, without the space that stands before every text."""
-        return b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace")[1:]
+        if not len(ids):
+            return ""
+        taken = self._raw.take(pa.array(ids, pa.int32()))  # in one buffer, one behind the other
+        _, ends, data = taken.buffers()
+        return str(data[: np.frombuffer(ends, np.int32)[len(ids)]], "utf-8", "replace")[1:]
+
+
+def _part(v: Vocabulary, codes: np.ndarray, lengths: np.ndarray):
+    """The arrays of `Lattices.views` for words of these characters (each ended by a zero) and lengths."""
+    starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
+    n, most = len(codes), int(lengths.max())
+    left = (np.repeat(starts + lengths, lengths + 1) - np.arange(n)).astype(np.int32)
+    order = np.argsort(left.astype(np.int16) if most < 32768 else left, kind="stable")
+    number = np.empty(n, np.int32)
+    number[order] = np.arange(n, dtype=np.int32)
+    owns, lengths_, pieces = [], [], []
+    # hashes of the characters from the places on where a piece of the length may begin
+    chars = codes.astype(np.uint64) + np.uint64(1)
+    alive, total = np.flatnonzero(left), np.zeros(n - len(starts), np.uint64)
+    odd = alive[:0]
+    for length in range(1, min(v.longest, most) + 1):
+        if length > 1:
+            fits = np.flatnonzero(left[alive] >= length)
+            alive, total = alive[fits], total[fits]
+        total = total * _BASE + chars[alive + (length - 1)]
+        hashed = _hashed(total)
+        found, piece = v.find(hashed)
+        owns.append(alive[found])
+        pieces.append(piece)
+        lengths_.append(length)
+        if length == 1:
+            odd = np.delete(alive, found)
+        further = np.flatnonzero(v.goes_on[hashed & np.uint64(_SLOTS - 1)])
+        alive, total = alive[further], total[further]
+    size = 1 + (codes[odd] >= 0x80) + (codes[odd] >= 0x800) + (codes[odd] >= 0x10000)
+    own = np.concatenate([odd, *owns])
+    lead = own + np.repeat([1, *lengths_], [len(odd), *map(len, owns)])
+    found = np.concatenate(pieces)
+    weight = np.concatenate([v.byte_weight * size, v.log_weights[found]])
+    piece = np.concatenate([v.size + codes[odd].astype(np.int32), v.ids[found]])
+    place = number[own]
+    by_place = np.argsort(place.astype(np.uint16) if n <= 65536 else place, kind="stable")  # shorter pieces first
+    place, lead, weight, piece = place[by_place], number[lead[by_place]], weight[by_place], piece[by_place]
+    begin = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=n))])
+
+    # total weight of all ways from a place to the end of its word
+    after, left = (np.repeat(lengths, lengths + 1) - left)[order], left[order]
+    total = np.zeros(n)
+    bounds = np.searchsorted(left, np.arange(1, most + 2)).tolist()
+    for low, high in zip(bounds, bounds[1:]):
+        if low < high:
+            e0, e1 = begin[low], begin[high]
+            ways, seams = weight[e0:e1] + total[lead[e0:e1]], begin[low:high] - e0
+            best = np.maximum.reduceat(ways, seams)
+            total[low:high] = best + np.log(np.add.reduceat(np.exp(ways - best[place[e0:e1] - low]), seams))
+    log = weight + total[lead] - total[place]
+    alone = (begin[1:] - begin[:-1] == 1)[place]
+    log = np.where(alone, 0.0, np.minimum(log, 0.0))
+    sums = np.cumsum(np.exp(log))
+    upto = sums - np.concatenate([[0.0], sums])[begin[place]]
+    upto[begin[place + 1] - 1] = 2.0  # the last edge takes what rounding leaves
+    return number[starts], begin[:-1], upto, np.where(left[lead] == 0, -1, lead), piece, log, after
 
 
 class Lattices:
     """The lattices of the distinct words of some texts in flat arrays: places, and the edges that leave each place.
 
-    Places are numbered by the characters left in their word, so a place comes after all that it leads to. `first` is
-    the first place of a word, `begin` the first edge of a place, `after` the characters of the word behind a place.
-    An edge has its share of the probability up to it at its place (`upto`), the place where it leads or -1 (`next`),
-    a piece id (from vocabulary size on, a character in bytes), and its log probability at its place (`log`).
+    The words go in parts of about `PART` characters, whose arrays stay in the processor's cache while they are
+    built. The places of a part are numbered by the characters left in their word, so a place comes after all that it
+    leads to. `first` is the first place of a word, `begin` the first edge of a place, `after` the characters of the
+    word behind a place. An edge has its share of the probability up to it at its place (`upto`), the place where it
+    leads or -1 (`next`), a piece id (from vocabulary size on, a character in bytes), and its log probability at its
+    place (`log`).
     """
 
-    def __init__(self, vocabulary: Vocabulary, distinct: list[str]):
-        v = vocabulary
-        lengths = np.fromiter(map(len, distinct), np.int64, len(distinct))
-        starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-        codes = _codes(distinct)
-        n, most = len(codes), int(lengths.max())
-        left = (np.repeat(starts + lengths, lengths + 1) - np.arange(n)).astype(np.int32)
-        order = np.argsort(left.astype(np.int16) if most < 32768 else left, kind="stable")
-        number = np.empty(n, np.int32)
-        number[order] = np.arange(n, dtype=np.int32)
-        self.first, self.after = number[starts], (np.repeat(lengths, lengths + 1) - left)[order]
-        edges = []
-
-        def add(at, length, weight, piece):
-            edges.append((number[at], number[at + length], weight, piece))
-
-        # hashes of the characters from the places on where a piece of the length may begin
-        chars = codes.astype(np.uint64) + np.uint64(1)
-        alive, total = np.arange(n), np.zeros(n, np.uint64)
-        for length in range(1, min(v.longest, most) + 1):
-            fits = np.flatnonzero(left[alive] >= length)
-            alive = alive[fits]
-            total = total[fits] * _BASE + chars[alive + (length - 1)]
-            hashed = _hashed(total)
-            found, piece = v.find(hashed)
-            at = alive[found]
-            add(at, length, v.log_weights[piece], v.ids[piece])
-            if length == 1:
-                odd = np.delete(alive, found)
-                size = 1 + (codes[odd] >= 0x80) + (codes[odd] >= 0x800) + (codes[odd] >= 0x10000)
-                add(odd, 1, v.byte_weight * size, v.size + codes[odd].astype(np.int64))
-            further = np.flatnonzero(v.goes_on[hashed & np.uint64(_SLOTS - 1)])
-            alive, total = alive[further], total[further]
-        # every pass holds a place once, so an edge goes behind the place's edges of earlier passes
-        count = np.bincount(np.concatenate([e[0] for e in edges]), minlength=n)
-        self.begin = np.concatenate([[0], np.cumsum(count)])
-        lead, self.piece, weight = np.empty(self.begin[-1], np.int32), np.empty(self.begin[-1], np.int64), np.empty(self.begin[-1])
-        free = self.begin[:-1].astype(np.int64)
-        for own, leads, weights, pieces in edges:
-            slot = free[own]
-            lead[slot], weight[slot], self.piece[slot] = leads, weights, pieces
-            free[own] = slot + 1
-        place = np.repeat(np.arange(n, dtype=np.int32), count)
-
-        # total weight of all ways from a place to the end of its word
-        total, left = np.zeros(n), left[order]
-        bounds = np.searchsorted(left, np.arange(1, most + 2))
-        for low, high in zip(bounds, bounds[1:]):
-            if low < high:
-                e0, e1 = self.begin[low], self.begin[high]
-                ways, seams = weight[e0:e1] + total[lead[e0:e1]], self.begin[low:high] - e0
-                best = np.maximum.reduceat(ways, seams)
-                total[low:high] = best + np.log(np.add.reduceat(np.exp(ways - best[place[e0:e1] - low]), seams))
-        log = weight + total[lead] - total[place]
-        alone = np.diff(self.begin)[place] == 1
-        self.log = np.where(alone, 0.0, np.minimum(log, 0.0))
-        sums = np.cumsum(np.exp(self.log))
-        self.upto = sums - np.concatenate([[0.0], sums])[self.begin[place]]
-        self.upto[self.begin[place + 1] - 1] = 2.0  # the last edge takes what rounding leaves
-        self.next = np.where(left[lead] == 0, -1, lead)
+    def __init__(self, vocabulary: Vocabulary, distinct: list[str] | pa.Array, before: Lattices | None = None):
+        """The words are numbered behind those of the lattices `before`, which are taken over."""
+        lengths = _lengths(distinct)
+        codes, ends = _codes(distinct), np.cumsum(lengths + 1)
+        cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1], PART), side="right"))
+        parts = [] if before is None else [(before.first, before.begin[:-1], *before.views()[2:])]
+        places, edges = (len(x) for x in parts[0][5:][::-1]) if parts else (0, 0)
+        for low, high in zip(cuts, [*cuts[1:], len(distinct)]):
+            start = ends[low] - lengths[low] - 1
+            first, count, upto, next_, piece, log, after = _part(vocabulary, codes[start : ends[high - 1]], lengths[low:high])
+            next_[next_ >= 0] += places
+            parts.append((first + places, count + edges, upto, next_, piece, log, after))
+            places, edges = places + len(after), edges + len(log)
+        self.first, begin, self.upto, self.next, self.piece, self.log, self.after = map(np.concatenate, zip(*parts))
+        self.begin = np.append(begin, edges)
 
     def views(self):
         return self.first, self.begin, self.upto, self.next, self.piece, self.log, self.after
@@ -241,23 +296,27 @@ def _walk(views, word: np.ndarray, start: np.ndarray, seeds: np.ndarray, salt: i
     """One segmentation of every word: the edges in text order, the word of each, and its place in the text."""
     first, begin, upto, next_, _, _, after = views
     place, own, steps = first[word], np.arange(len(word)), []
+    length = np.zeros(len(word), np.int64)
     while len(own):
         at = start[own] + after[place]
         edge = _pick(begin, upto, place, _uniform(seeds[own], at, salt))
         steps.append((own, edge, at))
+        length[own] += 1
         place = next_[edge]
-        alive = place >= 0
+        alive = np.flatnonzero(place >= 0)
         own, place = own[alive], place[alive]
-    owners = np.concatenate([s[0] for s in steps])
-    order = np.argsort(owners, kind="stable")
-    return np.concatenate([s[1] for s in steps])[order], owners[order], np.concatenate([s[2] for s in steps])[order]
+    ends = np.cumsum(length)
+    begins, edges, ats = ends - length, np.empty(ends[-1], np.int64), np.empty(ends[-1], np.int64)
+    for t, (own, edge, at) in enumerate(steps):
+        to = begins[own] + t
+        edges[to], ats[to] = edge, at
+    return edges, np.repeat(np.arange(len(word)), length), ats
 
 
 def _truncated(log_mass: np.ndarray, bound: float, drawn: np.ndarray) -> np.ndarray:
     """Gumbel variables at the log masses, given that they lie below the bound."""
     with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
-        found = log_mass - np.log(np.exp(log_mass - bound) - np.log(drawn))
-    return np.where(np.isneginf(log_mass), -np.inf, found)
+        return log_mass - np.log(np.exp(log_mass - bound) - np.log(drawn))
 
 
 #: -log of the least distance of a drawn number from 1, with a margin: no perturbed value lies further above its mass.
@@ -278,8 +337,8 @@ class _Path:
         self.before, self.log = sums - self.logs, float(sums[-1])
         self.taken: dict[int, list[int]] = {}
         self.bounds = np.full(len(edges), -np.inf)
-        # log masses only fall from step to step
-        near = len(edges) - int(np.searchsorted(self.before[::-1], value - 1.5 * _REACH))
+        # log masses only fall from step to step; the largest perturbed value is seldom far below this path's
+        near = len(edges) - int(np.searchsorted(self.before[::-1], value - 1.25 * _REACH))
         self._work_out(since, max(near, since))
 
     def _work_out(self, start: int, stop: int) -> None:
@@ -348,6 +407,31 @@ class Sampler:
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
+        self._batches, self._seen, self._kept, self._kept_words = 0, [], None, None
+
+    def _lattices(self, distinct: pa.Array) -> tuple[Lattices, np.ndarray]:
+        """Lattices that hold the words, and the number of each word there.
+
+        Words that several batches hold keep their lattices: a bounded number of words is chosen anew from time to time.
+        """
+        if self._kept is None:
+            found, number = Lattices(self.vocabulary, distinct), np.arange(len(distinct))
+        else:
+            at = pc.index_in(distinct, value_set=self._kept_words)
+            new = distinct.filter(pc.is_null(at))
+            found = Lattices(self.vocabulary, new, self._kept) if len(new) else self._kept
+            number = pc.fill_null(at, -1).to_numpy().astype(np.int64)
+            number[number < 0] = len(self._kept_words) + np.arange(len(new))
+        turn, self._batches = self._batches % CHOSEN_EVERY, self._batches + 1
+        if turn < CHOSEN_FROM:
+            self._seen.append(distinct)
+        if turn == CHOSEN_FROM - 1:
+            words_, times = pa.concat_arrays(self._seen).value_counts().flatten()
+            often = np.argsort(-times.to_numpy(), kind="stable")[: int((times.to_numpy() > 1).sum())]
+            often = often[np.cumsum(_lengths(words_)[often] + 1) <= KEPT]
+            self._seen, self._kept_words = [], words_.take(pa.array(often))
+            self._kept = Lattices(self.vocabulary, self._kept_words) if len(often) else None
+        return found, number
 
     def _ids(self, pieces: np.ndarray) -> np.ndarray:
         """Piece ids, with characters that are no piece as their bytes."""
@@ -364,23 +448,17 @@ class Sampler:
 
     def sample(self, texts: list[str], keys: list[int], samples: int) -> list[list[tuple[np.ndarray, float, float]]]:
         """For each text its (ids, log probability, inclusion probability), best first."""
-        counts, numbered, number = [], [], defaultdict()
-        number.default_factory = number.__len__  # a word that is new has the next number
-        for text in texts:
-            own = self.vocabulary.words(text) if text else []
-            counts.append(len(own))
-            numbered.append(np.fromiter(map(number.__getitem__, own), np.int64, len(own)))
+        distinct, word, counts = self.vocabulary.words(texts)
         drawn = words.mix(np.array([k & (2**64 - 1) for k in keys], np.uint64) + np.uint64(SEED))
-        if not number:
+        if not len(distinct):
             return [[(np.empty(0, np.int32), 0.0, 1.0)] for _ in texts]
-        order = list(number)
-        lengths = np.fromiter(map(len, order), np.int64, len(order))
-        views = Lattices(self.vocabulary, order).views()
-        word = np.concatenate(numbered)
+        lengths = _lengths(distinct)
+        lattices, number = self._lattices(distinct)
+        views = lattices.views()
         ends = np.cumsum(lengths[word])
         text_of = np.repeat(np.arange(len(texts)), counts)
         text_start = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)[:-1]])]
-        flat = word, ends - lengths[word] - text_start[text_of], drawn[text_of]
+        flat = number[word], ends - lengths[word] - text_start[text_of], drawn[text_of]
         bounds = np.concatenate([[0], np.cumsum(counts)])
         walks = [_walk(views, *flat, salt) for salt in range(samples)]
         cuts = [np.searchsorted(w[1], bounds) for w in walks]
@@ -405,29 +483,43 @@ def _sampler(path: str) -> Sampler:
 
 
 def _rows(path: str, samples: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns, sampler = [c.split()[0] for c in _ROWS.split(", ")], _sampler(path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sampler = _sampler(path)
         with np.errstate(over="ignore"):
             for batch in batches:
-                ids, texts = batch["id"].tolist(), [t if t is not None else "" for t in batch["text"]]
+                ids, texts = batch.column(0).to_pylist(), [t if t is not None else "" for t in batch.column(1).to_pylist()]
                 at = 0
                 while at < len(texts):
                     end, size = at + 1, len(texts[at])
                     while end < len(texts) and size + len(texts[end]) <= PIECE:
                         size += len(texts[end])
                         end += 1
-                    keys = [0 if pd.isna(k) else int(k) for k in ids[at:end]]
-                    out = []
-                    for key, text, rows in zip(ids[at:end], texts[at:end], sampler.sample(texts[at:end], keys, samples)):
-                        for number, (pieces, log, inclusion) in enumerate(rows):
-                            same = sampler.vocabulary.decode(pieces.tolist()) == text.replace(SPACE, " ")
-                            out.append((key, number, pieces, len(pieces), log, inclusion, same))
-                    yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
+                    found = sampler.sample(texts[at:end], [k or 0 for k in ids[at:end]], samples)
+                    yield _table(sampler.vocabulary, ids[at:end], texts[at:end], found)
                     at = end
 
     return run
 
 
+def _table(vocabulary: Vocabulary, ids: list[int | None], texts: list[str], found: list) -> pa.RecordBatch:
+    """The rows of the found segmentations; all piece ids lie in one array."""
+    keys, numbers, pieces, logs, inclusions, same = [], [], [], [], [], []
+    for key, text, rows in zip(ids, texts, found):
+        plain = text.replace(SPACE, " ")
+        for number, (own, log, inclusion) in enumerate(rows):
+            keys.append(key)
+            numbers.append(number)
+            pieces.append(own)
+            logs.append(log)
+            inclusions.append(inclusion)
+            same.append(vocabulary.decode(own) == plain)
+    counts = np.fromiter(map(len, pieces), np.int32, len(pieces))
+    lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), np.concatenate(pieces))
+    columns = [pa.array(keys, pa.int64()), pa.array(numbers, pa.int32()), lists, pa.array(counts)]
+    columns += [pa.array(logs, pa.float64()), pa.array(inclusions, pa.float64()), pa.array(same, pa.bool_())]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _ROWS.split(", ")])
+
+
 def segmentations(
     documents: DataFrame, samples: int = SAMPLES, path: str | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -442,4 +534,4 @@ def segmentations(
     them all. Characters that are no piece are given as bytes. Repeated rows get the same rows again.
     """
     source = ready(documents).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return source.mapInPandas(_rows(path or model_path(), samples), _ROWS)
+    return source.mapInArrow(_rows(path or model_path(), samples), _ROWS)

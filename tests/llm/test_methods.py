@@ -267,3 +267,48 @@ def test_toxicity_is_trained_in_a_task(spark, monkeypatch):
     assert toxicity.fitted(few, labels.where("toxic = 1")).bias > 0
     monkeypatch.setattr(toxicity, "train", lambda texts, labels, share: toxicity.Model(np.zeros(1, np.float32), float(os.getpid())))
     assert toxicity.fitted(few, labels).bias not in (0.0, os.getpid())  # the driver's process holds neither texts nor features
+
+
+def test_lattices_are_built_in_parts(monkeypatch):
+    vocabulary = segmentations.Vocabulary(segmentations.model_path())
+    texts = ["the nation of words", "", "two  spaces  and ▁ more", "the\nlines\n\n of\x00zeros the", "é\U0001f600 words"]
+    distinct, number, counts = vocabulary.words(texts)
+    parts, at = distinct.to_pylist(), 0
+    assert len(set(parts)) == len(parts)
+    for text, n in zip(texts, counts):
+        marked = segmentations.SPACE + text.replace(" ", segmentations.SPACE) if text else ""
+        assert [parts[i] for i in number[at : at + n]] == re.findall("▁+[^▁\n]*|[^▁\n]+|\n", marked)
+        at += n
+    with np.errstate(over="ignore"):
+        whole = segmentations.Lattices(vocabulary, parts)
+        monkeypatch.setattr(segmentations, "PART", 7)
+        cut = segmentations.Lattices(vocabulary, distinct)
+    for a, b in zip(whole.first, cut.first):  # each word's lattice is the same, wherever its places lie
+        n = len(parts[list(whole.first).index(a)])
+        for lattice, place in ((whole, a), (cut, b)):
+            assert lattice.after[place] == 0 and lattice.begin[place + 1] > lattice.begin[place]
+        stack = [(a, b)]
+        while stack:
+            p, q = stack.pop()
+            e, f = (slice(x.begin[y], x.begin[y + 1]) for x, y in ((whole, p), (cut, q)))
+            assert (whole.piece[e] == cut.piece[f]).all() and np.allclose(whole.log[e], cut.log[f]) and np.allclose(whole.upto[e], cut.upto[f])
+            assert whole.after[p] == cut.after[q] < n
+            stack += [(x, y) for x, y in zip(whole.next[e], cut.next[f]) if x >= 0 or y >= 0]
+
+
+def test_words_of_several_batches_keep_their_lattices(monkeypatch):
+    monkeypatch.setattr(segmentations, "CHOSEN_FROM", 2)
+    monkeypatch.setattr(segmentations, "CHOSEN_EVERY", 5)
+    sampler, built = segmentations.Sampler(segmentations.model_path()), []
+    part = segmentations._part
+    monkeypatch.setattr(segmentations, "_part", lambda v, codes, lengths: built.append(len(lengths)) or part(v, codes, lengths))
+    for turn in range(9):
+        texts = [f"the same words and {'new' * turn} {turn}", "", "the same", f"only{turn}"]
+        del built[:]
+        with np.errstate(over="ignore"):
+            found = sampler.sample(texts, [5, 6, 7, 8], 2)
+            new = sum(built)
+            fresh = segmentations.Sampler(segmentations.model_path()).sample(texts, [5, 6, 7, 8], 2)
+        assert [[(r[0].tolist(), r[1]) for r in rows] for rows in found] == [[(r[0].tolist(), r[1]) for r in rows] for rows in fresh]
+        if turn in (2, 3, 4, 5, 7, 8):
+            assert new < 5
