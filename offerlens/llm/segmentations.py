@@ -23,16 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.llm import words
-from offerlens.llm.tables import ready
+from offerlens.llm.tables import give_back, ready
 
 MODEL = "piece_bpe_32k.model"
 SAMPLES = 2
 SEED = 12
 #: Characters of the texts that are searched together, and of the distinct words whose lattices are built together.
-PIECE = 1 << 21
+PIECE = 1 << 18
 PART = 60_000
 #: Characters of the words that keep their lattices: those in at least two of CHOSEN_FROM batches, once in CHOSEN_EVERY.
-KEPT = 1 << 20
+KEPT = 1 << 18
 CHOSEN_FROM = 8
 CHOSEN_EVERY = 60
 SPACE = "▁"
@@ -402,11 +402,16 @@ def _branch(views, path: _Path, step: int, bound: float, fresh, seed: np.uint64,
     return _Path(edges, owners, at_all, bound, views, seed, salt + 3, since=step + 1)
 
 
+@lru_cache(maxsize=2)
+def _vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
+
+
 class Sampler:
-    """Distinct sampled segmentations of texts."""
+    """Distinct sampled segmentations of the texts of a task."""
 
     def __init__(self, path: str):
-        self.vocabulary = Vocabulary(path)
+        self.vocabulary = _vocabulary(path)
         self._batches, self._seen, self._kept, self._kept_words = 0, [], None, None
 
     def _lattices(self, distinct: pa.Array) -> tuple[Lattices, np.ndarray]:
@@ -477,30 +482,31 @@ class Sampler:
         return found
 
 
-@lru_cache(maxsize=2)
-def _sampler(path: str) -> Sampler:
-    return Sampler(path)
-
-
 def _rows(path: str, samples: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = _sampler(path)
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), [t if t is not None else "" for t in batch.column(1).to_pylist()]
-                at = 0
-                while at < len(texts):
-                    end, size = at + 1, len(texts[at])
-                    while end < len(texts) and size + len(texts[end]) <= PIECE:
-                        size += len(texts[end])
-                        end += 1
-                    found = sampler.sample(texts[at:end], [k or 0 for k in ids[at:end]], samples)
-                    yield _table(sampler.vocabulary, ids[at:end], texts[at:end], found)
-                    at = end
+        try:
+            yield from _sampled(batches, Sampler(path), samples)
+        finally:  # lattices end with the task, else idle workers hold them through all later stages
+            give_back()
 
     return run
 
 
+def _sampled(batches: Iterator[pa.RecordBatch], sampler: Sampler, samples: int) -> Iterator[pa.RecordBatch]:
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), [t if t is not None else "" for t in batch.column(1).to_pylist()]
+            at = 0
+            while at < len(texts):
+                end, size = at + 1, len(texts[at])
+                while end < len(texts) and size + len(texts[end]) <= PIECE:
+                    size += len(texts[end])
+                    end += 1
+                found = sampler.sample(texts[at:end], [k or 0 for k in ids[at:end]], samples)
+                yield _table(sampler.vocabulary, ids[at:end], texts[at:end], found)
+                at = end
+
+
 def _table(vocabulary: Vocabulary, ids: list[int | None], texts: list[str], found: list) -> pa.RecordBatch:
     """The rows of the found segmentations; all piece ids lie in one array."""
     keys, numbers, pieces, logs, inclusions, same = [], [], [], [], [], []

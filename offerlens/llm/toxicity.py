@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from offerlens.llm import samples
-from offerlens.llm.tables import ready
+from offerlens.llm.tables import give_back, ready
 
 THRESHOLD = 0.3
 BITS = 18
@@ -192,6 +192,7 @@ def _trainer(share: float):
             texts += batch["text"].tolist()
             labels += batch["label"].tolist()
         model = train(texts, labels, share)
+        give_back()
         yield pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [model.bias]})
 
     return run
