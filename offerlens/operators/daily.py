@@ -13,10 +13,11 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from offerlens.functions import offers as O
 from offerlens.functions import rates as R
@@ -43,8 +44,9 @@ class Run:
     landing: str
     source_id: str = "source-1"
     classifier: str = C.CLASSIFIER_VERSION
-    #: The run whose state this one goes on from, found when the run starts.
+    #: The run whose state this one goes on from, and all up to it, found when the run starts.
     before: str | None = None
+    earlier: tuple[str, ...] = ()
 
     @property
     def instant(self) -> Column:
@@ -59,12 +61,15 @@ class Run:
 class Store:
     spark: SparkSession
     path: str
+    #: Columns of the tables written by this object, which need not be read from their files again.
+    known: dict[str, StructType] = field(default_factory=dict, compare=False, repr=False)
 
     def folder(self, table: str, run_id: str) -> str:
         return f"{self.path}/{table}/{run_id}"
 
     def write(self, table: str, run: Run, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(self.folder(table, run.run_id))
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(self.folder(table, run.run_id))
+        self.known[table] = rows.schema
 
     def has(self, table: str, run_id: str | None) -> bool:
         return run_id is not None and T.is_complete(self.spark, self.folder(table, run_id))
@@ -74,7 +79,8 @@ class Store:
         found = [self.folder(table, r) for r in run_ids if self.has(table, r)]
         if not found:
             raise FileNotFoundError(f"no run has written {table}")
-        return self.spark.read.parquet(*found)
+        reader = self.spark.read.schema(self.known[table]) if table in self.known else self.spark.read
+        return reader.parquet(*found)
 
     def runs(self) -> list[str]:
         """Finished runs, the oldest first. They are as many as there are days."""
@@ -84,34 +90,29 @@ class Store:
             return []
         return [r.run_id for r in self.read("runs", *done).orderBy("started_at", "run_id").select("run_id").collect()]
 
-    def upto(self, run: Run) -> list[str]:
-        """Runs whose additions this one builds on: all up to the one before."""
-        done = self.runs()
-        return done[: done.index(run.before) + 1] if run.before else []
-
-
 def _so_far(store: Store, run: Run, table: str, own: bool = True) -> DataFrame:
     """What the runs before, and this one, added to a table."""
-    return store.read(table, *store.upto(run), *([run.run_id] if own else []))
+    return store.read(table, *run.earlier, *([run.run_id] if own else []))
 
 
 # ---------------------------------------------------------------- steps
 
 
 def land(store: Store, run: Run, queries: DataFrame, groups: list[dict]) -> None:
-    """Pages once per key, their items judged one by one."""
+    """Pages once per key, their items judged one by one. A page is parsed once and a text normalized once."""
     pages = S.parsed_pages(S.read_pages(store.spark, run.landing).dropDuplicates(["query_key", "range_start"]))
-    store.write("judged_items", run, S.validate_contract(S.read_offer_pages(pages)))
-    checked = store.read("judged_items", run.run_id)
-    keys = ["query_key", "range_start", "item_ordinal"]
+    store.write("judged_items", run, S.validate_contract(S.read_enveloped_pages(pages)))
+    judged = store.read("judged_items", run.run_id)
+    checked = judged.filter(F.col("item_ordinal").isNotNull()).drop(*S.ENVELOPE)
+    keys, page = ["query_key", "range_start", "item_ordinal"], ["query_key", "range_start"]
     store.write("quarantine", run, S.quarantined_items(checked).select(*keys, F.to_json("raw").alias("raw"), "issues"))
-    normalized = N.with_content_hash(N.normalize_offers(S.valid_items(checked)))
-    store.write("items", run, normalized)
+    store.write("items", run, N.with_content_hash(N.normalize_offers(S.valid_items(checked))))
+    normalized = store.read("items", run.run_id)
     admitted = N.title_perimeter(normalized, groups) if groups else normalized.withColumn("job_families", F.lit(None).cast("array<string>"))
     store.write("observations", run, admitted.select("query_key", F.col("external_id").alias("offer_id"), "range_start", "item_ordinal", "content_hash", "job_families"))
-    page = ["query_key", "range_start"]
     inside = store.read("observations", run.run_id).groupBy(*page).agg(F.count(F.lit(1)).alias("in_perimeter_count"))
-    status = S.page_status(pages, checked, S.unknown_field_report(checked)).join(inside, page, "left")
+    enveloped = judged.groupBy(*page).agg(*[F.any_value(c).alias(c) for c in S.ENVELOPE])
+    status = S.page_status(enveloped, checked, S.unknown_field_report(checked)).join(inside, page, "left")
     last = status.groupBy("query_key").agg(F.max("range_start").alias("last_start"), F.sum("received").alias("source_total"))
     facts = status.join(last, "query_key").select(
         F.lit(run.run_id).alias("run_id"), F.col("query_key").alias("query_id"), "range_start", "status", "root_issue",
@@ -273,7 +274,7 @@ def collect_daily(store: Store, run: Run, queries: DataFrame, groups: list[dict]
     done = store.runs()
     if run.run_id in done:
         return
-    run = replace(run, before=done[-1] if done else None)
+    run = replace(run, before=done[-1] if done else None, earlier=tuple(done))
     for table, step in STEPS:
         if not store.has(table, run.run_id):
             step(store, run, queries, groups)

@@ -59,7 +59,7 @@ def landed(t, day: int, path: str) -> str:
         F.concat(F.lit('{"resultats":['), F.array_join("items", ","), F.lit("]}")).alias("payload"),
     )
     landing = f"{path}/landing/{day}"
-    pages.write.mode("overwrite").json(landing)
+    pages.write.mode("overwrite").json(landing, compression="snappy")
     return landing
 
 

@@ -106,6 +106,22 @@ def read_offer_pages(pages: DataFrame) -> DataFrame:
     return checked.select("query_key", "range_start", items)
 
 
+ENVELOPE = ("root_issue", "root_warnings")
+
+
+def envelopes(pages: DataFrame) -> DataFrame:
+    """Pages with what `page_status` needs of them: why they are refused, and how many unknown fields their root has."""
+    root = F.coalesce(F.json_object_keys("payload"), F.array().cast("array<string>"))
+    extra = F.size(F.array_except(root, F.array(*[F.lit(f) for f in ROOT_FIELDS])))
+    return envelope_check(pages).withColumn("root_warnings", extra)
+
+
+def read_enveloped_pages(pages: DataFrame) -> DataFrame:
+    """The rows of `read_offer_pages` with the envelope of their page. A page without a row has one without ordinal."""
+    results = F.when(F.col("root_issue").isNull(), F.variant_get("page", "$.resultats", "array<variant>"))
+    return envelopes(pages).select("query_key", "range_start", *ENVELOPE, F.posexplode_outer(results).alias("item_ordinal", "raw"))
+
+
 # ---------------------------------------------------------------- contract of one item
 
 
@@ -253,15 +269,14 @@ def unknown_root_fields(pages: DataFrame) -> DataFrame:
 
 
 def page_status(pages: DataFrame, checked: DataFrame, unknown: DataFrame) -> DataFrame:
-    """Per page: valid, valid_with_warnings or invalid_quarantined."""
+    """Per page: valid, valid_with_warnings or invalid_quarantined. Pages with their envelope are not parsed again."""
     keys = ["query_key", "range_start"]
     items = checked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("received"), F.count_if(F.size("issues") > 0).alias("quarantined")
     )
     warned = unknown.groupBy(*keys).agg(F.count(F.lit(1)).alias("warnings"))
-    root = F.coalesce(F.json_object_keys("payload"), F.array().cast("array<string>"))
-    extra = F.size(F.array_except(root, F.array(*[F.lit(f) for f in ROOT_FIELDS])))
-    joined = envelope_check(pages).withColumn("root_warnings", extra).join(items, keys, "left").join(warned, keys, "left")
+    known = pages if set(ENVELOPE) <= set(pages.columns) else envelopes(pages)
+    joined = known.join(items, keys, "left").join(warned, keys, "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     status = (
         F.when(F.col("root_issue").isNotNull(), "invalid_quarantined")
