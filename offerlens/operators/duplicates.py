@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from offerlens.functions.text import fold_excerpt, folded_words
 from offerlens.operators.links import linked_groups
-from offerlens.sources.tables import written
+from offerlens.sources.tables import unwritten, written
 
 #: Two texts are similar if the words they share weigh at least 3/4 of the words of either.
 SHARE, OF = 3, 4
@@ -24,58 +24,85 @@ def _near(first: Column, last: Column, other_first: Column, other_last: Column,
 
 
 def _weighted_words(classes: DataFrame) -> DataFrame:
-    """`class, block, classes, word, df, weight, total` of the classes that are not alone in their block.
+    """`class, block, classes, total, listed` of the classes that are not alone in their block; `listed` holds (df,
+    word, weight), the rarest word first.
 
     A word weighs the bit length of (number of classes) / (classes that hold it): 1 for a word of more than half of
-    them, one more for every halving. Whole numbers make every comparison exact.
+    them, one more for every halving. Whole numbers make every comparison exact. Words are dealt out as (id, word) to be
+    weighed and come back as one array a class, its df in ten digits before each word; all later steps work on these.
     """
-    frequency = classes.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    own = F.explode(F.split("words", " ")).alias("word")
+    frequency = classes.filter("words <> ''").select(own).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     every = classes.agg(F.count(F.lit(1))).scalar()
-    weights = frequency.select("word", "df", F.length(F.bin(F.floor(every / F.col("df")))).cast("long").alias("weight"))
     several = classes.groupBy("block").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1")
     # joined as whole classes: only words of those that are not alone are dealt by word
-    words = classes.join(several, "block").select("class", "block", "classes", F.explode("words").alias("word"))
-    return words.join(weights, "word")
+    words = classes.filter("words <> ''").join(several, "block").select("id", own)
+    numbered = F.concat(F.lpad(F.col("df").cast("string"), 10, "0"), "word")
+    listed = words.join(frequency, "word").groupBy("id").agg(F.sort_array(F.collect_list(numbered)).alias("listed"))
+    known = classes.select("id", "class", "block").join(several, "block").join(listed, "id").withColumn("every", every)
+    df = lambda w: F.substring(w, 1, 10).cast("long")
+    weight = lambda w: F.length(F.bin(F.floor(F.col("every") / df(w)))).cast("long")
+    weighed = F.transform("listed", lambda w: F.struct(df(w).alias("df"), F.substring(w, 11, 2**31 - 1).alias("word"), weight(w).alias("weight")))
+    return known.withColumn("listed", weighed).select("class", "block", "classes", _sum("listed").alias("total"), "listed")
+
+
+def _sum(listed: Column | str) -> Column:
+    return F.aggregate(listed, F.lit(0).cast("long"), lambda s, w: s + w["weight"])
+
+
+def _named(listed: Column) -> Column:
+    """ "weight word" as one string: sets of strings are intersected by hash, sets of structs by comparing all pairs."""
+    return F.transform(listed, lambda w: F.concat_ws(" ", w["weight"].cast("string"), w["word"]))
+
+
+def _common(one: Column | str, two: Column | str) -> Column:
+    """Weight of the words that two arrays of "weight word" share."""
+    return F.aggregate(F.array_intersect(one, two), F.lit(0).cast("long"), lambda s, w: s + F.substring_index(w, " ", 1).cast("long"))
+
+
+def _prefix() -> Column:
+    """The words that a class is looked up by.
+
+    Words are ordered by rarity. The first word that two similar classes share leaves, with the words after it, at
+    least SHARE / OF of either total; so only words up to that point are joined. One that no other class holds is not.
+    """
+    upto = lambda s, w: F.struct(
+        (s["before"] + w["weight"]).alias("before"), (s["n"] + F.when(OF * s["before"] <= (OF - SHARE) * F.col("total"), 1).otherwise(0)).alias("n")
+    )
+    n = F.aggregate("listed", F.struct(F.lit(0).cast("long").alias("before"), F.lit(0).alias("n")), upto, lambda s: s["n"])
+    return F.transform(F.filter(F.slice("listed", F.lit(1), n), lambda w: w["df"] > 1), lambda w: w["word"])
 
 
 def _core(words: DataFrame) -> DataFrame:
-    """`class, is_close`: whether the class differs so little from the core of its block that it is similar to every
-    other such class.
+    """`class, block, total, prefix, is_close`: whether the class differs so little from the core of its block that
+    it is similar to every other such class.
 
     The core holds the words of more than half of a block's classes. With `d` the weight of a class's difference
     from the core, two classes differ by at most `d + d'`, and they are similar if that is at most
-    (OF - SHARE) / (OF + SHARE) of `total + total'`.
+    (OF - SHARE) / (OF + SHARE) of `total + total'`. Only words of as many classes in all can be in the core.
     """
-    core = words.groupBy("block", "word").agg(F.count(F.lit(1)).alias("n"), F.any_value("classes").alias("classes"), F.any_value("weight").alias("weight"))
-    core = core.filter(2 * F.col("n") > F.col("classes")).select("block", "word", F.lit(True).alias("in_core"), F.col("weight").alias("core_weight"))
-    sizes = core.groupBy("block").agg(F.sum("core_weight").alias("core"))
-    own = words.join(core.drop("core_weight"), ["block", "word"], "left").groupBy("class", "block").agg(
-        F.sum("weight").alias("total"), F.sum(F.when(F.col("in_core"), F.col("weight")).otherwise(0)).alias("shared")
-    )
-    differs = F.col("total") + F.coalesce("core", F.lit(0)) - 2 * F.col("shared")
-    return own.join(sizes, "block", "left").select("class", ((OF + SHARE) * differs <= (OF - SHARE) * F.col("total")).alias("is_close"))
+    may = F.filter("listed", lambda w: 2 * w["df"] > F.col("classes"))
+    slim = words.select("class", "block", "classes", "total", _prefix().alias("prefix"), _named(may).alias("may"))
+    each = slim.select("block", "classes", F.explode("may").alias("word")).groupBy("block", "word").agg(F.count(F.lit(1)).alias("n"), F.any_value("classes").alias("classes"))
+    core = each.filter(2 * F.col("n") > F.col("classes")).groupBy("block").agg(F.collect_list("word").alias("core"))
+    own = slim.join(core, "block", "left").withColumn("core", F.coalesce("core", F.array().cast("array<string>")))
+    differs = F.col("total") + _common("core", "core") - 2 * _common("may", "core")
+    return own.select("class", "block", "total", "prefix", ((OF + SHARE) * differs <= (OF - SHARE) * F.col("total")).alias("is_close"))
 
 
 def _similar_classes(words: DataFrame, close: DataFrame) -> DataFrame:
-    """(a, b) of similar classes of one block, but for pairs of two close ones.
-
-    Words are ordered by rarity. The first word that two similar classes share leaves, with the words after it, at
-    least SHARE / OF of either total; so only words up to that point are joined, and only if the totals fit.
+    """(a, b) of similar classes of one block, but for pairs of two close ones: those that share a word of their
+    prefixes and whose totals fit are compared on all words that two classes hold.
     """
-    rarest = Window.partitionBy("class").orderBy("df", "word")
-    rest = F.sum("weight").over(rarest.rowsBetween(0, Window.unboundedFollowing))
-    listed = words.withColumns({"rest": rest, "total": F.sum("weight").over(Window.partitionBy("class"))})
-    prefix = listed.filter(OF * F.col("rest") >= SHARE * F.col("total")).join(close, "class").select("class", "block", "word", "total", "is_close")
+    prefix = close.select("block", F.explode("prefix").alias("word"), "class", "total", "is_close")
     left = prefix.select("block", "word", F.col("class").alias("a"), F.col("total").alias("a_total"), F.col("is_close").alias("a_close"))
     right = prefix.select("block", "word", F.col("class").alias("b"), F.col("total").alias("b_total"), F.col("is_close").alias("b_close"))
     fits = (OF * F.least("a_total", "b_total") >= SHARE * F.greatest("a_total", "b_total")) & ~(F.col("a_close") & F.col("b_close"))
     pairs = left.join(right, ["block", "word"]).filter((F.col("a") < F.col("b")) & fits).select("a", "b", "a_total", "b_total").distinct()
-    # "weight word" as one string: sets of strings are intersected by hash, sets of structs by comparing all pairs
-    sets = words.groupBy("class").agg(F.collect_list(F.concat_ws(" ", F.col("weight").cast("string"), "word")).alias("words"))
+    sets = words.select("class", _named(F.filter("listed", lambda w: w["df"] > 1)).alias("words"))
     both = pairs.join(sets.select(F.col("class").alias("a"), F.col("words").alias("a_words")), "a")
     both = both.join(sets.select(F.col("class").alias("b"), F.col("words").alias("b_words")), "b")
-    common = F.aggregate(F.array_intersect("a_words", "b_words"), F.lit(0).cast("long"), lambda s, w: s + F.substring_index(w, " ", 1).cast("long"))
-    return both.filter(_similar(common, F.col("a_total"), F.col("b_total"))).select("a", "b")
+    return both.filter(_similar(_common("a_words", "b_words"), F.col("a_total"), F.col("b_total"))).select("a", "b")
 
 
 def _close_links(dated: DataFrame, close: DataFrame, days: int) -> DataFrame:
@@ -104,10 +131,13 @@ def probable_duplicates(offers: DataFrame, days: int = NEAR_DAYS) -> DataFrame:
     block = F.md5(F.to_json(keys, {"ignoreNullFields": "false"}))
     words = F.array_sort(F.array_distinct(folded_words(F.coalesce("description_text", F.lit("")))))
     day = F.coalesce(F.to_date("source_published_at"), F.lit("1970-01-01").cast("date"))
-    rows = offers.select("offer_id", block.alias("block"), day.alias("day"), words.alias("words"))
-    # 16 bytes each, as these keys go with every word
-    keyed = {"class": F.unhex(F.md5(F.concat_ws(" ", "block", F.array_join("words", " ")))), "block": F.unhex("block")}
-    rows = written(rows.withColumns(keyed), "offer-words")
+    rows = offers.select("offer_id", block.alias("block"), day.alias("day"), F.array_join(words, " ").alias("words"))
+    keyed = {"class": F.unhex(F.md5(F.concat_ws(" ", "block", "words"))), "block": F.unhex("block")}
+    texts = written(rows.withColumns(keyed), "offer-words")
+    classes = texts.groupBy("class").agg(F.any_value("block").alias("block"), F.any_value("words").alias("words"))
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "offer-classes")
+    rows = written(texts.select("offer_id", "class", "block", "day"), "offer-days")
+    unwritten(texts)  # a text's words are kept once, with its class
 
     daily = rows.groupBy("class", "day").agg(F.any_value("block").alias("block"), F.count(F.lit(1)).alias("n"), F.min("offer_id").alias("least"))
     ordered = Window.partitionBy("class").orderBy("day")
@@ -116,8 +146,8 @@ def probable_duplicates(offers: DataFrame, days: int = NEAR_DAYS) -> DataFrame:
     dated = written(runs.withColumn("node", F.min("least").over(Window.partitionBy("class", "run"))), "offer-nodes")
     nodes = dated.groupBy("class", "node").agg(F.sum("n").alias("n"), F.min("day").alias("first"), F.max("day").alias("last"))
 
-    classes = written(rows.groupBy("class").agg(F.any_value("block").alias("block"), F.any_value("words").alias("words")), "offer-classes")
     weighted = written(_weighted_words(classes), "offer-weights")
+    unwritten(classes)
     close = written(_core(weighted), "offer-cores")
     pairs = _similar_classes(weighted, close)
     for side in ("a", "b"):

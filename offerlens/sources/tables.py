@@ -56,10 +56,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def written(rows: DataFrame, name: str) -> DataFrame:
     """Cut the lineage through a written table in the shared folder."""
     path = scratch_path(rows.sparkSession, name)
-    rows.write.parquet(path)
+    rows.write.option("compression", "zstd").parquet(path)
     return rows.sparkSession.read.parquet(path)
 
 
+def unwritten(rows: DataFrame) -> None:
+    """Remove a table of `written` that nothing reads any more."""
+    for folder in {file.rsplit("/", 1)[0] for file in rows.inputFiles()}:
+        remove(rows.sparkSession, folder)
+
+
 def computed_once(rows: DataFrame, name: str, column: Column) -> DataFrame:
     """Add an expensive column behind a generator.
 
