@@ -24,40 +24,44 @@ def _near(first: Column, last: Column, other_first: Column, other_last: Column,
 
 
 def _weighted_words(classes: DataFrame) -> DataFrame:
-    """`class, block, classes, total, listed` of the classes that are not alone in their block; `listed` holds (df,
-    word, weight), the rarest word first.
+    """`class, block, classes, every, total, listed` of the classes that are not alone in their block; `listed` holds
+    the codes of their words, the rarest first.
 
     A word weighs the bit length of (number of classes) / (classes that hold it): 1 for a word of more than half of
-    them, one more for every halving. Whole numbers make every comparison exact. Words are dealt out as (id, word) to be
-    weighed and come back as one array a class, its df in ten digits before each word; all later steps work on these.
+    them, one more for every halving. Whole numbers make every comparison exact. Words are dealt out as (id, word) and
+    come back as one array of codes a class; all later steps work on these. A code is the number of the word by rarity,
+    its weight (six bits), and whether two classes hold it (one bit).
     """
     own = F.explode(F.split("words", " ")).alias("word")
     frequency = classes.filter("words <> ''").select(own).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     every = classes.agg(F.count(F.lit(1))).scalar()
+    numbered = written(frequency.orderBy("df", "word").withColumn("number", F.monotonically_increasing_id()), "offer-vocabulary")
+    # numbers of the sorted parts leave gaps: without them they are short. One row a part is summed up
+    part, place = F.shiftright("number", 33), F.col("number").bitwiseAND(2**33 - 1)
+    parts = numbered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    weight = F.length(F.bin(F.floor(F.col("every") / F.col("df")))).cast("long")
+    code = ((F.col("before") + place) * 64 + weight) * 2 + (F.col("df") > 1).cast("long")
+    codes = numbered.withColumns({"part": part, "every": every}).join(F.broadcast(before), "part").select("word", code.alias("code"))
     several = classes.groupBy("block").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1")
     # joined as whole classes: only words of those that are not alone are dealt by word
     words = classes.filter("words <> ''").join(several, "block").select("id", own)
-    numbered = F.concat(F.lpad(F.col("df").cast("string"), 10, "0"), "word")
-    listed = words.join(frequency, "word").groupBy("id").agg(F.sort_array(F.collect_list(numbered)).alias("listed"))
-    known = classes.select("id", "class", "block").join(several, "block").join(listed, "id").withColumn("every", every)
-    df = lambda w: F.substring(w, 1, 10).cast("long")
-    weight = lambda w: F.length(F.bin(F.floor(F.col("every") / df(w)))).cast("long")
-    weighed = F.transform("listed", lambda w: F.struct(df(w).alias("df"), F.substring(w, 11, 2**31 - 1).alias("word"), weight(w).alias("weight")))
-    return known.withColumn("listed", weighed).select("class", "block", "classes", _sum("listed").alias("total"), "listed")
+    listed = words.join(codes, "word").groupBy("id").agg(F.sort_array(F.collect_list("code")).alias("listed"))
+    known = classes.select("id", "class", "block").join(several, "block").join(listed, "id")
+    return known.select("class", "block", "classes", every.alias("every"), _sum("listed").alias("total"), "listed")
 
 
-def _sum(listed: Column | str) -> Column:
-    return F.aggregate(listed, F.lit(0).cast("long"), lambda s, w: s + w["weight"])
+def _weight(code: Column) -> Column:
+    return F.shiftright(code, 1).bitwiseAND(63)
 
 
-def _named(listed: Column) -> Column:
-    """ "weight word" as one string: sets of strings are intersected by hash, sets of structs by comparing all pairs."""
-    return F.transform(listed, lambda w: F.concat_ws(" ", w["weight"].cast("string"), w["word"]))
+def _sum(codes: Column | str) -> Column:
+    return F.aggregate(codes, F.lit(0).cast("long"), lambda s, c: s + _weight(c))
 
 
-def _common(one: Column | str, two: Column | str) -> Column:
-    """Weight of the words that two arrays of "weight word" share."""
-    return F.aggregate(F.array_intersect(one, two), F.lit(0).cast("long"), lambda s, w: s + F.substring_index(w, " ", 1).cast("long"))
+def _shared(codes: Column | str) -> Column:
+    """Words that two classes hold."""
+    return F.filter(codes, lambda c: c.bitwiseAND(1) == 1)
 
 
 def _prefix() -> Column:
@@ -66,11 +70,11 @@ def _prefix() -> Column:
     Words are ordered by rarity. The first word that two similar classes share leaves, with the words after it, at
     least SHARE / OF of either total; so only words up to that point are joined. One that no other class holds is not.
     """
-    upto = lambda s, w: F.struct(
-        (s["before"] + w["weight"]).alias("before"), (s["n"] + F.when(OF * s["before"] <= (OF - SHARE) * F.col("total"), 1).otherwise(0)).alias("n")
+    upto = lambda s, c: F.struct(
+        (s["before"] + _weight(c)).alias("before"), (s["n"] + F.when(OF * s["before"] <= (OF - SHARE) * F.col("total"), 1).otherwise(0)).alias("n")
     )
     n = F.aggregate("listed", F.struct(F.lit(0).cast("long").alias("before"), F.lit(0).alias("n")), upto, lambda s: s["n"])
-    return F.transform(F.filter(F.slice("listed", F.lit(1), n), lambda w: w["df"] > 1), lambda w: w["word"])
+    return _shared(F.slice("listed", F.lit(1), n))
 
 
 def _core(words: DataFrame) -> DataFrame:
@@ -79,14 +83,15 @@ def _core(words: DataFrame) -> DataFrame:
 
     The core holds the words of more than half of a block's classes. With `d` the weight of a class's difference
     from the core, two classes differ by at most `d + d'`, and they are similar if that is at most
-    (OF - SHARE) / (OF + SHARE) of `total + total'`. Only words of as many classes in all can be in the core.
+    (OF - SHARE) / (OF + SHARE) of `total + total'`. A word of weight w is in at most every / 2^(w - 1) classes, so
+    heavier words than a block's number of classes allows are not counted.
     """
-    may = F.filter("listed", lambda w: 2 * w["df"] > F.col("classes"))
-    slim = words.select("class", "block", "classes", "total", _prefix().alias("prefix"), _named(may).alias("may"))
+    may = F.filter("listed", lambda c: 2 * F.col("every") > F.col("classes") * F.pow(F.lit(2.0), _weight(c) - 1))
+    slim = words.select("class", "block", "classes", "total", _prefix().alias("prefix"), may.alias("may"))
     each = slim.select("block", "classes", F.explode("may").alias("word")).groupBy("block", "word").agg(F.count(F.lit(1)).alias("n"), F.any_value("classes").alias("classes"))
     core = each.filter(2 * F.col("n") > F.col("classes")).groupBy("block").agg(F.collect_list("word").alias("core"))
-    own = slim.join(core, "block", "left").withColumn("core", F.coalesce("core", F.array().cast("array<string>")))
-    differs = F.col("total") + _common("core", "core") - 2 * _common("may", "core")
+    own = slim.join(core, "block", "left").withColumn("core", F.coalesce("core", F.array().cast("array<long>")))
+    differs = F.col("total") + _sum("core") - 2 * _sum(F.array_intersect("may", "core"))
     return own.select("class", "block", "total", "prefix", ((OF + SHARE) * differs <= (OF - SHARE) * F.col("total")).alias("is_close"))
 
 
@@ -99,10 +104,10 @@ def _similar_classes(words: DataFrame, close: DataFrame) -> DataFrame:
     right = prefix.select("block", "word", F.col("class").alias("b"), F.col("total").alias("b_total"), F.col("is_close").alias("b_close"))
     fits = (OF * F.least("a_total", "b_total") >= SHARE * F.greatest("a_total", "b_total")) & ~(F.col("a_close") & F.col("b_close"))
     pairs = left.join(right, ["block", "word"]).filter((F.col("a") < F.col("b")) & fits).select("a", "b", "a_total", "b_total").distinct()
-    sets = words.select("class", _named(F.filter("listed", lambda w: w["df"] > 1)).alias("words"))
+    sets = words.select("class", _shared("listed").alias("words"))
     both = pairs.join(sets.select(F.col("class").alias("a"), F.col("words").alias("a_words")), "a")
     both = both.join(sets.select(F.col("class").alias("b"), F.col("words").alias("b_words")), "b")
-    return both.filter(_similar(_common("a_words", "b_words"), F.col("a_total"), F.col("b_total"))).select("a", "b")
+    return both.filter(_similar(_sum(F.array_intersect("a_words", "b_words")), F.col("a_total"), F.col("b_total"))).select("a", "b")
 
 
 def _close_links(dated: DataFrame, close: DataFrame, days: int) -> DataFrame:
